@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import map_rows, ship
 
-CACHE, WORDS_AT_ONCE, LONG = 300_000, 40_000, 100
+CACHE, WORDS_AT_ONCE, LONG, LONG_BYTES = 300_000, 40_000, 100, 200_000
 
 ENCODE = """
 WITH RECURSIVE s(w, p, t, n, r, it) AS (
@@ -122,7 +122,15 @@ class Bpe:
                     self.words[w] = [one]
                 else:
                     (long if len(b) >= LONG else short).append((w, b))
-        for some in [*(short[k : k + WORDS_AT_ONCE] for k in range(0, len(short), WORDS_AT_ONCE)), *([x] for x in long)]:
+        groups = [short[k : k + WORDS_AT_ONCE] for k in range(0, len(short), WORDS_AT_ONCE)]
+        room = 0
+        for x in long:
+            if len(x[1]) > room:
+                groups.append([])
+                room = LONG_BYTES
+            groups[-1].append(x)
+            room -= len(x[1])
+        for some in groups:
             self.words.update(zip((w for w, _ in some), self._merged([b for _, b in some]), strict=True))
 
     def decode(self, lists: list[list[int]]) -> list[bytes]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import bpe, html, quality, secrets, urls
+from pulsegrid.llm import binary, bpe, html, minhash, quality, secrets, urls
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_html_extraction": html.html_query,
         "op3_byte_bpe": bpe.bpe_query,
         "op4_quality_rules": quality.quality_query,
+        "op5_minhash_near_dedup": minhash.near_query,
+        "op6_token_files": binary.tokens_query,
         "op8_secret_scan": secrets.secrets_query,
         "op9_url_filter": urls.urls_query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": quality.ORACLE, "op9_url_filter": urls.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op5_minhash_near_dedup": minhash.ORACLE, "op9_url_filter": urls.ORACLE}

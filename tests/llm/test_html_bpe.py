@@ -74,7 +74,7 @@ def test_random_words_meet_the_library():
 
     enc, b = reference(), bpe.Bpe(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
     rng = random.Random(3)
-    words = {"".join(rng.choice("abthe ingéß") for _ in range(rng.randint(2, 150))).replace(" ", "") for _ in range(300)}
+    words = {"".join(rng.choice("abthe ingéß") for _ in range(rng.randint(2, 130))).replace(" ", "") for _ in range(200)} - {""}
     b.learn(words)
     assert all(b.words[w] == enc.encode_ordinary(w) for w in words)
     assert base64.b64encode(b.decode([enc.encode_ordinary("x y")])[0]) == base64.b64encode(b"x y")
