@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import binary, bpe, html, minhash, quality, secrets, urls
+from pulsegrid.llm import binary, bpe, decontaminate, html, lines, minhash, quality, secrets, urls
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html.html_query,
+        "op2_decontamination": decontaminate.leaks_query,
         "op3_byte_bpe": bpe.bpe_query,
         "op4_quality_rules": quality.quality_query,
         "op5_minhash_near_dedup": minhash.near_query,
         "op6_token_files": binary.tokens_query,
         "op8_secret_scan": secrets.secrets_query,
         "op9_url_filter": urls.urls_query,
+        "op10_line_dedup": lines.lines_query,
     }
 
 
