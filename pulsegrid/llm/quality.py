@@ -20,7 +20,7 @@ from pulsegrid.llm.common import cut, map_rows
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 
-STATS = "doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
+STATS = "doc_id bigint, th bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
 
 
 def text_stats(text: str) -> tuple[int, int, int, int, int]:
@@ -48,7 +48,7 @@ def _stats():
         rows = [text_stats(t or "") for t in c["text"]]
         n, chars, sym, dup, rep = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
         return {
-            "doc_id": c["doc_id"], "host": c["host"], "n_words": n, "word_chars": chars, "n_symbols": sym, "n_dup_lines": dup, "n_repeat_words": rep,
+            "doc_id": c["doc_id"], "th": c["th"], "host": c["host"], "n_words": n, "word_chars": chars, "n_symbols": sym, "n_dup_lines": dup, "n_repeat_words": rep,
             "base_failed": [a < 50 or 100 * r > 50 * a for a, r in zip(n, rep, strict=True)],
         }
 
@@ -56,13 +56,13 @@ def _stats():
 
 
 def host_quality(docs: DataFrame, host_col: str = "source", max_host_rate: float = 0.5, min_prior: float = 1.0, max_prior: float = 1000.0) -> DataFrame:
-    """One row per document: its counts, base_failed, host_rate (shrunk failure rate) and kept.
+    """One row per document: its counts, th (xxhash64 of the text), base_failed, host_rate (shrunk failure rate) and kept.
 
     Rules summed by host: base_failed, symbols (over one symbol in three words), duplicate lines are counted for the
     report, the verdict uses the share of documents that fail the base or the symbol rule. A host is rejected when
     that share, shrunk, is above max_host_rate. The prior's weight stays within min_prior..max_prior documents.
     """
-    s = cut(map_rows(docs.select("doc_id", F.col(host_col).cast("string").alias("host"), "text"), _stats, STATS), "quality")
+    s = cut(map_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), F.col(host_col).cast("string").alias("host"), "text"), _stats, STATS), "quality")
     failed = F.col("base_failed") | (3 * F.col("n_symbols") > F.col("n_words"))
     hosts = s.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("bad"))
     hosts = cut(hosts, "hosts")
