@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import binary, bpe, decontaminate, html, lines, minhash, quality, secrets, urls
+from pulsegrid.llm import binary, bpe, decontaminate, html, lines, minhash, quality, secrets, suffixes, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.quality_query,
         "op5_minhash_near_dedup": minhash.near_query,
         "op6_token_files": binary.tokens_query,
+        "op7_suffix_array_dedup": suffixes.repeats_query,
         "op8_secret_scan": secrets.secrets_query,
         "op9_url_filter": urls.urls_query,
         "op10_line_dedup": lines.lines_query,
