@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import map_rows, ship
 
-CACHE, WORDS_AT_ONCE, LONG, LONG_BYTES = 300_000, 40_000, 100, 200_000
+CACHE, WORDS_CACHE, WORDS_AT_ONCE, LONG, LONG_BYTES = 300_000, 500_000, 60_000, 100, 200_000
 
 ENCODE = """
 WITH RECURSIVE s(w, p, t, n, r, it) AS (
@@ -64,7 +64,7 @@ e AS (SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, run ORDER BY p)
 f AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY p), false) AS gone, sum(take::INT) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
 SELECT w, (p - coalesce(before, 0))::INT AS p, CASE WHEN take THEN least ELSE t END AS t FROM f WHERE NOT gone
 """
-DECODE = "SELECT d, string_agg(piece, '' ORDER BY p) AS text, count(*) AS n FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM chosen) JOIN vocab USING (id) GROUP BY d"
+DECODE = "SELECT d, string_agg(piece, '' ORDER BY p) AS text, count(*) AS n FROM chosen JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,14 +86,14 @@ class Bpe:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
         self.bytes_ = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}  # ids as int32, and as decimals
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         n = np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(words), np.uint8)
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "p": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "t": self.bytes_[flat]})
 
-    def _merged(self, words: list[bytes]) -> list[list[int]]:
+    def _merged(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         start = self._rows(words)
         if len(words[0]) < LONG:
             self.con.register("start", start)
@@ -109,8 +109,9 @@ class Bpe:
                 left, now = now, self.con.execute("SELECT count(*) FROM state").fetchall()[0][0]
             got = self.con.sql("SELECT w, p, t FROM state ORDER BY w, p").to_arrow_table()
         at = np.searchsorted(got.column("w").to_numpy(), np.arange(len(words) + 1)).tolist()
-        toks = got.column("t").to_pylist()
-        return [toks[a:b] for a, b in zip(at, at[1:], strict=False)]
+        toks = got.column("t").to_numpy()
+        raw, said = toks.astype(np.int32).tobytes(), list(map(str, toks.tolist()))
+        return [(raw[4 * a : 4 * b], " ".join(said[a:b])) for a, b in zip(at, at[1:], strict=False)]
 
     def learn(self, words: set[str]) -> None:
         """Encode words that were not met yet."""
@@ -119,7 +120,7 @@ class Bpe:
             if w not in self.words:
                 b = w.encode()
                 if (one := self.ranks.get(b)) is not None:
-                    self.words[w] = [one]
+                    self.words[w] = (np.int32(one).tobytes(), str(one))
                 else:
                     (long if len(b) >= LONG else short).append((w, b))
         groups = [short[k : k + WORDS_AT_ONCE] for k in range(0, len(short), WORDS_AT_ONCE)]
@@ -133,14 +134,19 @@ class Bpe:
         for some in groups:
             self.words.update(zip((w for w, _ in some), self._merged([b for _, b in some]), strict=True))
 
-    def decode(self, lists: list[list[int]]) -> list[bytes]:
-        self.con.register("chosen", pa.table({"d": pa.array(range(len(lists)), pa.int32()), "ids": pa.array(lists, pa.list_(pa.int32()))}))
-        out = [b""] * len(lists)
-        for d, text, n in self.con.execute(DECODE).fetchall():
-            if n != len(lists[d]):
-                raise ValueError("an id is outside the vocabulary")
-            out[d] = text.encode("latin-1")
+    def decode(self, raw: list[bytes]) -> list[bytes]:
+        """The bytes of each list of ids (given as int32)."""
+        n = np.array([len(x) // 4 for x in raw], np.int64)
+        ids = np.frombuffer(b"".join(raw), np.int32)
+        self.con.register("chosen", pa.table({"d": np.repeat(np.arange(len(n)), n), "p": np.arange(len(ids)), "id": ids}))
+        got = self.con.sql(DECODE).to_arrow_table()
         self.con.unregister("chosen")
+        d = got.column("d").to_numpy()
+        if not np.array_equal(got.column("n").to_numpy(), n[d]) or len(d) != np.count_nonzero(n):
+            raise ValueError("an id is outside the vocabulary")
+        out = [b""] * len(raw)
+        for k, text in zip(d.tolist(), got.column("text").to_pylist(), strict=True):
+            out[k] = text.encode("latin-1")
         return out
 
 
@@ -165,16 +171,18 @@ class Pieces:
         bpe = self.bpe
         if len(self.ids) > CACHE:
             self.ids, self.said, self.back = {}, {}, {}
-        if len(bpe.words) > CACHE:
+        if len(bpe.words) > WORDS_CACHE:
             bpe.words = {}
         cuts = [self.cut(t) for t in texts]
         new = list(set().union(*cuts) - self.ids.keys())
         found = [bpe.pattern.findall(x) for x in new]
         bpe.learn(set().union(*found))
         words = bpe.words
-        lists = [words[f[0]] if len(f) == 1 else [i for w in f for i in words[w]] for f in found]
-        for x, ids, b in zip(new, lists, bpe.decode(lists), strict=True):
-            self.ids[x], self.said[x], self.back[x] = np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)), b
+        pairs = [words[f[0]] if len(f) == 1 else (b"".join([words[w][0] for w in f]), " ".join([words[w][1] for w in f])) for f in found]
+        raw = [p[0] for p in pairs]
+        self.ids.update(zip(new, raw, strict=True))
+        self.said.update(zip(new, [p[1] for p in pairs], strict=True))
+        self.back.update(zip(new, bpe.decode(raw), strict=True))
         return cuts
 
 
@@ -212,7 +220,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
 def _decode(ranks, pattern: str) -> Callable:
     def make():
         bpe = Bpe(ranks.value, pattern)
-        return lambda c: {"doc_id": c["doc_id"], "decoded": bpe.decode([x or [] for x in c["ids"]])}
+        return lambda c: {"doc_id": c["doc_id"], "decoded": bpe.decode([np.array(x or [], np.int32).tobytes() for x in c["ids"]])}
 
     return make
 
