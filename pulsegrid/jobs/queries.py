@@ -384,7 +384,7 @@ def q_virtual_outputs(spark, sf):
     return segments.virtual_outputs(coded_stim(spark, sf), KEYS, 3, 5)
 
 
-@query(STIM + ", u AS (SELECT session, trial, obj FROM stim WHERE samp < 4 GROUP BY session, trial, obj HAVING max(level) <> 0 OR obj = 0) SELECT session, trial, samp, obj, level FROM stim SEMI JOIN u USING (session, trial, obj) WHERE samp < 4 AND obj <= 1")
+@query(STIM + " SELECT session, trial, samp, obj, level FROM (SELECT *, max(level) OVER (PARTITION BY session, trial, obj) AS m FROM stim WHERE samp < 4) WHERE (m <> 0 OR obj = 0) AND obj <= 1")
 def q_drop_unused_outputs(spark, sf):
     return segments.limit_outputs(segments.drop_unused_outputs(coded_stim(spark, sf).where("samp < 4"), KEYS), 1)
 

@@ -123,3 +123,96 @@ def interval_histogram(df: DataFrame, keys: list[str], order: list[str], ts: str
     d = d.withColumn("_w", width).withColumn("_x", F.col("interval") - F.min("interval").over(w))
     b = F.when(F.col("_w") > 0, F.least(F.floor(F.col("_x") / F.col("_w")), F.when(F.col("_x") <= 14 * F.col("_w"), 13).otherwise(99))).otherwise(0)
     return d.withColumn("bin", b.cast("int")).where("bin < 14").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+
+
+def _by_client(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, make) -> DataFrame:
+    """df + aligned: y as told by a tracker that sees (x, y) in order and answers for each x."""
+    import pandas as pd
+
+    from pulsegrid.shared import ship
+
+    ship(df.sparkSession)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order, kind="stable")
+        t = make()
+        f["aligned"] = [t(a, b) for a, b in zip(f[x].astype(float), f[y].astype(float), strict=True)]
+        return f
+
+    kinds = ", ".join(f"{c} {k}" for c, k in df.dtypes)
+    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, aligned double")
+
+
+class ExpWeightedLine:
+    """A line through weighted sums that halve every `halflife` points; the slope is the mean of both regressions' slopes.
+    A point far from the line (over `cut` times the mean error) counts for the error only."""
+
+    def __init__(self, halflife: float = 100.0, cut: float = 3.0, warm: int = 5):
+        self.a, self.cut, self.warm = 0.5 ** (1 / halflife), cut, warm
+        self.n, self.w, self.x0, self.y0 = 0, 0.0, 0.0, 0.0
+        self.sx = self.sy = self.sxx = self.syy = self.sxy = self.err = 0.0
+
+    def line(self) -> tuple[float, float]:
+        mx, my = self.sx / self.w, self.sy / self.w
+        vxx, vyy, vxy = self.sxx / self.w - mx * mx, self.syy / self.w - my * my, self.sxy / self.w - mx * my
+        slope = (vxy / vxx + vyy / vxy) / 2 if vxx > 1e-12 and abs(vxy) > 1e-12 else 1.0
+        return slope, my - slope * mx
+
+    def __call__(self, x: float, y: float) -> float:
+        if not self.n:
+            self.x0, self.y0 = x, y
+        x, y = x - self.x0, y - self.y0
+        out = y
+        if self.n:
+            slope, off = self.line()
+            out = slope * x + off
+        e = abs(y - out)
+        if self.n < self.warm or e <= self.cut * max(self.err, 1e-9):
+            self.w = self.a * self.w + 1
+            for k, v in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y)):
+                setattr(self, k, self.a * getattr(self, k) + v)
+        self.err = e if not self.n else self.a * self.err + (1 - self.a) * e
+        self.n += 1
+        slope, off = self.line()
+        return self.y0 + slope * x + off
+
+
+class LowerBoundLine:
+    """A line under the newest `window` points: three rounds of weighted least squares in which points above the line by more
+    than `c` count c / err and those above `cut` times the scale not at all. A step of the clock (a point further off than
+    `step`) starts anew."""
+
+    def __init__(self, window: int = 200, c: float = 5.0, cut: float = 3.0, step: float = 1e9):
+        self.window, self.c, self.cut, self.step = window, c, cut, step
+        self.points: list[tuple[float, float]] = []
+        self.slope, self.off = 1.0, 0.0
+
+    def __call__(self, x: float, y: float) -> float:
+        import numpy as np
+
+        if self.points and abs(y - (self.slope * x + self.off)) > self.step:
+            self.points = []
+        self.points = [*self.points[1 - self.window :], (x, y)]
+        p = np.array(self.points)
+        x0, y0 = p[0]
+        a, b = p[:, 0] - x0, p[:, 1] - y0
+        w, slope, off = np.ones(len(a)), 1.0, float(b.min() if len(b) else 0.0)
+        for _ in range(3):
+            if len(a) > 2 and np.ptp(a) > 0:
+                mx, my = np.average(a, weights=w), np.average(b, weights=w)
+                v = np.average((a - mx) ** 2, weights=w)
+                slope = np.average((a - mx) * (b - my), weights=w) / v if v > 1e-12 else 1.0
+                off = my - slope * mx
+            err = b - slope * a - off
+            scale = max(float(np.mean(np.abs(err))), 1e-9)
+            w = np.where(err > self.cut * scale, 1e-9, np.where(err > self.c, self.c / np.maximum(err, self.c), 1.0))
+        self.slope, self.off = float(slope), float(y0 + off - slope * x0)
+        return self.slope * x + self.off
+
+
+def exp_weighted_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, halflife: float = 100.0) -> DataFrame:
+    return _by_client(df, keys, order, x, y, lambda: ExpWeightedLine(halflife))
+
+
+def lower_bound_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int = 200) -> DataFrame:
+    return _by_client(df, keys, order, x, y, lambda: LowerBoundLine(window))
