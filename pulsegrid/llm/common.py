@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +71,79 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     linked = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return linked.union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).union(loops.selectExpr("u as node", "u as component")).groupBy("node").agg(F.min("component").alias("component"))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a fixed number: most words of a text were met before."""
+
+    MOST = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+BITS, SLICES = 1 << 27, 16
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BITS // 8, np.uint8)
+    for b in batches:
+        at = b.column(0).to_numpy().view(np.uint64) & np.uint64(BITS - 1)
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+    if bits.any():
+        for p, x in enumerate(np.split(bits, SLICES)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
+
+
+def _joined_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got: dict[int, np.ndarray] = {}
+    for b in batches:
+        for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(x), np.uint8)
+            got[p] = got[p] | x if p in got else x
+    for p, x in got.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
+
+
+def bit_map(hashes: DataFrame) -> bytes:
+    """The low bits of a column of hashes as a compressed bit map of BITS bits: at most 16 MB, whatever the corpus. It only
+    saves work: what is not in it is not among the hashes, what is in it must still be joined; more hashes let more
+    through."""
+    ship(hashes.sparkSession)
+    rows = hashes.mapInArrow(_bits, "part int, bits binary").repartition(SLICES, "part").mapInArrow(_joined_bits, "part int, bits binary").collect()
+    bits = np.zeros((SLICES, BITS // 8 // SLICES), np.uint8)
+    for r in rows:
+        bits[r["part"]] |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def opened(bits: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(bits), np.uint8)
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def maybe_among(df: DataFrame, hashes: DataFrame, column) -> DataFrame:
+    """The rows of df whose column (a hash) may be among hashes: only that column goes through Python."""
+    return df.where(maybe_in(df.sparkSession.sparkContext.broadcast(bit_map(hashes)))(column))
+
+
+def maybe_in(bits):
+    """A function of a column of hashes: whether each may be in the broadcast bit map."""
+
+    @F.pandas_udf("boolean")
+    def hit(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = opened(bits.value)
+        for x in columns:
+            yield pd.Series(among(known, x.fillna(0).to_numpy(np.int64)))
+
+    return hit

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut, map_rows, mix, ship
+from pulsegrid.llm.common import among, bit_map, cut, map_rows, mix, opened, ship
 
-GRAM, SEGMENT, BUFFER, BITS, HOT, CHUNK = 32, 1 << 21, 1 << 22, 1 << 27, 20_000, 1 << 20
+GRAM, SEGMENT, BUFFER, HOT, CHUNK = 32, 1 << 21, 1 << 22, 20_000, 1 << 20
 RUNS = "doc_id bigint, th bigint, lo bigint, hi bigint"
 CONTEXTS = "anchor bigint, doc_id bigint, th bigint, lo bigint, hi bigint, many boolean, context binary"
 
@@ -118,55 +118,19 @@ def _anchors(length: int):
     return run
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's repeated anchors as 16 compressed slices of one bit map of fixed size."""
-    import zlib
-
-    bits = np.zeros(BITS // 8, np.uint8)
-    for b in batches:
-        at = b.column(0).to_numpy().view(np.uint64) & np.uint64(BITS - 1)
-        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-    for p, x in enumerate(np.split(bits, 16)):
-        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
-
-
-def _joined_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
-    got: dict[int, np.ndarray] = {}
-    for b in batches:
-        for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(x), np.uint8)
-            got[p] = got[p] | x if p in got else x
-    for p, x in got.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
-
-
-def repeated_bits(repeated: DataFrame) -> np.ndarray:
-    """A bit map of BITS bits (16 MB, whatever the corpus) of the repeated anchors; more of them only let more through."""
-    import zlib
-
-    rows = repeated.mapInArrow(_bits, "part int, bits binary").repartition(16, "part").mapInArrow(_joined_bits, "part int, bits binary").collect()
-    bits = np.zeros((16, BITS // 128), np.uint8)
-    for r in rows:
-        bits[r["part"]] |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
-    return bits.reshape(-1)
-
-
 def _contexts(bits, length: int):
     """Rows of repeated anchors with the text that their windows cover. Of equal contexts in a slice one is sent, marked
     `many`; all their runs are known to repeat and are returned without context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
+        known = opened(bits.value)
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 ids, ths = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for group in segments(part.column(2).to_pylist(), length):
                     data, lo, hi, anchor, seg = anchored(group, length)
-                    at = anchor & np.uint64(BITS - 1)
-                    some = np.flatnonzero(known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    some = np.flatnonzero(among(known, anchor))
                     start = np.cumsum([0, *(len(p) for _, _, p in group)])
                     seen: dict[bytes, list] = {}
                     out: list[list] = []
@@ -330,7 +294,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFra
     spark = docs.sparkSession
     ship(spark)
     repeated = docs.select("text").mapInArrow(_anchors(length), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    bits = spark.sparkContext.broadcast(repeated_bits(repeated))
+    bits = spark.sparkContext.broadcast(bit_map(repeated))
     rows = cut(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_contexts(bits, length), CONTEXTS), "contexts")
     known = rows.where("many").select("doc_id", "th", "lo", "hi")
     sent = rows.where("context is not null")
