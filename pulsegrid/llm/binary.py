@@ -17,6 +17,8 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,40 +32,95 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut, shared_dir, ship
 
-LENGTH, BATCH, CACHE = 2048, 64, 300_000
+LENGTH, BATCH, CACHE, TOGETHER = 2048, 64, 250_000, 256
+#: Letters that the word pattern takes and the normaliser leaves or folds one by one; closing punctuation.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+CLOSING = ".,;:!?"
 SHARDS = "shard bigint, path string, n_docs bigint, n_ids bigint"
 DOCS = "shard bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def id_type(size: int) -> np.dtype:
+    """Two bytes an id where the vocabulary fits, else four."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def ascii_lower(text: str) -> str:
+    return text.encode().lower().decode()
+
+
+def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
+    """Masks are bits, as Arrow keeps booleans."""
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, through a cache of words."""
+    """Ids of whole texts through a cache of words. What can be cut further without a change is: closing ASCII
+    punctuation after a Latin letter is a match of the word pattern on its own, and ASCII case is folded by the normaliser;
+    so most new words are plain Latin ones, which are encoded many at once and told apart by their end-of-word ids."""
 
     def __init__(self, spec: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         self.tok.encode_special_tokens = True
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.kind = id_type(len(vocab))
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.end = np.uint32(end_id).tobytes()
+        self.cores: dict[str, bytes] = {}
+        self.end = np.array(end_id, self.kind).tobytes()
+
+    def _alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.cores[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        pairs = []
+        for w in new:
+            text = w.decode()
+            core = text.rstrip(CLOSING)
+            pairs.append((ascii_lower(core), text[len(core) :]) if core and PLAIN.fullmatch(core) else (text, ""))
+        plain = list({c for c, _ in pairs if PLAIN.fullmatch(c)} - self.cores.keys())
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for some, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                self.cores.update(zip(some, map(bytes, np.split(ids, last[:-1])), strict=True))
+            else:
+                self._alone(some)
+        self._alone(list({x for p in pairs for x in p if x} - self.cores.keys()))
+        cores = self.cores
+        for w, (core, tail) in zip(new, pairs, strict=True):
+            self.words[w] = cores[core] + cores[tail] if tail else cores[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > CACHE:
-            self.words = {}
+            self.words, self.cores = {}, {}  # before the next texts: a bound of CACHE and one slice
         cuts = [(t or "").encode().split() for t in texts]
         known = self.words
-        new = list(set().union(*cuts) - known.keys())
-        for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
+        self._learn(list(set().union(*cuts) - known.keys()))
         return [b"".join([known[w] for w in c]) + self.end for c in cuts]
 
 
+#: The encoder of this Python worker: the tasks that it runs one after the other share tokenizer and words.
+_HELD: dict[tuple[int, int], WordEncoder] = {}
+
+
+def held_encoder(spec: str, end_id: int) -> WordEncoder:
+    key = (zlib.crc32(spec.encode()), end_id)
+    if key not in _HELD:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        _HELD.clear()
+        _HELD[key] = WordEncoder(spec, end_id)
+    return _HELD[key]
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -85,14 +142,15 @@ def _put(fs: pafs.FileSystem, path: str, schema: pa.Schema):
 def _write(spec, end_id: int, uri: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        enc, schema, fs = WordEncoder(spec.value, end_id), sequence_schema(length), None
+        enc, fs = held_encoder(spec.value, end_id), None
+        kind, width = enc.kind, enc.kind.itemsize
+        schema = sequence_schema(length, kind)
         left, n_ids, n_docs = b"", 0, 0
-        unit = 4 * length
+        unit = width * length
 
         def rows(data: bytes, valid: int) -> pa.RecordBatch:
-            flat = np.frombuffer(data, np.uint32)
-            mask = np.zeros(len(flat), np.uint8)
-            mask[:valid] = 1
+            flat = np.frombuffer(data, kind)
+            mask = np.arange(len(flat)) < valid
             return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema)
 
         for b in batches:
@@ -103,7 +161,7 @@ def _write(spec, end_id: int, uri: str, length: int):
                     out, close_out = _put(fs, f"{top}/shard-{shard:06d}.arrow", schema)
                     index, close_index = _put(fs, f"{top}/shard-{shard:06d}.docs", INDEX)
                 got = enc.encode(part.column(1).to_pylist())
-                sizes = np.array([len(x) // 4 for x in got], np.int64)
+                sizes = np.array([len(x) // width for x in got], np.int64)
                 starts = n_ids + np.cumsum(sizes) - sizes
                 index.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(starts), pa.array(sizes)], schema=INDEX))
                 n_ids, n_docs = n_ids + int(sizes.sum()), n_docs + len(got)
@@ -114,7 +172,7 @@ def _write(spec, end_id: int, uri: str, length: int):
         if fs is not None:
             if left:
                 full = -(-len(left) // unit) * unit
-                out.write_batch(rows(left.ljust(full, b"\0"), len(left) // 4))
+                out.write_batch(rows(left.ljust(full, b"\0"), len(left) // width))
             close_out()
             close_index()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{uri}/shard-{shard:06d}"], "n_docs": [n_docs], "n_ids": [n_ids]}, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
@@ -149,7 +207,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for b in batches:
         for shard, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            stream, held, left = read_sequences(path), np.empty(0, np.uint32), []
+            stream, held = read_sequences(path), np.empty(0, np.uint16)
             fs, top = _open(path + ".docs")
             with fs.open_input_file(top) as source, pa.ipc.open_stream(source) as index:
                 for docs in index:
@@ -159,14 +217,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         while n:
                             if not len(held):
                                 rows = next(stream)
-                                valid = np.asarray(rows.column(1).flatten()).astype(bool)
+                                valid = rows.column(1).flatten().to_numpy(zero_copy_only=False)
                                 held = np.asarray(rows.column(0).flatten())
                                 held = held if valid.all() else held[valid]
                             take = held[:n]
-                            crc, n, held = zlib.crc32(take, crc), n - len(take), held[len(take) :]
+                            crc, n, held = zlib.crc32(take.astype("<u4"), crc), n - len(take), held[len(take) :]
                         crcs.append(crc)
                     yield pa.RecordBatch.from_arrays([pa.array([shard] * len(docs), pa.int64()), docs.column(0), docs.column(1), docs.column(2), pa.array(crcs, pa.int64())], schema=schema)
-            del stream, left
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
