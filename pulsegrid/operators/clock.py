@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulsegrid.shared import cut
+
 
 def _w(keys, order):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -32,9 +34,9 @@ def use_server_ts(df: DataFrame, ts: str = "cts", server: str = "sts", keep: str
     return df.withColumn(keep, F.col(ts)).withColumn(ts, F.col(server))
 
 
-def robust_clock_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4, cut: float = 3.0) -> DataFrame:
+def robust_clock_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4, limit: float = 3.0) -> DataFrame:
     """keys, slope, intercept, n, x0, y0 of y - y0 = slope * (x - x0) + intercept. Rows with -1 are left out; after each
-    fit rows whose absolute error is over cut times the mean one are dropped before the next."""
+    fit rows whose absolute error is over `limit` times the mean one are dropped before the next."""
     base = df.where((F.col(x) != -1) & (F.col(y) != -1)).groupBy(*keys).agg(F.min(x).alias("x0"), F.min(y).alias("y0"))
     rows = df.where((F.col(x) != -1) & (F.col(y) != -1)).join(base, keys).select(*keys, (F.col(x) - F.col("x0")).cast("double").alias("x"), (F.col(y) - F.col("y0")).cast("double").alias("y"))
     fit = None
@@ -42,9 +44,9 @@ def robust_clock_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int
         fit = rows.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("n"))
         if k < rounds - 1:
             err = F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
-            rows = rows.join(fit, keys).withColumn("err", err)
-            mean = rows.groupBy(*keys).agg(F.avg("err").alias("mean_err"))
-            rows = rows.join(mean, keys).where(F.col("err") <= cut * F.col("mean_err")).select(*keys, "x", "y")
+            rows = rows.join(cut(fit, "fit"), keys).withColumn("err", err)
+            mean = cut(rows.groupBy(*keys).agg(F.avg("err").alias("mean_err")), "fit")  # a row a key: else each round doubles the plan
+            rows = rows.join(mean, keys).where(F.col("err") <= limit * F.col("mean_err")).select(*keys, "x", "y")
     return fit.join(base, keys)
 
 
