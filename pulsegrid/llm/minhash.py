@@ -7,9 +7,9 @@ a band share a bucket. Documents with one set of shingles form one class first,
 
 Candidates are stars: each bucket pairs all its members with a few centres, so their number is linear in its size. After
 the pairs are confirmed on full sets, only buckets that still hold several components go on: in each of the next rounds
-centres are taken from the bucket's smaller components and paired with the members outside the centre's component,
-until every bucket is one component or all its members were centres. No link between different classes of a bucket is
-lost; a pair of similarity s shares no bucket with probability (1 - s^rows)^bands.
+more centres (8 times as many) are taken from the bucket's smaller components and paired with the members outside the
+centre's component, until every bucket is one component or all its members were centres. No link between different
+classes of a bucket is lost; a pair of similarity s shares no bucket with probability (1 - s^rows)^bands.
 
 Defined cases: a null or empty text has no shingles, stands alone; a null doc_id stands alone with a null component; rows
 that repeat a doc_id are separate documents with one id; ties go to the smaller doc_id; an empty table gives an empty
@@ -19,23 +19,21 @@ result; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, cut, map_rows, mix
+from pulsegrid.llm.common import WordHashes, connected_components, cut, map_rows, mix
 
 CENTRES = 8
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text. A text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = xxhash.xxh3_64_intdigest
-    w = np.fromiter((h(x) for x in words), np.uint64, len(words))
+    w = (WordHashes() if hashes is None else hashes).of(words)
     width = min(width, len(words))
     n = len(words) - width + 1
     got = np.full(n, width, np.uint64)
@@ -65,10 +63,11 @@ def one_permutation(s: np.ndarray, bins: int) -> np.ndarray:
 
 def _signatures(width: int, bands: int, rows: int):
     def make():
+        hashes = WordHashes()
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
         def one(text):
-            s = shingle_set(text, width)
+            s = shingle_set(text, width, hashes)
             if not len(s):
                 return 0, None, None, None
             with np.errstate(over="ignore"):
@@ -89,12 +88,13 @@ def _signatures(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def make():
-        return lambda c: {"doc_id": c["doc_id"], "th": c["th"], "hashes": [shingle_set(t, width).view(np.int64) for t in c["text"]]}
+        known = WordHashes()
+        return lambda c: {"doc_id": c["doc_id"], "th": c["th"], "hashes": [shingle_set(t, width, known).view(np.int64) for t in c["text"]]}
 
     return make
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands: int = 32, rows: int = 5, max_rounds: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands: int = 32, rows: int = 5, rounds: int = 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and rid of each row. Linked: 100 * intersection >= similarity * union."""
     th = F.xxhash64("text")
     sig = map_rows(docs.select("doc_id", "text", th.alias("th")), _signatures(width, bands, rows), "doc_id bigint, th bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
     sets = map_rows(texts, _sets(width), "doc_id bigint, th bigint, hashes array<bigint>")
     sets = cut(needed.join(sets, ["doc_id", "th"]).select("cid", "n", "hashes").dropDuplicates(["cid"]), "sets")
 
-    for k in [1, *[CENTRES] * max_rounds]:
+    for k in [CENTRES**r for r in range(rounds)]:
         placed = members.join(parts.withColumnRenamed("node", "cid"), "cid")
         heads = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("cid").alias("head"))
         open_ = heads.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
