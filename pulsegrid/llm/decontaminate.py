@@ -1,12 +1,13 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by an exact word filter and longest common subsequences.
 
-Texts are cut into passages of `window` words, half overlapping. Words are hashed to a fixed number of features; document
-frequencies are counted over all passages of all texts. A randomised SVD of the TF-IDF matrix is computed across tasks:
-each multiplies its rows, A'(A Q), and only the features x rank sums come together. The SVD is the index: it is fitted on
-all benchmark passages and a sample of SAMPLE_DOCS documents (least hash of doc_id, at most SAMPLE_ROWS passages), then every
-passage of every document is projected and compared with every benchmark passage by cosine. Candidates over a low cosine
-are checked on words: longest common subsequence against the benchmark passage; a high share is a leak, a middling
-share is one only if the answer words (the passage's rarest words) are there too, as in a paraphrase.
+Texts are cut into passages of `window` words, half overlapping; a region is a passage with half a window on either side.
+A benchmark passage leaks into a region when their longest common subsequence covers a high share of it, or a middling
+share if the answer words (the passage's rarest words, by their frequency in all texts) are there too, as in a paraphrase.
+
+Candidates are complete. A high share leaves few places of the passage unmatched, so of its rarest words that cover one
+place more than that, one stands in the region; a middling share needs most answer words, so of the rarest few of them
+one stands there too. The index posts each passage under those words only. Regions meet the passages posted under their
+words, the number of places and answer words that a region can match is counted, and what still can be a leak is checked.
 
 The benchmark is the query set: it is taken in blocks of BLOCK_CHARS characters, each broadcast on its own.
 
@@ -21,14 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WordHashes, cut, map_rows, ship
+from pulsegrid.llm.common import WordHashes, map_rows, ship
 
-FEATURES, SAMPLE_DOCS, SAMPLE_ROWS, BLOCK_CHARS = 1 << 15, 1500, 6000, 1 << 24
-PARTS, SAMPLE_TASKS, ITEM_WEIGHT = 16, 3, 8.0
+FEATURES, BLOCK_CHARS, PARTS = 1 << 15, 1 << 24, 16
+GROUP, HITS, CELLS = 200_000, 1 << 21, 1 << 22
 PUNCT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz" + b" " * 31)
 
 
@@ -41,7 +41,7 @@ def features(words: list[bytes], hashes: WordHashes | None = None) -> np.ndarray
     return ((WordHashes() if hashes is None else hashes).of(words) >> np.uint64(49)).astype(np.int64)
 
 
-def lcs(pattern: dict[bytes, int], m: int, words: list[bytes]) -> int:
+def lcs(pattern: dict, m: int, words: list) -> int:
     """Length of the longest common subsequence, by bits. pattern: the places of each word of the pattern."""
     full = (1 << m) - 1
     v = full
@@ -115,139 +115,159 @@ def passages(text: str | None, window: int, min_words: int) -> list[list[bytes]]
     return [p for k in range(0, max(1, len(w) - step), step) if len(p := w[k : k + window]) >= min_words]
 
 
-def _rows(window: int, min_words: int, weights, small: bool):
-    """Feature ids of passages: of sampled documents those of least hash, of benchmark items all."""
+def _least(share: float, n: int) -> int:
+    """The least count, 1 at least, that is this share of n."""
+    k = max(1, int(share * n) - 1)
+    while k < share * n:
+        k += 1
+    return k
 
-    def make():
-        def fn(c: dict) -> dict:
-            got = [features(p) for t in c["text"] for p in passages(t, window, min_words)]
-            return {"f": got, "h": [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in got]}
-
-        return fn
 
-    return make
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 of each n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _multiplied(q, weights):
-    """Slices of A'(A Q) over a task's rows; rows of the benchmark count ITEM_WEIGHT times."""
+class Vocabulary(dict):
+    """Numbers of the benchmark's words from 2; 0 pads, 1 is any other word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, idf = q.value, weights.value
-        total = np.zeros_like(basis)
-        for b in batches:
-            for f, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, tf = np.unique(np.array(f, np.int64), return_counts=True)
-                x = tf * idf[at]
-                x *= (ITEM_WEIGHT if item else 1.0) / max(np.linalg.norm(x), 1e-9)
-                total[at] += np.outer(x, x @ basis[at])
-        for p, x in enumerate(np.split(total, PARTS)):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "blocks": pa.array([0], pa.int64()), "counts": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-    return run
-
-
-def latent_space(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, rank: int, window: int, min_words: int, rounds: int = 1, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (features x rank) of the sampled TF-IDF matrix, by randomised subspace iteration."""
-    spark = docs.sparkSession
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # SAMPLE_DOCS ids
-    rows = map_rows(sample.select("text"), _rows(window, min_words, None, True), "f array<bigint>, h bigint").orderBy("h").limit(SAMPLE_ROWS)
-    items = map_rows(benchmark.select("text"), _rows(window, min_words, None, False), "f array<bigint>, h bigint")
-    a = cut(rows.select("f", F.lit(False).alias("item")).union(items.select("f", F.lit(True))), "sample").repartition(SAMPLE_TASKS)
-    weights = spark.sparkContext.broadcast(idf)
-    q = np.random.default_rng(seed).standard_normal((FEATURES, rank + 8)).astype(np.float32)
-    for k in range(rounds + 1):
-        held = spark.sparkContext.broadcast(q)
-        y, _ = summed(a.mapInArrow(_multiplied(held, weights), SLICES), np.float32)
-        held.destroy()
-        y = y.reshape(FEATURES, -1) if len(y) else q
-        if k < rounds:
-            q = np.linalg.qr(y)[0].astype(np.float32)
-    values, turn = np.linalg.eigh(q.T @ y)
-    return (q @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    def __missing__(self, word: bytes) -> int:
+        return 1
 
 
 class Items:
-    """The passages of one block of the benchmark, with what their checks need."""
+    """The passages of one block of the benchmark and their index."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, space: np.ndarray, window: int, min_words: int, answer_share: float):
-        self.ids, self.words, self.places, self.answers, vectors = [], [], [], [], []
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, window: int, min_words: int, high: float, low: float, answer: float, answer_share: float):
+        self.step, self.window, self.high, self.low, self.answer = window // 2, window, high, low, answer
+        self.vocabulary, self.ids, self.sequences, self.places = Vocabulary(), [], [], {}
+        hashes, posts, distinct = WordHashes(), [], []
         for item, text in rows:
             for p in passages(text, window, min_words):
-                f = features(p)
-                places: dict[bytes, int] = {}
-                for i, w in enumerate(p):
-                    places[w] = places.get(w, 0) | 1 << i
-                rare = np.argsort(-idf[f], kind="stable")[: max(1, round(len(p) * answer_share))]
+                weight = idf[features(p, hashes)]
+                order = np.argsort(-weight, kind="stable")
+                word = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in p]
+                counts: dict[int, int] = {}
+                for w in word:
+                    counts[w] = counts.get(w, 0) + 1
+                rarest = list(dict.fromkeys(word[i] for i in order))
+                answers = list(dict.fromkeys(word[i] for i in order[: max(1, round(len(p) * answer_share))]))
+                posted, free = set(answers[: len(answers) - _least(answer, len(answers)) + 1]), len(p) - _least(high, len(p))
+                for w in rarest:
+                    posted.add(w)
+                    free -= counts[w]
+                    if free < 0:
+                        break
+                posts.extend((w, len(self.ids)) for w in posted)
+                distinct.append((counts, set(answers)))
                 self.ids.append(item)
-                self.words.append(p)
-                self.places.append(places)
-                self.answers.append({p[i] for i in rare})
-                v = (space[f] * idf[f][:, None]).sum(0)
-                vectors.append(v / max(np.linalg.norm(v), 1e-9))
-        self.vectors = np.array(vectors, np.float32).T if vectors else None
-
-    def judged(self, k: int, region: list[bytes], have: set[bytes], high: float, low: float, answer: float) -> float | None:
-        """The LCS share of passage k in the region if it is a leak."""
-        p, places = self.words[k], self.places[k]
-        if len(places.keys() & have) < low * len(places) * 0.8:
-            return None
-        share = lcs(places, len(p), region) / len(p)
-        if share >= high or share >= low and len(self.answers[k] & have) >= answer * len(self.answers[k]):
-            return share
-        return None
-
-
-def _search(items, weighted, weights, window: int, min_cosine: float, high: float, low: float, answer: float):
-    step = window // 2
-
-    def make():
-        hashes = WordHashes()
-
-        def one(text: str | None) -> tuple[list[int], list[float]]:
-            known, space = items.value, weighted.value
-            w = words_of(text)
-            if not w or known.vectors is None:
-                return [], []
-            f = features(w, hashes)
-            blocks = np.add.reduceat(space[f], np.arange(0, len(f), step), axis=0)
-            v = blocks[:-1] + blocks[1:] if len(blocks) > 1 else blocks
-            whole = np.add.reduceat(weights.value[f], np.arange(0, len(f), step))
-            whole = whole[:-1] + whole[1:] if len(blocks) > 1 else whole
-            v /= np.sqrt(np.maximum(whole, 1e-9))[:, None]  # the cosine with the part of the item that the space holds
-            best: dict[int, float] = {}
-            haves: dict[int, set[bytes]] = {}
-            for i, k in zip(*np.nonzero(v @ known.vectors >= min_cosine), strict=True):
-                if best.get(known.ids[k], 0.0) >= 1.0:
+                self.sequences.append(np.array(word, np.int32))
+        self.width, k = len(self.vocabulary) + 2, len(self.ids)
+        most = max((len(c) for c, _ in distinct), default=0)
+        self.words, self.counts, self.is_answer = np.zeros((k, most), np.int32), np.zeros((k, most), np.uint16), np.zeros((k, most), bool)
+        for i, (c, a) in enumerate(distinct):
+            self.words[i, : len(c)], self.counts[i, : len(c)], self.is_answer[i, : len(c)] = list(c), list(c.values()), [w in a for w in c]
+        self.sizes, self.answers = np.array([len(x) for x in self.sequences]), self.is_answer.sum(1)
+        post = np.array(sorted(posts), np.int64).reshape(-1, 2)
+        self.posted = np.bincount(post[:, 0], minlength=self.width)
+        self.first, self.post = np.cumsum(self.posted) - self.posted, post[:, 1]
+
+    def share(self, k: int, region: np.ndarray) -> float:
+        """The LCS share of passage k in the region."""
+        if (places := self.places.get(k)) is None:
+            places = self.places[k] = {}
+            for i, w in enumerate(self.sequences[k].tolist()):
+                places[w] = places.get(w, 0) | 1 << i
+        return lcs(places, int(self.sizes[k]), region.tolist()) / int(self.sizes[k])
+
+    def candidates(self, word: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of texts of n words each: text, first word and end of a region, and a passage that shares a posted word with it."""
+        per = -(-n // self.step)
+        base, begin, last = np.cumsum(per) - per, np.cumsum(n) - n, np.maximum(per - 1, 1)
+        text = np.repeat(np.arange(len(n)), per)
+        block = np.repeat(base, n) + _ramp(n) // self.step
+        some = self.posted[word] > 0
+        at, w = np.divmod(np.unique(block[some] * self.width + word[some]), self.width)
+        total = np.cumsum(self.posted[w])
+        for part in np.split(np.arange(len(w)), np.flatnonzero(np.diff(total // HITS)) + 1):
+            c = self.posted[w[part]]
+            k = self.post[np.repeat(self.first[w[part]], c) + _ramp(c)]
+            b, k = np.divmod(np.unique(np.repeat(at[part], c) * len(self.ids) + k), len(self.ids))
+            t = text[b]
+            near = [(b + d, (b + d >= base[t]) & (b + d < base[t] + last[t])) for d in range(-2 - self.window % 2, 2)]
+            r, k = np.divmod(np.unique(np.concatenate([r[ok] * len(self.ids) + k[ok] for r, ok in near])), len(self.ids))
+            t = text[r]
+            place = (r - base[t]) * self.step
+            yield t, begin[t] + np.maximum(place - self.step, 0), begin[t] + np.minimum(place + self.window + self.step, n[t]), k
+
+    def leaks(self, word: np.ndarray, n: np.ndarray) -> list[dict[int, float]]:
+        """The leaked items of each text with their LCS shares."""
+        best: list[dict[int, float]] = [{} for _ in n]
+        if not self.ids:
+            return best
+        most = max(1, CELLS // self.width)
+        for t, lo, hi, k in self.candidates(word, n):
+            fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(t)]
+            region = np.cumsum(fresh) - 1
+            for part in np.split(np.arange(len(t)), np.flatnonzero(np.diff(region // most)) + 1):
+                if not len(part):
                     continue
-                region = w[max(0, i * step - step) : i * step + window + step]
-                if i not in haves:
-                    haves[i] = set(region)
-                if (s := known.judged(k, region, haves[i], high, low, answer)) is not None:
-                    best[known.ids[k]] = max(s, best.get(known.ids[k], 0.0))
-            ids = sorted(best)
-            return ids, [round(best[i], 6) for i in ids]
-
+                local, heads = region[part] - region[part[0]], part[fresh[part]]
+                size = hi[heads] - lo[heads]
+                have = np.zeros((len(heads), self.width), bool)
+                have[np.repeat(np.arange(len(heads)), size), word[np.repeat(lo[heads], size) + _ramp(size)]] = True
+                for few in np.split(np.arange(len(part)), range(1 << 16, len(part), 1 << 16)):
+                    q = k[part[few]]
+                    there = have[local[few][:, None], self.words[q]]
+                    bound = (there * self.counts[q]).sum(1) / self.sizes[q]
+                    answered = (there & self.is_answer[q]).sum(1) >= self.answer * self.answers[q]
+                    able = np.flatnonzero((bound >= self.high) | (bound >= self.low) & answered)
+                    for i in able.tolist():
+                        j, item = part[few[i]], self.ids[q[i]]
+                        known = best[t[j]].get(item, 0.0)
+                        if known < 1.0:
+                            share = self.share(int(q[i]), word[lo[j] : hi[j]])
+                            if share > known and (share >= self.high or share >= self.low and answered[i]):
+                                best[t[j]][item] = share
+        return best
+
+
+def _search(items):
+    def make():
         def fn(c: dict) -> dict:
-            got = [one(t) for t in c["text"]]
-            return {k: c[k] for k in c if k != "text"} | {
-                "item_ids": [a + g[0] for a, g in zip(c["item_ids"], got, strict=True)], "scores": [a + g[1] for a, g in zip(c["scores"], got, strict=True)], "text": c["text"],
-            }
+            known, ids, scores = items.value, [], []
+            held: list[np.ndarray] = []
+
+            def flush():
+                n = np.array([len(x) for x in held])
+                for a, best in zip(c["item_ids"][len(ids) : len(ids) + len(held)], known.leaks(np.concatenate(held), n), strict=True):
+                    scores.append(c["scores"][len(ids)] + [round(best[i], 6) for i in sorted(best)])
+                    ids.append(a + sorted(best))
+                held.clear()
+
+            size = 0
+            for t in c["text"]:
+                w = words_of(t)
+                held.append(np.fromiter(map(known.vocabulary.__getitem__, w), np.int64, len(w)))
+                size += len(w)
+                if size > GROUP:
+                    flush()
+                    size = 0
+            if held:
+                flush()
+            return {k: c[k] for k in c if k not in ("item_ids", "scores")} | {"item_ids": ids, "scores": scores}
 
         return fn
 
     return make
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, rank: int = 80, min_cosine: float = 0.12, high: float = 0.75, low: float = 0.5, answer: float = 0.8, answer_share: float = 0.25, min_words: int = 8) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, high: float = 0.75, low: float = 0.5, answer: float = 0.8, answer_share: float = 0.25, min_words: int = 8) -> DataFrame:
     """All columns of docs as a struct `doc`, with item_ids, scores (LCS share of each) and contaminated."""
     spark = docs.sparkSession
     ship(spark)
     given = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     idf = inverse_frequencies(docs, window // 2)
-    space = latent_space(docs, given, idf, rank, window, min_words)
-    weighted = spark.sparkContext.broadcast(space * idf[:, None])  # features x rank floats: 10 MB
-    squares = spark.sparkContext.broadcast(idf * idf)
     out = docs.select("text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("doc"), F.array().cast("array<bigint>").alias("item_ids"), F.array().cast("array<double>").alias("scores"))
     kinds = dict(out.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in out.columns)
@@ -255,8 +275,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 64, ran
     n = -(-chars // BLOCK_CHARS)
     for k in range(n):
         block = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about BLOCK_CHARS characters
-        items = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block], idf, space, window, min_words, answer_share))
-        out = map_rows(out, _search(items, weighted, squares, window, min_cosine, high, low, answer), schema)
+        items = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block], idf, window, min_words, high, low, answer, answer_share))
+        out = map_rows(out, _search(items), schema)
     return out.withColumn("contaminated", F.size("item_ids") > 0)
 
 

@@ -46,6 +46,19 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert not any(r.contaminated for r in decontaminate.benchmark_leaks(df, bench.limit(0)).collect())
 
 
+def test_all_copies_are_found_in_a_large_benchmark(spark):
+    r = random.Random(9)
+    items = [(i, " ".join(f"v{r.randrange(20_000)}" for _ in range(r.randint(15, 59)))) for i in range(3000)]
+    rows = []
+    for d in range(300):
+        w = [f"v{r.randrange(20_000)}" for _ in range(200)]
+        at = r.randrange(200)
+        w[at:at] = items[d * 10][1].split()
+        rows.append((d, " ".join(w)))
+    got = decontaminate.benchmark_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id: r.item_ids for r in got.select("doc.doc_id", "item_ids").collect()} == {d: [d * 10] for d in range(300)}
+
+
 def test_lcs_by_bits():
     def plain(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
