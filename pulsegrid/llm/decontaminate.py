@@ -11,8 +11,11 @@ words, the number of places and answer words that a region can match is counted,
 
 The benchmark is the query set: it is taken in blocks of BLOCK_CHARS characters, each broadcast on its own.
 
-Defined cases: a null or empty text has no passage and is clean; benchmark rows with a null item_id or fewer than
-min_words words are left out; repeated rows return as often as they stand; an empty benchmark leaves all clean; an empty
+A benchmark row of fewer than min_words words leaks only where all its words stand in a row: a few common words in order
+within a region are no sign of it.
+
+Defined cases: a null or empty text has no passage and is clean; benchmark rows with a null item_id or without a word are
+left out; repeated rows return as often as they stand; an empty benchmark leaves all clean; an empty
 table gives an empty result; columns other than doc_id, text (item_id, text) are not read.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WordHashes, map_rows, ship
+from pulsegrid.llm.common import WordHashes, map_rows, mix, ship
 
 FEATURES, BLOCK_CHARS, PARTS = 1 << 15, 1 << 24, 16
 GROUP, HITS, CELLS = 200_000, 1 << 21, 1 << 22
@@ -100,13 +103,13 @@ def summed(slices: DataFrame, kind) -> tuple[np.ndarray, int]:
     return np.concatenate([got[p] for p in sorted(got)]) if got else np.empty(0, kind), sum(r["blocks"] for r in rows)
 
 
-def inverse_frequencies(docs: DataFrame, step: int, common: float = 0.03) -> np.ndarray:
-    """log(blocks / frequency) of each feature; features of over `common` of the blocks (words of every text) count 0."""
+def inverse_frequencies(docs: DataFrame, step: int) -> np.ndarray:
+    """log(blocks / frequency) of each feature, however common."""
     ship(docs.sparkSession)
     df, blocks = summed(docs.select("text").mapInArrow(_frequencies(step), SLICES), np.int64)
     if not len(df):
         df = np.zeros(FEATURES, np.int64)
-    return np.where(df > common * blocks, 0, np.log((blocks + 1) / (df + 1))).astype(np.float32)
+    return np.log((blocks + 1) / (df + 1)).astype(np.float32)
 
 
 def passages(text: str | None, window: int, min_words: int) -> list[list[bytes]]:
@@ -128,6 +131,14 @@ def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _sequence_hashes(word: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` words from each place."""
+    h = np.zeros(max(0, len(word) - size + 1), np.uint64)
+    for j in range(size):
+        h = mix(h * np.uint64(3) + word[j : j + len(h)].astype(np.uint64))
+    return h
+
+
 class Vocabulary(dict):
     """Numbers of the benchmark's words from 2; 0 pads, 1 is any other word."""
 
@@ -142,7 +153,11 @@ class Items:
         self.step, self.window, self.high, self.low, self.answer = window // 2, window, high, low, answer
         self.vocabulary, self.ids, self.sequences, self.places = Vocabulary(), [], [], {}
         hashes, posts, distinct = WordHashes(), [], []
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by size, of items under min_words: the items of a sequence
         for item, text in rows:
+            if 0 < len(w := words_of(text)) < min_words:
+                key = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 2) for x in w], np.int64).tobytes()
+                self.short.setdefault(len(w), {}).setdefault(key, []).append(item)
             for p in passages(text, window, min_words):
                 weight = idf[features(p, hashes)]
                 order = np.argsort(-weight, kind="stable")
@@ -162,6 +177,7 @@ class Items:
                 distinct.append((counts, set(answers)))
                 self.ids.append(item)
                 self.sequences.append(np.array(word, np.int32))
+        self.short_hashes = {n: np.concatenate([_sequence_hashes(np.frombuffer(x, np.int64), n) for x in table]) for n, table in self.short.items()}
         self.width, k = len(self.vocabulary) + 2, len(self.ids)
         most = max((len(c) for c, _ in distinct), default=0)
         self.words, self.counts, self.is_answer = np.zeros((k, most), np.int32), np.zeros((k, most), np.uint16), np.zeros((k, most), bool)
@@ -203,6 +219,11 @@ class Items:
     def leaks(self, word: np.ndarray, n: np.ndarray) -> list[dict[int, float]]:
         """The leaked items of each text with their LCS shares."""
         best: list[dict[int, float]] = [{} for _ in n]
+        owner = np.repeat(np.arange(len(n)), n)
+        for size, table in self.short.items():
+            h = _sequence_hashes(word, size)
+            for i in np.flatnonzero(np.isin(h, self.short_hashes[size]) & (owner[: len(h)] == owner[size - 1 :][: len(h)])).tolist():
+                best[owner[i]].update(dict.fromkeys(table.get(word[i : i + size].tobytes(), ()), 1.0))
         if not self.ids:
             return best
         most = max(1, CELLS // self.width)

@@ -59,6 +59,17 @@ def test_all_copies_are_found_in_a_large_benchmark(spark):
     assert {r.doc_id: r.item_ids for r in got.select("doc.doc_id", "item_ids").collect()} == {d: [d * 10] for d in range(300)}
 
 
+def test_items_of_common_or_few_words_are_found(spark):
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(20)]
+    items = [(1, " ".join(r.choice(common) for _ in range(30))), (2, "Who wrote it?"), (3, "c1"), (4, "...")]
+    rows = [(d, " ".join(r.choice(common[2:]) for _ in range(20)) + f" x{d}") for d in range(80)]
+    rows += [(100, "c2 c3 " + items[0][1] + " c4"), (101, "c5, who WROTE it c6"), (102, "who else wrote it"), (103, "it who wrote"), (104, "c1"), (105, "who wrote"), (106, "it")]
+    got = decontaminate.benchmark_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    found = {r.doc_id: r.item_ids for r in got.select("doc.doc_id", "item_ids").where("contaminated").collect()}
+    assert found == {100: [1, 3] if "c1" in items[0][1].split() else [1], 101: [2], 104: [3]}
+
+
 def test_lcs_by_bits():
     def plain(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
