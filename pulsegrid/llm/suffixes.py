@@ -10,7 +10,7 @@ remaining suffixes are sorted by their first byte and the next rank and merged,
 their first `length` bytes.
 
 Equal contexts are combined before the shuffle, so a passage in very many documents sends one row a slice. Anchors that
-still have more than HOT contexts are not gathered: their windows are spread by their own fingerprints, counted with a
+still have more than HOT contexts, or HOT_BYTES bytes of them, are not gathered: their windows are spread by their own fingerprints, counted with a
 partial aggregate and joined back.
 
 Defined cases: a null or empty text has no bytes; texts shorter than the length lose nothing; a text may match itself, also
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import among, bit_map, cut, map_rows, mix, opened, ship
 
-GRAM, SEGMENT, BUFFER, HOT, CHUNK = 32, 1 << 21, 1 << 22, 20_000, 1 << 20
+GRAM, SEGMENT, BUFFER, HOT, HOT_BYTES, CHUNK = 32, 1 << 21, 1 << 22, 20_000, 1 << 22, 1 << 20
 RUNS = "doc_id bigint, th bigint, lo bigint, hi bigint"
 CONTEXTS = "anchor bigint, doc_id bigint, th bigint, lo bigint, hi bigint, many boolean, context binary"
 
@@ -163,11 +163,13 @@ def ranked(s: np.ndarray, cover: int) -> np.ndarray:
     x = np.zeros(n + 3, np.int64)
     x[:n] = s
     size = int(x.max()) + 1
-    if size >= 1 << 20:
-        raise ValueError("alphabet too large for a triple")
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a place past the end keeps the cover whole
     sample = np.concatenate([one, two])
-    names, inverse = np.unique((x[sample] * size + x[sample + 1]) * size + x[sample + 2], return_inverse=True)
+    by_pair = lambda i: x[i] * size + x[i + 1]  # noqa: E731  under 2^62: symbols are ranks in an array, under 2^31
+    if size >= 1 << 20:  # a triple of large symbols does not fit 63 bits: pairs are named first, here and below
+        pairs = np.unique(by_pair(np.arange(n + 1)))
+        by_pair = lambda i: np.searchsorted(pairs, x[i] * size + x[i + 1])
+    names, inverse = np.unique(by_pair(sample) * size + x[sample + 2], return_inverse=True)
     inverse = inverse + 1
     if len(names) < len(sample) and cover > 3:
         inverse = ranked(np.concatenate([inverse[: len(one)], [0], inverse[len(one) :]]) + 1, -(-cover // 3))
@@ -177,7 +179,7 @@ def ranked(s: np.ndarray, cover: int) -> np.ndarray:
     big = int(rank.max()) + 1
     rest = np.arange(0, n, 3)
     by_one = lambda i: x[i] * big + rank[i + 1]  # noqa: E731  against places 1 modulo 3
-    by_two = lambda i: (x[i] * size + x[i + 1]) * big + rank[i + 2]  # noqa: E731  against places 2 modulo 3
+    by_two = lambda i: by_pair(i) * big + rank[i + 2]  # noqa: E731  against places 2 modulo 3
     one, two = one[one < n], two[two < n]
     # the place of each suffix among the others: of its own class by rank, of the other classes by search
     own_one, own_two, own_rest = np.sort(rank[one]), np.sort(rank[two]), np.sort(by_one(rest))
@@ -298,7 +300,7 @@ def repeated_runs(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFra
     rows = cut(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_contexts(bits, length), CONTEXTS), "contexts")
     known = rows.where("many").select("doc_id", "th", "lo", "hi")
     sent = rows.where("context is not null")
-    hot_ones = cut(sent.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "hot")
+    hot_ones = cut(sent.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("bytes")).where((F.col("n") > hot) | (F.col("bytes") > HOT_BYTES)).select("anchor"), "hot")
     parts = [known]
     cool = sent.join(hot_ones, "anchor", "left_anti").select(*rows.columns)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -36,6 +36,26 @@ def test_ranks_of_suffixes(cover):
                 assert r[a] < r[b] or s[a : a + cover].tolist() == s[b : b + cover].tolist(), (n, k)
 
 
+def test_ranks_of_over_a_million_names():
+    s = np.random.default_rng(3).integers(1, 257, 2_000_000)
+    assert len(np.unique((s[:-2] * 257 + s[1:-1]) * 257 + s[2:])) > 1 << 20
+    order = np.argsort(suffixes.ranked(s, 200))[:-8]
+    order = order[order < len(s) - 8]
+    first = sum((s[order + k] - 1).astype(np.uint64) << np.uint64(56 - 8 * k) for k in range(8))
+    assert (first[1:] >= first[:-1]).all()
+
+
+@pytest.mark.parametrize("cover", [1000, 4])
+def test_ranks_of_large_symbols(cover):
+    rng = np.random.default_rng(cover)
+    for n in range(3, 60):
+        s = rng.integers(1, 4, n) << 21
+        r = suffixes.ranked(s, cover)
+        order = sorted(range(n), key=lambda i: s[i:].tolist())
+        for a, b in zip(order, order[1:], strict=False):
+            assert r[a] < r[b] or s[a : a + cover].tolist() == s[b : b + cover].tolist(), n
+
+
 def rows_of():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
@@ -59,6 +79,13 @@ def test_repeats_meet_brute_force(spark, hot, monkeypatch):
     assert got == brute(rows, 100)
 
 
+def test_anchors_of_many_bytes_meet_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_BYTES", 500)
+    rows = rows_of()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=100).collect())
+    assert got == brute(rows, 100)
+
+
 def test_real_documents_meet_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.drop_repeats(docs).collect())
