@@ -2,8 +2,8 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns. The hash of every candidate value (base ones and
 further credential shapes) is counted over the whole corpus by distinct owner (the column `source`) and distinct
-repository (owner and language). A value that many owners hold is a copied example; one that a single owner holds looks
-live. Further credential shapes are added to the spans when their value looks live; base spans always stay.
+repository (owner and language). A value that many owners or many repositories hold is a copied example; one that few
+repositories of a single owner hold looks live. Further credential shapes are added to the spans when their value looks live; base spans always stay.
 
 Defined cases: a null text counts as empty; a null owner or repository counts as one more owner of its own; repeated rows
 return as often as they stand and do not raise a value's frequency; a document without candidates has empty spans; an
@@ -52,9 +52,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang", example_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang", example_owners: int = 3, example_repos: int = 4) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example. A value that example_owners or more
-    distinct owners hold is an example, others look live."""
+    distinct owners, or example_repos or more distinct repositories, hold is an example, others look live."""
     t = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), t.alias("text"))
     d = d.select("doc_id", "owner", "repo", F.concat(_spans(F.col("text"), 0, ASSIGN, 2, 12), _spans(F.col("text"), 1, ACCESS), _spans(F.col("text"), 2, HEX)).alias("base"), _spans(F.col("text"), 3, TOKEN).alias("more"))
@@ -62,9 +62,8 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "la
     some = F.size("base") + F.size("more") > 0
     held = d.where(some).select("rid", "owner", "repo", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["value"]))).alias("value"))
     owners = held.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    live = held.join(owners, "value").groupBy("rid").agg(
-        F.collect_set(F.when(F.col("n_owners") < example_owners, F.col("value"))).alias("live"),
-        F.sum((F.col("n_owners") >= example_owners).cast("long")).alias("n_example"), F.max("n_repos").alias("max_repos"))
+    owners = owners.select("value", ((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)).alias("example"))
+    live = held.join(owners, "value").groupBy("rid").agg(F.collect_set(F.when(~F.col("example"), F.col("value"))).alias("live"), F.sum(F.col("example").cast("long")).alias("n_example"))
     cols = ["doc_id", "base", "more", "live", "n_example"]
     out = d.where(some).join(live, "rid").select(*cols).union(d.where(~some).select("doc_id", "base", "more", F.array().cast("array<bigint>").alias("live"), F.lit(0).cast("long").alias("n_example")))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

@@ -59,6 +59,12 @@ def test_secret_spans(spark, small):
     assert secrets.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_repositories_tell_examples(spark):
+    rows = [(i, "F" * 40, f"l{i}", "a", "x", 1) for i in range(6)] + [(10 + i, "E" * 40, "l0", "a", "x", 1) for i in range(6)]
+    got = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: ("", 0, 1) for i in range(6)} | {10 + i: ("token:0:40", 1, 0) for i in range(6)}
+
+
 def test_urls(spark):
     page = lambda i, u, h="": (i, u, h)
     rows = [
