@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.shared import cut, shared_dir, ship, table  # noqa: F401  used by the operators
+from pulsegrid.shared import cut, forget, shared_dir, ship, table  # noqa: F401  used by the operators
 
 #: The white space that ends a word (space, tab to carriage return); bytes.split() uses the same six.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -50,14 +50,15 @@ def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b): component is the smallest node reachable.
     Alternates large and small stars; every step is a partial aggregate and a join that the adaptive planner can
     split, so a node with very many neighbours does not meet in one task. Self loops keep lone nodes."""
     e = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    first, before = e, None
     loops = e.where("u = v").select("u")
     e = e.where("u <> v")
-    before = None
+    held = first
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -65,10 +66,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = e1.groupBy("u").agg(F.min("v").alias("m"))
         e2 = e1.join(low, "u")
         e = cut(e2.select(F.col("u"), F.col("m").alias("v")).union(e2.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        if held is not first:
+            forget(held)
+        held = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components are not settled after {rounds} rounds")
     linked = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return linked.union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).union(loops.selectExpr("u as node", "u as component")).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -147,3 +153,73 @@ def maybe_in(bits):
             yield pd.Series(among(known, x.fillna(0).to_numpy(np.int64)))
 
     return hit
+
+
+PIECE = 1 << 17
+_RANDOM = np.random.default_rng(20240229)
+#: A random 64-bit value for each byte, upper-case ASCII letters like lower-case ones, and the powers of an odd base.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTE = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)[_LOWER]
+_BASE = 0x9E3779B97F4A7C13
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(WHITE.encode())] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = base
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+_POWER = [_powers(_BASE, PIECE + 1), _powers(pow(_BASE, -1, 1 << 64), PIECE + 1)]
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column and the place where each text begins (one place more than texts); nulls are empty."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.empty(0, np.uint8) if data is None or not len(column) else np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    if column.null_count and len(column):  # a null may cover bytes
+        n = np.diff(at)
+        gone = column.is_null().to_numpy(zero_copy_only=False) & (n > 0)
+        if gone.any():
+            data = data[~np.repeat(gone, n)]
+            at = np.concatenate([[0], np.cumsum(np.where(gone, 0, n))])
+    return data, at - at[0] if len(at) else np.zeros(1, np.int64)
+
+
+def hashed_words(data: np.ndarray, at: np.ndarray, white: np.ndarray = _IS_WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and 64-bit hash (of the lower-cased bytes) of each word of the texts that begin at `at`. Works in pieces
+    of PIECE bytes that end at white space, so that only a single longer word takes more memory."""
+    starts, hashes, lo, total = [], [], 0, len(data)
+    cuts = np.unique(at)
+    while lo < total:
+        hi = min(total, lo + PIECE)
+        while hi < total and not white[data[hi]]:
+            step = np.flatnonzero(white[data[hi : hi + PIECE]])
+            hi = hi + int(step[0]) if len(step) else min(total, hi + PIECE)
+        part = data[lo:hi]
+        solid = np.empty(len(part) + 2, bool)
+        solid[0] = solid[-1] = False
+        np.logical_not(white[part], out=solid[1:-1])
+        first = solid[1:-1] & ~solid[:-2]
+        last = solid[1:-1] & ~solid[2:]
+        inner = cuts[(cuts > lo) & (cuts < hi)] - lo  # a text begins: a word before it ends there
+        glued = inner[solid[inner] & solid[inner + 1]]
+        first[glued] = True
+        last[glued - 1] = True
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _POWER if len(part) <= PIECE else [_powers(_BASE, len(part) + 1), _powers(pow(_BASE, -1, 1 << 64), len(part) + 1)]
+        with np.errstate(over="ignore"):
+            run = np.empty(len(part) + 1, np.uint64)
+            run[0] = 0
+            np.cumsum(_BYTE[part] * up[: len(part)], out=run[1:])
+            hashes.append(mix((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64)))
+        starts.append(a + lo)
+        lo = hi
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
