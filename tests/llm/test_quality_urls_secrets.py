@@ -88,3 +88,24 @@ def test_alias_chains_and_hubs(spark, chain):
     df = spark.createDataFrame([(i, f"http://h{i}.info/", None) for i in range(chain + 1)], "page_id bigint, url string, html string")
     r = spark.createDataFrame([(f"http://h{i}.info/", f"http://h{i + 1}.info/") for i in range(chain)] + [(f"http://h{chain}.info/", "http://bad.net/")], "src string, dst string")
     assert {x.verdict for x in urls.judge_urls(df, redirects=r).collect()} == {"block"}
+
+
+def test_alias_classes_meet_the_sql(spark):
+    """Links of all kinds: the verdicts are those of the SQL with its recursive walk."""
+    import duckdb
+    import pandas as pd
+
+    can = lambda u: f'<head><link href="{u}" rel="canonical"></head>'
+    ref = lambda u: f"<meta content='5; URL={u}' http-equiv=refresh>"
+    rows = [
+        ("http://a.info/x/y/p1.html", can("../q/./p2.html")), ("http://a.info/x/q/p2.html?utm_source=z", ref("//b.net/deep")), ("http://c.info/a?b=1&amp;c", can("http://d.net/?x=1&amp;y=2")),
+        ("http://e.info/", can("?id=3") + can("http://f.net/")), ("http://e.info/?id=3", None), ("http://g.info/1", f"<!-- {can('http://f.net/')} --><script>{ref('http://f.net/')}</script>"), ("http://h.info/1", can("mailto:x@y.net") + can("#top")),
+        ("http://i.info/a", can("/b") + ref("c/../../../d")), ("http://i.info/b", can("http://j.net/")), ("http://i.info/d", ref("http://k.org/fr/ok")), ("HTTP://I.info/d/#z", ""), ("http://l.info", can("tail")), ("http://l.info/tail/", can("http://m.net/")),
+        ("http://n.info/s/", can("http://www.example.net/en/1?utm_x=1")), ("http://n.info/s", can("http://o.net/")), ("http://p.info/..x/a", can("../b")), ("http://p.info/b", ref("http://q.net&#x2f;z")), (None, can("http://f.net/")), ("no scheme", None),
+    ]
+    pages = [(i, u, h) for i, (u, h) in enumerate(rows)]
+    got = sorted(tuple(r) for r in urls.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect())
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"url": "string", "html": "string"}))
+    assert got == sorted(con.execute(urls.ORACLE).fetchall())
+    assert {got[i][4] for i in (0, 1, 2, 3, 4, 11, 12, 15, 16)} == {"block"} and {got[i][4] for i in (5, 6, 7, 8, 9, 10, 13, 14)} == {"allow"}
