@@ -36,7 +36,7 @@ RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|canvas|aud
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription comment comments respond disqus share sharing social related recommended recommendations teaser widget toolbar login signup search pagination pager copyright masthead skip banner alert contentinfo complementary".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTRS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -64,7 +64,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
     out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
     parts: list[str] = []
-    state = {"bad": False, "article": 0, "links": 0, "in_a": False}
+    state = {"bad": False, "article": 0, "links": 0, "in_a": False, "in_p": False}
+    opened = (0, False)  # of the link: depth, and whether a paragraph was open
     articles = 0
 
     def close() -> None:
@@ -90,11 +91,15 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
         tag, closing = m[3].lower(), bool(m[2])
         if tag == "a":
             state["in_a"] = not closing
+            opened = len(stack), state["in_p"]
         elif tag == "br":
             parts.append(" ")
         if tag not in BREAKS:
             continue
         close()
+        state["in_p"] = tag == "p" and not closing
+        if tag == "p" and opened[1]:  # a link that began in a paragraph ends with it
+            state["in_a"] = False
         if tag not in TRACKED:
             continue
         if not closing:
@@ -112,7 +117,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             while stack.pop()[0] != tag:
                 pass
         state["bad"], state["article"] = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        state["in_a"] = False
+        if len(stack) < opened[0] or opened[1]:  # the container of the link is over
+            state["in_a"] = False
     add(page[last:])
     close()
     return out

@@ -24,6 +24,13 @@ def test_page_without_article():
     assert html.main_text(page).startswith(f"{PARA}\nShort.\n{PARA}")
 
 
+def test_self_closing_drawings_and_link_cards():
+    assert html.main_text(f"<article><p>{PARA}<svg class=i/> second part</p><p><svg><path d='x'/><text>no</text></svg>Third.</p></article>") == f"{PARA} second part\nThird."
+    card = f'<a href="/x"><div><h3>Other news of the day</h3><p>{PARA}</p></div></a>'
+    assert html.main_text(f"<body><div><p>{PARA}</p></div><div>{card}{card}</div><div><p>{PARA}</p></div></body>") == f"{PARA}\n{PARA}"
+    assert html.main_text(f"<body><div><p><a href=x>open</p><p>{PARA}</p></div></body>").endswith(PARA)  # a link that was never closed
+
+
 def test_page_edges(spark):
     assert html.main_text(None) == html.main_text("") == html.main_text("<!-- open") == ""
     assert html.main_text("<article><p>Er.</p></article>") == "Er."
@@ -59,7 +66,8 @@ def test_encode_is_the_library_s(spark, small):
     enc = reference()
     texts = [*TEXTS, *[r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, ids int")
-    rows = {r.doc_id: r for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()}
+    rows = {r.doc_id: r for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN, at_spaces=True).collect()}
+    assert rows == {r.doc_id: r for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect()}
     for i, t in enumerate(texts):
         want = enc.encode_ordinary(t or "")
         assert rows[i].ids == want and rows[i].n_tokens == len(want)
@@ -77,5 +85,23 @@ def test_random_words_meet_the_library():
     rng = random.Random(3)
     words = {"".join(rng.choice("abthe ingéß") for _ in range(rng.randint(2, 130))).replace(" ", "") for _ in range(200)} - {""}
     b.learn(words)
-    assert all(b.words[w][1] == " ".join(map(str, enc.encode_ordinary(w))) for w in words)
+    assert all(b.words[w][0] == " ".join(map(str, enc.encode_ordinary(w))) for w in words)
     assert base64.b64encode(b.decode([np.array(enc.encode_ordinary("x y"), np.int32).tobytes()])[0]) == base64.b64encode(b"x y")
+
+
+def test_long_words_meet_the_library():
+    """Words that are cut where no token crosses, and words of merges with a lower rank than their parts'."""
+    import random
+
+    enc, b = reference(), bpe.Bpe(ranks := bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    low = [k for k, v in ranks.items() if k.isalpha() and len(k) > 2 and any(v < max(ranks.get(k[:i], -1), ranks.get(k[i:], -1)) for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks)]
+    assert len(low) > 1000
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "a" * 20_001, "ab" * 5000, "thing" * 2000, "\u6f22\u5b57\u304b\u306a" * 3000}
+    for _ in range(60):
+        few = rng.sample(low, 3)
+        words.add(b"".join(rng.choice(few) for _ in range(rng.randint(30, 120))).decode())
+    words = {x for w in words for x in b.pattern.findall(w)}
+    b.learn(words)
+    for w in words:
+        assert b.words[w][0] == " ".join(map(str, enc.encode_ordinary(w))) and b.words[w][1] == w.encode()
