@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.window import Window
 
 from pulsegrid.shared import ship
 
@@ -90,14 +91,16 @@ def warm_state(sos: np.ndarray, first: np.ndarray) -> np.ndarray:
 # --- by session, in order of time
 
 
-def _by(df: DataFrame, keys: list[str], order: str, fn, x: str = "x") -> DataFrame:
-    """fn: (samples, channels) array -> array of the same length, for each key."""
+def _by(df: DataFrame, keys: list[str], order: str, fn, x: str = "x", trial: str | None = None) -> DataFrame:
+    """fn: (samples, channels) array -> array of the same length, for each key. With trial, fn also gets the first rows of the
+    key's trials, which stand in their order."""
     ship(df.sparkSession)
     cols = df.columns
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        f[x] = list(fn(np.array(f[x].tolist(), float)))
+        f = f.sort_values([trial, order] if trial else order, kind="stable")
+        a = np.array(f[x].tolist(), float)
+        f[x] = list(fn(a, np.flatnonzero(np.diff(f[trial].to_numpy(), prepend=f[trial].iloc[0] - 1))) if trial else fn(a))
         return f[cols]
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)
@@ -124,43 +127,53 @@ def iir_filterbank(df: DataFrame, keys: list[str], fs: float, bands: list[tuple[
     return _by(df, keys, "samp", lambda x: np.concatenate([run_sections(s, x)[0] for s in banks], axis=1))
 
 
-def standardize_power(df: DataFrame, keys: list[str], alpha: float = 0.05, reg: float = 0.1) -> DataFrame:
-    """Each channel over the root of its running power, mixed with the median channel's; a power of 0 counts as 1."""
+def standardize_power(df: DataFrame, groups: list[str], trial: str = "trial", alpha: float = 1e-3, reg: float = 0.1) -> DataFrame:
+    """Each channel over the root of half the sum of its running power and reg times the median channel's; a power of 0 becomes
+    1. The powers flow on from trial to trial of a group."""
 
-    def fn(x):
-        p, out = np.zeros(x.shape[1]), np.empty_like(x)
+    def fn(x, starts):
+        p, out = x[0] * x[0], np.empty_like(x)
         for t, v in enumerate(x):
-            p = (1 - alpha) * p + alpha * v * v if t else v * v
-            q = (p + reg * np.median(p)) / 2
-            out[t] = v / np.sqrt(np.where(q == 0, 1.0, q))
+            p = (1 - alpha) * p + alpha * v * v
+            p[p == 0] = 1.0
+            out[t] = v / np.sqrt((p + reg * np.median(p)) / 2)
         return out
 
-    return _by(df, keys, "samp", fn)
+    return _by(df, groups, "samp", fn, trial=trial)
 
 
-def decorrelate_ar(df: DataFrame, keys: list[str], taps: int = 4, eta: float = 1e-3, reg: float = 1.0) -> DataFrame:
-    """Each channel less reg times its linear prediction from the last taps; weights are learned on the way, the step over the
-    input's power."""
+def decorrelate_ar(df: DataFrame, groups: list[str], trial: str = "trial", taps: int = 50, eta: float = 1e-7, reg: float = 0.5) -> DataFrame:
+    """Each channel less reg times its linear prediction from the last taps; the first taps samples of a trial stay. Weights start
+    from the last sample alone, learn by steps of eta over the smoothed power of the input (1 at the start of a trial) and flow
+    on from trial to trial of a group."""
 
-    def fn(x):
+    def fn(x, starts):
         w, out = np.zeros((taps, x.shape[1])), x.copy()
-        for t in range(taps, len(x)):
-            past = x[t - taps : t]
-            err = x[t] - (w * past).sum(0)
-            out[t] = x[t] - reg * (w * past).sum(0)
-            w += eta * err * past / (1e-6 + (past * past).sum(0))
+        w[-1] = 1.0
+        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+            h = np.ones(x.shape[1])
+            for t in range(a + taps, b):
+                past = x[t - taps : t]
+                guess = (w * past).sum(0)
+                out[t] = x[t] - reg * guess
+                h = h * (1 - eta) + eta * x[t] * x[t]
+                w = w + eta * (x[t] - guess) * past / h
         return out
 
-    return _by(df, keys, "samp", fn)
+    return _by(df, groups, "samp", fn, trial=trial)
 
 
-def channel_power(df: DataFrame, keys: list[str], halflife: float) -> DataFrame:
-    """x becomes the decayed power of each channel around its decayed mean."""
+def channel_power(df: DataFrame, keys: list[str], halflife: float, car: bool = True) -> DataFrame:
+    """x becomes the decayed power of each channel around its decayed mean. car: with more than four channels each sample is
+    first referenced to the mean of the active ones (power over a thousandth of the largest; at the first sample all)."""
     alpha = float(np.exp(np.log(0.5) / halflife))
 
     def fn(x):
         n, s, q, out = 0.0, np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.empty_like(x)
         for t, v in enumerate(x):
+            if car and len(v) > 4:
+                active = q > 1e-3 * q.max() if q.any() else np.ones(len(v), bool)
+                v = v - v[active].mean()
             n, s = alpha * n + 1, alpha * s + v
             q = alpha * q + (v - s / n) ** 2
             out[t] = q / n
@@ -232,10 +245,34 @@ def spectral_whiten(df: DataFrame, groups: list[str], trial: str = "trial", reg:
     return sized.groupBy(*groups, trial).applyInPandas(whiten, df.schema)
 
 
-def envelope(df: DataFrame, keys: list[str], fs: float, band: tuple[float, float], low: float) -> DataFrame:
-    """Band-pass, absolute value, log of at least 1e-6, low-pass."""
-    b, s = butter_sections(4, band, fs, "bandpass"), butter_sections(4, (low,), fs, "lowpass")
-    return _by(df, keys, "samp", lambda x: run_sections(s, np.log(np.maximum(np.abs(run_sections(b, x)[0]), 1e-6)))[0])
+def envelope(df: DataFrame, keys: list[str], fs: float, stop: list | None = None, whiten: list[str] | None = None, bands: list[tuple[float, float]] | None = None, log: bool = True, env_stop=(10, -1)) -> DataFrame:
+    """Filter (stop), whiten by the covariance of the groups in `whiten`, split into bands (each band of each channel becomes a
+    channel), absolute value, log of at least 1e-6, and filter again (env_stop, a low-pass)."""
+    if stop is not None:
+        df = iir_filter(df, keys, fs, [stop])
+    if whiten:
+        df = spatial_whiten(df, whiten)
+    if bands:
+        df = iir_filterbank(df, keys, fs, bands)
+    from pyspark.sql import functions as F
+
+    flat = lambda v: F.log(F.greatest(F.abs(v), F.lit(1e-6))) if log else F.abs(v)
+    df = df.withColumn("x", F.transform("x", flat))
+    return iir_filter(df, keys, fs, [env_stop]) if env_stop is not None else df
+
+
+def filter_downsample(df: DataFrame, keys: list[str], fs: float, bands: list, fs_out: float, order: int = 4) -> DataFrame:
+    """The filters of iir_filter, then every r-th sample, r = fs / fs_out to the nearest half; half places lie between their
+    neighbours."""
+    from pyspark.sql import functions as F
+
+    y = iir_filter(df, keys, fs, bands, order)
+    twice = max(2, round(2 * fs / fs_out))
+    w = Window.partitionBy(*keys).orderBy("samp")
+    s = y.withColumn("_n", F.lead("x").over(w)).withColumn("_at", F.explode(F.array(2 * F.col("samp"), 2 * F.col("samp") + 1))).where(F.col("_at") % twice == 0)
+    half = F.col("_at") % 2 == 1
+    s = s.where(~half | F.col("_n").isNotNull()).withColumn("x", F.when(half, F.zip_with("x", "_n", lambda a, b: (a + b) / 2)).otherwise(F.col("x")))
+    return s.withColumn("samp", (F.col("_at") / twice).cast("bigint")).select(*df.columns)
 
 
 def average_spectrum(df: DataFrame, groups: list[str], trial: str, fs: float, segment: int, log: bool = False) -> DataFrame:

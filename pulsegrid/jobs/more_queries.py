@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import filters
 from pulsegrid.jobs import evaluate
-from pulsegrid.jobs.queries import FES, KEYS, STIM, coded_stim, events_re_fe, query, r6
+from pulsegrid.jobs.queries import BLOCKS, FES, KEYS, LINE, STIM, coded_stim, events_re_fe, fit_sql, query, r6
 from pulsegrid.operators import clock, models, scores, segments, stats
 from pulsegrid.shared import cut, table
 from pulsegrid.sources import logs, views
@@ -133,12 +133,12 @@ def q_iir_filterbank(spark, sf):
 
 @query()
 def q_standardize_power(spark, sf):
-    return filters.standardize_power(long_recording(spark, sf), KEYS)
+    return filters.standardize_power(long_recording(spark, sf), ["session"])
 
 
 @query()
 def q_decorrelate_ar(spark, sf):
-    return filters.decorrelate_ar(long_recording(spark, sf), KEYS)
+    return filters.decorrelate_ar(long_recording(spark, sf), ["session"], taps=10, eta=1e-5)
 
 
 @query()
@@ -158,7 +158,7 @@ def q_spectral_whiten(spark, sf):
 
 @query()
 def q_envelope(spark, sf):
-    return filters.envelope(long_recording(spark, sf), KEYS, 100.0, (4, 12), 5.0)
+    return filters.envelope(long_recording(spark, sf), KEYS, 100.0, (0, 1), ["session"], [(4, 12), (12, 20)])
 
 
 @query()
@@ -176,11 +176,11 @@ def q_erp_components(spark, sf):
 
 @query()
 def q_event_locked_matrix(spark, sf):
-    s = views.long_signal(spark, sf).where("ch = 1").select(*KEYS, "samp", "v")
+    s = views.long_signal(spark, sf).select(*KEYS, "samp", "ch", "v").groupBy(*KEYS, "samp").agg(F.avg("v").alias("v"))
     return stats.event_locked_matrix(s, events_re_fe(spark, sf), KEYS, 6)[1]
 
 
-@query(STIM + """, e AS (SELECT session, trial, samp AS t, unnest(range(6)) AS lag FROM ev WHERE obj = 0 AND v <> 0), m AS (SELECT lag, s.v FROM e JOIN long_signal s ON s.session = e.session AND s.trial = e.trial AND s.samp = t + lag AND ch = 1), c AS (SELECT lag, median(v) AS m FROM m GROUP BY lag)
+@query(STIM + """, e AS (SELECT session, trial, samp AS t, unnest(range(6)) AS lag FROM ev WHERE obj = 0 AND v <> 0), a AS (SELECT session, trial, samp, avg(v) AS v FROM long_signal GROUP BY ALL), m AS (SELECT lag, s.v FROM e JOIN a s ON s.session = e.session AND s.trial = e.trial AND s.samp = t + lag), c AS (SELECT lag, median(v) AS m FROM m GROUP BY lag)
 SELECT lag, ROUND(any_value(m), 6) AS median, ROUND(median(abs(v - m)), 6) AS mad FROM m JOIN c USING (lag) GROUP BY lag""")
 def q_event_locked_spread(spark, sf):
     return r6(q_event_locked_matrix(spark, sf), "median", "mad")
@@ -250,7 +250,7 @@ def q_fit_classifier(spark, sf):
     """Held-out rows of window features with the label and the model's answer."""
     from pyspark.ml.functions import array_to_vector
 
-    w = segments.sliding_windows(views.long_signal(spark, sf).where("ch = 0"), KEYS, 4, 1)
+    w = stats.window_arrays(views.signal(spark, sf), KEYS, 4).withColumnRenamed("x", "win")
     y = coded_stim(spark, sf).where("obj = 0").select(*KEYS, "samp", F.col("level").cast("double").alias("y"))
     d = cut(w.join(y, [*KEYS, "samp"]), "windows")
     m = models.fit_classifier(d.where("trial % 2 = 0"), "y", "logistic")
@@ -337,9 +337,11 @@ def q_stream_align(spark, sf):
     return streams.run_to_table(streams.stream_align(a, b, 20_000_000, late="365 days"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id % 8 AS session, date_trunc('second', ts) AS t, epoch(ts)::BIGINT // 21600 AS b FROM events), w AS (SELECT session, b - k AS b FROM e, (SELECT unnest([0, 1]) AS k))
+SELECT session, strftime(make_timestamp(b * 21600 * 1000000), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM w GROUP BY ALL""")
 def q_stream_windows(spark, sf):
-    return streams.run_to_table(streams.stream_windows(event_stream(spark, sf), ["session"], "12 hours", "6 hours", "1 day"))
+    w = streams.run_to_table(streams.stream_windows(event_stream(spark, sf), ["session"], "12 hours", "6 hours", "1 day"), "complete")
+    return w.select("session", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query()
@@ -354,19 +356,132 @@ def q_stream_quality(spark, sf):
     return streams.run_to_table(streams.stream_quality(e))
 
 
-@query()
+RUNNING = S.replace("FROM events)", "FROM events), raw AS (SELECT event_id, value FROM events)") + """, e AS (SELECT session, event_id // 500 AS trial, event_id AS samp, obj, value / 100 - 0.5 AS v FROM stim_events JOIN raw USING (event_id)),
+t AS (SELECT *, {sums} FROM e WINDOW w AS (PARTITION BY session, trial ORDER BY samp ROWS UNBOUNDED PRECEDING)), l AS (SELECT session, trial, samp, [x FOR x IN [{pairs}] IF x.s IS NOT NULL] AS a FROM t),
+o AS (SELECT session, trial, samp, list_sort([{{'s': -round(x.s, 9), 'o': x.o, 'v': x.s}} FOR x IN a]) AS a FROM l)
+SELECT session, trial, samp, a[1].o AS yest, ROUND(a[1].v - CASE WHEN len(a) > 1 THEN a[2].v ELSE 0 END, 6) + 0.0 AS margin FROM o""".format(sums=", ".join(f"sum(v) FILTER (obj = {k}) OVER w AS s{k}" for k in range(5)), pairs=", ".join(f"{{'s': s{k}, 'o': {k}}}" for k in range(5)))
+
+
+@query(RUNNING)
 def q_stream_predict(spark, sf):
     e = event_stream(spark, sf).select("session", (F.floor(F.col("event_id") / 500)).cast("long").alias("trial"), F.col("event_id").alias("samp"), "obj", (F.col("value") / 100 - 0.5).alias("v"))
-    return streams.run_to_table(streams.stream_predict(e))
+    return r6(streams.run_to_table(streams.stream_predict(e)), "margin")
 
 
-@query()
+@query("""WITH e AS (SELECT 'e' || CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE -1 END AS evt, event_id % 4 AS lag, event_id, value AS v FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY evt, lag ORDER BY event_id DESC) AS r FROM e) SELECT evt, lag, ROUND(avg(v), 6) + 0.0 AS v, count(*) AS n FROM r WHERE r <= 600 GROUP BY evt, lag""")
 def q_stream_erp(spark, sf):
     e = event_stream(spark, sf).select(F.concat(F.lit("e"), "obj").alias("evt"), (F.col("event_id") % 4).alias("lag"), F.col("event_id").alias("epoch"), F.col("value").alias("v"))
-    return streams.run_to_table(streams.stream_erp(e), "update")
+    return r6(streams.run_to_table(streams.stream_erp(e), "update", ["evt", "lag"]), "v")
 
 
-@query()
+@query(with_views("clients") + """, s AS (SELECT client, cts, seq, sts - cts AS d FROM clients WHERE obj <= 2),
+w AS (SELECT c.client, c.cts, c.seq, min(d) FILTER (s.cts > c.cts - 600000000) AS best, arg_max(d, (s.cts, s.seq)) AS newest FROM clients c LEFT JOIN s ON s.client = c.client AND (s.cts, s.seq) <= (c.cts, c.seq) GROUP BY ALL)
+SELECT client, seq, cts + coalesce(best, newest, 0) AS aligned FROM w""")
 def q_clock_align_stream(spark, sf):
     e = event_stream(spark, sf).select((F.col("user_id") % 16).alias("client"), F.col("event_id").alias("seq"), F.col("ts").alias("sts"), (F.col("ts") + (F.col("event_id") * 7919) % 97).alias("cts"), (F.col("obj") <= 2).alias("sync"))
     return streams.run_to_table(streams.clock_align_stream(e, 600_000_000))
+
+
+@query(LINE + """, g AS (SELECT l.session, l.samp, o.obj FROM line l, (SELECT unnest([0, 1]) AS obj) o), f AS (SELECT session, obj, min(samp) AS first FROM (SELECT * FROM changed) GROUP BY ALL),
+h AS (SELECT g.session, g.samp, g.obj, coalesce(last_value(c.state IGNORE NULLS) OVER (PARTITION BY g.session, g.obj ORDER BY g.samp ROWS UNBOUNDED PRECEDING), 0) AS level FROM g JOIN f ON f.session = g.session AND f.obj = g.obj AND g.samp >= f.first LEFT JOIN changed c ON c.session = g.session AND c.samp = g.samp AND c.obj = g.obj)
+SELECT session, samp, obj, CAST(level > 0 AND coalesce(lag(level) OVER (PARTITION BY session, obj ORDER BY samp) = 0, false) AS INT) AS v FROM h""".replace(", g AS", ", changed AS (SELECT session, event_id AS samp, obj, state FROM stim_events WHERE obj < 2), g AS").replace("FROM line l,", "FROM (SELECT session, event_id AS samp FROM stim_events) l,"))
+def q_stream_hold_and_code(spark, sf):
+    """Events of objects 0 and 1 change levels, all others are samples without a change."""
+    e = event_stream(spark, sf)
+    change = F.col("obj") < 2
+    e = e.select("session", F.col("event_id").alias("samp"), F.when(change, F.col("obj")).alias("obj"), F.when(change, F.col("state")).alias("level"), F.lit(False).alias("reset"))
+    return streams.run_to_table(streams.stream_hold_and_code(e))
+
+
+# --- more operators
+
+
+@query(with_views("signal") + " SELECT session, trial, samp, CAST(x[1] > 0 AND x[2] <= 0 AS INT) AS a, CAST(x[1] > 0 AND x[2] > 0 AS INT) AS b FROM signal")
+def q_stim_at_rate_indicator(spark, sf):
+    s = views.signal(spark, sf)
+    t = s.where(F.element_at("x", 1) > 0).select(*KEYS, "samp", F.when(F.element_at("x", 2) > 0, "b").otherwise("a").alias("value"))
+    return segments.stim_at_rate_indicator(s, t, KEYS, ["a", "b"])
+
+
+@query(STIM + """, n AS (SELECT session, trial, max(samp) AS last FROM signal GROUP BY ALL), t AS (SELECT session, trial, unnest(range(last - 1)) AS t FROM n WHERE last >= 2)
+SELECT a.session, a.samp - t.t AS lag1, a.ch AS d1, b.samp - t.t AS lag2, b.obj AS d2, ROUND(sum(a.v * b.level), 6) + 0.0 AS v FROM t JOIN long_signal a ON a.session = t.session AND a.trial = t.trial AND a.samp BETWEEN t.t AND t.t + 1 JOIN stim b ON b.session = t.session AND b.trial = t.trial AND b.samp BETWEEN t.t AND t.t + 2 GROUP BY ALL""")
+def q_crossautocov(spark, sf):
+    y = coded_stim(spark, sf).groupBy(*KEYS, "samp").agg(F.transform(F.array_sort(F.collect_list(F.struct("obj", "level"))), lambda s: s["level"].cast("double")).alias("x"))
+    return r6(stats.crossautocov(views.signal(spark, sf), y, KEYS, ["session"], 2, 3), "v")
+
+
+@query(STIM + """, e AS (SELECT session, trial, samp AS epoch, obj, unnest(range(4)) AS lag FROM ev WHERE evt = 're' AND v <> 0), x AS (SELECT e.*, ch, s.v FROM e JOIN long_signal s ON s.session = e.session AND s.trial = e.trial AND s.samp = epoch + lag),
+c AS (SELECT session, trial, epoch, obj, lag, k, sum(v * ((ch + k) % 5 - 2) / 10.0) AS c FROM x, (SELECT unnest([0, 1]) AS k) GROUP BY ALL), r(k, evt, lag, r) AS (VALUES (0, 're', 0, 0.5), (0, 're', 2, -0.25), (1, 're', 1, 1.0), (1, 'fe', 3, 0.125))
+SELECT session, trial, epoch, obj, evt, ROUND(sum(c * r) + CASE evt WHEN 're' THEN 0.75 ELSE 0 END, 6) + 0.0 AS v FROM c JOIN r USING (k, lag) GROUP BY session, trial, epoch, obj, evt""")
+def q_score_epochs(spark, sf):
+    e = events_re_fe(spark, sf).where("evt = 're' and v <> 0").select(*KEYS, "samp", "obj")
+    x = segments.epoch_slices(views.long_signal(spark, sf), e, KEYS, 4, ["ch", "v"]).withColumnRenamed("samp", "epoch")
+    ch = views.long_signal(spark, sf).select("ch").distinct()
+    w = ch.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("k", "ch", (((F.col("ch") + F.col("k")) % 5 - 2) / 10).alias("w"))
+    r = spark.createDataFrame([(0, "re", 0, 0.5), (0, "re", 2, -0.25), (1, "re", 1, 1.0), (1, "fe", 3, 0.125)], "k int, evt string, lag int, r double")
+    b = spark.createDataFrame([("re", 0.75)], "evt string, b double")
+    return r6(scores.score_epochs(x, r, [*KEYS, "epoch", "obj"], spatial=w, bias=b), "v")
+
+
+@query("WITH RECURSIVE " + BLOCKS.removeprefix("WITH ") + """, m(trial, blk, s2) AS (SELECT trial, blk, q FROM b WHERE blk = 0 UNION ALL SELECT b.trial, b.blk, (m.s2 + b.q) / 2 FROM m JOIN b ON b.trial = m.trial AND b.blk = m.blk + 1),
+s AS (SELECT trial, blk, obj, sum(sum(v)) OVER (PARTITION BY trial, obj ORDER BY blk ROWS UNBOUNDED PRECEDING) AS s FROM d GROUP BY trial, blk, obj),
+z AS (SELECT trial, blk, obj, s / CASE WHEN s2 > 0 THEN sqrt((blk + 1) * 10 * s2) ELSE 1 END AS z FROM s JOIN m USING (trial, blk)), used AS (SELECT trial, obj, max(CAST(z <> 0 AS INT)) AS ok FROM z GROUP BY ALL),
+x AS (SELECT z.*, exp(3 * z - max(3 * z) OVER (PARTITION BY trial, blk)) * ok AS e FROM z JOIN used USING (trial, obj)), p AS (SELECT trial, blk, obj, e / greatest(sum(e) OVER (PARTITION BY trial, blk), 1e-6) AS p FROM x)
+SELECT trial, blk, arg_max(obj, (round(p, 9), -obj)) AS yest, ROUND(1 - max(round(p, 9)), 6) + 0.0 AS perr FROM p GROUP BY trial, blk""")
+def q_decode_streamed(spark, sf):
+    return r6(scores.decode_streamed(views.fy(spark, sf), ["trial"], 10), "perr")
+
+
+@query(with_views("clients") + fit_sql(4) + " SELECT client, ROUND(slope, 6) AS slope, ROUND(intercept, 2) AS intercept, n FROM f3")
+def q_clock_from_channel(spark, sf):
+    p = views.clients(spark, sf).select("client", "sts", F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.col("obj").cast("double"), F.col("cts").cast("double"))).alias("samples"))
+    f = clock.clock_from_channel(p, ["client"], 1, "sts")
+    return f.select("client", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"), "n")
+
+
+@query("SELECT samp, s_suppkey AS obj, ROUND(sin(2 * pi() * (samp * (s_suppkey % 20 + 1) / 100.0 + s_acctbal / 10000)), 6) + 0.0 AS v FROM supplier, (SELECT unnest(range(50)) AS samp)")
+def q_reference_signals(spark, sf):
+    f = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("obj"), (F.col("s_suppkey") % 20 + 1).cast("double").alias("freq"), (F.col("s_acctbal") / 10000).alias("phase"))
+    return r6(segments.reference_signals(50, 100.0, f), "v")
+
+
+@query(with_views("samples") + " SELECT session, samp, ROUND(list_sum(x), 6) AS total FROM samples UNION ALL SELECT session + 100, samp, ROUND(list_sum(x), 6) FROM samples")
+def q_merge_prior_sessions(spark, sf):
+    now = views.samples(spark, sf)
+    m = segments.merge_prior_sessions(now, now.withColumn("session", F.col("session") + 100))
+    m = segments.merge_prior_sessions(m, now.withColumn("x", F.slice("x", 1, 2)))  # other channels: left out
+    return m.select("session", "samp", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@query(FES + """, w AS (SELECT session, trial, samp, k, sum(v * ((ch + k) % 5 - 2) / 10.0) AS x FROM long_signal, (SELECT unnest([0, 1]) AS k) GROUP BY ALL), r(k, evt, lag, r) AS (VALUES (0, 're', 0, 0.5), (0, 're', 1, 0.25), (1, 'fe', 0, 1.0)),
+y AS (SELECT session, trial, samp + lag AS samp, obj, k, sum(v * r) AS v FROM ev JOIN r USING (evt) WHERE v <> 0 GROUP BY session, trial, samp + lag, obj, k)
+SELECT session, trial, samp, obj, ROUND(sum(v * x), 6) + 0.0 AS v FROM y JOIN w USING (session, trial, samp, k) GROUP BY ALL""")
+def q_conv_xyr(spark, sf):
+    s = views.long_signal(spark, sf)
+    f = s.select("ch").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("k", "ch", (((F.col("ch") + F.col("k")) % 5 - 2) / 10).alias("w"))
+    r = spark.createDataFrame([(0, "re", 0, 0.5), (0, "re", 1, 0.25), (1, "fe", 0, 1.0)], "k int, evt string, lag int, r double")
+    return r6(scores.conv_xyr(scores.spatial_filter(s, f, KEYS), scores.conv_yr(events_re_fe(spark, sf), r, KEYS), KEYS), "v")
+
+
+MARKS = S + " SELECT ts AS sts, kind AS msg_type, '/10.0.0.' || session || ':4000' AS client FROM (SELECT session, ts, CASE WHEN event_id % 2 = 0 THEN 'NEWTARGET' ELSE 'SELECTION' END AS kind FROM stim_events WHERE event_id % 7 = 0)"
+
+
+@query(MARKS + " WHERE kind = 'NEWTARGET'")
+def q_stream_messages(spark, sf):
+    """The recorded lines as text files, replayed as a stream and filtered by type."""
+    import uuid
+
+    from pulsegrid.shared import shared_dir
+
+    at = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    log_lines(spark, sf).select("value").write.text(at)
+    m = streams.message_filter(streams.stream_messages(spark, at, files_per_trigger=100), ["NEWTARGET"])
+    return streams.run_to_table(m.select("sts", "msg_type", "client"))
+
+
+@query()
+def q_holdout_eval(spark, sf):
+    s, e = views.long_signal(spark, sf), events_re_fe(spark, sf)
+    out = s.where("trial % 3 = 2").select(*KEYS).distinct()
+    return models.holdout_eval(s, e, ["session"], 4, out, folds=2, reg=1e-3)

@@ -293,19 +293,19 @@ def q_epochs_from_gaps(spark, sf):
     return segments.epochs_from_gaps(e, ["session"], 6)
 
 
-SEGS = with_views("stim_events") + """, segs AS (SELECT session, event_id AS seg, ts - 3000000 AS bgn, ts + 5000000 AS stop FROM stim_events WHERE event_id % 20 = 0),
+SEGS = with_views("stim_events") + """, segs AS (SELECT session, event_id AS seg, ts - 3000000 AS bgn, ts + 5000000 AS stop FROM stim_events WHERE obj = 4),
 s AS (SELECT session, ts, event_id, lead(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS nxt FROM stim_events)"""
 
 
 @query(SEGS + " SELECT g.session, s.ts, s.event_id, g.seg FROM segs g JOIN s ON s.session = g.session AND s.ts < g.stop AND coalesce(s.nxt, 9e18) >= g.bgn")
 def q_slice_segments(spark, sf):
     e = views.stim_events(spark, sf)
-    g = e.where("event_id % 20 = 0").select("session", F.col("event_id").alias("seg"), (F.col("ts") - 3_000_000).alias("bgn"), (F.col("ts") + 5_000_000).alias("end"))
+    g = e.where("obj = 4").select("session", F.col("event_id").alias("seg"), (F.col("ts") - 3_000_000).alias("bgn"), (F.col("ts") + 5_000_000).alias("end"))
     return segments.slice_segments(e.select("session", "ts", "event_id"), g, ["session"], width=10_000_000).select("session", "ts", "event_id", "seg")
 
 
 @query(with_views("samples") + """, st AS (SELECT session, samp - 5 AS start, samp // 100 AS trial FROM samples WHERE samp % 100 = 0), g AS (SELECT session, trial, unnest(range(0, 24)) AS k, start FROM st)
-SELECT g.session, trial, k AS samp, coalesce(x[1], 0) AS v FROM g LEFT JOIN samples s ON s.session = g.session AND s.samp = start - 2 + k""")
+SELECT g.session, g.trial, g.k AS samp, coalesce(x[1], 0) AS v FROM (SELECT *, start - 2 + k AS at FROM g) g LEFT JOIN samples s ON s.session = g.session AND s.samp = g.at""")
 def q_slice_trials(spark, sf):
     s = views.samples(spark, sf)
     st = s.where("samp % 100 = 0").select("session", (F.col("samp") - 5).alias("start"), F.floor(F.col("samp") / 100).alias("trial"))
@@ -323,16 +323,16 @@ def q_fit_trial_length(spark, sf):
     return segments.fit_trial_length(ragged(spark, sf), ["session"])
 
 
-@query(with_views("signal", "long_signal") + " SELECT session, trial, samp, win[1] AS first, ROUND(list_sum(win), 6) AS total FROM (SELECT session, trial, samp, list(v) OVER (PARTITION BY session, trial ORDER BY samp ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS win FROM long_signal WHERE ch = 0) WHERE len(win) = 5 AND samp % 3 = 0")
+@query(with_views("signal", "long_signal") + " SELECT session, trial, ch, samp, win[1] AS first, ROUND(list_sum(win), 6) AS total FROM (SELECT session, trial, ch, samp, list(v) OVER (PARTITION BY session, trial, ch ORDER BY samp ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS win FROM long_signal) WHERE len(win) = 5 AND samp % 3 = 0")
 def q_sliding_windows(spark, sf):
-    s = segments.sliding_windows(views.long_signal(spark, sf).where("ch = 0"), KEYS, 5, 3)
-    return s.select(*KEYS, "samp", F.element_at("win", 1).alias("first"), F.round(F.aggregate("win", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+    s = segments.sliding_windows(views.long_signal(spark, sf), [*KEYS, "ch"], 5, 3)
+    return s.select(*KEYS, "ch", "samp", F.element_at("win", 1).alias("first"), F.round(F.aggregate("win", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
-@query(STIM + " SELECT e.session, e.trial, e.samp, e.obj, lag, s.v FROM (SELECT *, unnest(range(4)) AS lag FROM ev WHERE evt = 're' AND v <> 0) e JOIN long_signal s ON s.session = e.session AND s.trial = e.trial AND s.samp = e.samp + lag AND ch = 1")
+@query(STIM + " SELECT e.session, e.trial, e.samp, e.obj, lag, s.ch, s.v FROM (SELECT *, unnest(range(4)) AS lag FROM ev WHERE evt = 're' AND v <> 0) e JOIN long_signal s ON s.session = e.session AND s.trial = e.trial AND s.samp = e.samp + lag")
 def q_epoch_slices(spark, sf):
     e = events_re_fe(spark, sf).where("evt = 're' and v <> 0").select(*KEYS, "samp", "obj")
-    return segments.epoch_slices(views.long_signal(spark, sf).where("ch = 1"), e, KEYS, 4, ["v"]).select(*KEYS, "samp", "obj", "lag", "v")
+    return segments.epoch_slices(views.long_signal(spark, sf), e, KEYS, 4, ["ch", "v"]).select(*KEYS, "samp", "obj", "lag", "ch", "v")
 
 
 @query(with_views("fy") + """, r AS (SELECT trial % 7 AS session, trial, samp, v, count(*) OVER (PARTITION BY trial) AS n FROM fy WHERE obj = 0), s AS (SELECT *, floor(n / greatest(floor(n / 10.0 / 1.5), 1))::INT AS size FROM r)
@@ -341,19 +341,19 @@ def q_subtrials(spark, sf):
     return segments.subtrials(ragged(spark, sf), ["session"], 10.0, 1.5)
 
 
-@query(with_views("stim_events") + """, r AS (SELECT session, min(ts) AS a, max(ts) AS b FROM stim_events WHERE obj = 0 AND state = 1 AND event_id % 50 = 0 GROUP BY session) SELECT session, event_id, ts FROM stim_events JOIN r USING (session) WHERE ts >= a - 1000 AND ts <= b + 1000""")
+@query(with_views("stim_events") + """, r AS (SELECT session, min(ts) AS a, max(ts) AS b FROM stim_events WHERE obj = 0 AND state = 1 GROUP BY session) SELECT session, event_id, ts FROM stim_events JOIN r USING (session) WHERE ts >= a - 1000 AND ts <= b + 1000""")
 def q_trim_to_range(spark, sf):
     e = views.stim_events(spark, sf)
-    return segments.trim_to_range(e.select("session", "event_id", "ts"), e.where("obj = 0 and state = 1 and event_id % 50 = 0"), ["session"])
+    return segments.trim_to_range(e.select("session", "event_id", "ts"), e.where("obj = 0 and state = 1"), ["session"])
 
 
-@query(with_views("signal") + """, code AS (SELECT l_orderkey AS event_idx, l_linenumber - 1 AS obj, CAST(max(l_quantity) > 25 AS INT) AS level FROM lineitem WHERE l_orderkey < 60 GROUP BY ALL), n AS (SELECT max(event_idx) + 1 AS n FROM code),
+@query(with_views("signal") + """, code AS (SELECT l_orderkey AS event_idx, l_linenumber - 1 AS obj, CAST(max(l_quantity) > 25 AS INT) AS level FROM lineitem GROUP BY ALL), n AS (SELECT max(event_idx) + 1 AS n FROM code),
 j AS (SELECT s.session, s.trial, s.samp, c.obj, c.level, s.session % 7 AS target FROM signal s, n JOIN code c ON c.event_idx = s.samp % n.n)
 SELECT session, trial, samp, obj + 1 AS obj, level FROM j UNION ALL SELECT session, trial, samp, 0, level FROM j WHERE obj = target""")
 def q_join_codebook(spark, sf):
     from pulsegrid.shared import table
 
-    code = table(spark, sf, "lineitem").where("l_orderkey < 60").groupBy(F.col("l_orderkey").alias("event_idx"), (F.col("l_linenumber") - 1).alias("obj")).agg((F.max("l_quantity") > 25).cast("int").alias("level"))
+    code = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("event_idx"), (F.col("l_linenumber") - 1).alias("obj")).agg((F.max("l_quantity") > 25).cast("int").alias("level"))
     s = views.signal(spark, sf).select(*KEYS, "samp", (F.col("session") % 7).alias("target"))
     return segments.join_codebook(s, code, KEYS)
 
@@ -379,14 +379,16 @@ def q_stack_streams(spark, sf):
     return segments.stack_streams(s, s.select(*KEYS).distinct().withColumn("attended", F.col("session") % 3), KEYS)
 
 
-@query()
+@query(STIM + """, n AS (SELECT session, trial, max(samp) // 5 + 1 AS n FROM stim GROUP BY ALL), g AS (SELECT session, trial, n, unnest(range(n)) AS dest FROM n WHERE n > 1),
+h AS (SELECT *, ('0x' || substr(md5('0:' || perm || ':' || dest), 1, 12))::BIGINT AS h FROM g, (SELECT unnest(range(3)) AS perm)), b AS (SELECT *, (dest + 1 + h % (n - 1)) % n AS blk, (h >> 8) % 3 AS obj FROM h)
+SELECT session, trial, samp, obj, level FROM stim UNION ALL SELECT b.session, b.trial, dest * 5 + s.samp % 5, 1000 + perm, s.level FROM b JOIN stim s ON s.session = b.session AND s.trial = b.trial AND s.obj = b.obj AND s.samp // 5 = b.blk""")
 def q_virtual_outputs(spark, sf):
     return segments.virtual_outputs(coded_stim(spark, sf), KEYS, 3, 5)
 
 
-@query(STIM + " SELECT session, trial, samp, obj, level FROM (SELECT *, max(level) OVER (PARTITION BY session, trial, obj) AS m FROM stim WHERE samp < 4) WHERE (m <> 0 OR obj = 0) AND obj <= 1")
+@query(STIM + " SELECT session, trial, samp, obj, level FROM (SELECT *, max(level) OVER (PARTITION BY session, trial, obj) AS m FROM stim) WHERE (m <> 0 OR obj = 0) AND obj <= 1")
 def q_drop_unused_outputs(spark, sf):
-    return segments.limit_outputs(segments.drop_unused_outputs(coded_stim(spark, sf).where("samp < 4"), KEYS), 1)
+    return segments.limit_outputs(segments.drop_unused_outputs(coded_stim(spark, sf), KEYS), 1)
 
 
 # --- cleaning
@@ -469,14 +471,14 @@ def q_noise_to_signal(spark, sf):
 
 T = ["trial"]
 FY = with_views("fy") + """,
-dense AS (SELECT trial, obj, samp, coalesce(v, 0) AS v FROM (SELECT trial, obj, unnest(range(m + 1)) AS samp FROM (SELECT trial, max(samp) AS m FROM fy GROUP BY trial) JOIN (SELECT DISTINCT trial, obj FROM fy) USING (trial)) LEFT JOIN fy USING (trial, obj, samp)),
+dense AS MATERIALIZED (SELECT trial, obj, samp, coalesce(v, 0) AS v FROM (SELECT trial, obj, unnest(range(m + 1)) AS samp FROM (SELECT trial, max(samp) AS m FROM fy GROUP BY trial) JOIN (SELECT DISTINCT trial, obj FROM fy) USING (trial)) LEFT JOIN fy USING (trial, obj, samp)),
 valid AS (SELECT trial, count(s) AS ny, coalesce(max(s), 0) AS nep FROM (SELECT trial, obj, max(samp) FILTER (v <> 0) AS s FROM fy GROUP BY ALL) GROUP BY trial),
 act AS (SELECT trial, samp, (sum(a) OVER (PARTITION BY trial ORDER BY samp ROWS UNBOUNDED PRECEDING))::BIGINT AS n, a FROM (SELECT trial, samp, max(CAST(v <> 0 AS INT)) AS a FROM dense GROUP BY ALL)),
-cum AS (SELECT d.trial, d.samp, obj, v, sum(v) OVER (PARTITION BY d.trial, obj ORDER BY d.samp ROWS UNBOUNDED PRECEDING) AS s, n, a, ny FROM dense d JOIN act ON act.trial = d.trial AND act.samp = d.samp JOIN valid ON valid.trial = d.trial)"""
+cum AS MATERIALIZED (SELECT d.trial, d.samp, obj, v, sum(v) OVER (PARTITION BY d.trial, obj ORDER BY d.samp ROWS UNBOUNDED PRECEDING) AS s, n, a, ny FROM dense d JOIN act ON act.trial = d.trial AND act.samp = d.samp JOIN valid ON valid.trial = d.trial)"""
 SIGMA = FY + """,
 vs AS (SELECT trial, samp, n, ny, (CASE WHEN any_value(many) THEN sum(s * s) - 2 * sum(s) / ny * sum(s) + count(*) * (sum(s) / ny) * (sum(s) / ny) ELSE sum(s * s) END) / greatest(0.1, ny - 1) / greatest(0.1, n) AS q FROM cum, (SELECT min(ny) > 3 AS many FROM valid) GROUP BY trial, samp, n, ny),
 sig AS (SELECT trial, samp, n, sum(q) OVER (PARTITION BY trial ORDER BY samp ROWS UNBOUNDED PRECEDING) / greatest(0.1, n) AS sigma2 FROM vs)"""
-Z = SIGMA + """, zs AS (SELECT c.trial, c.samp, obj, s / CASE WHEN sigma2 * greatest(0.01, g.n) = 0 THEN 1 ELSE sqrt(sigma2 * greatest(0.01, g.n)) END AS z FROM cum c JOIN sig g ON g.trial = c.trial AND g.samp = c.samp)"""
+Z = SIGMA + """, zs AS MATERIALIZED (SELECT c.trial, c.samp, obj, s / CASE WHEN sigma2 * greatest(0.01, g.n) = 0 THEN 1 ELSE sqrt(sigma2 * greatest(0.01, g.n)) END AS z FROM cum c JOIN sig g ON g.trial = c.trial AND g.samp = c.samp)"""
 P = Z + """, f AS (SELECT *, max(CAST(z <> 0 AS INT)) OVER (PARTITION BY trial, obj) AS ok, max(z) OVER (PARTITION BY trial, samp) AS top FROM zs), e AS (SELECT *, exp(z - top) * ok AS e FROM f), ps AS (SELECT trial, samp, obj, e / greatest(sum(e) OVER (PARTITION BY trial, samp), 1e-6) AS p FROM e)"""
 
 

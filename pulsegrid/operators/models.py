@@ -19,8 +19,7 @@ MODEL = "k int, kind string, evt string, idx int, v double"
 def summary_stats(signal: DataFrame, events: DataFrame, keys: list[str], groups: list[str], tau: int) -> DataFrame:
     """groups, stat ('xx', 'xy', 'yy'), a, b, c, v: covariances of the true output (object 0) as one additive table."""
     true = events.where("obj = 0")
-    x = signal.groupBy(*keys, "samp").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("_x"))  # the channels of one sample
-    x = x.select(*keys, "samp", F.transform("_x", lambda s: s["v"]).alias("x"))
+    x = stats.channel_arrays(signal, keys)
     none = F.lit(None).cast("string")
     xx = stats.cov_xx(x, groups).select(*groups, F.lit("xx").alias("stat"), none.alias("e1"), none.alias("e2"), F.col("d1").alias("a"), F.col("d2").alias("b"), "v")
     xy = stats.cov_xy(signal, true, keys, groups, tau).select(*groups, F.lit("xy"), F.col("evt"), none, F.col("lag"), F.col("ch"), "v")
@@ -100,21 +99,9 @@ def fit_backward(signal: DataFrame, target: DataFrame, keys: list[str], groups:
     ship(signal.sparkSession)
     kinds = dict(signal.dtypes)
     t = target.select(*keys, "samp", F.col("v").alias("_y"))
-    x = signal.groupBy(*keys, "samp").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("_x")).join(t, [*keys, "samp"])
-
-    def partial(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("samp")
-        a = np.array([[s["v"] for s in r] for r in f["_x"]], float)
-        if len(a) < tau:
-            return pd.DataFrame({**{g: [] for g in groups}, "i": [], "j": [], "v": []})
-        win = np.concatenate([a[k : len(a) - tau + 1 + k] for k in range(tau)], axis=1)
-        full = np.concatenate([win, f["_y"].to_numpy(float)[: len(win), None]], axis=1)
-        c = full.T @ full
-        i, j = np.indices(c.shape)
-        return pd.DataFrame({**{g: f[g].iloc[0] for g in groups}, "i": i.ravel(), "j": j.ravel(), "v": c.ravel()})
-
+    x = stats.window_arrays(stats.channel_arrays(signal, keys).join(t, [*keys, "samp"]), keys, tau).withColumn("x", F.concat("x", F.array(F.col("_y").cast("double"))))
     gs = ", ".join(f"{g} {kinds[g]}" for g in groups)
-    c = x.groupBy(*keys).applyInPandas(partial, f"{gs}, i int, j int, v double").groupBy(*groups, "i", "j").agg(F.sum("v").alias("v"))
+    c = stats.cross_sums(x.withColumn("_x", F.col("x")), groups, "x", "_x")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         n = int(f["i"].max())
@@ -177,6 +164,18 @@ def cross_validate(signal: DataFrame, events: DataFrame, by: list[str], tau: int
     return fy, scores.audc_score(fy, [*keys, "rank"], [*by, "rank"])
 
 
+def holdout_eval(signal: DataFrame, events: DataFrame, by: list[str], tau: int, held_out: DataFrame, folds: int = 3, rank: int = 1, reg: float = 1e-6) -> DataFrame:
+    """fy (by, trial, samp, obj, v) of all trials, and test: training trials (those not in held_out: by, trial) are predicted by
+    cross-validation among themselves, held-out ones by the model of all training trials."""
+    keys = [*by, "trial"]
+    out = held_out.select(*keys).distinct()
+    x, y = (d.join(out, keys, "left_anti") for d in (signal, events))
+    own = cross_validate(x, y, by, tau, folds, [rank], reg)[0].select(*keys, "samp", "obj", "v", F.lit(False).alias("test"))
+    full = factored_to_full(fit_cca(summary_stats(x, y, keys, by, tau), by, tau, rank, reg, reg), by)
+    new = predict(signal.join(out, keys, "left_semi"), events.join(out, keys, "left_semi"), full, keys, by)
+    return own.union(new.select(*keys, "samp", "obj", "v", F.lit(True).alias("test")))
+
+
 def best_rank(score: DataFrame, by: list[str]) -> DataFrame:
     return score.groupBy(*by).agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("rank")).alias("r"))).alias("_b")).select(*by, (-F.col("_b.r")).alias("rank"), F.col("_b.score").alias("score"))
 

@@ -23,13 +23,26 @@ def score_stimulus(signal: DataFrame, model: DataFrame, keys: list[str], on: lis
     w = model.where("lag is not null")
     tau = w.agg(F.max("lag")).first()[0] + 1
     last = signal.groupBy(*keys).agg(F.max("samp").alias("_last"))
-    j = signal.join(F.broadcast(w), [*on, "ch"]).withColumn("_at", F.col("samp") - F.col("lag")).where("_at >= 0")
+    j = signal.join(w if on else F.broadcast(w), [*on, "ch"]).withColumn("_at", F.col("samp") - F.col("lag")).where("_at >= 0")
     s = j.groupBy(*keys, "evt", "_at").agg(F.sum(F.col("v") * F.col("w")).alias("v")).join(last, keys).where(F.col("_at") <= F.col("_last") + 1 - tau)
     b = model.where("lag is null").select(*on, "evt", F.col("w").alias("_b"))
-    s = s.join(F.broadcast(b), [*on, "evt"], "left")
+    s = s.join(b if on else F.broadcast(b), [*on, "evt"], "left")
     return s.select(*keys, (F.col("_at") - offset).alias("samp"), "evt", (F.col("v") + F.coalesce("_b", F.lit(0.0))).alias("v")).where("samp >= 0")
 
 
+def score_epochs(epochs: DataFrame, model: DataFrame, keys: list[str], on: list[str] | None = None, spatial: DataFrame | None = None, bias: DataFrame | None = None) -> DataFrame:
+    """keys, evt, v of pre-sliced epochs (keys, lag, ch, v). A full model is (on), evt, lag, ch, w and has no bias. With spatial
+    filters (on), k, ch, w the model is (on), k, evt, lag, r, and bias (evt, b) is added."""
+    on = on or []
+    if spatial is None:
+        return epochs.join(model, [*on, "lag", "ch"]).groupBy(*keys, "evt").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    part = epochs.join(spatial, [*on, "ch"]).groupBy(*keys, "lag", "k").agg(F.sum(F.col("v") * F.col("w")).alias("_c"))
+    s = part.join(model, [*on, "k", "lag"]).groupBy(*keys, "evt").agg(F.sum(F.col("_c") * F.col("r")).alias("v"))
+    if bias is not None:
+        s = s.join(bias, "evt", "left").withColumn("v", F.col("v") + F.coalesce("b", F.lit(0.0))).drop("b")
+    return s
+
+
 def score_output(fe: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     """keys, samp, obj, v = sum over events of fe * y."""
     f = fe.select(*keys, "samp", "evt", F.col("v").alias("_f"))
@@ -44,7 +57,7 @@ def score_output_offsets(fe: DataFrame, y: DataFrame, keys: list[str], offsets:
 
 def conv_yr(y: DataFrame, response: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
     """keys, samp, obj, k, v: sum over events and lags of y[samp - lag] * r[k, evt, lag]."""
-    j = y.where("v <> 0").join(F.broadcast(response), [*(on or []), "evt"]).withColumn("samp", F.col("samp") + F.col("lag"))
+    j = y.where("v <> 0").join(response if on else F.broadcast(response), [*(on or []), "evt"]).withColumn("samp", F.col("samp") + F.col("lag"))
     return j.groupBy(*keys, "samp", "obj", "k").agg(F.sum(F.col("v") * F.col("r")).alias("v"))
 
 
@@ -57,7 +70,7 @@ def score_output_sse(fe: DataFrame, y: DataFrame, response: DataFrame, keys: lis
 
 def spatial_filter(signal: DataFrame, filters: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
     """keys, samp, k, v: the signal on each component. filters: (on), k, ch, w."""
-    return signal.join(F.broadcast(filters), [*(on or []), "ch"]).groupBy(*keys, "samp", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return signal.join(filters if on else F.broadcast(filters), [*(on or []), "ch"]).groupBy(*keys, "samp", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def conv_xyr(wx: DataFrame, yr: DataFrame, keys: list[str]) -> DataFrame:
@@ -216,6 +229,12 @@ def normalize_blocks(fy: DataFrame, keys: list[str], block: int = 30) -> DataFra
     return s.join(b, by).select(*by, "obj", (F.col("_s") / F.when(F.col("_s2") > 0, F.sqrt((F.col("blk") + 1) * block * F.col("_s2"))).otherwise(1.0)).alias("z"))
 
 
+def decode_streamed(fy: DataFrame, keys: list[str], block: int = 30, scale: float = 3.0) -> DataFrame:
+    """keys, blk, yest, perr: after each whole block the likeliest output of the block-normalised scores."""
+    z = normalize_blocks(fy, keys, block).withColumnRenamed("blk", "samp")  # an output is valid for its whole trial
+    return select_output(target_probs(z, [*keys, "samp"], scale), [*keys, "samp"]).withColumnRenamed("samp", "blk")
+
+
 def target_probs(z: DataFrame, keys: list[str], scale: float = 1.0, value: str = "z", prior: str | None = None, over: list[str] | None = None) -> DataFrame:
     """z + p: the softmax of scale * z over the outputs of a key that have any score; outputs without get 0. over: more columns
     (model, decision) over which the softmax runs and p is summed. A null or NaN score makes its whole key 0."""

@@ -189,6 +189,13 @@ def label_indicator(rows: DataFrame, label: str, classes: dict[str, list]) -> Da
     return rows.select(*rows.columns, c.alias("_c")).select(*rows.columns, "_c.cls", "_c.v")
 
 
+def stim_at_rate_indicator(samples: DataFrame, triggers: DataFrame, keys: list[str], labels: list[str], samp: str = "samp", value: str = "value") -> DataFrame:
+    """keys, samp and one column of 0 and 1 for each label: the labelled triggers on their sample; samples without one are 0."""
+    t = triggers.groupBy(*keys, samp).agg(*[F.max((F.col(value) == x).cast("int")).alias(x) for x in labels])
+    j = samples.select(*keys, samp).join(t, [*keys, samp], "left")
+    return j.select(*keys, samp, *[F.coalesce(x, F.lit(0)).alias(x) for x in labels])
+
+
 def upsample_codebook(epochs: DataFrame, keys: list[str], duration: int, length: int, offset: int = 0) -> DataFrame:
     """keys, samp, obj, level: each epoch's level is held for duration samples from its start; later epochs win."""
     e = epochs.withColumn("_from", F.col("samp") + offset).withColumn("at", F.explode(F.sequence(F.col("_from"), F.col("_from") + duration - 1)))
@@ -209,17 +216,17 @@ def virtual_outputs(stim: DataFrame, keys: list[str], n: int, block: int, seed:
     s = stim.withColumn("_blk", F.floor(F.col("samp") / block)).withColumn("_off", F.col("samp") % block)
     size = s.groupBy(*keys).agg((F.max("_blk") + 1).alias("_n"), F.sort_array(F.collect_set("obj")).alias("_objs")).where("_n > 1")  # objects of one key: a fixed few
     g = size.select(*keys, "_n", "_objs", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_to")).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.xxhash64(F.lit(seed), "_perm", "_to")
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_perm").cast("string"), F.col("_to").cast("string"))), 1, 12), 16, 10).cast("bigint")
     g = g.withColumn("_blk", F.pmod(F.col("_to") + 1 + F.pmod(h, F.col("_n") - 1), F.col("_n"))).withColumn("obj", F.element_at("_objs", (F.pmod(F.shiftright(h, 8), F.size("_objs")) + 1).cast("int")))
     d = g.join(s, [*keys, "_blk", "obj"]).select(*keys, (F.col("_to") * block + F.col("_off")).cast("bigint").alias("samp"), (F.col("_perm") + 1000).cast("bigint").alias("obj"), "level")
     return stim.select(*keys, F.col("samp").cast("bigint"), F.col("obj").cast("bigint"), "level").union(d)
 
 
-def reference_signals(spark, n: int, fs: float, freqs: DataFrame, binary: bool = False) -> DataFrame:
+def reference_signals(n: int, fs: float, freqs: DataFrame, binary: bool = False) -> DataFrame:
     """samp, obj, v: sin(2 pi (samp freq / fs + phase)) of each (obj, freq, phase)."""
     import math
 
-    s = freqs.join(spark.range(n).withColumnRenamed("id", "samp"))
+    s = freqs.withColumn("samp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     v = F.sin(2 * math.pi * (F.col("samp") * F.col("freq") / fs + F.col("phase")))
     return s.select("samp", "obj", ((v > 0).cast("double") if binary else v).alias("v"))
 
@@ -228,7 +235,10 @@ def electrode_positions(channels: DataFrame, cap: DataFrame, prefix: bool = Fals
     """channels (ch, name) + x2 y2 x3 y3 z3 iseeg; names without an electrode get (-1, 1), (-1, 1, 0), false."""
     c = cap.select(F.lower("name").alias("_n"), "x2", "y2", "x3", "y3", "z3")
     name = F.lower(F.col("name"))
-    j = channels.join(F.broadcast(c), name.startswith(F.col("_n")) if prefix else name == F.col("_n"), "left")
+    if prefix:  # no equality to join by: a cap has about a hundred electrodes
+        j = channels.join(F.broadcast(c), name.startswith(F.col("_n")), "left")
+    else:
+        j = channels.join(c, name == F.col("_n"), "left")
     if prefix:
         w = Window.partitionBy("ch").orderBy(F.length("_n").desc_nulls_last(), "_n")
         j = j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

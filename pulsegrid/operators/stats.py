@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cov_xx(signal: DataFrame, groups: list[str], x: str = "x", centre: bool = False, unit: bool = False) -> DataFrame:
@@ -37,6 +38,51 @@ def cov_xx(signal: DataFrame, groups: list[str], x: str = "x", centre: bool = Fa
     return c.select(*groups, "d1", "d2", (v / F.col("n") if unit else v).alias("v"))
 
 
+def channel_arrays(signal: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, samp, x: the channels of each sample of a long signal as one array, in their order."""
+    x = signal.groupBy(*keys, "samp").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("_x"))  # the channels of one sample
+    return x.select(*keys, "samp", F.transform("_x", lambda s: s["v"]).alias("x"))
+
+
+def window_arrays(signal: DataFrame, keys: list[str], tau: int, x: str = "x") -> DataFrame:
+    """x becomes the values at samp .. samp + tau - 1 one after the other; samples without a whole window go."""
+    w = Window.partitionBy(*keys).orderBy("samp")
+    parts = [F.col(x) if k == 0 else F.lead(x, k).over(w) for k in range(tau)]
+    return signal.withColumn(x, F.concat(*parts)).where(F.col(x).isNotNull())
+
+
+def cross_sums(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
+    """groups, i, j, v: the sum of a[i] * b[j] over rows of arrays. Each task sums its rows, so only as many rows as the matrix
+    has cells are shuffled for a group and task."""
+    from pulsegrid.shared import ship
+
+    ship(df.sparkSession)
+    schema = "".join(f"{g} {dict(df.dtypes)[g]}, " for g in groups) + "i int, j int, v double"
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            for g, part in f.groupby(groups) if groups else [((), f)]:
+                g = g if isinstance(g, tuple) else (g,)
+                sums[g] = sums.get(g, 0.0) + np.array(part[a].tolist(), float).T @ np.array(part[b].tolist(), float)
+        for g, c in sums.items():
+            i, j = np.indices(c.shape)
+            yield pd.DataFrame(dict(zip(groups, g, strict=True)) | {"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": c.ravel()})
+
+    return df.select(*groups, a, b).mapInPandas(partial, schema).groupBy(*groups, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def crossautocov(x: DataFrame, y: DataFrame, keys: list[str], groups: list[str], tau_x: int, tau_y: int) -> DataFrame:
+    """groups, lag1, d1, lag2, d2, v: sum over t of x[t + lag1, d1] * y[t + lag2, d2] for lag1 < tau_x, lag2 < tau_y, over the t
+    at which both windows are whole. x and y are keys, samp, x (array)."""
+    a = window_arrays(x, keys, tau_x).select(*keys, "samp", F.col("x").alias("_a"), (F.size("x") / tau_x).cast("int").alias("_da"))
+    b = window_arrays(y, keys, tau_y).select(*keys, "samp", F.col("x").alias("_b"), (F.size("x") / tau_y).cast("int").alias("_db"))
+    j = a.join(b, [*keys, "samp"])
+    c = cross_sums(j, [*groups, "_da", "_db"], "_a", "_b")
+    lag, d = lambda i, n: F.floor(F.col(i) / F.col(n)).cast("int"), lambda i, n: F.pmod(F.col(i), F.col(n))
+    return c.select(*groups, lag("i", "_da").alias("lag1"), d("i", "_da").alias("d1"), lag("j", "_db").alias("lag2"), d("j", "_db").alias("d2"), "v")
+
+
 def cov_xy(signal: DataFrame, events: DataFrame, keys: list[str], groups: list[str], tau: int, offset: int = 0, centre: bool = False) -> DataFrame:
     """groups, obj, evt, lag, ch, v: sum over samples t <= last + 1 - tau of y[t] * x[t + lag], y moved by offset. Only events
     that are not 0 are spread over lags."""
@@ -72,10 +118,11 @@ def toeplitz_expand(lagged: DataFrame, groups: list[str], tau: int) -> DataFrame
 
 def autocov_xx(signal: DataFrame, keys: list[str], groups: list[str], tau: int) -> DataFrame:
     """groups, lag, d1, d2, v: sum over t of x[t + lag, d1] * x[t, d2]."""
-    a = signal.select(*keys, F.col("samp").alias("_t"), F.col("ch").alias("d2"), F.col("v").alias("_b"))
-    a = a.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(tau - 1)))).withColumn("samp", F.col("_t") + F.col("lag"))
-    j = a.join(signal.select(*keys, "samp", F.col("ch").alias("d1"), F.col("v").alias("_a")), [*keys, "samp"])
-    return j.groupBy(*groups, "lag", "d1", "d2").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    x = channel_arrays(signal, keys)
+    w = Window.partitionBy(*keys).orderBy("samp")
+    ahead = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("x") if k == 0 else F.lead("x", k).over(w)).alias("_a")) for k in range(tau)])
+    j = x.withColumn("_ahead", ahead).withColumn("_l", F.explode("_ahead")).select(*groups, "_l.lag", "_l._a", F.col("x").alias("_b")).where("_a is not null")
+    return cross_sums(j, [*groups, "lag"], "_a", "_b").select(*groups, "lag", F.col("i").alias("d1"), F.col("j").alias("d2"), "v")
 
 
 def crosscov_lags(x: DataFrame, y: DataFrame, keys: list[str], groups: list[str], back: int, ahead: int) -> DataFrame:

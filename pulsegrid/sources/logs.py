@@ -6,6 +6,7 @@ dropped. Order within a session is (sts, ts, line hash): line numbers do not sur
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,12 +99,9 @@ def cap_positions(cap: DataFrame) -> DataFrame:
     """cap(name, lat, lng) + xyz and xy; angles over two pi are degrees (for the whole table)."""
     import math
 
-    from pyspark.sql.window import Window
-
-    whole = Window.partitionBy()  # a cap has about a hundred electrodes
-    deg = F.greatest(F.max(F.abs("lat")).over(whole), F.max(F.abs("lng")).over(whole)) > 2 * math.pi
-    turn = F.when(deg, math.pi / 180).otherwise(1.0)
-    d = cap.withColumns({"_a": F.col("lat") * turn, "_b": F.col("lng") * turn})
+    most = cap.agg(F.greatest(F.max(F.abs("lat")), F.max(F.abs("lng"))).alias("_most"))  # one row
+    turn = F.when(F.col("_most") > 2 * math.pi, math.pi / 180).otherwise(1.0)
+    d = cap.join(F.broadcast(most)).withColumns({"_a": F.col("lat") * turn, "_b": F.col("lng") * turn})
     return d.select("name", "lat", "lng", (F.sin("_a") * F.cos("_b")).alias("x3"), (F.sin("_a") * F.sin("_b")).alias("y3"), F.cos("_a").alias("z3"), (F.col("_a") * F.cos("_b")).alias("x2"), (F.col("_a") * F.sin("_b")).alias("y2"))
 
 
@@ -120,29 +118,78 @@ def list_sessions(spark: SparkSession, path: str, matching: str = ".*", newest:
     return d.orderBy(F.desc("modified"), "path").limit(newest) if newest else d.orderBy("run", "path")
 
 
-#: Sample types of a recording header.
-SAMPLE_TYPES = {"float32": "<f4", "float64": "<f8", "int16": "<i2", "int32": "<i4"}
+#: The numbers of the value types of a recorded buffer, as numpy names (0 are characters).
+VALUE_TYPES = {0: "S1", 1: "<u1", 2: "<u2", 3: "<u4", 4: "<u8", 5: "<i1", 6: "<i2", 7: "<i4", 8: "<i8", 9: "<f4", 10: "<f8"}
+HEADER = "session string, nch int, nsamp long, nevents long, fs double, data_type int"
+
+
+def _session(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 2)[-2]
+
+
+def read_buffer_header(spark: SparkSession, path: str) -> DataFrame:
+    """session (the folder's name), nch, nsamp, nevents, fs, data_type of recordings under path: one file `header` a session, of
+    three unsigned integers, a float and two unsigned integers, each of four bytes."""
+    from pulsegrid.shared import ship
+
+    ship(spark)
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(_session(p), *struct.unpack_from("<IIIfI", bytes(c))) for p, c in zip(f["path"], f["content"], strict=True) if len(c) >= 20]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
+
+    return spark.read.format("binaryFile").load(f"{path}/*/header").select("path", "content").mapInPandas(decode, HEADER)
 
 
 def read_buffer_dir(spark: SparkSession, path: str) -> DataFrame:
-    """session, samp, x of binary recordings: each file is a header line (`nch=<n> fs=<f> type=<name>`) and a sample matrix;
-    one task a file, in slices."""
+    """session, samp, x of recordings: the file `samples` of a session holds nch values a sample of the header's type. One task a
+    file, in slices; bytes after the last whole sample are left out."""
     from pulsegrid.shared import ship
 
     ship(spark)
+    f = spark.read.format("binaryFile").load(f"{path}/*/samples").select(F.element_at(F.split("path", "/"), -2).alias("session"), "content")
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for session, content, nch, kind in zip(f["session"], f["content"], f["nch"], f["data_type"], strict=True):
+                t = np.dtype(VALUE_TYPES[int(kind)])
+                n = len(content) // (t.itemsize * nch)
+                x = np.frombuffer(content, t, n * nch).reshape(n, nch)
+                for k in range(0, n, 10_000):
+                    part = x[k : k + 10_000].astype(float)
+                    yield pd.DataFrame({"session": session, "samp": np.arange(k, k + len(part)), "x": list(part)})
+
+    return f.join(F.broadcast(read_buffer_header(spark, path)), "session").select("session", "content", "nch", "data_type").mapInPandas(decode, "session string, samp long, x array<double>")
+
+
+def read_buffer_events(spark: SparkSession, path: str) -> DataFrame:
+    """session, samp, type, value, offset, duration of the file `events` of each session. Records are eight four-byte numbers
+    (type and value: kind and count of each; sample, offset, duration, bytes of the payload) and the payload. Numbers that are
+    no characters are joined by commas; a record whose payload is too short is left out."""
+    from pulsegrid.shared import ship
+
+    ship(spark)
+    schema = "session string, samp long, type string, value string, offset int, duration int"
+
+    def said(kind: int, n: int, raw: bytes) -> str:
+        return raw.decode("utf-8", "replace") if kind == 0 else ",".join(str(v) for v in np.frombuffer(raw, VALUE_TYPES[kind], n).tolist())
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, content in zip(f["path"], f["content"], strict=True):
-                head, _, body = bytes(content).partition(b"\n")
-                info = dict(w.split("=", 1) for w in head.decode().split())
-                x = np.frombuffer(body, SAMPLE_TYPES[info["type"]])
-                x = x[: len(x) // int(info["nch"]) * int(info["nch"])].reshape(-1, int(info["nch"])).astype(float)
-                for k in range(0, len(x), 10_000):
-                    part = x[k : k + 10_000]
-                    yield pd.DataFrame({"session": p.rsplit("/", 1)[-1], "samp": np.arange(k, k + len(part)), "x": list(part)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "session string, samp long, x array<double>")
+                rows, at, content = [], 0, bytes(content)
+                while at + 32 <= len(content):
+                    tk, tn, vk, vn, samp, offset, duration, size = struct.unpack_from("<IIIIiiiI", content, at)
+                    body = content[at + 32 : at + 32 + size]
+                    at += 32 + size
+                    if tk in VALUE_TYPES and vk in VALUE_TYPES:
+                        a, b = (n * np.dtype(VALUE_TYPES[k]).itemsize for k, n in ((tk, tn), (vk, vn)))
+                        if a + b <= len(body):
+                            rows.append((_session(p), samp, said(tk, tn, body[:a]), said(vk, vn, body[a : a + b]), offset, duration))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.read.format("binaryFile").load(f"{path}/*/events").select("path", "content").mapInPandas(decode, schema)
 
 
 def save(df: DataFrame, path: str, by: str = "session") -> None:

@@ -26,17 +26,17 @@ def stim_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select((F.col("user_id") % 8).alias("session"), "event_id", millis("ts").alias("ts"), obj.alias("obj"), (F.col("value").cast("long") % 2).cast("int").alias("state"))
 
 
-def signal(spark: SparkSession, sf: str, channels: int = 8) -> DataFrame:
-    """session, samp, trial (25 samples each), x (array of the first channels)."""
+def signal(spark: SparkSession, sf: str) -> DataFrame:
+    """session, samp, trial (25 samples each), x (all channels)."""
     e = table(spark, sf, "embeddings")
     samp = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    d = e.select(F.col("label").alias("session"), samp.alias("all_samp"), F.transform(F.slice("embedding", 1, channels), lambda v: v.cast("double")).alias("x"))
+    d = e.select(F.col("label").alias("session"), samp.alias("all_samp"), F.col("embedding").cast("array<double>").alias("x"))
     return d.select("session", F.floor(F.col("all_samp") / 25).cast("int").alias("trial"), (F.col("all_samp") % 25).cast("int").alias("samp"), "x")
 
 
-def long_signal(spark: SparkSession, sf: str, channels: int = 8) -> DataFrame:
+def long_signal(spark: SparkSession, sf: str) -> DataFrame:
     """session, trial, samp, ch, v."""
-    return signal(spark, sf, channels).select("session", "trial", "samp", F.posexplode("x").alias("ch", "v"))
+    return signal(spark, sf).select("session", "trial", "samp", F.posexplode("x").alias("ch", "v"))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,8 +78,8 @@ SQL = {
     "stim_events": """stim_events AS (SELECT user_id % 8 AS session, event_id, epoch_us(ts) // 1000 AS ts,
   CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE -1 END AS obj, CAST(trunc(value) AS BIGINT) % 2 AS state FROM events)""",
     "signal": """signal AS (SELECT session, all_samp // 25 AS trial, all_samp % 25 AS samp, x FROM
-  (SELECT label AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS all_samp, CAST(embedding[1:8] AS DOUBLE[]) AS x FROM embeddings))""",
-    "long_signal": """long_signal AS (SELECT session, trial, samp, unnest(range(8)) AS ch, unnest(x) AS v FROM signal)""",
+  (SELECT label AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS all_samp, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))""",
+    "long_signal": """long_signal AS (SELECT session, trial, samp, unnest(range(len(x))) AS ch, unnest(x) AS v FROM signal)""",
     "samples": """samples AS (SELECT l_suppkey % 16 AS session, row_number() OVER (PARTITION BY l_suppkey % 16 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS samp,
   [l_quantity, l_extendedprice / 1e4, l_discount, l_tax] AS x FROM lineitem)""",
     "markers": """markers AS (SELECT o_custkey % 16 AS session, o_orderkey AS seq, epoch_us(o_orderdate) // 1000 AS ts,

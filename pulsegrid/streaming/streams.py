@@ -1,11 +1,14 @@
 """On-line twins of the batch operators on Structured Streaming. Event time is `time` (timestamp); `ts` is long ms.
 
 Rows later than the watermark are dropped. Stateful steps keep per-key state that is bounded: the last levels of a key, the
-state of a filter, the running powers.
+state of a filter, the running powers. Steps by trial take idle_ms: the state of a trial that gets nothing for so long goes (a
+replay of recorded data leaves it out, since Spark then runs batches without end). Rows of a key are taken in their
+order within a batch; a batch that comes later is taken as later.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,9 +46,18 @@ def stream_windows(events: DataFrame, keys: list[str], horizon: str = "60 second
     return g.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
-def _stateful(df: DataFrame, keys: list[str], out: str, state: str, fn: Callable) -> DataFrame:
+def _stateful(df: DataFrame, keys: list[str], out: str, state: str, fn: Callable, mode: str = "append", idle_ms: int | None = None) -> DataFrame:
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandasWithState(fn, out, state, "append", GroupStateTimeout.NoTimeout)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from fn(key, frames, state)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+
+    return df.groupBy(*keys).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def stream_code(levels: DataFrame, evt: str = "re", keep: int = 20) -> DataFrame:
@@ -69,6 +81,38 @@ def stream_code(levels: DataFrame, evt: str = "re", keep: int = 20) -> DataFrame
     return _stateful(levels, ["session", "obj"], "session long, obj long, samp long, v int", "past array<int>", fn)
 
 
+def stream_hold_and_code(rows: DataFrame, evt: str = "re", keep: int = 20, idle_ms: int | None = None) -> DataFrame:
+    """session, samp, obj, v of rows(session, samp, obj, level, reset): each sample carries the levels that changed (obj null: none
+    did), other objects hold theirs; the code of every object met so far. A row with reset (a new target) forgets all
+    levels before its sample. State: the objects and their last `keep` levels."""
+    from pulsegrid.operators.events import PATTERNS
+
+    bits = PATTERNS.get(evt, evt)
+
+    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[int]] = {}
+        if state.exists:
+            objs, flat, sizes = state.get
+            at = 0
+            for o, n in zip(objs, sizes, strict=True):
+                held[o], at = list(flat[at : at + n]), at + n
+        out = []
+        for samp, part in pd.concat(list(frames)).groupby("samp", sort=True):
+            if part["reset"].any():
+                held.clear()
+            new = {int(o): int(v) for o, v in zip(part["obj"], part["level"], strict=True) if pd.notna(o)}
+            for o in sorted(held.keys() | new.keys()):
+                past = held.setdefault(o, [])
+                past.append(new.get(o, past[-1] if past else 0))
+                del past[:-keep]
+                tail = past[-len(bits) :]
+                out.append((key[0], int(samp), o, int(len(tail) == len(bits) and all((v > 0) == (b == "1") for v, b in zip(tail, bits, strict=True)))))
+        state.update(([*held], [v for x in held.values() for v in x], [len(x) for x in held.values()]))
+        yield pd.DataFrame(out, columns=["session", "samp", "obj", "v"])
+
+    return _stateful(rows, ["session"], "session long, samp long, obj long, v int", "objs array<long>, flat array<int>, sizes array<int>", fn, idle_ms=idle_ms)
+
+
 def stream_filter(signal: DataFrame, sos: np.ndarray, every: int = 1) -> DataFrame:
     """session, samp, x: filtered, then each every-th sample; filter state and sample count of a session carry over."""
 
@@ -115,7 +159,7 @@ def stream_align(stimuli: DataFrame, samples: DataFrame, overlap_ms: int, late:
     return a.join(b, on).select("session", "stim_ts", "obj", "samp")
 
 
-def stream_predict(scores: DataFrame, keys: tuple[str, ...] = ("session", "trial")) -> DataFrame:
+def stream_predict(scores: DataFrame, keys: tuple[str, ...] = ("session", "trial"), idle_ms: int | None = None) -> DataFrame:
     """session, trial, samp, yest, margin: running sums of output scores(session, trial, samp, obj, v) of a trial; one row a
     sample and block. A new trial is a new key, so it starts from nothing."""
 
@@ -131,7 +175,7 @@ def stream_predict(scores: DataFrame, keys: tuple[str, ...] = ("session", "trial
         state.update(([*total], [*map(float, total.values())]))
         yield pd.DataFrame(out, columns=[*keys, "samp", "yest", "margin"])
 
-    return _stateful(scores, list(keys), "session long, trial long, samp long, yest long, margin double", "objs array<long>, sums array<double>", fn)
+    return _stateful(scores, list(keys), "session long, trial long, samp long, yest long, margin double", "objs array<long>, sums array<double>", fn, idle_ms=idle_ms)
 
 
 def stream_sums(products: DataFrame, by: list[str]) -> DataFrame:
@@ -154,8 +198,7 @@ def stream_erp(aligned: DataFrame, samples: DataFrame | None = None, last: int =
         state.update((held,))
         yield pd.DataFrame({"evt": [key[0]], "lag": [key[1]], "v": [float(np.mean(held))], "n": [len(held)]})
 
-    ship(aligned.sparkSession)
-    return aligned.groupBy("evt", "lag").applyInPandasWithState(fn, "evt string, lag long, v double, n long", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    return _stateful(aligned, ["evt", "lag"], "evt string, lag long, v double, n long", "held array<double>", fn, "update")
 
 
 def press_release(predictions: DataFrame, keys: list[str], order: list[str], press: float = 0.1, release: float = 0.2) -> DataFrame:
@@ -197,28 +240,30 @@ def clock_align_stream(messages: DataFrame, window_ms: int = 60_000) -> DataFram
     block first updates the clock, then stamps."""
 
     def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        xs, ds = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
+        held = deque(zip(*state.get, strict=True)) if state.exists else deque()  # (time, difference), differences rise: the first is the least
         f = pd.concat(list(frames)).sort_values(["cts", "seq"])
-        out, best = [], 0
+        out = []
         for cts, sts, sync, seq in f[["cts", "sts", "sync", "seq"]].itertuples(index=False):
             if sync:
-                xs.append(int(cts))
-                ds.append(int(sts - cts))
-            while xs and xs[0] <= cts - window_ms and len(xs) > 1:
-                xs.pop(0)
-                ds.pop(0)
-            best = min(ds) if ds else best
-            out.append((key[0], int(seq), int(cts + best)))
-        state.update((xs, ds))
+                while held and held[-1][1] >= sts - cts:
+                    held.pop()
+                held.append((int(cts), int(sts - cts)))
+            while len(held) > 1 and held[0][0] <= cts - window_ms:
+                held.popleft()
+            out.append((key[0], int(seq), int(cts + (held[0][1] if held else 0))))
+        state.update(([x for x, _ in held], [d for _, d in held]))
         yield pd.DataFrame(out, columns=["client", "seq", "aligned"])
 
     return _stateful(messages, ["client"], "client long, seq long, aligned long", "xs array<long>, ds array<long>", fn)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its rows: a bounded replay for jobs and tests."""
+def run_to_table(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there and return its rows: a bounded replay for jobs and tests. In update mode the newest
+    row of each key counts, in complete mode the last batch; a stream without rows gives an empty result."""
     import uuid
 
+    from pyspark.sql.window import Window
+
     from pulsegrid.shared import shared_dir
 
     spark = stream.sparkSession
@@ -226,11 +271,21 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/rows")
-    last: dict = {}
+    last = -1
 
     def keep(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/{k:06d}")
-        last["k"] = k
+        nonlocal last
+        last = k
+        batch.write.mode("overwrite").parquet(f"{at}/rows/_batch={k}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{at}/rows/{last['k']:06d}")
+    if last < 0:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows/_batch={last}")
+    rows = None
+    for k in range(last + 1):
+        part = spark.read.schema(stream.schema).parquet(f"{at}/rows/_batch={k}").withColumn("_k", F.lit(k))
+        rows = part if rows is None else rows.union(part)
+    w = Window.partitionBy(*(keys or stream.columns[:1])).orderBy(F.desc("_k"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_k", "_n")
