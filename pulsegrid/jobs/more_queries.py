@@ -131,9 +131,18 @@ def q_iir_filterbank(spark, sf):
     return filters.iir_filterbank(long_recording(spark, sf), KEYS, 100.0, [(2, 8), (8, 20)], order=2)
 
 
-@query()
+def channels(df):
+    return r6(df.select(*KEYS, "samp", F.posexplode("x").alias("ch", "v")), "v")
+
+
+LONG = with_views("samples") + ", rec AS (SELECT session, samp // 500 AS trial, samp % 500 AS samp, samp AS pos, unnest(range(4)) AS ch, unnest(x)::DOUBLE AS v FROM samples)"
+
+
+@query(LONG + """, p0 AS (SELECT session, ch, CASE WHEN v = 0 THEN 1 ELSE v * v END AS p0 FROM rec WHERE pos = 0),
+p AS (SELECT rec.*, pow(0.999, pos) * (p0 + sum(CASE WHEN pos > 0 THEN 0.001 * v * v * pow(0.999, -pos) ELSE 0 END) OVER (PARTITION BY session, ch ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS p FROM rec JOIN p0 USING (session, ch))
+SELECT session, trial, samp, ch, ROUND(v / sqrt((p + 0.1 * median(p) OVER (PARTITION BY session, pos)) / 2), 6) + 0.0 AS v FROM p""")
 def q_standardize_power(spark, sf):
-    return filters.standardize_power(long_recording(spark, sf), ["session"])
+    return channels(filters.standardize_power(long_recording(spark, sf), ["session"]))
 
 
 @query()
@@ -141,9 +150,10 @@ def q_decorrelate_ar(spark, sf):
     return filters.decorrelate_ar(long_recording(spark, sf), ["session"], taps=10, eta=1e-5)
 
 
-@query()
+@query(LONG + """, a AS (SELECT *, pow(0.5, samp / 60.0) AS d FROM rec), s AS (SELECT *, d * sum(1 / d) OVER w AS n, d * sum(v / d) OVER w AS s FROM a WINDOW w AS (PARTITION BY session, trial, ch ORDER BY samp ROWS UNBOUNDED PRECEDING))
+SELECT session, trial, samp, ch, ROUND(d * sum((v - s / n) * (v - s / n) / d) OVER (PARTITION BY session, trial, ch ORDER BY samp ROWS UNBOUNDED PRECEDING) / n, 6) + 0.0 AS v FROM s""")
 def q_channel_power(spark, sf):
-    return filters.channel_power(long_recording(spark, sf), KEYS, 60.0)
+    return channels(filters.channel_power(long_recording(spark, sf), KEYS, 60.0))
 
 
 @query()
