@@ -3,6 +3,7 @@ grows with them."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import filters
@@ -116,9 +117,39 @@ def long_recording(spark, sf):
     return views.samples(spark, sf).select("session", F.floor(F.col("samp") / 500).cast("int").alias("trial"), (F.col("samp") % 500).alias("samp"), "x")
 
 
-@query()
+def channels(df):
+    return r6(df.select(*KEYS, "samp", F.posexplode("x").alias("ch", "v")), "v")
+
+
+LONG = with_views("samples") + ", rec AS (SELECT session, samp // 500 AS trial, samp % 500 AS samp, samp AS pos, unnest(range(4)) AS ch, unnest(x)::DOUBLE AS v FROM samples)"
+
+
+def filter_sql(name: str, source: str, keys: str, sos) -> str:
+    """A recursive walk over source(keys, samp from 0, v): its last column `v` is v through the sections, from their steady state."""
+    warm, step, v = [], [], "v"
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+        warm += [f"{v} * {(b0 + b1 + b2) / (1 + a1 + a2)!r}::DOUBLE AS w{k}", f"w{k} - {b0!r}::DOUBLE * {v} AS p{k}", f"{b2!r}::DOUBLE * {v} - {a2!r}::DOUBLE * w{k} AS q{k}"]
+        v = f"w{k}"
+    v = "r.v"
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+        step += [f"{b0!r}::DOUBLE * {v} + f.p{k} AS y{k}", f"{b1!r}::DOUBLE * {v} - {a1!r}::DOUBLE * y{k} + f.q{k}", f"{b2!r}::DOUBLE * {v} - {a2!r}::DOUBLE * y{k}"]
+        v = f"y{k}"
+    cols = ", ".join(f"{c}{k}" for k in range(len(sos)) for c in "wpq")
+    on = " AND ".join(f"r.{c.strip()} = f.{c.strip()}" for c in keys.split(","))
+    rk = ", ".join(f"r.{c.strip()}" for c in keys.split(","))
+    return f"""{name}_f({keys}, samp, {cols}) AS (SELECT {keys}, -1, {", ".join(warm)} FROM {source} WHERE samp = 0
+  UNION ALL SELECT {rk}, r.samp, {", ".join(step)} FROM {name}_f f JOIN {source} r ON {on} AND r.samp = f.samp + 1),
+{name} AS (SELECT {keys}, samp, w{len(sos) - 1} AS v FROM {name}_f WHERE samp >= 0)"""
+
+
+HIGH_LOW = np.concatenate([filters.butter_sections(4, b, 100.0) for b in [(0, 2), (30, -1)]])
+BANDS = [filters.butter_sections(2, b, 100.0, "bandpass") for b in [(2, 8), (8, 20)]]
+WALK = "WITH RECURSIVE " + LONG.removeprefix("WITH ") + ", series AS MATERIALIZED (SELECT session, trial, ch, samp, v FROM rec), "
+
+
+@query(WALK + filter_sql("y", "series", "session, trial, ch", HIGH_LOW) + " SELECT session, trial, samp, ch, ROUND(v, 6) + 0.0 AS v FROM y")
 def q_iir_filter(spark, sf):
-    return filters.iir_filter(long_recording(spark, sf), KEYS, 100.0, [(0, 2), (30, -1)])
+    return channels(filters.iir_filter(long_recording(spark, sf), KEYS, 100.0, [(0, 2), (30, -1)]))
 
 
 @query()
@@ -126,16 +157,9 @@ def q_fft_filterbank(spark, sf):
     return filters.fft_filterbank(long_recording(spark, sf), KEYS, 100.0, [(1, 8), (8, 20)])
 
 
-@query()
+@query(WALK + filter_sql("a", "series", "session, trial, ch", BANDS[0]) + ", " + filter_sql("b", "series", "session, trial, ch", BANDS[1]) + " SELECT session, trial, samp, ch, ROUND(v, 6) + 0.0 AS v FROM a UNION ALL SELECT session, trial, samp, ch + 4, ROUND(v, 6) + 0.0 FROM b")
 def q_iir_filterbank(spark, sf):
-    return filters.iir_filterbank(long_recording(spark, sf), KEYS, 100.0, [(2, 8), (8, 20)], order=2)
-
-
-def channels(df):
-    return r6(df.select(*KEYS, "samp", F.posexplode("x").alias("ch", "v")), "v")
-
-
-LONG = with_views("samples") + ", rec AS (SELECT session, samp // 500 AS trial, samp % 500 AS samp, samp AS pos, unnest(range(4)) AS ch, unnest(x)::DOUBLE AS v FROM samples)"
+    return channels(filters.iir_filterbank(long_recording(spark, sf), KEYS, 100.0, [(2, 8), (8, 20)], order=2))
 
 
 @query(LONG + """, p0 AS (SELECT session, ch, CASE WHEN v = 0 THEN 1 ELSE v * v END AS p0 FROM rec WHERE pos = 0),
@@ -354,10 +378,15 @@ def q_stream_windows(spark, sf):
     return w.select("session", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query()
+EVENTS = S.replace("WITH ", "WITH RECURSIVE ", 1) + ", ev AS MATERIALIZED (SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY event_id) - 1 AS samp, ch, CASE ch WHEN 0 THEN value ELSE state END::DOUBLE AS v FROM stim_events JOIN (SELECT event_id, value FROM events) USING (event_id), (SELECT unnest([0, 1]) AS ch)), "
+EVENTS = EVENTS.replace("row_number() OVER (PARTITION BY session ORDER", "row_number() OVER (PARTITION BY session, ch ORDER")
+
+
+@query(EVENTS + filter_sql("y", "ev", "session, ch", filters.butter_sections(2, (10.0,), 100.0, "lowpass")) + " SELECT y.session, event_id // 2 AS samp, y.ch, ROUND(y.v, 6) + 0.0 AS v FROM y JOIN ev ON ev.session = y.session AND ev.ch = y.ch AND ev.samp = y.samp WHERE event_id % 2 = 0")
 def q_stream_filter(spark, sf):
     e = event_stream(spark, sf).select("session", F.col("event_id").alias("samp"), F.array("value", F.col("state").cast("double")).alias("x"))
-    return streams.run_to_table(streams.stream_filter(e, filters.butter_sections(2, (10.0,), 100.0, "lowpass"), 2))
+    y = streams.run_to_table(streams.stream_filter(e, filters.butter_sections(2, (10.0,), 100.0, "lowpass"), 2))
+    return r6(y.select("session", "samp", F.posexplode("x").alias("ch", "v")), "v")
 
 
 @query()
