@@ -8,9 +8,10 @@ start in the shard, and number of ids. Names and contents depend only on the sha
 is whole, so a task that runs twice leaves the same files.
 
 Words are encoded by the tokenizers library. Its normaliser and its word pattern never look across ASCII white space, so
-each distinct word is encoded once a task (the cache is emptied at a fixed size) and texts are joined from words.
+each distinct word is encoded once (the words met before the last but one emptying of the cache are forgotten, so its size is
+bounded) and texts are joined from words. A tokenizer of which this is not known encodes whole texts.
 
-Defined cases: a null or empty text is its end id alone; rows that repeat a doc_id stand together in order of their text; a
+Defined cases: a null or empty text is its end id alone; rows that repeat a doc_id stand together in the order in which they are read; a
 null doc_id comes first; strings of special tokens in a text are ordinary text; an empty table writes no files and gives an
 empty result; columns other than doc_id and text are not read.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut, shared_dir, ship
 
-LENGTH, BATCH, CACHE, TOGETHER = 2048, 64, 250_000, 256
+LENGTH, BATCH, CACHE, TOGETHER = 2048, 64, 400_000, 1024
 #: Letters that the word pattern takes and the normaliser leaves or folds one by one; closing punctuation.
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 CLOSING = ".,;:!?"
@@ -45,10 +46,6 @@ def id_type(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-def ascii_lower(text: str) -> str:
-    return text.encode().lower().decode()
-
-
 def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
     """Masks are bits, as Arrow keeps booleans."""
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -60,11 +57,13 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 class WordEncoder:
     """Ids of whole texts through a cache of words. What can be cut further without a change is: closing ASCII
     punctuation after a Latin letter is a match of the word pattern on its own, and ASCII case is folded by the normaliser;
-    so most new words are plain Latin ones, which are encoded many at once and told apart by their end-of-word ids."""
+    so most new words are plain Latin ones, which are encoded many at once and told apart by their end-of-word ids. This holds
+    for lower-casing vocabularies with word ends (by_words)."""
 
-    def __init__(self, spec: str, end_id: int):
+    def __init__(self, spec: str, end_id: int, by_words: bool):
         from tokenizers import Tokenizer
 
+        self.by_words, self.older = by_words, {}
         self.tok = Tokenizer.from_str(spec)
         self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -80,44 +79,52 @@ class WordEncoder:
             self.cores[w] = np.array(e.ids, self.kind).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        pairs = []
-        for w in new:
-            text = w.decode()
-            core = text.rstrip(CLOSING)
-            pairs.append((ascii_lower(core), text[len(core) :]) if core and PLAIN.fullmatch(core) else (text, ""))
-        plain = list({c for c, _ in pairs if PLAIN.fullmatch(c)} - self.cores.keys())
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for some, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        if not new:
+            return
+        texts = b"\n".join(new).lower().decode().split("\n")  # ASCII alone is folded; no word holds white space
+        bare = [t.rstrip(CLOSING) for t in texts]
+        plain = [x.isalpha() and (x.isascii() or PLAIN.fullmatch(x) is not None) for x in bare]
+        cores = self.cores
+        some = list({x for x, p in zip(bare, plain, strict=True) if p} - cores.keys())
+        groups = [some[k : k + TOGETHER] for k in range(0, len(some), TOGETHER)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some):
-                self.cores.update(zip(some, map(bytes, np.split(ids, last[:-1])), strict=True))
+            last = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(last) == len(group):
+                raw = ids.tobytes()
+                cores.update(zip(group, [raw[i:j] for i, j in zip([0, *last], last, strict=False)], strict=True))
             else:
-                self._alone(some)
-        self._alone(list({x for p in pairs for x in p if x} - self.cores.keys()))
-        cores = self.cores
-        for w, (core, tail) in zip(new, pairs, strict=True):
-            self.words[w] = cores[core] + cores[tail] if tail else cores[core]
+                self._alone(group)
+        odd = {t for t, p in zip(texts, plain, strict=True) if not p}
+        odd.update(t[len(x) :] for t, x, p in zip(texts, bare, plain, strict=True) if p and len(t) > len(x))
+        self._alone(list(odd - cores.keys()))
+        whole = [cores[t] if not p or len(t) == len(x) else cores[x] + cores[t[len(x) :]] for t, x, p in zip(texts, bare, plain, strict=True)]
+        self.words.update(zip(new, whole, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, self.kind).tobytes() + self.end for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.words) > CACHE:
-            self.words, self.cores = {}, {}  # before the next texts: a bound of CACHE and one slice
+            self.older, self.words, self.cores = self.words, {}, {}
         cuts = [(t or "").encode().split() for t in texts]
-        known = self.words
-        self._learn(list(set().union(*cuts) - known.keys()))
-        return [b"".join([known[w] for w in c]) + self.end for c in cuts]
+        known, older = self.words, self.older
+        new = set().union(*cuts) - known.keys()
+        met = new & older.keys()
+        known.update(zip(met, map(older.__getitem__, met), strict=True))
+        self._learn(list(new - met))
+        return [b"".join(map(known.__getitem__, c)) + self.end for c in cuts]
 
 
 #: The encoder of this Python worker: the tasks that it runs one after the other share tokenizer and words.
-_HELD: dict[tuple[int, int], WordEncoder] = {}
+_HELD: dict[tuple[int, int, bool], WordEncoder] = {}
 
 
-def held_encoder(spec: str, end_id: int) -> WordEncoder:
-    key = (zlib.crc32(spec.encode()), end_id)
+def held_encoder(spec: str, end_id: int, by_words: bool) -> WordEncoder:
+    key = (zlib.crc32(spec.encode()), end_id, by_words)
     if key not in _HELD:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         _HELD.clear()
-        _HELD[key] = WordEncoder(spec, end_id)
+        _HELD[key] = WordEncoder(spec, end_id, by_words)
     return _HELD[key]
 
 
@@ -139,10 +146,10 @@ def _put(fs: pafs.FileSystem, path: str, schema: pa.Schema):
     return writer, done
 
 
-def _write(spec, end_id: int, uri: str, length: int):
+def _write(spec, end_id: int, uri: str, length: int, by_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        enc, fs = held_encoder(spec.value, end_id), None
+        enc, fs = held_encoder(spec.value, end_id, by_words), None
         kind, width = enc.kind, enc.kind.itemsize
         schema = sequence_schema(length, kind)
         left, n_ids, n_docs = b"", 0, 0
@@ -180,8 +187,9 @@ def _write(spec, end_id: int, uri: str, length: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int = 2, uri: str | None = None, length: int = LENGTH, shards: int | None = None) -> DataFrame:
-    """Write the shards and return one row a shard: shard, path (without .arrow and .docs), n_docs, n_ids."""
+def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int = 2, uri: str | None = None, length: int = LENGTH, shards: int | None = None, by_words: bool = False) -> DataFrame:
+    """Write the shards and return one row a shard: shard, path (without .arrow and .docs), n_docs, n_ids. by_words: the
+    tokenizer lower-cases, drops white space and has word ends, so that words can be encoded apart."""
     spark = docs.sparkSession
     ship(spark)
     uri = uri or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -189,10 +197,10 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int = 2, uri: str
     fs.create_dir(top)
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB, whatever the corpus
-    d = docs.select("doc_id", "text")
+    d = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # rows that share a doc_id can be dealt out too
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(d.mapInArrow(_write(spec, end_id, uri, length), SHARDS), "shards")
+    d = d.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    return cut(d.mapInArrow(_write(spec, end_id, uri, length, by_words), SHARDS), "shards")
 
 
 def read_sequences(path: str) -> Iterator[pa.RecordBatch]:
@@ -241,4 +249,4 @@ def read_tokens(shards: DataFrame) -> DataFrame:
 def tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_tokens(write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
+    return read_tokens(write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), by_words=True))

@@ -100,7 +100,7 @@ def test_token_files_round_trip(spark, small, tmp_path):
     real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = [(-5, None), (-4, ""), (-3, "É İ ſ Σς <|endoftext|> it's 123\x00\x1c x"), (-2, "word " * 9000), (-6, "It's, don't! J\u030c A\u0300 \u212b x... (yes). ʼN ŉ İx ÉÈ! naïve; 3.5, a,b ß? ÷ ×x Ω… ǅ end:"), (-1, "same"), (-1, "same"), *real]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, shard int").repartition(7)
-    shards = binary.write_tokens(df, JSON, uri=f"file://{tmp_path}/t", length=64, shards=5)
+    shards = binary.write_tokens(df, JSON, uri=f"file://{tmp_path}/t", length=64, shards=5, by_words=True)
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in binary.read_tokens(shards).collect())
     want, at, all_ids = [], 0, []
     for d, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
