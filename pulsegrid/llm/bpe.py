@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import map_rows, ship
 
-CACHE, WORDS_CACHE, WORDS_AT_ONCE, BYTES_AT_ONCE, LONG = 300_000, 400_000, 60_000, 1_000_000, 100
+#: Pieces kept by a worker; the words kept and the rows worked on at once are in proportion.
+CACHE, LONG, LONG_BYTES = 300_000, 100, 400_000
 
 #: start(w, p, t, n): word, place, token and the token after it. The last state of each word comes back as its ids in decimals
 #: and as the bytes that the vocabulary decodes them to.
@@ -86,8 +87,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """The database of one worker: merge table, vocabulary, and the words met of late (their ids in decimals, decoded bytes)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
+        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), cache
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(a * 65536 + b, v) for k, v in ranks.items() for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "tok": pa.array([t for _, t in pairs], pa.int32())})
@@ -148,11 +149,12 @@ class Bpe:
         out: dict[bytes, tuple[str, bytes]] = {}
         groups, room = [], 0
         for w in sorted(words, key=len):
-            if not groups or len(w) > room or (len(groups[-1][0]) < LONG) != (len(w) < LONG) or len(groups[-1]) >= WORDS_AT_ONCE:
+            cost = len(w) if len(w) >= LONG else len(w) ** 2  # rows of one state, or of all states of a recursive query
+            if not groups or cost > room or (len(groups[-1][0]) < LONG) != (len(w) < LONG):
                 groups.append([])
-                room = BYTES_AT_ONCE
+                room = LONG_BYTES if len(w) >= LONG else 20 * self.cache
             groups[-1].append(w)
-            room -= len(w)
+            room -= cost
         for g in groups:
             out.update(zip(g, self._merged(g), strict=True))
         return out
@@ -212,9 +214,9 @@ class Pieces:
     def take(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards said and back know them all."""
         bpe = self.bpe
-        if len(self.said) > CACHE:
+        if len(self.said) > bpe.cache:
             self.older, self.said, self.back = (self.said, self.back), {}, {}
-        if len(bpe.words) > WORDS_CACHE:
+        if len(bpe.words) > bpe.cache * 4 // 3:
             bpe.words = {}
         cuts = [self.cut(t) for t in texts]
         new = set().union(*cuts) - self.said.keys()
@@ -232,20 +234,20 @@ class Pieces:
 
 
 #: The encoder of this Python worker: the tasks that it runs one after the other share database and words.
-_HELD: dict[tuple[int, int, str, bool], Pieces] = {}
+_HELD: dict[tuple, Pieces] = {}
 
 
-def held_pieces(ranks: dict[bytes, int], pattern: str, at_spaces: bool) -> Pieces:
-    key = (len(ranks), hash(tuple(ranks.items())), pattern, at_spaces)
+def held_pieces(ranks: dict[bytes, int], pattern: str, at_spaces: bool, cache: int = CACHE) -> Pieces:
+    key = (len(ranks), hash(tuple(ranks.items())), pattern, at_spaces, cache)
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Pieces(Bpe(ranks, pattern), at_spaces)
+        _HELD[key] = Pieces(Bpe(ranks, pattern, cache), at_spaces)
     return _HELD[key]
 
 
-def _round_trip(ranks, pattern: str, with_ids: bool, at_spaces: bool) -> Callable:
+def _round_trip(ranks, pattern: str, with_ids: bool, at_spaces: bool, cache: int) -> Callable:
     def make():
-        pieces = held_pieces(ranks.value, pattern, at_spaces)
+        pieces = held_pieces(ranks.value, pattern, at_spaces, cache)
 
         def fn(c: dict) -> dict:
             cuts = pieces.take([t or "" for t in c["text"]])
@@ -265,13 +267,14 @@ def _round_trip(ranks, pattern: str, with_ids: bool, at_spaces: bool) -> Callabl
     return make
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, at_spaces: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, at_spaces: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (array<int>) of each document. at_spaces: a match of the
-    pattern always ends before a space between two characters that are not white space (so with public_tokenizers.PATTERN)."""
+    pattern always ends before a space between two characters that are not white space (so with public_tokenizers.PATTERN). cache:
+    pieces that a worker keeps; fewer take less memory and more time."""
     ship(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: under 2 MB, whatever the corpus
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_rows(docs.select("doc_id", "text"), _round_trip(ranks, pattern, with_ids, at_spaces), schema, rows=2048)
+    return map_rows(docs.select("doc_id", "text"), _round_trip(ranks, pattern, with_ids, at_spaces, cache), schema, rows=max(128, 2048 * cache // CACHE))
 
 
 def _decode(ranks, pattern: str) -> Callable:
