@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from pulsegrid.llm import decontaminate
 
@@ -103,7 +104,7 @@ def test_pipeline_stages(spark, small):
         left = [x for i, x in enumerate(rows[r.doc_id].text.split("\n")) if i not in set(gone.get(r.doc_id, []))]
         assert r.text == "\n".join(left) and r.n_chars == len(r.text)
     d = c.near_dedup(spark, some, small).collect()
-    sets = {i: set(minhash.shingle_set(r.text, 5).tolist()) for i, r in rows.items() if i < 60}
+    sets = {i: set(minhash.shingle_sets(pa.array([r.text], pa.string()), 5)[0].tolist()) for i, r in rows.items() if i < 60}
     for r in d:
         assert not any(sets[r.doc_id] and 100 * len(sets[r.doc_id] & sets[i]) >= 80 * len(sets[r.doc_id] | sets[i]) for i in sets if i < r.doc_id)
     e = c.decontamination(spark, some, small).collect()
