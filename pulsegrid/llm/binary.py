@@ -81,9 +81,12 @@ class WordEncoder:
     def _learn(self, new: list[bytes]) -> None:
         if not new:
             return
-        texts = b"\n".join(new).lower().decode().split("\n")  # ASCII alone is folded; no word holds white space
-        bare = [t.rstrip(CLOSING) for t in texts]
+        joined = b"\n".join(new)
+        low = joined.lower().decode().split("\n")  # ASCII alone is folded; no word holds white space
+        bare = [t.rstrip(CLOSING) for t in low]
         plain = [x.isalpha() and (x.isascii() or PLAIN.fullmatch(x) is not None) for x in bare]
+        # the normaliser composes marks before it folds, and some capitals compose only once folded: other words stay as they are
+        texts = [t if p or t.isascii() else r for t, r, p in zip(low, joined.decode().split("\n"), plain, strict=True)]
         cores = self.cores
         some = list({x for x, p in zip(bare, plain, strict=True) if p} - cores.keys())
         groups = [some[k : k + TOGETHER] for k in range(0, len(some), TOGETHER)]

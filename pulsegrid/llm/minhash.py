@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
     placed = cut(placed, "placed")
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     tops = shares.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
-    fine = heads.select("cid", F.struct(*[F.col("fine")[i].alias(f"f{i}") for i in range(FINE)]).alias("fine"))
+    fine = heads.select("cid", F.struct(*[F.get("fine", F.lit(i)).alias(f"f{i}") for i in range(FINE)]).alias("fine"))
     split = placed.join(tops, "key").join(fine, "cid")
     out = split.where("component <> top").select("key", F.col("cid").alias("o"), F.col("component").alias("of"), F.col("m").alias("c"), F.col("fine").alias("fine_o"))
     unlike = sum(F.bit_count(F.col(f"fine.f{i}").bitwiseXOR(F.col(f"fine_o.f{i}"))) for i in range(FINE))
