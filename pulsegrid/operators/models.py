@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from pulsegrid.functions.filters import whitener
 from pulsegrid.operators import scores, stats
-from pulsegrid.shared import ship
+from pulsegrid.shared import cut, ship
 
 MODEL = "k int, kind string, evt string, idx int, v double"
 
@@ -19,30 +19,32 @@ MODEL = "k int, kind string, evt string, idx int, v double"
 def summary_stats(signal: DataFrame, events: DataFrame, keys: list[str], groups: list[str], tau: int) -> DataFrame:
     """groups, stat ('xx', 'xy', 'yy'), a, b, c, v: covariances of the true output (object 0) as one additive table."""
     true = events.where("obj = 0")
-    x = stats.channel_arrays(signal, keys)
+    x, chs = stats.aligned_arrays(signal, keys, groups)
     none = F.lit(None).cast("string")
-    xx = stats.cov_xx(x, groups).select(*groups, F.lit("xx").alias("stat"), none.alias("e1"), none.alias("e2"), F.col("d1").alias("a"), F.col("d2").alias("b"), "v")
+    ch = lambda d: F.get("chs", F.col(d)).cast("int")
+    xx = stats.cov_xx(x, groups).join(chs, groups).select(*groups, F.lit("xx").alias("stat"), none.alias("e1"), none.alias("e2"), ch("d1").alias("a"), ch("d2").alias("b"), "v")
     xy = stats.cov_xy(signal, true, keys, groups, tau).select(*groups, F.lit("xy"), F.col("evt"), none, F.col("lag"), F.col("ch"), "v")
     yy = stats.cov_yy(true, keys, groups, tau).select(*groups, F.lit("yy"), F.col("evt1"), F.col("evt2"), F.col("lag").cast("int"), F.lit(0), "v")
     return xx.union(xy).union(yy)
 
 
-def _matrices(f: pd.DataFrame, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Cxx (d, d), Cxy (events * tau, d), Cyy (events * tau, events * tau) of one group's table."""
+def _matrices(f: pd.DataFrame, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Cxx (d, d), Cxy (events * tau, d), Cyy (events * tau, events * tau) of one group's table, its events, and the channel
+    numbers that stand at the d places."""
     xx, xy, yy = (f[f["stat"] == s] for s in ("xx", "xy", "yy"))
-    d = int(xx["a"].max()) + 1
-    evts = sorted(set(xy["e1"]))
+    chs = np.unique(xx["a"].to_numpy(np.int64))
+    evts, d = sorted(set(xy["e1"])), len(chs)
     at = {e: i for i, e in enumerate(evts)}
     cxx, cxy, cyy = np.zeros((d, d)), np.zeros((len(evts) * tau, d)), np.zeros((len(evts) * tau,) * 2)
-    cxx[xx["a"], xx["b"]] = xx["v"]
-    for e, lag, ch, v in zip(xy["e1"], xy["a"], xy["b"], xy["v"], strict=True):
+    cxx[np.searchsorted(chs, xx["a"]), np.searchsorted(chs, xx["b"])] = xx["v"]
+    for e, lag, ch, v in zip(xy["e1"], xy["a"], np.searchsorted(chs, xy["b"]), xy["v"], strict=True):
         cxy[at[e] * tau + lag, ch] = v
     for e1, e2, lag, v in zip(yy["e1"], yy["e2"], yy["a"], yy["v"], strict=True):
         if e1 in at and e2 in at and lag < tau:  # y[t + lag, e1] meets y[t, e2]: responses at lags i and i + lag
             for i in range(tau - lag):
                 cyy[at[e1] * tau + i, at[e2] * tau + i + lag] = v
                 cyy[at[e2] * tau + i + lag, at[e1] * tau + i] = v
-    return cxx, cxy, cyy, evts
+    return cxx, cxy, cyy, evts, chs
 
 
 def _rows(f: pd.DataFrame, groups: list[str], parts: list[tuple]) -> pd.DataFrame:
@@ -64,7 +66,7 @@ def fit_cca(table: DataFrame, groups: list[str], tau: int, rank: int = 1, reg_x:
     Cxy; r is weighted by its share of the largest correlation. The sign makes each largest spatial weight positive."""
 
     def fn(f):
-        cxx, cxy, cyy, evts = _matrices(f, tau)
+        cxx, cxy, cyy, evts, chs = _matrices(f, tau)
         if not cxy.any():
             return []
         wx, wy = whitener(cxx, reg_x, symmetric=False), whitener(cyy, reg_y, symmetric=False)
@@ -73,7 +75,7 @@ def fit_cca(table: DataFrame, groups: list[str], tau: int, rank: int = 1, reg_x:
         for k in range(min(rank, len(s))):
             w, r = wx @ vt[k], wy @ u[:, k] * (s[k] / max(s[0], 1e-12))
             sign = np.sign(w[np.argmax(np.abs(w))]) or 1.0
-            out += [(k, "w", None, i, float(v * sign)) for i, v in enumerate(w)]
+            out += [(k, "w", None, int(i), float(v * sign)) for i, v in zip(chs, w, strict=True)]
             out += [(k, "r", evts[i // tau], i % tau, float(v * sign)) for i, v in enumerate(r)]
         return out
 
@@ -84,11 +86,11 @@ def fit_forward(table: DataFrame, groups: list[str], tau: int, reg: float = 0.0)
     """Least squares of the signal on lagged events. k is the channel, kind 'r'."""
 
     def fn(f):
-        _, cxy, cyy, evts = _matrices(f, tau)
+        _, cxy, cyy, evts, chs = _matrices(f, tau)
         if not cxy.any():
             return []
         b = np.linalg.lstsq(cyy + reg * cyy.diagonal().max() * np.eye(len(cyy)), cxy, rcond=None)[0]
-        return [(ch, "r", evts[i // tau], i % tau, float(b[i, ch])) for ch in range(b.shape[1]) for i in range(len(b))]
+        return [(int(ch), "r", evts[i // tau], i % tau, float(b[i, k])) for k, ch in enumerate(chs) for i in range(len(b))]
 
     return _fitted(table, groups, fn)
 
@@ -99,7 +101,8 @@ def fit_backward(signal: DataFrame, target: DataFrame, keys: list[str], groups:
     ship(signal.sparkSession)
     kinds = dict(signal.dtypes)
     t = target.select(*keys, "samp", F.col("v").alias("_y"))
-    x = stats.window_arrays(stats.channel_arrays(signal, keys).join(t, [*keys, "samp"]), keys, tau).withColumn("x", F.concat("x", F.array(F.col("_y").cast("double"))))
+    x, chs = stats.aligned_arrays(signal, keys, groups)
+    x = stats.window_arrays(x.join(t, [*keys, "samp"]), keys, tau).withColumn("x", F.concat("x", F.array(F.col("_y").cast("double"))))
     gs = ", ".join(f"{g} {kinds[g]}" for g in groups)
     c = stats.cross_sums(x.withColumn("_x", F.col("x")), groups, "x", "_x")
 
@@ -111,7 +114,7 @@ def fit_backward(signal: DataFrame, target: DataFrame, keys: list[str], groups:
         d = n // tau
         return pd.DataFrame({**{g: f[g].iloc[0] for g in groups}, "lag": np.arange(n) // d, "ch": np.arange(n) % d, "w": w})
 
-    return c.groupBy(*groups).applyInPandas(solve, f"{gs}, lag int, ch int, w double")
+    return c.groupBy(*groups).applyInPandas(solve, f"{gs}, lag int, ch int, w double").join(chs, groups).select(*groups, "lag", F.get("chs", F.col("ch")).cast("int").alias("ch"), "w")
 
 
 def factored_to_full(model: DataFrame, groups: list[str]) -> DataFrame:
@@ -128,9 +131,9 @@ def spatial_pattern(model: DataFrame, table: DataFrame, groups: list[str]) -> Da
     return xx.join(w, [*groups, "b"]).groupBy(*groups, "k", "ch").agg(F.sum(F.col("_c") * F.col("_w")).alias("v"))
 
 
-def predict(signal: DataFrame, events: DataFrame, full: DataFrame, keys: list[str], on: list[str], offset: int = 0) -> DataFrame:
+def predict(signal: DataFrame, events: DataFrame, full: DataFrame, keys: list[str], on: list[str], offset: int = 0, tau: int | None = None) -> DataFrame:
     """keys, samp, obj, v: scores of all outputs by a full model (on, evt, lag, ch, w)."""
-    fe = scores.score_stimulus(signal, full.select(*on, "evt", "lag", "ch", "w"), keys, on, offset)
+    fe = scores.score_stimulus(signal, full.select(*on, "evt", "lag", "ch", "w"), keys, on, offset, tau)
     return scores.score_output(fe, events, keys)
 
 
@@ -146,7 +149,7 @@ def cross_validate(signal: DataFrame, events: DataFrame, by: list[str], tau: int
     ranks = ranks or [1]
     keys = [*by, "trial"]
     f = with_folds(signal, by, folds)
-    own = summary_stats(signal.join(f, keys), events.join(f, keys), [*keys, "fold"], [*by, "fold"], tau)
+    own = cut(summary_stats(signal.join(f, keys), events.join(f, keys), [*keys, "fold"], [*by, "fold"], tau), "stats")  # one scan, whatever reads it
     cell = [*by, "stat", "e1", "e2", "a", "b"]
     total = own.groupBy(*cell).agg(F.sum("v").alias("_t"))
     grid = total.join(f.select(*by, "fold").distinct(), by)
@@ -155,11 +158,10 @@ def cross_validate(signal: DataFrame, events: DataFrame, by: list[str], tau: int
     for c in [*cell, "fold"]:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     train = grid.join(mine, on, "left").select(*cell, "fold", (F.col("_t") - F.coalesce("_v", F.lit(0.0))).alias("v"))
-    model = fit_cca(train, [*by, "fold"], tau, max(ranks), reg, reg)
-    cut = model.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in ranks]))).where("k < rank")
-    full = factored_to_full(cut, [*by, "fold", "rank"])
+    model = cut(fit_cca(train, [*by, "fold"], tau, max(ranks), reg, reg), "model")
+    full = factored_to_full(model.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in ranks]))).where("k < rank"), [*by, "fold", "rank"])
     at = f.withColumn("rank", F.explode(F.array(*[F.lit(r) for r in ranks])))
-    fy = predict(signal.join(at, keys), events.join(at, keys), full, [*keys, "fold", "rank"], [*by, "fold", "rank"])
+    fy = predict(signal.join(at, keys), events.join(at, keys), full, [*keys, "fold", "rank"], [*by, "fold", "rank"], tau=tau)
     fy = fy.select(*keys, "samp", "obj", "rank", "v")
     return fy, scores.audc_score(fy, [*keys, "rank"], [*by, "rank"])
 
@@ -171,8 +173,8 @@ def holdout_eval(signal: DataFrame, events: DataFrame, by: list[str], tau: int,
     out = held_out.select(*keys).distinct()
     x, y = (d.join(out, keys, "left_anti") for d in (signal, events))
     own = cross_validate(x, y, by, tau, folds, [rank], reg)[0].select(*keys, "samp", "obj", "v", F.lit(False).alias("test"))
-    full = factored_to_full(fit_cca(summary_stats(x, y, keys, by, tau), by, tau, rank, reg, reg), by)
-    new = predict(signal.join(out, keys, "left_semi"), events.join(out, keys, "left_semi"), full, keys, by)
+    full = cut(factored_to_full(fit_cca(summary_stats(x, y, keys, by, tau), by, tau, rank, reg, reg), by), "model")
+    new = predict(signal.join(out, keys, "left_semi"), events.join(out, keys, "left_semi"), full, keys, by, tau=tau)
     return own.union(new.select(*keys, "samp", "obj", "v", F.lit(True).alias("test")))
 
 
@@ -197,8 +199,8 @@ def learning_curve(signal: DataFrame, events: DataFrame, by: list[str], tau: int
     train, test = (at.where(c).select(*keys, "size") for c in ("_n <= size", "_n > size"))
     g = [*by, "size"]
     table = summary_stats(signal.join(train, keys), events.join(train, keys), [*keys, "size"], g, tau)
-    full = factored_to_full(fit_cca(table, g, tau, rank, reg, reg), g)
-    fy = predict(signal.join(test, keys), events.join(test, keys), full, [*keys, "size"], g)
+    full = cut(factored_to_full(fit_cca(table, g, tau, rank, reg, reg), g), "model")
+    fy = predict(signal.join(test, keys), events.join(test, keys), full, [*keys, "size"], g, tau=tau)
     return scores.audc_score(fy, [*keys, "size"], g)
 
 

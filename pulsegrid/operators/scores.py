@@ -15,13 +15,13 @@ def _run(keys, *order):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def score_stimulus(signal: DataFrame, model: DataFrame, keys: list[str], on: list[str] | None = None, offset: int = 0) -> DataFrame:
+def score_stimulus(signal: DataFrame, model: DataFrame, keys: list[str], on: list[str] | None = None, offset: int = 0, tau: int | None = None) -> DataFrame:
     """keys, samp, evt, v: sum over lags and channels of x[samp + lag, ch] * w[evt, lag, ch], for samples with the whole
     response inside the trial, moved so that out[samp] = score[samp + offset]. model: (on), evt, lag, ch, w and bias rows with
-    lag null. The model is joined on `on` (none: one model for all)."""
+    lag null. The model is joined on `on` (none: one model for all). tau: the length of the response, else a job reads it from the model."""
     on = on or []
     w = model.where("lag is not null")
-    tau = w.agg(F.max("lag")).first()[0] + 1
+    tau = tau or w.agg(F.max("lag")).first()[0] + 1
     last = signal.groupBy(*keys).agg(F.max("samp").alias("_last"))
     j = signal.join(w if on else F.broadcast(w), [*on, "ch"]).withColumn("_at", F.col("samp") - F.col("lag")).where("_at >= 0")
     s = j.groupBy(*keys, "evt", "_at").agg(F.sum(F.col("v") * F.col("w")).alias("v")).join(last, keys).where(F.col("_at") <= F.col("_last") + 1 - tau)

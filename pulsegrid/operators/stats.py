@@ -44,6 +44,16 @@ def channel_arrays(signal: DataFrame, keys: list[str]) -> DataFrame:
     return x.select(*keys, "samp", F.transform("_x", lambda s: s["v"]).alias("x"))
 
 
+def aligned_arrays(signal: DataFrame, keys: list[str], groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, samp, x; groups, chs): x holds every channel that stands anywhere in a group, in the order of chs, 0 where a sample lacks
+    one. A channel is told by its number, not its place, so groups and samples with unlike channels go through one fit."""
+    chs = signal.groupBy(*groups).agg(F.sort_array(F.collect_set("ch")).alias("chs"))  # a row a group, as long as a group has channels
+    x = signal.groupBy(*keys, "samp").agg(F.collect_list(F.struct("ch", "v")).alias("_x"))  # the channels of one sample
+    held = F.map_from_arrays(F.transform("_x", lambda s: s["ch"]), F.transform("_x", lambda s: s["v"].cast("double")))
+    x = x.select(*keys, "samp", held.alias("_m")).join(chs, groups) if groups else x.select(*keys, "samp", held.alias("_m")).crossJoin(F.broadcast(chs))
+    return x.select(*keys, "samp", F.transform("chs", lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0))).alias("x")), chs
+
+
 def window_arrays(signal: DataFrame, keys: list[str], tau: int, x: str = "x") -> DataFrame:
     """x becomes the values at samp .. samp + tau - 1 one after the other; samples without a whole window go."""
     w = Window.partitionBy(*keys).orderBy("samp")
