@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import binary, bpe, decontaminate, html, lines, minhash, quality, secrets, suffixes, urls
+from pulsegrid.llm import binary, bpe, decontaminate, fim, html, lines, minhash, quality, secrets, suffixes, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_secret_scan": secrets.secrets_query,
         "op9_url_filter": urls.urls_query,
         "op10_line_dedup": lines.lines_query,
+        "op13_fill_in_middle": fim.fim_query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": quality.ORACLE, "op5_minhash_near_dedup": minhash.ORACLE, "op9_url_filter": urls.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op5_minhash_near_dedup": minhash.ORACLE, "op9_url_filter": urls.ORACLE, "op13_fill_in_middle": fim.ORACLE}
