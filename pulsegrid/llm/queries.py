@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm import binary, bpe, decontaminate, fim, html, lines, minhash, mixing, quality, secrets, suffixes, urls
+from pulsegrid.llm import binary, bpe, decontaminate, fim, html, lines, minhash, mixing, quality, runs, secrets, suffixes, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secrets.secrets_query,
         "op9_url_filter": urls.urls_query,
         "op10_line_dedup": lines.lines_query,
+        "op11_periodic_runs": runs.runs_query,
         "op12_source_mixing": mixing.mixing_query,
         "op13_fill_in_middle": fim.fim_query,
     }
