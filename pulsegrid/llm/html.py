@@ -3,10 +3,11 @@
 A page is cut into blocks at block-level tags. The first pass looks at each block alone: boilerplate containers (by tag
 or by words of their class and id) and blocks of links are bad; blocks of some length with many stop words are good; the
 rest is ambiguous. In the second pass an ambiguous block takes the label of its nearest decided neighbours, inside an
-article those of the same article. Where a page marks an article with text, blocks outside it are boilerplate.
+article those of the same article. Where a page marks an article with text, blocks outside it are boilerplate. Class words that
+name the layout (a sidebar, a banner) say nothing of an article inside; those of comments, adverts or teasers do.
 
-Defined cases: null or empty html gives an empty text; broken or cut markup is read to its end (an open comment or script
-runs to the end); a page without any decided block keeps its ambiguous blocks that have a stop word or stand in an
+Defined cases: null or empty html gives an empty text; broken or cut markup is read to its end (an open comment, script
+or tag runs to the end), in time linear in its length; a page without any decided block keeps its ambiguous blocks that have a stop word or stand in an
 article; repeated rows return as often as they stand; an empty table gives an empty result; columns other than page_id,
 url and html are not read.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -35,8 +37,14 @@ RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|canvas|aud
 #: Words in a class, id or role that name boilerplate.
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription comment comments respond disqus share sharing social related recommended recommendations teaser widget toolbar login signup search pagination pager copyright masthead skip banner alert contentinfo complementary".split())
 
+#: Of these words those that also count against an article inside the container, or with the word itself.
+STRICT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription comment comments respond disqus related recommended recommendations teaser".split())
+#: Words of a class that turn the others into a remark on the page or the state of a block.
+REMARKS = frozenset("has no not with without is free open closed enabled disabled type format status category tag".split())
+
+#: A quote counts only behind an equals sign, and what is not closed runs to the end, so no match is tried twice.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTRS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -49,22 +57,29 @@ GOOD, BAD, OPEN = 1, -1, 0
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def _hinted(attrs: str) -> bool:
-    if HIDDEN.search(attrs):
-        return True
-    for m in ATTRS.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        if not HINTS.isdisjoint(SPLIT.split(value.lower())) or not HINTS.isdisjoint(SPLIT.split(CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+CLEAN, SOFT, HARD, NEVER_TEXT = 0, 1, 2, 3
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters inside links, in a boilerplate container, number of the article or 0) of each block."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+def _hinted(attrs: str) -> int:
+    """What class, id and role say of a container: nothing, a part of the layout (SOFT), or no article (HARD)."""
+    if HIDDEN.search(attrs):
+        return NEVER_TEXT
+    found = CLEAN
+    for m in ATTRS.finditer(attrs):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            words = {*SPLIT.split(token.lower()), *SPLIT.split(CAMEL.sub(" ", token).lower())}
+            if words & HINTS and not words & REMARKS:
+                found = max(found, HARD if words & STRICT else SOFT)
+    return found
+
+
+def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters inside links, kind of boilerplate container, number of the article or 0) of each block."""
+    out: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, kind of boilerplate, article
+    depth: Counter[str] = Counter()  # open containers by tag
     parts: list[str] = []
-    state = {"bad": False, "article": 0, "links": 0, "in_a": False, "in_p": False}
+    state = {"bad": CLEAN, "article": 0, "links": 0, "in_a": False, "in_p": False}
     opened = (0, False)  # of the link: depth, and whether a paragraph was open
     articles = 0
 
@@ -82,8 +97,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             if state["in_a"]:
                 state["links"] += len(" ".join(_html.unescape(piece).split()))
 
-    last = 0
-    for m in TOKEN.finditer(page):
+    last, end = 0, page.rfind(">") + 1  # behind the last end of a tag all is text
+    for m in TOKEN.finditer(page, 0, end):
         add(page[last : m.start()])
         last = m.end()
         if not m[3]:
@@ -107,16 +122,25 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                 continue
             if tag == "body":  # a head that was never closed ends here
                 stack.clear()
-            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            if tag in ("article", "main") and not article:
-                articles += 1
-                article = articles
-            bad = bad or tag in NEVER or (tag == "header" and not article) or (tag != "body" and bool(m[4]) and _hinted(m[4]))
-            stack.append((tag, bad, article))
-        elif any(t == tag for t, _, _ in stack):
-            while stack.pop()[0] != tag:
-                pass
-        state["bad"], state["article"] = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                depth.clear()
+            bad, article = (stack[-1][1], stack[-1][2]) if stack else (CLEAN, 0)
+            own = _hinted(m[4]) if m[4] and tag != "body" else CLEAN
+            if tag in ("article", "main"):
+                own = CLEAN if own == SOFT else own
+                if not article:
+                    articles += 1
+                    article, bad = articles, CLEAN if bad == SOFT else bad
+            if tag in NEVER or (tag == "header" and not article):
+                own = NEVER_TEXT
+            stack.append((tag, max(bad, own), article))
+            depth[tag] += 1
+        elif depth[tag]:
+            while True:
+                top = stack.pop()[0]
+                depth[top] -= 1
+                if top == tag:
+                    break
+        state["bad"], state["article"] = (stack[-1][1], stack[-1][2]) if stack else (CLEAN, 0)
         if len(stack) < opened[0] or opened[1]:  # the container of the link is over
             state["in_a"] = False
     add(page[last:])
@@ -124,7 +148,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def first_pass(text: str, links: int, bad: bool, article: int, short: int, long: int, stop_low: float, stop_high: float, link_max: float) -> tuple[int, float]:
+def first_pass(text: str, links: int, bad: int, article: int, short: int, long: int, stop_low: float, stop_high: float, link_max: float) -> tuple[int, float]:
     words = WORD.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if bad or links > link_max * len(text):

@@ -105,3 +105,26 @@ def test_long_words_meet_the_library():
     b.learn(words)
     for w in words:
         assert b.words[w][0] == " ".join(map(str, enc.encode_ordinary(w))) and b.words[w][1] == w.encode()
+
+
+def test_class_words_around_an_article():
+    for head, tail in (('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div class="no-banner"><main>', "</main></div>"), ('<div class="widget-area"><article>', "</article></div>"),
+                       ('<article class="post comments-open">', "</article>"), ('<article class="post type-ad-free">', "</article>"), ('<div id=sidebar><div class=banner><article class="social">', "</article></div></div>")):
+        assert html.main_text(f"<body>{head}<h1>Title</h1><p>{PARA}</p><p>{PARA}</p>{tail}</body>") == f"Title\n{PARA}\n{PARA}", head
+    for head, tail in (('<div class="comments"><article>', "</article></div>"), ('<article class="comment">', "</article>"), ("<aside><article>", "</article></aside>"), ('<div style="display:none"><article>', "</article></div>")):
+        assert html.main_text(f"<article><p>{PARA}</p></article>{head}<p>{PARA} Second.</p>{tail}") == PARA, head
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for junk in ("<p a='", "<a b ", "<p a='>'", "<svg ", "<!-- ", "<script ", '<div class="', '<a href="x', "</script ", "<div></ul>"):
+        page = junk * (1_000_000 // len(junk))
+        began = time.process_time()
+        html.main_text(page)
+        html.main_text(page + ">")
+        assert html.main_text(f"<article><p>{PARA}</p>{page}").startswith(PARA)
+        assert time.process_time() - began < 9, junk
+    began = time.process_time()
+    html.main_text("<div>" * 100_000 + "</ul>" * 100_000)
+    assert time.process_time() - began < 9
