@@ -25,6 +25,7 @@ HEX = r"[0-9a-f]{16,}"
 #: Further shapes: upper-case hex keys, prefixed keys, bearer tokens. They are spans only if their value looks live.
 TOKEN = r"[0-9A-F]{32,}|(?:ghp|gho|glpat|xox[abp]|sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|[Bb]earer\x20+[A-Za-z0-9._~+/=-]{16,}"
 KINDS = ["assign", "access", "hex", "token"]
+BLOCK = 256
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,value:bigint>>"
 
 
@@ -35,7 +36,10 @@ def _spans(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("val"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    cut_up = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda b: F.slice(r, b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.flatten(F.transform(F.array(rows), cut_up))  # bound to a name, the matches are found once
+    none = F.array().cast(SPAN)
+    found_to = lambda at: F.struct(at.alias("at"), none.alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
@@ -44,7 +48,9 @@ def _spans(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0
         out = F.when(F.length(x["val"]) >= least, F.concat(acc["out"], one.cast(SPAN))).otherwise(acc["out"])
         return F.struct(F.coalesce(stop, begin).alias("at"), out.alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    # each step of an aggregate copies what it holds: so lists of up to BLOCK spans grow one by one, then a list of those lists
+    walk = F.aggregate(blocks, F.array(found_to(F.lit(0).cast("long"))), lambda acc, b: F.concat(acc, F.array(F.aggregate(b, found_to(F.element_at(acc, -1)["at"]), step))))
+    return F.when(text.rlike(pattern), F.flatten(F.transform(walk, lambda x: x["out"]))).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:

@@ -109,3 +109,16 @@ def test_alias_classes_meet_the_sql(spark):
     con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"url": "string", "html": "string"}))
     assert got == sorted(con.execute(urls.ORACLE).fetchall())
     assert {got[i][4] for i in (0, 1, 2, 3, 4, 11, 12, 15, 16)} == {"block"} and {got[i][4] for i in (5, 6, 7, 8, 9, 10, 13, 14)} == {"allow"}
+
+
+def test_spans_of_a_text_with_very_many_matches(spark):
+    import time
+
+    n = 40_000
+    text = " ".join(f"{i:016x}" for i in range(n))
+    df = spark.createDataFrame([(1, text, "o", "en"), (2, "none here", "o", "en")], "doc_id bigint, text string, source string, lang string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert time.time() - began < 25
+    assert got[1].n_hex == n and got[2].spans == ""
+    assert got[1].spans == ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n))
