@@ -1,4 +1,4 @@
-"""Sequential filters, spectra and whitening: small numpy helpers that Spark runs by session or trial."""
+"""Sequential filters by blocks of samples; spectra and whitening by trial and group."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.window import Window
 
+from pulsegrid.operators import blocks
 from pulsegrid.shared import ship
 
 
@@ -91,25 +92,22 @@ def warm_state(sos: np.ndarray, first: np.ndarray) -> np.ndarray:
 # --- by session, in order of time
 
 
-def _by(df: DataFrame, keys: list[str], order: str, fn, x: str = "x", trial: str | None = None) -> DataFrame:
-    """fn: (samples, channels) array -> array of the same length, for each key. With trial, fn also gets the first rows of the
-    key's trials, which stand in their order."""
+def _by(df: DataFrame, keys: list[str], order: str, fn, x: str = "x") -> DataFrame:
+    """fn: (samples, channels) array -> array of the same length, for each key: for what needs a whole trial (spectra)."""
     ship(df.sparkSession)
     cols = df.columns
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([trial, order] if trial else order, kind="stable")
-        a = np.array(f[x].tolist(), float)
-        f[x] = list(fn(a, np.flatnonzero(np.diff(f[trial].to_numpy(), prepend=f[trial].iloc[0] - 1))) if trial else fn(a))
+        f = f.sort_values(order, kind="stable")
+        f[x] = list(fn(np.array(f[x].tolist(), float)))
         return f[cols]
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-def iir_filter(df: DataFrame, keys: list[str], fs: float, bands: list, order: int = 4) -> DataFrame:
-    """A cascade of Butterworth sections over each session."""
-    sos = np.concatenate([butter_sections(order, b, fs) for b in bands])
-    return _by(df, keys, "samp", lambda x: run_sections(sos, x)[0])
+def iir_filter(df: DataFrame, keys: list[str], fs: float, bands: list, order: int = 4, size: int = blocks.SIZE) -> DataFrame:
+    """A cascade of Butterworth sections over each session, block by block, from the steady state of the first sample."""
+    return blocks.linear_blocks(df, keys, [blocks.Linear.sections(np.concatenate([butter_sections(order, b, fs) for b in bands]))], size=size)
 
 
 def fft_filterbank(df: DataFrame, keys: list[str], fs: float, bands: list[tuple[float, float]]) -> DataFrame:
@@ -122,64 +120,113 @@ def fft_filterbank(df: DataFrame, keys: list[str], fs: float, bands: list[tuple[
     return _by(df, keys, "samp", fn)
 
 
-def iir_filterbank(df: DataFrame, keys: list[str], fs: float, bands: list[tuple[float, float]], order: int = 4) -> DataFrame:
-    banks = [butter_sections(order, b, fs, "bandpass") for b in bands]
-    return _by(df, keys, "samp", lambda x: np.concatenate([run_sections(s, x)[0] for s in banks], axis=1))
-
-
-def standardize_power(df: DataFrame, groups: list[str], trial: str = "trial", alpha: float = 1e-3, reg: float = 0.1) -> DataFrame:
-    """Each channel over the root of half the sum of its running power and reg times the median channel's; a power of 0 becomes
-    1. The powers flow on from trial to trial of a group."""
-
-    def fn(x, starts):
-        p, out = x[0] * x[0], np.empty_like(x)
-        for t, v in enumerate(x):
-            p = (1 - alpha) * p + alpha * v * v
-            p[p == 0] = 1.0
-            out[t] = v / np.sqrt((p + reg * np.median(p)) / 2)
-        return out
-
-    return _by(df, groups, "samp", fn, trial=trial)
-
-
-def decorrelate_ar(df: DataFrame, groups: list[str], trial: str = "trial", taps: int = 50, eta: float = 1e-7, reg: float = 0.5) -> DataFrame:
-    """Each channel less reg times its linear prediction from the last taps; the first taps samples of a trial stay. Weights start
-    from the last sample alone, learn by steps of eta over the smoothed power of the input (1 at the start of a trial) and flow
-    on from trial to trial of a group."""
-
-    def fn(x, starts):
-        w, out = np.zeros((taps, x.shape[1])), x.copy()
-        w[-1] = 1.0
-        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
-            h = np.ones(x.shape[1])
-            for t in range(a + taps, b):
-                past = x[t - taps : t]
-                guess = (w * past).sum(0)
-                out[t] = x[t] - reg * guess
-                h = h * (1 - eta) + eta * x[t] * x[t]
-                w = w + eta * (x[t] - guess) * past / h
+def iir_filterbank(df: DataFrame, keys: list[str], fs: float, bands: list[tuple[float, float]], order: int = 4, size: int = blocks.SIZE) -> DataFrame:
+    """Each band of each channel becomes a channel; all bands run over a block together."""
+    return blocks.linear_blocks(df, keys, [blocks.Linear.sections(butter_sections(order, b, fs, "bandpass")) for b in bands], size=size)
+
+
+def standardize_power(df: DataFrame, groups: list[str], trial: str = "trial", alpha: float = 1e-3, reg: float = 0.1, size: int = blocks.SIZE) -> DataFrame:
+    """Each channel in units of its running power, which is averaged with reg times that of the median channel. The running
+    powers are a linear recursion over all trials of a group, so blocks of samples are scanned; they begin at the first sample's power,
+    or at 1 where that is 0. The median is taken sample by sample."""
+
+    def scaled(x, ys):
+        return x * np.sqrt(2 / (ys[0] + reg * np.median(ys[0], axis=1, keepdims=True)))
+
+    begin = lambda system, u: np.where(u > 0, u, 1 / (1 - alpha))[None]
+    return blocks.linear_blocks(df, groups, [blocks.Linear.average(alpha)], np.square, begin, scaled, trial, size)
+
+
+class Predictor:
+    """What one block of decorrelate_ar hands to the next: weights (taps, channels), powers, and the samples of the open trial that the
+    next prediction looks at."""
+
+    def __init__(self, taps: int, channels: int):
+        self.taps, self.weights, self.power, self.trial, self.past = taps, np.eye(taps, 1, 1 - taps) * np.ones(channels), np.ones(channels), None, np.zeros((0, channels))
+
+    @classmethod
+    def opened(cls, flat: np.ndarray | None, taps: int, channels: int) -> Predictor:
+        p = cls(taps, channels)
+        if flat is not None:
+            grid = flat[1:].reshape(-1, channels)
+            p.trial, p.weights, p.power, p.past = flat[0], grid[:taps], grid[taps], grid[taps + 1 :]
+        return p
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.trial], self.weights.ravel(), self.power, self.past.ravel()])
+
+    def learn(self, trial: int, x: np.ndarray, eta: float) -> np.ndarray:
+        """Predictions of the samples of a trial's next part; 0 where fewer than `taps` samples came before."""
+        if trial != self.trial:
+            self.trial, self.power, self.past = trial, np.ones(x.shape[1]), x[:0]
+        held = len(self.past)
+        whole, guess = np.concatenate([self.past, x]), np.zeros_like(x)
+        smooth, first = self.power, max(held, self.taps)
+        for t in range(first, len(whole)):
+            seen = whole[t - self.taps : t]
+            guess[t - held] = np.einsum("kc,kc->c", self.weights, seen)
+            smooth = smooth + eta * (np.square(whole[t]) - smooth)
+            self.weights = self.weights + seen * (eta * (whole[t] - guess[t - held]) / smooth)
+        self.power, self.past = smooth, whole[-self.taps :]
+        return guess
+
+
+def decorrelate_ar(df: DataFrame, groups: list[str], trial: str = "trial", taps: int = 50, eta: float = 1e-7, reg: float = 0.5, size: int = blocks.SIZE) -> DataFrame:
+    """Each channel less reg times its linear prediction from the last taps samples of its trial; the first taps stay. The weights
+    predict the last sample at first, learn by gradient steps scaled by the smoothed power (1 at the start of a trial), and flow
+    through all trials of a group, from block file to block file."""
+
+    def fn(rows, state):
+        trials, _, x = rows
+        p, out = Predictor.opened(state, taps, x.shape[1]), x.copy()
+        edges = [0, *(np.flatnonzero(np.diff(trials)) + 1), len(x)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            out[a:b] -= reg * p.learn(trials[a], x[a:b], eta)
+        return out, p.flat()
+
+    return blocks.in_sequence(df, groups, fn, trial, size)
+
+
+class PowerTracker:
+    """Decayed power around the decayed mean of each channel. car: with more than four channels a sample is first referenced to the
+    mean of the active channels (power over a thousandth of the largest one; all at the first sample)."""
+
+    def __init__(self, halflife: float, mean_halflife: float | None = None, car: bool = True, state: np.ndarray | None = None):
+        self.keep, self.keep_mean, self.car = 0.5 ** (1 / halflife), 0.5 ** (1 / (mean_halflife or halflife)), car
+        self.counts, self.sums = (np.zeros(2), None) if state is None else (state[:2], state[2:].reshape(2, -1))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.counts, self.sums.ravel()])
+
+    def power(self) -> np.ndarray:
+        return self.sums[1] / self.counts[1]
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        """The power after each sample."""
+        out = np.empty_like(x)
+        if self.sums is None:
+            self.sums = np.zeros((2, x.shape[1]))
+        keep = np.array([self.keep_mean, self.keep])
+        for t in range(len(x)):
+            v = x[t]
+            if self.car and len(v) > 4:
+                q = self.sums[1]
+                v = v - (v[q > q.max() / 1e3].mean() if q.any() else v.mean())
+            self.counts, self.sums = keep * self.counts + 1, keep[:, None] * self.sums
+            self.sums[0] += v
+            self.sums[1] += np.square(v - self.sums[0] / self.counts[0])
+            out[t] = self.power()
         return out
 
-    return _by(df, groups, "samp", fn, trial=trial)
 
+def channel_power(df: DataFrame, keys: list[str], halflife: float, car: bool = True, mean_halflife: float | None = None, size: int = blocks.SIZE) -> DataFrame:
+    """x becomes each channel's power by a PowerTracker that goes from block file to block file of a key."""
 
-def channel_power(df: DataFrame, keys: list[str], halflife: float, car: bool = True) -> DataFrame:
-    """x becomes the decayed power of each channel around its decayed mean. car: with more than four channels each sample is
-    first referenced to the mean of the active ones (power over a thousandth of the largest; at the first sample all)."""
-    alpha = float(np.exp(np.log(0.5) / halflife))
+    def fn(rows, state):
+        t = PowerTracker(halflife, mean_halflife, car, state)
+        return t.run(rows[2]), t.flat()
 
-    def fn(x):
-        n, s, q, out = 0.0, np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.empty_like(x)
-        for t, v in enumerate(x):
-            if car and len(v) > 4:
-                active = q > 1e-3 * q.max() if q.any() else np.ones(len(v), bool)
-                v = v - v[active].mean()
-            n, s = alpha * n + 1, alpha * s + v
-            q = alpha * q + (v - s / n) ** 2
-            out[t] = q / n
-        return out
-
-    return _by(df, keys, "samp", fn)
+    return blocks.in_sequence(df, keys, fn, size=size)
 
 
 def whitener(c: np.ndarray, reg: float = 0.0, rcond: float = 1e-6, symmetric: bool = True) -> np.ndarray:

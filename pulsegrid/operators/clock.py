@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulsegrid.operators.blocks import SIZE, in_sequence
 from pulsegrid.shared import cut
 
 
@@ -127,40 +129,43 @@ def interval_histogram(df: DataFrame, keys: list[str], order: list[str], ts: str
     return d.withColumn("bin", b.cast("int")).where("bin < 14").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
-def _by_client(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, make) -> DataFrame:
-    """df + aligned: y as told by a tracker that sees (x, y) in order and answers for each x."""
-    import pandas as pd
+# --- trackers: a line that follows its points, block by block of each client
 
-    from pulsegrid.shared import ship
 
-    ship(df.sparkSession)
+def _tracked(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, make, size: int) -> DataFrame:
+    """df + aligned: y as told by a tracker that sees (x, y) in order and answers for each x. make(state or None) gives a tracker with step(x, y)
+    and flat(); only that state goes from block to block of a client."""
+    d = cut(df.withColumn("_pos", (F.row_number().over(_w(keys, order)) - 1).cast("bigint")), "points")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        t = make()
-        f["aligned"] = [t(a, b) for a, b in zip(f[x].astype(float), f[y].astype(float), strict=True)]
-        return f
+    def fn(rows, state):
+        t = make(state)
+        return np.array([[t.step(a, b)] for a, b in rows[2].tolist()]), t.flat()
 
-    kinds = ", ".join(f"{c} {k}" for c, k in df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, aligned double")
+    points = d.select(*keys, F.col("_pos").alias("samp"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("x"))
+    got = in_sequence(points, keys, fn, size=size)
+    return d.join(got.select(*keys, F.col("samp").alias("_pos"), F.get("x", F.lit(0)).alias("aligned")), [*keys, "_pos"]).select(*df.columns, "aligned")
 
 
 class ExpWeightedLine:
     """A line through weighted sums that halve every `halflife` points; the slope is the mean of both regressions' slopes.
-    A point far from the line (over `cut` times the mean error) counts for the error only."""
+    A point far from the line (over `cut` times the mean error) counts for the error only. State: points so far, origin, mean error,
+    and the sums of 1, x, y, x x, y y, x y."""
 
-    def __init__(self, halflife: float = 100.0, cut: float = 3.0, warm: int = 5):
-        self.a, self.cut, self.warm = 0.5 ** (1 / halflife), cut, warm
-        self.n, self.w, self.x0, self.y0 = 0, 0.0, 0.0, 0.0
-        self.sx = self.sy = self.sxx = self.syy = self.sxy = self.err = 0.0
+    def __init__(self, halflife: float = 100.0, cut: float = 3.0, warm: int = 5, state: np.ndarray | None = None):
+        self.keep, self.cut, self.warm = 0.5 ** (1 / halflife), cut, warm
+        self.n, self.x0, self.y0, self.err = (0.0, 0.0, 0.0, 0.0) if state is None else state[:4]
+        self.sums = np.zeros(6) if state is None else state[4:]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.n, self.x0, self.y0, self.err], self.sums])
 
     def line(self) -> tuple[float, float]:
-        mx, my = self.sx / self.w, self.sy / self.w
-        vxx, vyy, vxy = self.sxx / self.w - mx * mx, self.syy / self.w - my * my, self.sxy / self.w - mx * my
+        mx, my, xx, yy, xy = (self.sums[1:] / self.sums[0]).tolist()
+        vxx, vyy, vxy = xx - mx * mx, yy - my * my, xy - mx * my
         slope = (vxy / vxx + vyy / vxy) / 2 if vxx > 1e-12 and abs(vxy) > 1e-12 else 1.0
         return slope, my - slope * mx
 
-    def __call__(self, x: float, y: float) -> float:
+    def step(self, x: float, y: float) -> float:
         if not self.n:
             self.x0, self.y0 = x, y
         x, y = x - self.x0, y - self.y0
@@ -170,51 +175,78 @@ class ExpWeightedLine:
             out = slope * x + off
         e = abs(y - out)
         if self.n < self.warm or e <= self.cut * max(self.err, 1e-9):
-            self.w = self.a * self.w + 1
-            for k, v in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y)):
-                setattr(self, k, self.a * getattr(self, k) + v)
-        self.err = e if not self.n else self.a * self.err + (1 - self.a) * e
+            self.sums = self.keep * self.sums + np.array([1.0, x, y, x * x, y * y, x * y])
+        self.err = e if not self.n else self.keep * self.err + (1 - self.keep) * e
         self.n += 1
         slope, off = self.line()
         return self.y0 + slope * x + off
 
 
 class LowerBoundLine:
-    """A line under the newest `window` points: three rounds of weighted least squares in which points above the line by more
-    than `c` count c / err and those above `cut` times the scale not at all. A step of the clock (a point further off than
-    `step`) starts anew."""
-
-    def __init__(self, window: int = 200, c: float = 5.0, cut: float = 3.0, step: float = 1e9):
-        self.window, self.c, self.cut, self.step = window, c, cut, step
-        self.points: list[tuple[float, float]] = []
-        self.slope, self.off = 1.0, 0.0
-
-    def __call__(self, x: float, y: float) -> float:
-        import numpy as np
-
-        if self.points and abs(y - (self.slope * x + self.off)) > self.step:
-            self.points = []
-        self.points = [*self.points[1 - self.window :], (x, y)]
-        p = np.array(self.points)
-        x0, y0 = p[0]
-        a, b = p[:, 0] - x0, p[:, 1] - y0
-        w, slope, off = np.ones(len(a)), 1.0, float(b.min() if len(b) else 0.0)
-        for _ in range(3):
-            if len(a) > 2 and np.ptp(a) > 0:
-                mx, my = np.average(a, weights=w), np.average(b, weights=w)
-                v = np.average((a - mx) ** 2, weights=w)
-                slope = np.average((a - mx) * (b - my), weights=w) / v if v > 1e-12 else 1.0
-                off = my - slope * mx
-            err = b - slope * a - off
-            scale = max(float(np.mean(np.abs(err))), 1e-9)
-            w = np.where(err > self.cut * scale, 1e-9, np.where(err > self.c, self.c / np.maximum(err, self.c), 1.0))
-        self.slope, self.off = float(slope), float(y0 + off - slope * x0)
-        return self.slope * x + self.off
-
-
-def exp_weighted_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, halflife: float = 100.0) -> DataFrame:
-    return _by_client(df, keys, order, x, y, lambda: ExpWeightedLine(halflife))
-
-
-def lower_bound_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int = 200) -> DataFrame:
-    return _by_client(df, keys, order, x, y, lambda: LowerBoundLine(window))
+    """A line along the lower edge of the newest `window` points.
+
+    Fewer than `warm` points: the slope is the median slope between neighbours (`slope` until there are three), and the line
+    goes through the newest point. Then rounds of weighted least squares that begin at the line before: an error over
+    soft[0] counts soft[0] / error (under -soft[1] likewise), one further than hard[0] times the mean deviation over the mean error not at all
+    (hard[1]: under it); None leaves a side alone. When the median error of the newest `last` points is more than `jump` deviations off the median of the
+    others, the clock has stepped: all points are forgotten, the line stays until new ones move it.
+
+    State: whether it has begun, slope, offset, and the points of the window."""
+
+    def __init__(self, window: int = 200, soft=(0.1, None), hard=(1.0, None), last: int = 10, jump: float = 2.0, slope: float = 1.0, warm: int = 10, rounds: int = 3, state: np.ndarray | None = None):
+        self.window, self.soft, self.hard, self.last, self.jump, self.warm, self.rounds = window, soft, hard, last, jump, warm, rounds
+        self.begun, self.slope, self.offset = (0.0, slope, 0.0) if state is None else state[:3].tolist()
+        self.points = np.zeros((0, 2)) if state is None else state[3:].reshape(-1, 2)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.begun, self.slope, self.offset], self.points.ravel()])
+
+    def weights(self, err: np.ndarray) -> np.ndarray:
+        w, off = np.ones(len(err)), err - err.mean()
+        spread = np.abs(off).mean()
+        for side, soft, hard in zip((1, -1), self.soft, self.hard, strict=True):
+            if soft is not None:
+                w = np.where(side * err > soft, soft / np.maximum(side * err, soft), w)
+            if hard is not None:
+                w = np.where(side * off > hard * spread, 0.0, w)
+        return w
+
+    def step(self, x: float, y: float) -> float:
+        self.points = np.concatenate([self.points[len(self.points) + 1 - self.window if len(self.points) >= self.window else 0 :], [[x, y]]])
+        n = len(self.points)
+        if not self.begun:
+            self.begun, self.offset = 1.0, y - self.slope * x
+            return y
+        if n < self.warm:
+            dx, dy = np.diff(self.points, axis=0).T
+            if n > 2 and dx.any():
+                self.slope = float(np.median(dy[dx != 0] / dx[dx != 0]))
+            self.offset = y - self.slope * x
+            return y
+        mid = np.median(self.points, axis=0)
+        px, py = (self.points - mid).T
+        slope, off = self.slope, self.offset + self.slope * mid[0] - mid[1]
+        for _ in range(self.rounds):
+            err = py - slope * px - off
+            w = self.weights(err)
+            total = w.sum()
+            mx, my = w @ px / total, w @ py / total
+            var = w @ np.square(px - mx)
+            if var > 1e-12:
+                slope = float(w @ ((px - mx) * (py - my)) / var)
+            off = float(my - slope * mx)
+        self.slope, self.offset = slope, off - slope * mid[0] + mid[1]
+        if n > 2 * self.last:
+            old, new = err[: -self.last], np.median(err[-self.last :])
+            if abs(new - np.median(old)) > self.jump * old.std():
+                self.points = self.points[:0]
+        return self.slope * x + self.offset
+
+
+def exp_weighted_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, halflife: float = 100.0, size: int = SIZE) -> DataFrame:
+    return _tracked(df, keys, order, x, y, lambda state: ExpWeightedLine(halflife, state=state), size)
+
+
+def lower_bound_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int = 200, size: int = SIZE, **options) -> DataFrame:
+    """options: those of LowerBoundLine."""
+    return _tracked(df, keys, order, x, y, lambda state: LowerBoundLine(window, state=state, **options), size)
