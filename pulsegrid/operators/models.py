@@ -28,6 +28,22 @@ def summary_stats(signal: DataFrame, events: DataFrame, keys: list[str], groups:
     return xx.union(xy).union(yy)
 
 
+def nested_stats(signal: DataFrame, events: DataFrame, keys: list[str], groups: list[str], tau: int) -> DataFrame:
+    """summary_stats for every response length up to tau from one pass over the signal: groups, stat, e1, e2, a, b, edge, v."""
+    true = events.where("obj = 0")
+    whole = summary_stats(signal, events.limit(0), keys, groups, tau).where("stat = 'xx'")
+    none = F.lit(None).cast("string")
+    xy = stats.cov_xy_nested(signal, true, keys, groups, tau).select(*groups, F.lit("xy").alias("stat"), F.col("evt").alias("e1"), none.alias("e2"), F.col("lag").cast("int").alias("a"), F.col("ch").alias("b"), "edge", "v")
+    yy = stats.cov_yy(true, keys, groups, tau).select(*groups, F.lit("yy").alias("stat"), F.col("evt1").alias("e1"), F.col("evt2").alias("e2"), F.col("lag").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(tau).alias("edge"), "v")
+    return whole.withColumn("edge", F.lit(tau)).select(*xy.columns).union(xy).union(yy)
+
+
+def sliced_stats(nested: DataFrame, groups: list[str], tau: int) -> DataFrame:
+    """The summary_stats of one response length."""
+    d = nested.where((F.col("edge") >= tau) & ((F.col("stat") == "xx") | (F.col("a") < tau)))
+    return d.groupBy(*groups, "stat", "e1", "e2", "a", "b").agg(F.sum("v").alias("v"))
+
+
 def _matrices(f: pd.DataFrame, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Cxx (d, d), Cxy (events * tau, d), Cyy (events * tau, events * tau) of one group's table, its events, and the channel
     numbers that stand at the d places."""
@@ -146,10 +162,15 @@ def with_folds(trials: DataFrame, by: list[str], folds: int, trial: str = "trial
 def cross_validate(signal: DataFrame, events: DataFrame, by: list[str], tau: int, folds: int = 3, ranks: list[int] | None = None, reg: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(fy: by, trial, samp, obj, rank, v of held-out trials; score: by, rank, score). Statistics are summed once a fold; what a
     fold trains on is the total less its own sums. The largest rank is fitted once and cut to the smaller ones."""
-    ranks = ranks or [1]
     keys = [*by, "trial"]
     f = with_folds(signal, by, folds)
     own = cut(summary_stats(signal.join(f, keys), events.join(f, keys), [*keys, "fold"], [*by, "fold"], tau), "stats")  # one scan, whatever reads it
+    return _validated(signal, events, f, own, by, tau, ranks or [1], reg)
+
+
+def _validated(signal: DataFrame, events: DataFrame, f: DataFrame, own: DataFrame, by: list[str], tau: int, ranks: list[int], reg: float) -> tuple[DataFrame, DataFrame]:
+    """cross_validate given the folds of the trials and the statistics of each fold."""
+    keys = [*by, "trial"]
     cell = [*by, "stat", "e1", "e2", "a", "b"]
     total = own.groupBy(*cell).agg(F.sum("v").alias("_t"))
     grid = total.join(f.select(*by, "fold").distinct(), by)
@@ -182,28 +203,142 @@ def best_rank(score: DataFrame, by: list[str]) -> DataFrame:
     return score.groupBy(*by).agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("rank")).alias("r"))).alias("_b")).select(*by, (-F.col("_b.r")).alias("rank"), F.col("_b.score").alias("score"))
 
 
-def grid_search(signal: DataFrame, events: DataFrame, by: list[str], taus: list[int], ranks: list[int], folds: int = 3) -> DataFrame:
-    """tau, rank, mean, sd over groups, best first. Only a new tau sums anew."""
+def grid_search(signal: DataFrame, events: DataFrame, by: list[str], taus: list[int], ranks: list[int], folds: int = 3, reg: float = 1e-6) -> DataFrame:
+    """tau, rank, mean, sd over groups, best first. The statistics are summed in one scan at the largest tau; each smaller tau, and each fold,
+    is a slice of that table."""
+    f = with_folds(signal, by, folds)
+    keys = [*by, "trial"]
+    nested = cut(nested_stats(signal.join(f, keys), events.join(f, keys), [*keys, "fold"], [*by, "fold"], max(taus)), "stats")
     out = None
     for tau in taus:
-        s = cross_validate(signal, events, by, tau, folds, ranks)[1].withColumn("tau", F.lit(tau))
+        own = sliced_stats(nested, [*by, "fold"], tau)
+        s = _validated(signal, events, f, own, by, tau, ranks, reg)[1].withColumn("tau", F.lit(tau))
         out = s if out is None else out.union(s)
     return out.groupBy("tau", "rank").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).orderBy(F.desc("mean"), "tau", "rank")
 
 
 def learning_curve(signal: DataFrame, events: DataFrame, by: list[str], tau: int, sizes: list[int], rank: int = 1, reg: float = 1e-6) -> DataFrame:
-    """by, size, score on the trials after the first `size`, trained on those."""
+    """by, size, score on the trials after the first `size`, trained on those. The statistics are summed once a trial; those of the first
+    trials are running sums of them."""
     keys = [*by, "trial"]
     order = signal.select(*keys).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("trial")))
     at = order.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes])))
     train, test = (at.where(c).select(*keys, "size") for c in ("_n <= size", "_n > size"))
     g = [*by, "size"]
-    table = summary_stats(signal.join(train, keys), events.join(train, keys), [*keys, "size"], g, tau)
+    own = cut(summary_stats(signal, events, keys, keys, tau), "stats")
+    table = own.join(train, keys).groupBy(*g, "stat", "e1", "e2", "a", "b").agg(F.sum("v").alias("v"))
     full = cut(factored_to_full(fit_cca(table, g, tau, rank, reg, reg), g), "model")
     fy = predict(signal.join(test, keys), events.join(test, keys), full, [*keys, "size"], g, tau=tau)
     return scores.audc_score(fy, [*keys, "size"], g)
 
 
+# --- classifiers by group
+
+
+def _slopes(kind: str, delta: float):
+    """(score, target) -> slope of the loss and its weight in the next step. Targets of the two classifiers are 0 and 1."""
+
+    def logistic(s, y):
+        p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+        return p - y, p * (1 - p)
+
+    def hinge(s, y):  # squared
+        t = 2 * y - 1
+        short = np.maximum(1 - t * s, 0)
+        return -t * short, (short > 0).astype(float)
+
+    def huber(s, y):
+        r = s - y
+        return np.clip(r, -delta, delta), np.minimum(1, delta / np.maximum(np.abs(r), 1e-12))
+
+    return {"logistic": logistic, "hinge": hinge, "huber": huber, "ridge": lambda s, y: (s - y, np.ones_like(s))}[kind]
+
+
+def fit_by_group(windows: DataFrame, groups: list[str], label: str, kind: str = "ridge", features: str = "win", reg: float = 1.0, delta: float = 1.35, unlabelled: bool = False, rounds: int = 30, tol: float = 1e-8) -> DataFrame:
+    """groups, cls, w (weights of the features, then the bias): a linear model a group, from sums alone. ridge and huber (in place of
+    support-vector regression) predict the label; logistic and hinge (squared) tell each class from all others. Minimised is the
+    sum of losses plus reg / 2 times the squared weights, without the bias.
+
+    Each round is one pass that adds up slopes and curvatures of a group in its tasks, and one small solution a group; a group whose weights have
+    settled leaves the next rounds. Rows without a label are left out, or (unlabelled, for classes) are a class of their own, cls null."""
+    ship(windows.sparkSession)
+    classes = kind in ("logistic", "hinge")
+    d = windows.select(*groups, F.col(features).cast("array<double>").alias("x"), F.col(label).cast("string").alias("_label"), F.col(label).cast("double").alias("_y"))
+    if not (classes and unlabelled):
+        d = d.where(F.col("_label").isNotNull())
+    d = cut(d, "windows")
+    kinds = dict(d.dtypes)
+    gs = "".join(f"{g} {kinds[g]}, " for g in groups)
+    start = d.groupBy(*groups).agg(F.max(F.size("x")).alias("p"))
+    names = d.select(*groups, "_label").distinct() if classes else start.select(*groups, F.lit("y").alias("_label"))  # a few a group
+    model = cut(names.join(start, groups).select(*groups, F.col("_label").alias("cls"), F.array_repeat(F.lit(0.0), F.col("p") + 1).alias("w")), "model")
+    slope, done = _slopes(kind, delta), []
+
+    def sums(frames):
+        held: dict[tuple, list] = {}
+
+        def spilled():
+            for g, (h, s) in held.items():
+                yield pd.DataFrame(dict(zip(groups, g, strict=True)) | {"pos": np.arange(h.size + s.size), "v": np.concatenate([h.ravel(), s.ravel()])})
+            held.clear()
+
+        for f in frames:
+            for g, part in f.groupby(groups) if groups else [((), f)]:
+                x = np.array(part["x"].tolist(), float)
+                x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+                ws = np.array(part["ws"].iloc[0].tolist(), float)  # of the classes of the group
+                score = x @ ws.T
+                y = np.array(part["ys"].tolist(), float)
+                first, second = slope(score, y)
+                got = held.setdefault(g if isinstance(g, tuple) else (g,), [0.0, 0.0])
+                got[0] = got[0] + np.einsum("nc,np,nq->cpq", second, x, x, optimize=True)
+                got[1] = got[1] + first.T @ x
+            if len(held) > 64:
+                yield from spilled()
+        yield from spilled()
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        ws = np.array(f["ws"].iloc[0].tolist(), float)
+        c, p = ws.shape
+        v = np.zeros(c * p * (p + 1))
+        v[f["pos"]] = f["v"]
+        h, s = v[: c * p * p].reshape(c, p, p), v[c * p * p :].reshape(c, p)
+        keep = reg * (np.arange(p) < p - 1)
+        new = np.array([w - np.linalg.lstsq(a + np.diag(keep) + 1e-12 * np.eye(p), b + keep * w, rcond=None)[0] for w, a, b in zip(ws, h, s, strict=True)])
+        names = list(f["clss"].iloc[0])
+        return pd.DataFrame({**{g: [f[g].iloc[0]] * c for g in groups}, "cls": names, "w": new.tolist(), "moved": [float(np.abs(new - ws).max())] * c})
+
+    for _ in range(1 if kind == "ridge" else rounds):
+        both = F.array_sort(F.collect_list(F.struct(F.col("cls").isNull().alias("n"), "cls", "w")))
+        packed = model.groupBy(*groups).agg(both.alias("_m")).select(*groups, F.transform("_m", lambda m: m["cls"]).alias("clss"), F.transform("_m", lambda m: m["w"]).alias("ws"))
+        rows = d.join(packed, groups) if groups else d.crossJoin(F.broadcast(packed))
+        target = F.transform("clss", lambda c: c.eqNullSafe(F.col("_label")).cast("double")) if classes else F.array(F.col("_y"))
+        total = rows.select(*groups, "x", "ws", target.alias("ys")).mapInPandas(sums, f"{gs}pos bigint, v double").groupBy(*groups, "pos").agg(F.sum("v").alias("v"))
+        total = total.join(packed, groups) if groups else total.crossJoin(F.broadcast(packed))
+        new = cut(total.groupBy(*groups).applyInPandas(solve, f"{gs}cls string, w array<double>, moved double"), "model")
+        done.append(new.where(F.col("moved") <= tol).drop("moved"))
+        model = new.where(F.col("moved") > tol).drop("moved")
+        if kind == "ridge":
+            return new.drop("moved")
+        if not model.take(1):
+            model = model.limit(0)
+            break
+    for x in done:
+        model = model.union(x)
+    return model
+
+
+def classify(windows: DataFrame, model: DataFrame, groups: list[str], kind: str = "ridge", features: str = "win") -> DataFrame:
+    """windows + scores (array of cls, score) and prediction: the label of the largest score (the first on ties), or the value."""
+    m = model.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col("cls").isNull().alias("n"), "cls", "w"))).alias("_m"))
+    dot = lambda w: F.aggregate(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.col(features).cast("array<double>"), lambda a, b: a * b), F.element_at(w, -1), lambda a, b: a + b)
+    d = (windows.join(m, groups) if groups else windows.crossJoin(F.broadcast(m))).withColumn("scores", F.transform("_m", lambda m: F.struct(m["cls"].alias("cls"), dot(m["w"]).alias("score")))).drop("_m")
+    if kind not in ("logistic", "hinge"):
+        return d.withColumn("prediction", F.get("scores", F.lit(0))["score"])
+    best = F.array_max(F.transform("scores", lambda s: s["score"]))
+    return d.withColumn("_best", best).withColumn("prediction", F.get(F.filter("scores", lambda s: s["score"] == F.col("_best")), F.lit(0))["cls"]).drop("_best")
+
+
 def fit_classifier(windows: DataFrame, label: str, kind: str = "ridge", features: str = "win"):
     """A pyspark.ml model on window features (arrays of numbers): ridge, huber (in place of support-vector regression), logistic
     or svc. Rows without a label are left out."""

@@ -107,6 +107,16 @@ def cov_xy(signal: DataFrame, events: DataFrame, keys: list[str], groups: list[s
     return j.groupBy(*groups, "obj", "evt", "lag", "ch").agg(F.sum(F.col("_y") * F.col("_x")).alias("v"))
 
 
+def cov_xy_nested(signal: DataFrame, events: DataFrame, keys: list[str], groups: list[str], tau: int) -> DataFrame:
+    """groups, obj, evt, lag, ch, edge, v: cov_xy for every response length up to tau from one pass. edge: the samples from an event to the end of
+    its trial, at most tau. The sums for a length are those of lag < length and edge >= length."""
+    last = signal.groupBy(*keys).agg(F.max("samp").alias("_last"))
+    e = events.where("v <> 0").join(last, keys).withColumn("edge", F.least(F.col("_last") + 1 - F.col("samp"), F.lit(tau)).cast("int")).where("edge > 0 and samp >= 0")
+    e = e.select(*keys, "obj", "evt", "edge", F.col("v").alias("_y"), F.col("samp").alias("_t"), F.explode(F.sequence(F.lit(0), F.col("edge") - 1)).alias("lag")).withColumn("samp", F.col("_t") + F.col("lag"))
+    j = e.join(signal.select(*keys, "samp", "ch", F.col("v").alias("_x")), [*keys, "samp"])
+    return j.groupBy(*groups, "obj", "evt", "lag", "ch", "edge").agg(F.sum(F.col("_y") * F.col("_x")).alias("v"))
+
+
 def cov_yy(events: DataFrame, keys: list[str], groups: list[str], tau: int, cross: bool = False) -> DataFrame:
     """groups, obj (cross: obj, obj2), evt1, evt2, lag, v: sum of y[t + lag, evt1] * y[t, evt2]. Event rows that are not 0
     meet by buckets of tau samples."""
