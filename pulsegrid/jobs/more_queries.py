@@ -259,6 +259,81 @@ def q_predict(spark, sf):
     return models.predict(views.long_signal(spark, sf), events_re_fe(spark, sf), full, KEYS, ["session"])
 
 
+# a model that SQL can tell: weights are means of channels, responses are numbers of events; component 1 takes the squares
+
+
+def told_model(spark, sf):
+    """k, kind, evt, idx, v by session: w of a channel is its mean (component 1: the mean square), r of a lag is the number of events in
+    hundreds over 1 + lag (component 1: over 2 + lag)."""
+    s, e = views.long_signal(spark, sf), events_re_fe(spark, sf).where("obj = 0")
+    none, comp = F.lit(None).cast("string"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    w = s.groupBy("session", "ch").agg(F.avg("v").alias("m"), F.avg(F.col("v") * F.col("v")).alias("q")).select("session", comp, "ch", "m", "q")
+    w = w.select("session", "k", F.lit("w").alias("kind"), none.alias("evt"), F.col("ch").alias("idx"), F.when(F.col("k") == 0, F.col("m")).otherwise(F.col("q")).alias("v"))
+    r = e.groupBy("session", "evt").agg((F.sum("v") / 100).alias("m")).select("session", "evt", "m", comp).withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return w.union(r.select("session", "k", F.lit("r").alias("kind"), "evt", "idx", (F.col("m") / (F.col("k") + 1 + F.col("idx"))).alias("v")))
+
+
+TOLD = FES + """, w AS (SELECT session, k, ch, CASE k WHEN 0 THEN avg(v) ELSE avg(v * v) END AS w FROM long_signal, (SELECT unnest([0, 1]) AS k) GROUP BY session, k, ch),
+r AS (SELECT session, evt, k, lag, m / (k + 1 + lag) AS r FROM (SELECT session, evt, sum(v) / 100 AS m FROM ev WHERE obj = 0 GROUP BY session, evt), (SELECT unnest([0, 1]) AS k), (SELECT unnest(range(4)) AS lag)),
+f AS (SELECT session, evt, lag, ch, sum(w * r) AS w FROM w JOIN r USING (session, k) GROUP BY ALL)"""
+
+
+@query(TOLD + " SELECT session, evt, lag, ch, ROUND(w, 6) + 0.0 AS w FROM f")
+def q_full_of_told_model(spark, sf):
+    return r6(models.factored_to_full(told_model(spark, sf), ["session"]), "w")
+
+
+@query(TOLD + ", c AS (SELECT a.session, a.ch, b.ch AS ch2, sum(a.v * b.v) AS c FROM long_signal a JOIN long_signal b USING (session, trial, samp) GROUP BY ALL) SELECT session, k, c.ch, ROUND(sum(c * w), 4) + 0.0 AS v FROM c JOIN w USING (session) WHERE w.ch = c.ch2 GROUP BY ALL")
+def q_pattern_of_told_model(spark, sf):
+    t = cut(models.summary_stats(views.long_signal(spark, sf), events_re_fe(spark, sf), KEYS, ["session"], 4), "stats")
+    return models.spatial_pattern(told_model(spark, sf), t, ["session"]).withColumn("v", F.round("v", 4) + F.lit(0.0))
+
+
+PREDICTED = TOLD + """, sc AS (SELECT s.session AS session, s.trial AS trial, samp - lag AS samp, evt, sum(v * w) AS v FROM long_signal s JOIN f ON f.session = s.session AND f.ch = s.ch JOIN last l ON l.session = s.session AND l.trial = s.trial WHERE samp >= lag AND samp - lag <= l.last + 1 - 4 GROUP BY s.session, s.trial, samp - lag, evt),
+fy AS (SELECT session, trial, samp, obj, sum(ev.v * sc.v) AS v FROM ev JOIN sc USING (session, trial, samp, evt) WHERE ev.v <> 0 GROUP BY ALL)"""
+
+
+@query(PREDICTED + " SELECT session, trial, samp, obj, ROUND(v, 6) + 0.0 AS v FROM fy")
+def q_predict_by_told_model(spark, sf):
+    full = cut(models.factored_to_full(told_model(spark, sf), ["session"]), "model")
+    return r6(models.predict(views.long_signal(spark, sf), events_re_fe(spark, sf), full, KEYS, ["session"], tau=4), "v")
+
+
+@query(STIM + """, x AS (SELECT session, samp % 4 + 1 AS rank, avg(v) AS score FROM long_signal GROUP BY ALL), b AS (SELECT session, rank, round(score, 9) AS score, row_number() OVER (PARTITION BY session ORDER BY round(score, 9) DESC, rank) AS n FROM x)
+SELECT session, rank, ROUND(score, 6) + 0.0 AS score FROM b WHERE n = 1""")
+def q_best_rank_of_means(spark, sf):
+    s = views.long_signal(spark, sf).groupBy("session", (F.col("samp") % 4 + 1).alias("rank")).agg(F.avg("v").alias("score"))
+    return r6(models.best_rank(s, ["session"]), "score")
+
+
+def labelled_windows(spark, sf):
+    """Two samples of all channels, and the next value of channel 0."""
+    w = stats.window_arrays(views.signal(spark, sf), KEYS, 2).withColumnRenamed("x", "win")
+    return w.join(views.long_signal(spark, sf).where("ch = 0").select(*KEYS, (F.col("samp") - 2).alias("samp"), F.col("v").alias("y")), [*KEYS, "samp"])
+
+
+@query()
+def q_fit_by_group(spark, sf):
+    """Ridge, Huber, logistic and squared-hinge models of every session: whether channel 0 goes up next, or to where."""
+    d = cut(labelled_windows(spark, sf), "windows").withColumn("up", (F.col("y") > 0).cast("int"))
+    out = None
+    for kind in ("ridge", "huber", "logistic", "hinge"):
+        m = models.fit_by_group(d, ["session"], "up" if kind in ("logistic", "hinge") else "y", kind).select(F.lit(kind).alias("kind"), "session", "cls", F.posexplode("w").alias("idx", "w"))
+        out = m if out is None else out.union(m)
+    return out
+
+
+@query(STIM + """, l AS (SELECT a.session, a.x[1] AS x, b.x[1] AS y FROM signal a JOIN signal b ON b.session = a.session AND b.trial = a.trial AND b.samp = a.samp + 1)
+SELECT session, ROUND(regr_slope(y, x), 6) + 0.0 AS w, ROUND(regr_intercept(y, x), 6) + 0.0 AS bias FROM l GROUP BY session""")
+def q_fit_line_by_group(spark, sf):
+    """The estimator by group at one feature, without a penalty: the line of least squares."""
+    s = views.signal(spark, sf)
+    y = s.select(*KEYS, (F.col("samp") - 1).alias("samp"), F.element_at("x", 1).alias("y"))
+    d = s.select(*KEYS, "samp", F.slice("x", 1, 1).alias("win")).join(y, [*KEYS, "samp"])
+    m = models.fit_by_group(d, ["session"], "y", "ridge", reg=0.0)
+    return m.select("session", (F.round(F.get("w", F.lit(0)), 6) + 0.0).alias("w"), (F.round(F.get("w", F.lit(1)), 6) + 0.0).alias("bias"))
+
+
 @query()
 def q_cross_validate(spark, sf):
     return models.cross_validate(views.long_signal(spark, sf), events_re_fe(spark, sf), ["session"], 4, 2, [1, 2], reg=1e-3)[1]

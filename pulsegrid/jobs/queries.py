@@ -304,12 +304,13 @@ def q_slice_segments(spark, sf):
     return segments.slice_segments(e.select("session", "ts", "event_id"), g, ["session"], width=10_000_000).select("session", "ts", "event_id", "seg")
 
 
-@query(with_views("samples") + """, st AS (SELECT session, samp - 5 AS start, samp // 100 AS trial FROM samples WHERE samp % 100 = 0), g AS (SELECT session, trial, unnest(range(0, 24)) AS k, start FROM st)
-SELECT g.session, g.trial, g.k AS samp, coalesce(x[1], 0) AS v FROM (SELECT *, start - 2 + k AS at FROM g) g LEFT JOIN samples s ON s.session = g.session AND s.samp = g.at""")
+@query(with_views("samples").replace("samples AS", "samples AS MATERIALIZED") + """, st AS MATERIALIZED (SELECT session, samp - 5 AS start, samp // 100 AS trial FROM samples WHERE samp % 100 = 0),
+places AS MATERIALIZED (SELECT session, trial, k, start - 2 + k AS place FROM st, (SELECT unnest(range(0, 24)) AS k) ks)
+SELECT p.session, p.trial, p.k AS samp, coalesce(x[1], 0) AS a, coalesce(x[2], 0) AS b, coalesce(x[3], 0) AS c, coalesce(x[4], 0) AS d FROM places p LEFT JOIN samples s ON s.session = p.session AND s.samp = p.place""")
 def q_slice_trials(spark, sf):
     s = views.samples(spark, sf)
     st = s.where("samp % 100 = 0").select("session", (F.col("samp") - 5).alias("start"), F.floor(F.col("samp") / 100).alias("trial"))
-    return segments.slice_trials(s.select("session", "samp", F.element_at("x", 1).alias("v")), st, ["session"], 20, before=-2, after=2)
+    return segments.slice_trials(s.select("session", "samp", *[F.element_at("x", k + 1).alias("abcd"[k]) for k in range(4)]), st, ["session"], 20, before=-2, after=2, columns=[*"abcd"])
 
 
 def ragged(spark, sf):
