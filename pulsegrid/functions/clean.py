@@ -98,9 +98,9 @@ def zscore_targets(rows: DataFrame, groups: list[str], value: str = "v") -> Data
 
 def noise_to_signal(raw: Column, pre: Column) -> Column:
     """From powers before and after cleaning: amplitude that was removed over what is left, at most 100."""
-    a, b = F.sqrt(raw), F.sqrt(pre)
-    ratio = F.greatest(F.lit(1e-6), F.abs(a - b)) / F.greatest(F.lit(1e-8), b)
-    return F.when((raw < 1e-6) | (pre > 10 * raw), 100.0).otherwise(F.least(F.lit(100.0), ratio))
+    a, b = F.sqrt(F.greatest(raw, F.lit(1e-8))), F.sqrt(F.greatest(pre, F.lit(1e-8)))
+    ratio = F.greatest(F.lit(1e-6), F.abs(a - b)) / b
+    return F.when((raw < 1e-6) | (b > 10 * a), 100.0).otherwise(F.least(F.lit(100.0), ratio))
 
 
 def project(x: str, weights: list[float]) -> Column:

@@ -11,16 +11,23 @@ from pyspark.sql.window import Window
 from pulsegrid.operators import scores
 
 
-def decoding_curve(fy: DataFrame, keys: list[str], lengths: list[int], scale: float = 1.0, dedup: bool = False) -> tuple[DataFrame, DataFrame]:
+def even_lengths(n: int, most: int = 30) -> list[int]:
+    """Up to `most` lengths in even steps that end with n: the whole parts of n k / most; all lengths where there are no more."""
+    return [n * k // most for k in range(1, most + 1)] if n > most else list(range(1, n + 1))
+
+
+def decoding_curve(fy: DataFrame, keys: list[str], lengths: list[int] | None = None, scale: float = 1.0, dedup: bool = False) -> tuple[DataFrame, DataFrame]:
     """(trials: keys, len, yest, perr, yerr; curve: len, err, err_est). Running sums of a prefix are those of the whole, so the
-    normalisation is done once and read at each length. Trials without a true score are left out."""
+    normalisation is done once and kept at the lengths alone. Trials without a true score are left out. Without lengths they are the even_lengths of the
+    longest trial that is left."""
     good = fy.where("obj = 0 and v <> 0").select(*keys).distinct()
     f = fy.join(good, keys, "left_semi")
     if dedup:
         f = scores.dedup_true_output(f, keys)
-    z = scores.normalize_scores(f, keys)
-    at = z.join(F.broadcast(z.sparkSession.createDataFrame([(n, n - 1) for n in lengths], "len int, samp bigint")), "samp")
-    p = scores.target_probs(at, [*keys, "len"], scale=scale)
+    if lengths is None:
+        lengths = even_lengths((f.agg(F.max("samp")).first()[0] or 0) + 1)
+    z = scores.normalize_scores(f, keys, at=[n - 1 for n in lengths])
+    p = scores.target_probs(z.withColumn("len", (F.col("samp") + 1).cast("int")), [*keys, "len"], scale=scale)
     t = scores.select_output(p, [*keys, "len"]).withColumn("yerr", (F.col("yest") != 0).cast("int"))
     return t, t.groupBy("len").agg(F.avg("yerr").alias("err"), F.avg("perr").alias("err_est"))
 

@@ -152,6 +152,25 @@ def q_iir_filter(spark, sf):
     return channels(filters.iir_filter(long_recording(spark, sf), KEYS, 100.0, [(0, 2), (30, -1)]))
 
 
+@query(WALK + filter_sql("y", "series", "session, trial, ch", HIGH_LOW) + """, n AS (SELECT session, trial, samp, ch, v, lead(v) OVER (PARTITION BY session, trial, ch ORDER BY samp) AS nv FROM y), h AS (SELECT *, 2 * samp + unnest([0, 1]) AS place FROM n)
+SELECT session, trial, place // 5 AS samp, ch, ROUND(CASE WHEN place % 2 = 1 THEN (v + nv) / 2 ELSE v END, 6) + 0.0 AS v FROM h WHERE place % 5 = 0 AND (place % 2 = 0 OR nv IS NOT NULL)""")
+def q_filter_downsample(spark, sf):
+    return channels(filters.filter_downsample(long_recording(spark, sf), KEYS, 100.0, [(0, 2), (30, -1)], 40.0))
+
+
+@query(with_views("samples") + " SELECT session, samp // 500 AS trial, samp % 500 AS samp, ROUND(list_sum(x), 6) AS total FROM samples")
+def q_saved_dataset(spark, sf):
+    """A data set saved by session and read again."""
+    import uuid
+
+    from pulsegrid.shared import shared_dir
+
+    at = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    logs.save(long_recording(spark, sf), at)
+    d = spark.read.parquet(at)
+    return d.select(F.col("session").cast("bigint").alias("session"), "trial", "samp", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
 @query()
 def q_fft_filterbank(spark, sf):
     return filters.fft_filterbank(long_recording(spark, sf), KEYS, 100.0, [(1, 8), (8, 20)])
@@ -399,11 +418,29 @@ def q_analyse_sessions(spark, sf):
 # --- streams, replayed over the given tables
 
 
+FILES = 6
+
+
+def replayed(df, part, files: int = FILES):
+    """df as a stream of so many files, one a batch: rows go to the file that `part` (0 .. files - 1) tells, in order of time."""
+    import uuid
+
+    from pulsegrid.shared import shared_dir
+
+    at = f"{shared_dir(df.sparkSession)}/replay-{uuid.uuid4().hex}"
+    d = cut(df.withColumn("_part", F.least(F.greatest(part, F.lit(0)), F.lit(files - 1)).cast("int")), "replay")
+    for k in range(files):
+        d.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(at)
+    return streams.stream_table(df.sparkSession, at, df.schema)
+
+
 def event_stream(spark, sf):
-    path = f"{sf}/events.parquet"
-    e = streams.stream_table(spark, path, spark.read.parquet(path).schema)
+    """The events in FILES batches, one stretch of ids (and so of time) after the other: state is carried from batch to batch."""
+    e = table(spark, sf, "events")
+    n = e.agg(F.max("event_id") + 1).first()[0] or 1
     obj = F.array_position(F.array(*[F.lit(x) for x in views.OBJECTS]), F.col("event_type")).cast("long") - 1
-    return e.select((F.col("user_id") % 8).alias("session"), "event_id", views.millis("ts").alias("ts"), F.timestamp_millis(views.millis("ts")).alias("time"), obj.alias("obj"), (F.col("value").cast("long") % 2).cast("int").alias("state"), "user_id", "value")
+    s = replayed(e.select("event_id", "ts", "user_id", "event_type", "value"), F.floor(F.col("event_id") * FILES / n))
+    return s.select((F.col("user_id") % 8).alias("session"), "event_id", views.millis("ts").alias("ts"), F.timestamp_millis(views.millis("ts")).alias("time"), obj.alias("obj"), (F.col("value").cast("long") % 2).cast("int").alias("state"), "user_id", "value")
 
 
 @query(S + " SELECT session, obj, event_id AS samp, CAST(state > 0 AND coalesce(lag(state) OVER (PARTITION BY session, obj ORDER BY event_id) = 0, false) AS INT) AS v FROM stim_events")
@@ -464,10 +501,83 @@ def q_stream_filter(spark, sf):
     return r6(y.select("session", "samp", F.posexplode("x").alias("ch", "v")), "v")
 
 
-@query()
+QUALITY = EVENTS.removesuffix(", ").replace("CASE ch WHEN 0 THEN value ELSE state END::DOUBLE AS v", "CASE ch WHEN 0 THEN value ELSE state * 10 END::DOUBLE AS v, ts") + """,
+q AS MATERIALIZED (SELECT session, samp, ts, ch, kind, CASE kind WHEN 0 THEN v ELSE v / 3 - 1 END AS v, pow(0.5, samp / 100.0) AS d FROM ev, (SELECT unnest([0, 1]) AS kind)),
+m AS (SELECT *, d * sum(1 / d) OVER w AS n, d * sum(v / d) OVER w AS s FROM q WINDOW w AS (PARTITION BY session, ch, kind ORDER BY samp ROWS UNBOUNDED PRECEDING)),
+p AS MATERIALIZED (SELECT session, samp, ts, ch, kind, d * sum((v - s / n) * (v - s / n) / d) OVER (PARTITION BY session, ch, kind ORDER BY samp ROWS UNBOUNDED PRECEDING) / n AS p FROM m),
+t AS MATERIALIZED (SELECT session, ts, min(samp) AS samp FROM ev GROUP BY ALL), nxt AS MATERIALIZED (SELECT a.session, a.ts, b.ts AS nts FROM t a ASOF JOIN t b ON a.session = b.session AND a.ts + 21600000 < b.ts),
+e(session, ts) AS (SELECT session, min(ts) FROM t GROUP BY session UNION ALL SELECT e.session, nts FROM e JOIN nxt ON nxt.session = e.session AND nxt.ts = e.ts),
+o AS (SELECT e.session, e.ts, ch, any_value(p) FILTER (kind = 0) AS raw, any_value(p) FILTER (kind = 1) AS pre FROM e JOIN t ON t.session = e.session AND t.ts = e.ts JOIN p ON p.session = t.session AND p.samp = t.samp GROUP BY ALL)
+SELECT session, ts, ch, ROUND(raw, 5) + 0.0 AS raw, ROUND(pre, 5) + 0.0 AS pre, ROUND(CASE WHEN raw < 1e-6 OR sqrt(greatest(pre, 1e-8)) > 10 * sqrt(greatest(raw, 1e-8)) THEN 100.0 ELSE least(100.0, greatest(1e-6, abs(sqrt(greatest(raw, 1e-8)) - sqrt(greatest(pre, 1e-8)))) / sqrt(greatest(pre, 1e-8))) END, 5) + 0.0 AS noise FROM o"""
+
+
+@query(QUALITY)
 def q_stream_quality(spark, sf):
-    e = event_stream(spark, sf).select("session", F.col("event_id").alias("samp"), F.array("value", F.col("state").cast("double")).alias("x"))
-    return streams.run_to_table(streams.stream_quality(e))
+    x = F.array("value", F.col("state").cast("double") * 10)
+    e = event_stream(spark, sf).select("session", F.col("event_id").alias("samp"), "ts", x.alias("x"), F.transform(x, lambda v: v / 3 - 1).alias("pre"))
+    q = streams.run_to_table(streams.stream_quality(e, 100.0, 21_600_000))
+    r5 = lambda c: (F.round(F.get(c, F.col("ch")), 5) + F.lit(0.0)).alias(c)
+    return q.withColumn("ch", F.explode(F.array(F.lit(0), F.lit(1)))).select("session", "ts", "ch", r5("raw"), r5("pre"), r5("noise"))
+
+
+#: A model that is told by a formula: (session-free) weights of event, lag and channel.
+TAU = 4
+
+
+def formula_weights(channels: int) -> dict:
+    lag, ch = np.arange(TAU)[:, None], np.arange(channels)[None, :]
+    return {"re": (ch % 5 - 2 + lag) / 10, "fe": (lag - ch % 3) / 10}
+
+
+SCORED = FES + f""", f AS (SELECT evt, lag, ch, CASE evt WHEN 're' THEN (ch % 5 - 2 + lag) / 10.0 ELSE (lag - ch % 3) / 10.0 END AS w FROM (SELECT unnest(['re', 'fe']) AS evt), (SELECT unnest(range({TAU})) AS lag), (SELECT DISTINCT ch FROM long_signal)),
+sc AS (SELECT s.session AS session, s.trial AS trial, samp - lag AS samp, evt, sum(v * w) AS v FROM long_signal s JOIN f ON f.ch = s.ch JOIN last l ON l.session = s.session AND l.trial = s.trial WHERE samp >= lag AND samp - lag <= l.last + 1 - {TAU} GROUP BY s.session, s.trial, samp - lag, evt),
+fy AS (SELECT session, trial, samp, obj, sum(ev.v * sc.v) AS v FROM ev JOIN sc USING (session, trial, samp, evt) WHERE ev.v <> 0 GROUP BY ALL)"""
+
+
+def coded_samples(spark, sf):
+    """session, trial, samp, x, stim: each sample with its events."""
+    e = events_re_fe(spark, sf).where("v <> 0").groupBy(*KEYS, "samp").agg(F.array_sort(F.collect_list(F.struct(F.col("obj").cast("bigint").alias("obj"), "evt", F.col("v").cast("double").alias("v")))).alias("stim"))  # of one sample
+    s = views.signal(spark, sf).join(e, [*KEYS, "samp"], "left")
+    return s.select(F.col("session").cast("bigint").alias("session"), F.col("trial").cast("bigint").alias("trial"), F.col("samp").cast("bigint").alias("samp"), "x", "stim")
+
+
+def scored_stream(spark, sf, mode: str):
+    rows = coded_samples(spark, sf)
+    channels = rows.agg(F.max(F.size("x"))).first()[0] or 1
+    stream = replayed(rows, F.floor(F.col("samp") / 5), 5)  # five samples of each trial a batch
+    return streams.run_to_table(streams.stream_score(stream, formula_weights(channels), mode, limit=12))
+
+
+@query(SCORED + " SELECT session, trial, samp, obj, ROUND(v, 6) + 0.0 AS v FROM fy")
+def q_stream_score(spark, sf):
+    return r6(scored_stream(spark, sf, "block"), "v")
+
+
+@query(SCORED + f""", b AS (SELECT session, trial, last, unnest(range(5)) AS k FROM last), e AS (SELECT session, trial, least(5 * k + 4, last) + 1 - {TAU} AS samp FROM b WHERE 5 * k <= last)
+SELECT e.session, e.trial, e.samp, obj, ROUND(sum(v), 6) + 0.0 AS v FROM e JOIN fy ON fy.session = e.session AND fy.trial = e.trial AND fy.samp <= e.samp AND fy.samp > e.samp - 12 WHERE e.samp >= 0 GROUP BY ALL""")
+def q_stream_score_trial(spark, sf):
+    return r6(scored_stream(spark, sf, "trial"), "v")
+
+
+@query(S + """, smp AS MATERIALIZED (SELECT session, ts, event_id, obj, state FROM stim_events WHERE obj >= 2), st AS MATERIALIZED (SELECT session, ts, 'e' || obj AS evt FROM stim_events WHERE obj < 2), newest AS (SELECT session, max(ts) AS now FROM smp GROUP BY session),
+w AS (SELECT st.session, st.ts, evt, obj, state, row_number() OVER (PARTITION BY st.session, st.ts, evt ORDER BY smp.ts, event_id) - 1 AS lag FROM st JOIN newest USING (session) JOIN smp ON smp.session = st.session AND smp.ts BETWEEN st.ts - 3600000 AND st.ts + 14400000 WHERE st.ts + 14400000 < now),
+h AS (SELECT session, ts, evt, list(obj ORDER BY lag) AS a, list(state ORDER BY lag) AS b, least(count(*), 4) AS n FROM w WHERE lag < 4 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, evt DESC) AS r FROM h),
+x AS (SELECT session, evt, lag, a[least(lag + 1, n)] AS a, b[least(lag + 1, n)] AS b FROM r, (SELECT unnest(range(4)) AS lag) WHERE r <= 50)
+SELECT session, evt, lag, count(*) AS n, ROUND(avg(a), 6) + 0.0 AS a, ROUND(avg(b), 6) + 0.0 AS b FROM x GROUP BY ALL""")
+def q_stream_epochs(spark, sf):
+    """Events of objects 0 and 1 open epochs, all others are samples of two channels."""
+    e = event_stream(spark, sf)
+    st = e.where("obj < 2").select("session", "ts", F.concat(F.lit("e"), "obj").alias("evt"))
+    smp = event_stream(spark, sf).where("obj >= 2").select("session", "ts", F.array(F.col("obj").cast("double"), F.col("state").cast("double")).alias("x"))
+    t = streams.run_to_table(streams.stream_epochs(st, smp, 4, (-3_600_000, 14_400_000), 50), "update", ["session", "evt"])
+    t = t.select("session", "evt", "n", F.posexplode("v").alias("lag", "x"))
+    return r6(t.select("session", "evt", "lag", "n", F.element_at("x", 1).alias("a"), F.element_at("x", 2).alias("b")), "a", "b")
+
+
+@query()
+def q_stream_tracked_clock(spark, sf):
+    e = event_stream(spark, sf).select((F.col("user_id") % 16).alias("client"), F.col("event_id").alias("seq"), (F.col("ts") + (F.col("event_id") * 7919) % 97).alias("x"), F.col("ts").alias("y"))
+    return streams.run_to_table(streams.stream_tracked_clock(e, lambda state: clock.LowerBoundLine(50, state=state)))
 
 
 RUNNING = S.replace("FROM events)", "FROM events), raw AS (SELECT event_id, value FROM events)") + """, e AS (SELECT session, event_id // 500 AS trial, event_id AS samp, obj, value / 100 - 0.5 AS v FROM stim_events JOIN raw USING (event_id)),

@@ -462,7 +462,7 @@ def q_zscore_targets(spark, sf):
 
 
 @query(with_views("signal", "long_signal") + """, p AS (SELECT session, ch, avg(v * v) AS raw, var_pop(v) AS pre FROM long_signal GROUP BY ALL)
-SELECT session, ch, ROUND(CASE WHEN raw < 1e-6 OR pre > 10 * raw THEN 100.0 ELSE least(100.0, greatest(1e-6, abs(sqrt(raw) - sqrt(pre))) / greatest(1e-8, sqrt(pre))) END, 5) AS q FROM p""")
+SELECT session, ch, ROUND(CASE WHEN raw < 1e-6 OR sqrt(greatest(pre, 1e-8)) > 10 * sqrt(greatest(raw, 1e-8)) THEN 100.0 ELSE least(100.0, greatest(1e-6, abs(sqrt(greatest(raw, 1e-8)) - sqrt(greatest(pre, 1e-8)))) / sqrt(greatest(pre, 1e-8))) END, 5) AS q FROM p""")
 def q_noise_to_signal(spark, sf):
     p = views.long_signal(spark, sf).groupBy("session", "ch").agg(F.avg(F.col("v") * F.col("v")).alias("raw"), F.var_pop("v").alias("pre"))
     return p.select("session", "ch", F.round(clean.noise_to_signal(F.col("raw"), F.col("pre")), 5).alias("q"))
@@ -627,6 +627,14 @@ def q_decoding_curve(spark, sf):
     return r6(evaluate.decoding_curve(views.fy(spark, sf), T, LENGTHS)[1], "err", "err_est")
 
 
+OWN = CURVE.replace(f"n AS (SELECT unnest({LENGTHS}) AS len)", "top AS (SELECT max(samp) + 1 AS n FROM fy SEMI JOIN g USING (trial)), n AS (SELECT DISTINCT CASE WHEN n > 30 THEN n * k // 30 ELSE k END AS len FROM top, (SELECT unnest(range(1, 31)) AS k) WHERE n > 30 OR k <= n)")
+
+
+@query(OWN + " SELECT len, ROUND(err, 6) AS err, ROUND(err_est, 6) AS err_est FROM curve")
+def q_decoding_curve_own_lengths(spark, sf):
+    return r6(evaluate.decoding_curve(views.fy(spark, sf), T)[1], "err", "err_est")
+
+
 STOP = CURVE + f""", th AS (SELECT unnest(range({23})) AS no, unnest([{", ".join(repr(t) for t in evaluate.stop_thresholds(20))}]::DOUBLE[]) AS thresh),
 st AS (SELECT trial, no, thresh, coalesce(min({{'len': len, 'perr': perr, 'yerr': yerr}}) FILTER (perr < thresh), max({{'len': len, 'perr': perr, 'yerr': yerr}})) AS s FROM trials, th GROUP BY ALL),
 ms AS (SELECT no, thresh, avg(s.len) AS stop_len, avg(s.perr) AS stop_perr, avg(s.yerr) AS stop_err FROM st GROUP BY ALL),

@@ -44,6 +44,14 @@ def sliced_stats(nested: DataFrame, groups: list[str], tau: int) -> DataFrame:
     return d.groupBy(*groups, "stat", "e1", "e2", "a", "b").agg(F.sum("v").alias("v"))
 
 
+def updated_stats(signal: DataFrame, events: DataFrame, by: list[str], tau: int, old: DataFrame | None = None, decay: float = 1.0, thresh: float = 4.0) -> DataFrame:
+    """Statistics of new trials (by, trial), their outlying trials and channels zeroed first, on top of decay times the older ones."""
+    from pulsegrid.functions.clean import zero_outliers
+
+    new = summary_stats(zero_outliers(signal, by, thresh=thresh), events, [*by, "trial"], by, tau)
+    return new if old is None else stats.merge_stats(old, new, [*by, "stat", "e1", "e2", "a", "b"], decay)
+
+
 def _matrices(f: pd.DataFrame, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Cxx (d, d), Cxy (events * tau, d), Cyy (events * tau, events * tau) of one group's table, its events, and the channel
     numbers that stand at the d places."""

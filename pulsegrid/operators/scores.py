@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulsegrid.shared import cut
+
 
 def _run(keys, *order):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -160,17 +162,17 @@ def cumulative_scores(fy: DataFrame, keys: list[str]) -> DataFrame:
     return d.join(act, [*keys, "samp"]).withColumn("s", F.sum("v").over(_run([*keys, "obj"], "samp"))).join(valid_outputs(fy, keys).select(*keys, "ny"), keys)
 
 
-def noise_variance(fy: DataFrame, keys: list[str], centre: bool = True, compact: bool = False, prior: tuple[float, float] | None = None) -> DataFrame:
+def noise_variance(fy: DataFrame, keys: list[str], centre: bool = True, compact: bool = False, prior: tuple[float, float] | None = None, running: DataFrame | None = None) -> DataFrame:
     """keys, samp, n, sigma2: the variance over outputs of the running sums, by sample so far, averaged over time. Centred over
     the active outputs where each trial has more than three (compact: where this trial has). compact leaves inactive samples out.
-    prior (sigma2, count) mixes with the index of the sample, or with n if compact."""
-    c = cumulative_scores(fy, keys)
+    prior (sigma2, count) mixes with the index of the sample, or with n if compact. running: the cumulative_scores of fy, where they are at hand."""
+    c = cumulative_scores(fy, keys) if running is None else running
     if compact:
         c = c.where("ny > 0")
         c = c.join(c.groupBy(*keys, "samp").agg(F.max((F.col("v") != 0).cast("int")).alias("_on")).where("_on = 1").drop("_on"), [*keys, "samp"])
         all_many = F.col("ny") > 3
     else:
-        all_many = F.lit(bool((valid_outputs(fy, keys).agg(F.min("ny")).first()[0] or 0) > 3))
+        all_many = F.lit(bool(((valid_outputs(fy, keys) if running is None else c).agg(F.min("ny")).first()[0] or 0) > 3))
     a = c.groupBy(*keys, "samp", "n", "ny").agg(F.sum("s").alias("_s"), F.sum(F.col("s") * F.col("s")).alias("_q"), F.count("*").alias("_k"))
     mu = F.col("_s") / F.col("ny")
     ss = F.when(all_many, F.col("_q") - 2 * mu * F.col("_s") + F.col("ny" if compact else "_k") * mu * mu).otherwise(F.col("_q")) if centre else F.col("_q")
@@ -188,14 +190,18 @@ def c4(n: Column) -> Column:
     return 1 - F.lit(0.25) / n - F.lit(7 / 32) / (n * n) - F.lit(19 / 128) / (n * n * n)
 
 
-def normalize_scores(fy: DataFrame, keys: list[str], correction: float = 0.0, norm_sum: bool = True, prior: tuple[float, float] | None = None) -> DataFrame:
-    """keys, samp, obj, z: running sums over their noise scale, at every sample."""
-    sig = noise_variance(fy, keys, prior=prior)
+def normalize_scores(fy: DataFrame, keys: list[str], correction: float = 0.0, norm_sum: bool = True, prior: tuple[float, float] | None = None, at: list[int] | None = None) -> DataFrame:
+    """keys, samp, obj, z: running sums over their noise scale, at every sample, or at the samples `at` alone. The running sums are built and written
+    once; noise and scores are both read from that table."""
+    c = cut(cumulative_scores(fy, keys), "running")
+    sig = noise_variance(fy, keys, prior=prior, running=c)
+    if at is not None:
+        c, sig = (d.where(F.col("samp").isin([int(k) for k in at])) for d in (c, sig))
     scale = F.sqrt(F.col("sigma2") * F.greatest(F.lit(0.01), F.col("n"))) if norm_sum else F.sqrt("sigma2")
     if correction > 0:
         scale = scale / c4(F.col("n") / max(1.0, correction))
     sig = sig.withColumn("_scale", scale).select(*keys, "samp", F.when(F.col("_scale") == 0, 1.0).otherwise(F.col("_scale")).alias("_scale"))
-    c = cumulative_scores(fy, keys).select(*keys, "samp", "obj", "s")
+    c = c.select(*keys, "samp", "obj", "s")
     return c.join(sig, [*keys, "samp"]).select(*keys, "samp", "obj", (F.col("s") / F.col("_scale")).alias("z"))
 
 

@@ -6,11 +6,14 @@ dropped. Order within a session is (sts, ts, line hash): line numbers do not sur
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,25 +145,39 @@ def read_buffer_header(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/*/header").select("path", "content").mapInPandas(decode, HEADER)
 
 
-def read_buffer_dir(spark: SparkSession, path: str) -> DataFrame:
-    """session, samp, x of recordings: the file `samples` of a session holds nch values a sample of the header's type. One task a
-    file, in slices; bytes after the last whole sample are left out."""
+def read_buffer_dir(spark: SparkSession, path: str, slice_bytes: int = 64 << 20) -> DataFrame:
+    """session, samp, x of recordings: the file `samples` of a session holds nch values a sample of the header's type. A file of any size is
+    read by many tasks, each a range of whole samples of about slice_bytes; bytes after the last whole sample are left out. The folder must be one that pyarrow
+    can open (local, HDFS, S3, Google Cloud)."""
     from pulsegrid.shared import ship
 
     ship(spark)
-    f = spark.read.format("binaryFile").load(f"{path}/*/samples").select(F.element_at(F.split("path", "/"), -2).alias("session"), "content")
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for session, content, nch, kind in zip(f["session"], f["content"], f["nch"], f["data_type"], strict=True):
-                t = np.dtype(VALUE_TYPES[int(kind)])
-                n = len(content) // (t.itemsize * nch)
-                x = np.frombuffer(content, t, n * nch).reshape(n, nch)
-                for k in range(0, n, 10_000):
-                    part = x[k : k + 10_000].astype(float)
-                    yield pd.DataFrame({"session": session, "samp": np.arange(k, k + len(part)), "x": list(part)})
-
-    return f.join(F.broadcast(read_buffer_header(spark, path)), "session").select("session", "content", "nch", "data_type").mapInPandas(decode, "session string, samp long, x array<double>")
+    files = spark.read.format("binaryFile").load(f"{path}/*/samples").select("path", F.col("length"), F.element_at(F.split("path", "/"), -2).alias("session"))  # names and lengths alone
+    d = files.join(F.broadcast(read_buffer_header(spark, path).select("session", "nch", "data_type")), "session")  # a row a recording
+    width = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in VALUE_TYPES]), F.array(*[F.lit(np.dtype(t).itemsize) for t in VALUE_TYPES.values()])), F.col("data_type")) * F.col("nch")
+    d = d.withColumn("width", width.cast("long")).withColumn("n", F.floor(F.col("length") / F.col("width"))).where("n > 0")
+    per = F.greatest(F.floor(F.lit(slice_bytes) / F.col("width")), F.lit(1))
+    d = d.withColumn("per", per).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("per"))))
+    d = d.select("session", "path", "nch", "data_type", "width", "first", F.least("per", F.col("n") - F.col("first")).alias("count")).repartition("path", "first")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                fs, at = pafs.FileSystem.from_uri(_uri(r["path"]))
+                with fs.open_input_file(at) as f:
+                    f.seek(r["first"] * r["width"])
+                    for k in range(0, r["count"], 10_000):
+                        n = min(10_000, r["count"] - k)
+                        x = np.frombuffer(f.read(n * r["width"]), VALUE_TYPES[r["data_type"]]).astype(float)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * r["nch"], pa.int32()), pa.array(x))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(r["session"], n), pa.array(np.arange(n) + r["first"] + k), lists], names=["session", "samp", "x"])
+
+    return d.mapInArrow(decode, "session string, samp long, x array<double>")
+
+
+def _uri(path: str) -> str:
+    """file:/a as file:///a."""
+    return re.sub(r"^file:/+", "file:///", path)
 
 
 def read_buffer_events(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pulsegrid.functions.filters import run_sections
+from pulsegrid.functions.filters import PowerTracker
+from pulsegrid.operators.blocks import Linear
 from pulsegrid.shared import ship
 from pulsegrid.sources.logs import parse_log
 
@@ -115,12 +116,12 @@ def stream_hold_and_code(rows: DataFrame, evt: str = "re", keep: int = 20, idle_
 
 def stream_filter(signal: DataFrame, sos: np.ndarray, every: int = 1) -> DataFrame:
     """session, samp, x: filtered, then each every-th sample; filter state and sample count of a session carry over."""
+    system = Linear.sections(sos)
 
     def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         f = pd.concat(list(frames)).sort_values("samp")
         x = np.array(f["x"].tolist(), float)
-        old = np.array(state.get[0]).reshape(len(sos), 2, x.shape[1]) if state.exists else None
-        y, new = run_sections(sos, x, old)
+        y, new = system.run(x, np.array(state.get[0]).reshape(-1, x.shape[1]) if state.exists else system.steady(x[0]))
         state.update((new.ravel().tolist(),))
         at = f["samp"].to_numpy() % every == 0
         yield pd.DataFrame({"session": key[0], "samp": f["samp"].to_numpy()[at] // every, "x": list(y[at])})
@@ -128,27 +129,44 @@ def stream_filter(signal: DataFrame, sos: np.ndarray, every: int = 1) -> DataFra
     return _stateful(signal, ["session"], "session long, samp long, x array<double>", "z array<double>", fn)
 
 
-def stream_quality(signal: DataFrame, halflife: float = 100.0, interval: int = 50) -> DataFrame:
-    """session, samp, power (array): decayed channel power, at most once in `interval` samples."""
-    alpha = float(np.exp(np.log(0.5) / halflife))
+def stream_quality(signal: DataFrame, halflife: float = 100.0, interval_ms: int = 1000, system: Linear | None = None, mean_halflife: float | None = None, car: bool = True) -> DataFrame:
+    """session, ts, raw, pre, noise (arrays by channel) of signal(session, samp, ts, x and, without a system, pre): decayed powers before and
+    after cleaning, and the share that cleaning removed, at a session's first sample and then at the first one more than interval_ms of event time
+    after the last report. system: a filter that cleans x here, channel by channel. State: both powers (each referenced to its active
+    channels), the filter, and the time of the last report; so reports do not hang on where batches end."""
 
     def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        flat, last = (None, None) if not state.exists else (np.array(state.get[0]), state.get[1])
         f = pd.concat(list(frames)).sort_values("samp")
-        n, s, q, last = state.get if state.exists else (0.0, [], [], -interval)
+        x = np.array(f["x"].tolist(), float)
+        d = x.shape[1]
+        if system:
+            size = len(system.b) * d
+            z = system.steady(x[0]) if flat is None else flat[:size].reshape(-1, d)
+            y, z = system.run(x, z)
+            rest, flat = z.ravel(), None if flat is None else flat[size:]
+        else:
+            y, rest = np.array(f["pre"].tolist(), float), np.zeros(0)
+        half = 2 + 2 * d
+        trackers = [PowerTracker(halflife, mean_halflife, car, None if flat is None else flat[k * half : (k + 1) * half]) for k in range(2)]
+        powers = [t.run(v) for t, v in zip(trackers, (x, y), strict=True)]
         out = []
-        for samp, x in zip(f["samp"], f["x"], strict=True):
-            v = np.array(x, float)
-            s = np.array(s, float) if len(s) else np.zeros(len(v))
-            q = np.array(q, float) if len(q) else np.zeros(len(v))
-            n, s = alpha * n + 1, alpha * s + v
-            q = alpha * q + (v - s / n) ** 2
-            if samp - last >= interval:
-                last = int(samp)
-                out.append((key[0], int(samp), (q / n).tolist()))
-        state.update((float(n), [float(v) for v in s], [float(v) for v in q], int(last)))
-        yield pd.DataFrame(out, columns=["session", "samp", "power"])
+        for i, ts in enumerate(f["ts"].tolist()):
+            if last is None or ts > last + interval_ms:
+                last = int(ts)
+                raw, pre = powers[0][i], powers[1][i]
+                out.append((key[0], last, raw.tolist(), pre.tolist(), noise_to_signal(raw, pre).tolist()))
+        state.update((np.concatenate([rest, *(t.flat() for t in trackers)]).tolist(), last))
+        yield pd.DataFrame(out, columns=["session", "ts", "raw", "pre", "noise"])
+
+    cols = ["session", "samp", "ts", "x", *([] if system else ["pre"])]
+    return _stateful(signal.select(*cols), ["session"], "session long, ts long, raw array<double>, pre array<double>, noise array<double>", "flat array<double>, last long", fn)
 
-    return _stateful(signal, ["session"], "session long, samp long, power array<double>", "n double, s array<double>, q array<double>, last long", fn)
+
+def noise_to_signal(raw: np.ndarray, pre: np.ndarray) -> np.ndarray:
+    """clean.noise_to_signal of powers that a task holds."""
+    a, b = np.sqrt(np.maximum(raw, 1e-8)), np.sqrt(np.maximum(pre, 1e-8))
+    return np.where((raw < 1e-6) | (b > 10 * a), 100.0, np.minimum(100.0, np.maximum(1e-6, np.abs(a - b)) / b))
 
 
 def stream_align(stimuli: DataFrame, samples: DataFrame, overlap_ms: int, late: str = "60 seconds") -> DataFrame:
@@ -178,6 +196,63 @@ def stream_predict(scores: DataFrame, keys: tuple[str, ...] = ("session", "trial
     return _stateful(scores, list(keys), "session long, trial long, samp long, yest long, margin double", "objs array<long>, sums array<double>", fn, idle_ms=idle_ms)
 
 
+def refit_decayed(stream: DataFrame, update: Callable[[DataFrame, DataFrame | None], DataFrame], fit: Callable[[DataFrame], DataFrame], at: str):
+    """A stream writer that keeps statistics and the model of each batch under `at`: stats/batch=k is update(rows of batch k, the table of batch k - 1, or None),
+    model/batch=k is fit of it. A batch that runs again reads what the one before left and writes the same tables over, so nothing counts twice. Batches that no
+    later one needs may be deleted."""
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, k: int) -> None:
+        old = spark.read.parquet(f"{at}/stats/batch={k - 1}") if k else None
+        new = update(batch, old)
+        new.write.mode("overwrite").parquet(f"{at}/stats/batch={k}")
+        fit(spark.read.schema(new.schema).parquet(f"{at}/stats/batch={k}")).write.mode("overwrite").parquet(f"{at}/model/batch={k}")
+
+    return stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").foreachBatch(one)
+
+
+def stream_score(rows: DataFrame, weights: dict[str, np.ndarray], mode: str = "block", limit: int = 2000, idle_ms: int | None = None) -> DataFrame:
+    """Scores of the outputs by a full model while data come in. rows: session, trial, samp (counting up by one), x (array), stim (array of obj, evt, v:
+    the events at the sample). weights: evt -> (lags, channels), all of one length tau.
+
+    A sample is scored once its whole response has come, tau - 1 samples later; so batches leave neither gaps nor doubles, wherever
+    they end. mode block: session, trial, samp, obj, v of every scored sample with events. mode trial: after each batch the trial so far is scored anew,
+    its last `limit` samples at most: v is the sum over them, samp the last sample scored. State of a trial: the samples that
+    still count, and their events. A new trial is a new key, so it starts from nothing."""
+    evts = sorted(weights)
+    w = np.stack([np.asarray(weights[e], float) for e in evts])  # the size of a model
+    tau = w.shape[1]
+    code = {e: i for i, e in enumerate(evts)}
+
+    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(frames)).sort_values("samp")
+        x = np.array(f["x"].tolist(), float)
+        stim = [(int(t), int(e["obj"]), code[e["evt"]], float(e["v"])) for t, events in zip(f["samp"], f["stim"], strict=True) if events is not None for e in events if e["evt"] in code and e["v"]]
+        first = int(f["samp"].iloc[0])
+        if state.exists:
+            first, flat, at, objs, kinds, values = state.get
+            x = np.concatenate([np.array(flat, float).reshape(-1, x.shape[1]), x])
+            stim = [*zip(at, objs, kinds, values, strict=True), *stim]
+        n = max(0, len(x) - tau + 1)  # samples whose response is whole
+        out = []
+        if n:
+            windows = np.lib.stride_tricks.sliding_window_view(x, tau, axis=0)  # sample, channel, lag
+            low = max(0, n - limit) if mode == "trial" else 0
+            score = np.einsum("ncl,elc->ne", windows[low:n], w, optimize=True)
+            sums: dict[tuple, float] = {}
+            for t, o, e, v in stim:
+                if first + low <= t < first + n:
+                    k = (t if mode == "block" else first + n - 1, o)
+                    sums[k] = sums.get(k, 0.0) + v * score[t - first - low, e]
+            out = [(*key, t, o, v) for (t, o), v in sorted(sums.items())]
+        drop = n if mode == "block" else max(0, n - limit)
+        stim = [s for s in stim if s[0] >= first + drop]
+        state.update((first + drop, x[drop:].ravel().tolist(), *([s[k] for s in stim] for k in range(4))))
+        yield pd.DataFrame(out, columns=["session", "trial", "samp", "obj", "v"])
+
+    return _stateful(rows.select("session", "trial", "samp", "x", "stim"), ["session", "trial"], "session long, trial long, samp long, obj long, v double", "first long, flat array<double>, at array<long>, objs array<long>, kinds array<long>, values array<double>", fn, idle_ms=idle_ms)
+
+
 def stream_sums(products: DataFrame, by: list[str]) -> DataFrame:
     """Additive statistics of a stream of products (by, v): write in update or complete mode."""
     return products.groupBy(*by).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
@@ -201,6 +276,59 @@ def stream_erp(aligned: DataFrame, samples: DataFrame | None = None, last: int =
     return _stateful(aligned, ["evt", "lag"], "evt string, lag long, v double, n long", "held array<double>", fn, "update")
 
 
+def stream_epochs(stimuli: DataFrame, samples: DataFrame, tau: int, range_ms: tuple[int, int], last: int = 600, centre: bool = False) -> DataFrame:
+    """session, evt, n, v (array of tau arrays by channel): the mean response over those of a session's newest `last` epochs that have the event. stimuli:
+    session, ts, evt; samples: session, ts, x.
+
+    An epoch waits in the state until a sample behind its end has come; it then holds the samples from ts + range_ms[0] to ts + range_ms[1], the first
+    tau of them, a shorter one its last sample to the end. Epochs without a sample are left out. centre: less its first sample. Write in
+    update mode. State of a session: waiting stimuli, the samples that they and coming ones may need (keep the watermark of the source in mind:
+    samples older than the newest by more than the range's length go), and a ring of epochs."""
+    before, after = range_ms
+    both = stimuli.select("session", F.col("ts").cast("long").alias("ts"), "evt", F.lit(None).cast("array<double>").alias("x")).unionByName(samples.select("session", F.col("ts").cast("long").alias("ts"), F.lit(None).cast("string").alias("evt"), F.col("x").cast("array<double>").alias("x")))
+
+    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(frames))
+        data = f[f["evt"].isna()].sort_values("ts", kind="stable")
+        wait = f[f["evt"].notna()]
+        wait = list(zip(wait["ts"].tolist(), wait["evt"].tolist(), strict=True))
+        at, x = data["ts"].to_numpy(np.int64), np.array(data["x"].tolist(), float)
+        ring_evt, ring = [], None
+        if state.exists:
+            w_ts, w_evt, h_at, h_x, ring_evt, flat, d = state.get
+            wait += zip(w_ts, w_evt, strict=True)
+            d = d or (x.shape[1] if len(data) else 0)
+            old = np.array(h_x, float).reshape(-1, d) if d else np.zeros((0, 0))
+            at = np.concatenate([np.array(h_at, np.int64), at])
+            x = old if not len(data) else np.concatenate([old, x]) if len(old) else x
+            order = np.argsort(at, kind="stable")
+            at, x = at[order], x[order]
+            ring_evt, ring = list(ring_evt), np.array(flat, float).reshape(-1, tau, d) if d else None
+        d = x.shape[1] if len(at) else 0
+        now = int(at[-1]) if len(at) else None
+        ready = sorted(w for w in wait if now is not None and w[0] + after < now)
+        wait = [w for w in wait if now is None or w[0] + after >= now]
+        new, new_evt = [], []
+        for ts, evt in ready:
+            i, j = np.searchsorted(at, ts + before, "left"), np.searchsorted(at, ts + after, "right")
+            if i < j:
+                part = x[i : min(j, i + tau)]
+                part = np.concatenate([part, np.repeat(part[-1:], tau - len(part), axis=0)])
+                new.append(part - part[0] if centre else part)
+                new_evt.append(evt)
+        if new:
+            ring = np.concatenate([ring, new]) if ring is not None and len(ring) else np.array(new)
+            ring, ring_evt = ring[-last:], [*ring_evt, *new_evt][-last:]
+            names = np.array(ring_evt)
+            yield pd.DataFrame([(key[0], e, int((names == e).sum()), ring[names == e].mean(axis=0).tolist()) for e in sorted(set(ring_evt))], columns=["session", "evt", "n", "v"])
+        if len(at):
+            keep = at >= min([now - (after - before), *(ts + before for ts, _ in wait)])
+            at, x = at[keep], x[keep]
+        state.update(([t for t, _ in wait], [e for _, e in wait], at.tolist(), x.ravel().tolist(), ring_evt, ring.ravel().tolist() if ring is not None else [], d))
+
+    return _stateful(both, ["session"], "session long, evt string, n long, v array<array<double>>", "w_ts array<long>, w_evt array<string>, h_at array<long>, h_x array<double>, ring_evt array<string>, ring array<double>, d int", fn, "update")
+
+
 def press_release(predictions: DataFrame, keys: list[str], order: list[str], press: float = 0.1, release: float = 0.2) -> DataFrame:
     """predictions + fired: an error under `press` fires when not held; one over `release` lets go. What holds now is told by the
     newest row that crossed either threshold."""
@@ -257,6 +385,21 @@ def clock_align_stream(messages: DataFrame, window_ms: int = 60_000) -> DataFram
     return _stateful(messages, ["client"], "client long, seq long, aligned long", "xs array<long>, ds array<long>", fn)
 
 
+def stream_tracked_clock(messages: DataFrame, make: Callable[[np.ndarray | None], object]) -> DataFrame:
+    """client, seq, aligned of messages(client, seq, x, y): each point first updates the client's tracker (ExpWeightedLine or LowerBoundLine of
+    operators.clock; make(state or None) gives one), then is stamped by it. The tracker's flat state is all that is kept. Points of a batch are taken
+    in order of seq."""
+
+    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        t = make(np.array(state.get[0]) if state.exists else None)
+        f = pd.concat(list(frames)).sort_values("seq")
+        aligned = [t.step(float(a), float(b)) for a, b in zip(f["x"], f["y"], strict=True)]
+        state.update((t.flat().tolist(),))
+        yield pd.DataFrame({"client": key[0], "seq": f["seq"].to_numpy(), "aligned": aligned})
+
+    return _stateful(messages.select("client", "seq", "x", "y"), ["client"], "client long, seq long, aligned double", "flat array<double>", fn)
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there and return its rows: a bounded replay for jobs and tests. In update mode the newest
     row of each key counts, in complete mode the last batch; a stream without rows gives an empty result."""

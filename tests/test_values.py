@@ -226,6 +226,12 @@ def test_recorded_buffers(spark, tmp_path):
     assert sorted(map(tuple, logs.read_buffer_header(spark, at).collect())) == [("s1", 3, 4, 2, 250.0, 9), ("s2", 3, 4, 2, 250.0, 6)]
     got = sorted((r.session, r.samp, r.x) for r in logs.read_buffer_dir(spark, at).collect())
     assert got == [(s, i, [3.0 * i, 3.0 * i + 1, 3.0 * i + 2]) for s in ("s1", "s2") for i in range(4)]
+    x = np.random.default_rng(3).normal(size=(25_000, 3))  # one large file, read by many tasks
+    (tmp_path / "s1" / "samples").write_bytes(x.astype("<f4").tobytes() + b"\1\2")
+    d = logs.read_buffer_dir(spark, at, slice_bytes=30_000).where("session = 's1'")
+    assert d.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4
+    rows = sorted((r.samp, r.x) for r in d.collect())
+    assert [i for i, _ in rows] == list(range(25_000)) and np.allclose([v for _, v in rows], x.astype("<f4"))
     assert sorted(map(tuple, logs.read_buffer_events(spark, at).where("session = 's1'").collect())) == [("s1", 10, "trig", "3,-4", -1, 5), ("s1", 20, "a", "bc", 0, 0)]
 
 
