@@ -627,12 +627,13 @@ def q_decoding_curve(spark, sf):
     return r6(evaluate.decoding_curve(views.fy(spark, sf), T, LENGTHS)[1], "err", "err_est")
 
 
-OWN = CURVE.replace(f"n AS (SELECT unnest({LENGTHS}) AS len)", "top AS (SELECT max(samp) + 1 AS n FROM fy SEMI JOIN g USING (trial)), n AS (SELECT DISTINCT CASE WHEN n > 30 THEN n * k // 30 ELSE k END AS len FROM top, (SELECT unnest(range(1, 31)) AS k) WHERE n > 30 OR k <= n)")
+OWN = CURVE.replace(f"n AS (SELECT unnest({LENGTHS}) AS len)", "top AS (SELECT max(samp) + 1 AS n FROM fy SEMI JOIN g USING (trial)), n AS (SELECT DISTINCT CASE WHEN n > 30 THEN n * k // 30 ELSE k END AS len FROM top, (SELECT unnest(range(1, 31)) AS k) WHERE n > 30 OR k <= n)").replace("(l_quantity - 25) / 10 AS v", "(l_quantity - 25) AS v")
 
 
 @query(OWN + " SELECT len, ROUND(err, 6) AS err, ROUND(err_est, 6) AS err_est FROM curve")
 def q_decoding_curve_own_lengths(spark, sf):
-    return r6(evaluate.decoding_curve(views.fy(spark, sf), T)[1], "err", "err_est")
+    whole = views.fy(spark, sf).withColumn("v", F.round(F.col("v") * 10))  # whole numbers: a sum of 0 is 0 in every order
+    return r6(evaluate.decoding_curve(whole, T)[1], "err", "err_est")
 
 
 STOP = CURVE + f""", th AS (SELECT unnest(range({23})) AS no, unnest([{", ".join(repr(t) for t in evaluate.stop_thresholds(20))}]::DOUBLE[]) AS thresh),
