@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut, shared_dir, ship
 
-LENGTH, BATCH, CACHE, TOGETHER = 2048, 64, 400_000, 1024
+LENGTH, BATCH, CACHE, TOGETHER = 2048, 64, 800_000, 1024
 #: Letters that the word pattern takes and the normaliser leaves or folds one by one; closing punctuation.
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 CLOSING = ".,;:!?"
