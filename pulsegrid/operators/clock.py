@@ -39,16 +39,22 @@ def use_server_ts(df: DataFrame, ts: str = "cts", server: str = "sts", keep: str
 def robust_clock_fit(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4, limit: float = 3.0) -> DataFrame:
     """keys, slope, intercept, n, x0, y0 of y - y0 = slope * (x - x0) + intercept. Rows with -1 are left out; after each
     fit rows whose absolute error is over `limit` times the mean one are dropped before the next."""
-    base = df.where((F.col(x) != -1) & (F.col(y) != -1)).groupBy(*keys).agg(F.min(x).alias("x0"), F.min(y).alias("y0"))
-    rows = df.where((F.col(x) != -1) & (F.col(y) != -1)).join(base, keys).select(*keys, (F.col(x) - F.col("x0")).cast("double").alias("x"), (F.col(y) - F.col("y0")).cast("double").alias("y"))
-    fit = None
+    good = df.where((F.col(x) != -1) & (F.col(y) != -1))
+    base = cut(good.groupBy(*keys).agg(F.min(x).alias("x0"), F.min(y).alias("y0")), "fit")
+    rows = cut(good.join(base, keys).select(*keys, (F.col(x) - F.col("x0")).cast("double").alias("x"), (F.col(y) - F.col("y0")).cast("double").alias("y")), "points")
+    # the points are written once; a round reads them with the lines and limits of the rounds before, a row a key
+    line = "array<struct<slope:double,intercept:double,most:double>>"
+    past, fit = base.select(*keys, F.array().cast(line).alias("past")), None
+    off = lambda h: F.abs(F.col("y") - h["slope"] * F.col("x") - h["intercept"])
     for k in range(rounds):
-        fit = rows.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("n"))
+        kept = rows.join(past, keys).where(F.forall("past", lambda h: off(h) <= h["most"]))
+        fit = kept.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("n"))
         if k < rounds - 1:
+            fit = cut(fit, "fit")
             err = F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
-            rows = rows.join(cut(fit, "fit"), keys).withColumn("err", err)
-            mean = cut(rows.groupBy(*keys).agg(F.avg("err").alias("mean_err")), "fit")  # a row a key: else each round doubles the plan
-            rows = rows.join(mean, keys).where(F.col("err") <= limit * F.col("mean_err")).select(*keys, "x", "y")
+            mean = kept.join(fit, keys).groupBy(*keys).agg(F.avg(err).alias("_e"))
+            now = F.array(F.struct("slope", "intercept", (limit * F.col("_e")).alias("most"))).cast(line)
+            past = cut(past.join(fit, keys).join(mean, keys).select(*keys, F.concat("past", now).alias("past")), "fit")
     return fit.join(base, keys)
 
 

@@ -137,12 +137,15 @@ def toeplitz_expand(lagged: DataFrame, groups: list[str], tau: int) -> DataFrame
 
 
 def autocov_xx(signal: DataFrame, keys: list[str], groups: list[str], tau: int) -> DataFrame:
-    """groups, lag, d1, d2, v: sum over t of x[t + lag, d1] * x[t, d2]."""
+    """groups, lag, d1, d2, v: sum over t of x[t + lag, d1] * x[t, d2]; 0 for lags that no trial reaches. A row a sample: the samples of all lags one after the
+    other, 0 behind the end of the trial."""
     x = channel_arrays(signal, keys)
     w = Window.partitionBy(*keys).orderBy("samp")
-    ahead = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("x") if k == 0 else F.lead("x", k).over(w)).alias("_a")) for k in range(tau)])
-    j = x.withColumn("_ahead", ahead).withColumn("_l", F.explode("_ahead")).select(*groups, "_l.lag", "_l._a", F.col("x").alias("_b")).where("_a is not null")
-    return cross_sums(j, [*groups, "lag"], "_a", "_b").select(*groups, "lag", F.col("i").alias("d1"), F.col("j").alias("d2"), "v")
+    none = F.transform("x", lambda v: F.lit(0.0))
+    ahead = F.concat(F.col("x"), *[F.coalesce(F.lead("x", k).over(w), none) for k in range(1, tau)])
+    j = x.select(*groups, F.size("x").alias("_d"), ahead.alias("_a"), F.col("x").alias("_b"))
+    c = cross_sums(j, [*groups, "_d"], "_a", "_b")
+    return c.select(*groups, F.floor(F.col("i") / F.col("_d")).cast("int").alias("lag"), F.pmod("i", "_d").alias("d1"), F.col("j").alias("d2"), "v")
 
 
 def crosscov_lags(x: DataFrame, y: DataFrame, keys: list[str], groups: list[str], back: int, ahead: int) -> DataFrame:
