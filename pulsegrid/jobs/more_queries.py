@@ -99,9 +99,30 @@ def q_use_server_ts(spark, sf):
     return clock.use_server_ts(views.clients(spark, sf)).select("client", "seq", "cts", "raw_ts")
 
 
-@query()
+#: Seconds since the first day of the events, away from the edges of rounding.
+SECONDS = 1_704_067_200_000
+LINE_OF = """CASE WHEN {a}3 / {a}0 - ({a}1 / {a}0) * ({a}1 / {a}0) > 1e-12 AND abs({a}5 / {a}0 - ({a}1 / {a}0) * ({a}2 / {a}0)) > 1e-12 THEN
+  (({a}5 / {a}0 - ({a}1 / {a}0) * ({a}2 / {a}0)) / ({a}3 / {a}0 - ({a}1 / {a}0) * ({a}1 / {a}0)) + ({a}4 / {a}0 - ({a}2 / {a}0) * ({a}2 / {a}0)) / ({a}5 / {a}0 - ({a}1 / {a}0) * ({a}2 / {a}0))) / 2 ELSE 1.0 END"""
+KEPT = 0.5 ** (1 / 100.0)
+TRACKED = with_views("clients").replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS MATERIALIZED (SELECT client, seq, row_number() OVER (PARTITION BY client ORDER BY sts, seq) - 1 AS k, (cts - {SECONDS}) / 1000.0::DOUBLE AS x, (sts - {SECONDS}) / 1000.0::DOUBLE + 0.0003 AS y FROM clients),
+o AS MATERIALIZED (SELECT p.client, p.seq, p.k, p.x - f.x AS x, p.y - f.y AS y, f.y AS y0 FROM p JOIN p f ON f.client = p.client AND f.k = 0),
+t(client, seq, k, y0, err, aligned, s0, s1, s2, s3, s4, s5) AS (SELECT client, seq, k, y0, 0.0::DOUBLE, y0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM o WHERE k = 0
+ UNION ALL SELECT client, seq, k, y0, err, y0 + slope * x + s2 / s0 - slope * (s1 / s0), s0, s1, s2, s3, s4, s5 FROM (SELECT *, {LINE_OF.format(a="s")} AS slope FROM
+ (SELECT client, seq, k, y0, x, {KEPT!r} * err + (1 - {KEPT!r}) * e AS err, {", ".join(f"CASE WHEN ok THEN {KEPT!r} * r{i} + {v} ELSE r{i} END AS s{i}" for i, v in enumerate(("1", "x", "y", "x * x", "y * y", "x * y")))} FROM
+ (SELECT *, k < 5 OR e <= 3 * greatest(err, 1e-9) AS ok FROM (SELECT *, abs(y - (slope * x + r2 / r0 - slope * (r1 / r0))) AS e FROM (SELECT *, {LINE_OF.format(a="r")} AS slope FROM
+ (SELECT o.client, o.seq, o.k, o.y0, o.x, o.y, t.err, t.s0 AS r0, t.s1 AS r1, t.s2 AS r2, t.s3 AS r3, t.s4 AS r4, t.s5 AS r5 FROM t JOIN o ON o.client = t.client AND o.k = t.k + 1)))))))
+SELECT client, seq, ROUND(aligned, 2) + 0.0 AS aligned FROM t"""
+
+
+def in_seconds(c):
+    return ((F.col(c) - SECONDS) / 1000.0).alias(c)
+
+
+@query(TRACKED)
 def q_exp_weighted_clock(spark, sf):
-    return clock.exp_weighted_clock(views.clients(spark, sf), ["client"], ["sts", "seq"], "cts", "sts").select("client", "seq", "aligned")
+    c = views.clients(spark, sf).select("client", "seq", in_seconds("cts"), (in_seconds("sts") + 0.0003).alias("sts"))
+    t = clock.exp_weighted_clock(c, ["client"], ["sts", "seq"], "cts", "sts")
+    return t.select("client", "seq", (F.round("aligned", 2) + 0.0).alias("aligned"))
 
 
 @query()
@@ -188,6 +209,18 @@ def q_standardize_power(spark, sf):
     return channels(filters.standardize_power(long_recording(spark, sf), ["session"]))
 
 
+ETA = 1e-5
+PREDICTED_LAST = WALK.replace("rec AS (", "rec AS MATERIALIZED (") + f"""t(session, ch, pos, trial, samp, v, x1, x2, w1, w2, h) AS (SELECT session, ch, pos, trial, samp, v, 0.0::DOUBLE, v, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM rec WHERE pos = 0
+ UNION ALL SELECT session, ch, pos, trial, samp, CASE WHEN samp < 2 THEN v ELSE v - 0.5 * g END, x2, v, CASE WHEN samp < 2 THEN w1 ELSE w1 + {ETA!r} * (v - g) * x1 / h END, CASE WHEN samp < 2 THEN w2 ELSE w2 + {ETA!r} * (v - g) * x2 / h END, h FROM
+ (SELECT r.session, r.ch, r.pos, r.trial, r.samp, r.v, t.x1, t.x2, t.w1, t.w2, t.w1 * t.x1 + t.w2 * t.x2 AS g, CASE WHEN r.samp = 0 THEN 1.0 WHEN r.samp < 2 THEN t.h ELSE (1 - {ETA!r}) * t.h + {ETA!r} * r.v * r.v END AS h FROM t JOIN rec r ON r.session = t.session AND r.ch = t.ch AND r.pos = t.pos + 1))
+SELECT session, trial, samp, ch, ROUND(v, 6) + 0.0 AS v FROM t"""
+
+
+@query(PREDICTED_LAST)
+def q_decorrelate_two_taps(spark, sf):
+    return channels(filters.decorrelate_ar(long_recording(spark, sf), ["session"], taps=2, eta=ETA))
+
+
 @query()
 def q_decorrelate_ar(spark, sf):
     return filters.decorrelate_ar(long_recording(spark, sf), ["session"], taps=10, eta=1e-5)
@@ -204,6 +237,30 @@ def q_spatial_whiten(spark, sf):
     return filters.spatial_whiten(long_recording(spark, sf), ["session"])
 
 
+def two_channels(spark, sf):
+    """The recording's four channels as two: quantity and price, discount and tax together."""
+    x = F.col("x")
+    return long_recording(spark, sf).withColumn("x", F.array(x[0] / 10 + x[1], 10 * (x[2] + x[3])))
+
+
+TWO = with_views("samples") + """, two AS MATERIALIZED (SELECT session, samp // 500 AS trial, samp % 500 AS samp, x[1] / 10 + x[2] AS a, 10 * (x[3] + x[4]) AS b FROM samples)"""
+
+
+@query(TWO + """, c AS (SELECT session, avg(a * a) AS p, avg(a * b) AS q, avg(b * b) AS r FROM two GROUP BY session), d AS (SELECT session, p + s AS p, q, r + s AS r, sqrt(p + r + 2 * s) AS t, s * sqrt(p + r + 2 * s) AS u FROM (SELECT *, sqrt(p * r - q * q) AS s FROM c)),
+w AS (SELECT session, r / u AS w11, -q / u AS w12, p / u AS w22 FROM d) SELECT session, trial, samp, ROUND(w11 * a + w12 * b, 6) + 0.0 AS a, ROUND(w12 * a + w22 * b, 6) + 0.0 AS b FROM two JOIN w USING (session)""")
+def q_whiten_two_channels(spark, sf):
+    """The symmetric whitener of two channels has a closed form."""
+    d = filters.spatial_whiten(two_channels(spark, sf), ["session"])
+    return r6(d.select(*KEYS, "samp", F.col("x")[0].alias("a"), F.col("x")[1].alias("b")), "a", "b")
+
+
+@query(LONG + " SELECT session, trial, samp, ch, ROUND(v, 6) + 0.0 AS v FROM rec")
+def q_bands_add_up(spark, sf):
+    """Bands that cover all frequencies add up to the recording."""
+    d = filters.fft_filterbank(long_recording(spark, sf), KEYS, 100.0, [(0, 8), (8, 20), (20, 51)])
+    return channels(d.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get("x", k) + F.get("x", k + 4) + F.get("x", k + 8))))
+
+
 @query()
 def q_spectral_whiten(spark, sf):
     return filters.spectral_whiten(long_recording(spark, sf), ["session"])
@@ -325,6 +382,42 @@ def q_best_rank_of_means(spark, sf):
     return r6(models.best_rank(s, ["session"]), "score")
 
 
+# fits that have a closed form: one lag of one event and two channels (the means of even and odd ones)
+
+
+def two_means(spark, sf):
+    return views.long_signal(spark, sf).groupBy(*KEYS, "samp", (F.col("ch") % 2).cast("int").alias("ch")).agg(F.avg("v").alias("v"))
+
+
+def rises(spark, sf):
+    return events_re_fe(spark, sf).where("evt = 're'")
+
+
+PAIRS = STIM + """, m AS (SELECT session, trial, samp, avg(v) FILTER (ch % 2 = 0) AS a, avg(v) FILTER (ch % 2 = 1) AS b FROM long_signal GROUP BY ALL), y AS (SELECT session, trial, samp, v FROM ev WHERE obj = 0 AND evt = 're' AND v <> 0),
+c AS (SELECT m.session, sum(a * a) AS p, sum(a * b) AS q, sum(b * b) AS r, sum(y.v * a) AS ya, sum(y.v * b) AS yb, sum(y.v * y.v) AS yy FROM m LEFT JOIN y USING (session, trial, samp) GROUP BY m.session)"""
+
+
+@query(PAIRS + " SELECT session, ch, ROUND(CASE ch WHEN 0 THEN ya ELSE yb END / yy, 6) + 0.0 AS v FROM c, (SELECT unnest([0, 1]) AS ch) WHERE yy > 0")
+def q_fit_forward_one_lag(spark, sf):
+    t = models.summary_stats(two_means(spark, sf), rises(spark, sf), KEYS, ["session"], 1)
+    return r6(models.fit_forward(t, ["session"], 1).select("session", F.col("k").alias("ch"), "v"), "v")
+
+
+@query(PAIRS + """, w AS (SELECT *, (r * ya - q * yb) / (p * r - q * q) AS u, (p * yb - q * ya) / (p * r - q * q) AS v FROM c WHERE yy > 0), n AS (SELECT *, CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END AS s, sqrt(u * ya + v * yb) AS l FROM w)
+SELECT session, 'w' AS kind, ch AS idx, ROUND(s * CASE ch WHEN 0 THEN u ELSE v END / l, 6) + 0.0 AS v FROM n, (SELECT unnest([0, 1]) AS ch) UNION ALL SELECT session, 'r', 0, ROUND(s / sqrt(yy), 6) + 0.0 FROM n""")
+def q_fit_cca_one_lag(spark, sf):
+    """The weights are Cxx^-1 Cxy at unit power, the response is at unit power."""
+    t = models.summary_stats(two_means(spark, sf), rises(spark, sf), KEYS, ["session"], 1)
+    return r6(models.fit_cca(t, ["session"], 1, 1, 0.0, 0.0).select("session", "kind", "idx", "v"), "v")
+
+
+@query(STIM + """, m AS (SELECT session, trial, samp, avg(v) FILTER (ch % 2 = 0) AS a, avg(v) FILTER (ch % 2 = 1) AS b FROM long_signal GROUP BY ALL), c AS (SELECT session, sum(a * a) AS p, sum(a * b) AS q, sum(b * b) AS r, sum(level * a) AS ya, sum(level * b) AS yb FROM m JOIN (SELECT * FROM stim WHERE obj = 0) USING (session, trial, samp) GROUP BY session)
+SELECT session, ch, ROUND(CASE ch WHEN 0 THEN r * ya - q * yb ELSE p * yb - q * ya END / (p * r - q * q), 6) + 0.0 AS w FROM c, (SELECT unnest([0, 1]) AS ch)""")
+def q_fit_backward_one_lag(spark, sf):
+    target = coded_stim(spark, sf).where("obj = 0").select(*KEYS, "samp", F.col("level").cast("double").alias("v"))
+    return r6(models.fit_backward(two_means(spark, sf), target, KEYS, ["session"], 1).select("session", "ch", "w"), "w")
+
+
 def labelled_windows(spark, sf):
     """Two samples of all channels, and the next value of channel 0."""
     w = stats.window_arrays(views.signal(spark, sf), KEYS, 2).withColumnRenamed("x", "win")
@@ -574,8 +667,16 @@ def q_stream_epochs(spark, sf):
     return r6(t.select("session", "evt", "lag", "n", F.element_at("x", 1).alias("a"), F.element_at("x", 2).alias("b")), "a", "b")
 
 
-@query()
+@query(TRACKED)
 def q_stream_tracked_clock(spark, sf):
+    x = ((F.col("ts") + (F.col("event_id") * 7919) % 97 - SECONDS) / 1000.0).alias("x")
+    e = event_stream(spark, sf).select((F.col("user_id") % 16).alias("client"), F.col("event_id").alias("seq"), x, ((F.col("ts") - SECONDS) / 1000.0 + 0.0003).alias("y"))
+    t = streams.run_to_table(streams.stream_tracked_clock(e, lambda state: clock.ExpWeightedLine(state=state)))
+    return t.select("client", "seq", (F.round("aligned", 2) + 0.0).alias("aligned"))
+
+
+@query()
+def q_stream_lower_bound(spark, sf):
     e = event_stream(spark, sf).select((F.col("user_id") % 16).alias("client"), F.col("event_id").alias("seq"), (F.col("ts") + (F.col("event_id") * 7919) % 97).alias("x"), F.col("ts").alias("y"))
     return streams.run_to_table(streams.stream_tracked_clock(e, lambda state: clock.LowerBoundLine(50, state=state)))
 
