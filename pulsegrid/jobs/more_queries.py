@@ -478,13 +478,6 @@ def q_fit_classifier(spark, sf):
     return m.transform(d.where("trial % 2 = 1").withColumn("features", array_to_vector("win"))).select(*KEYS, "samp", "y", "prediction")
 
 
-@query(FES + """, k(evt, lag, w) AS (VALUES ('re', 0, 0.5), ('re', 1, -0.25), ('fe', 0, 1.0), ('fe', 2, 0.125)), s AS (SELECT session, trial, samp - lag AS t, evt, sum(v * w) AS v FROM long_signal, k WHERE ch = 2 AND samp - lag >= 0 GROUP BY ALL), l AS (SELECT session, trial, max(samp) AS last FROM signal GROUP BY ALL)
-SELECT s.session, s.trial, t - 1 AS samp, evt, ROUND(s.v + CASE evt WHEN 're' THEN 0.75 ELSE 0 END, 6) + 0.0 AS v FROM s JOIN l ON l.session = s.session AND l.trial = s.trial WHERE t <= last + 1 - 3 AND t >= 1""")
-def q_score_stimulus(spark, sf):
-    m = spark.createDataFrame([("re", 0, 2, 0.5), ("re", 1, 2, -0.25), ("fe", 0, 2, 1.0), ("fe", 2, 2, 0.125), ("re", None, None, 0.75)], "evt string, lag int, ch int, w double")
-    return r6(scores.score_stimulus(views.long_signal(spark, sf), m, KEYS, offset=1), "v")
-
-
 @query(FES + """, r(k, evt, lag, r) AS (VALUES (0, 're', 0, 0.5), (0, 're', 1, 0.25), (1, 'fe', 0, 1.0)), ip AS (SELECT session, trial, samp, obj, sum(ev.v * fe.v) AS v FROM ev JOIN fe USING (session, trial, samp, evt) WHERE ev.v <> 0 GROUP BY ALL),
 c AS (SELECT session, trial, samp + lag AS samp, obj, k, sum(v * r) AS v FROM ev JOIN r USING (evt) WHERE v <> 0 GROUP BY session, trial, samp + lag, obj, k), q AS (SELECT session, trial, samp, obj, sum(v * v) / 2 AS q FROM c GROUP BY ALL)
 SELECT ip.session, ip.trial, ip.samp, ip.obj, ROUND(ip.v - coalesce(q, 0), 6) + 0.0 AS v FROM ip LEFT JOIN q USING (session, trial, samp, obj)""")
@@ -627,6 +620,17 @@ sc AS (SELECT s.session AS session, s.trial AS trial, samp - lag AS samp, evt, s
 fy AS (SELECT session, trial, samp, obj, sum(ev.v * sc.v) AS v FROM ev JOIN sc USING (session, trial, samp, evt) WHERE ev.v <> 0 GROUP BY ALL)"""
 
 
+@query(SCORED + " SELECT session, trial, samp - 1 AS samp, evt, ROUND(v + CASE evt WHEN 're' THEN 0.75 ELSE 0 END, 6) + 0.0 AS v FROM sc WHERE samp >= 1")
+def q_score_stimulus(spark, sf):
+    """All channels, four lags of two events, a bias, moved by a sample."""
+    s = views.long_signal(spark, sf)
+    ch, lag = F.col("ch"), F.col("lag")
+    m = s.select("ch").distinct().withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(TAU - 1)))).withColumn("evt", F.explode(F.array(F.lit("re"), F.lit("fe"))))
+    m = m.select("evt", "lag", "ch", F.when(F.col("evt") == "re", (ch % 5 - 2 + lag) / 10).otherwise((lag - ch % 3) / 10).alias("w"))
+    bias = spark.createDataFrame([("re", None, None, 0.75)], "evt string, lag int, ch int, w double")
+    return r6(scores.score_stimulus(s, m.unionByName(bias), KEYS, offset=1, tau=TAU), "v")
+
+
 def coded_samples(spark, sf):
     """session, trial, samp, x, stim: each sample with its events."""
     e = events_re_fe(spark, sf).where("v <> 0").groupBy(*KEYS, "samp").agg(F.array_sort(F.collect_list(F.struct(F.col("obj").cast("bigint").alias("obj"), "evt", F.col("v").cast("double").alias("v")))).alias("stim"))  # of one sample

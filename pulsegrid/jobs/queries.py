@@ -314,10 +314,11 @@ def q_slice_trials(spark, sf):
 
 
 def ragged(spark, sf):
-    return views.fy(spark, sf).where("obj = 0").select((F.col("trial") % 7).alias("session"), "trial", "samp", "v")
+    """Every output of every trial as a series of its own length."""
+    return views.fy(spark, sf).select((F.col("trial") % 7).alias("session"), (F.col("trial") * 8 + F.col("obj")).alias("trial"), "samp", "v")
 
 
-@query(with_views("fy") + """, r AS (SELECT trial % 7 AS session, trial, samp, v FROM fy WHERE obj = 0), n AS (SELECT session, trial, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT session, floor(quantile_cont(n, 0.75))::INT AS len FROM n GROUP BY session),
+@query(with_views("fy") + """, r AS (SELECT trial % 7 AS session, trial * 8 + obj AS trial, samp, v FROM fy), n AS (SELECT session, trial, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT session, floor(quantile_cont(n, 0.75))::INT AS len FROM n GROUP BY session),
 k AS (SELECT session, trial, len, unnest(range(len)) AS samp FROM n JOIN c USING (session) WHERE n * 2 > len)
 SELECT session, trial, samp, last_value(v IGNORE NULLS) OVER (PARTITION BY session, trial ORDER BY samp ROWS UNBOUNDED PRECEDING) AS v FROM k LEFT JOIN r USING (session, trial, samp)""")
 def q_fit_trial_length(spark, sf):
@@ -336,7 +337,7 @@ def q_epoch_slices(spark, sf):
     return segments.epoch_slices(views.long_signal(spark, sf), e, KEYS, 4, ["ch", "v"]).select(*KEYS, "samp", "obj", "lag", "ch", "v")
 
 
-@query(with_views("fy") + """, r AS (SELECT trial % 7 AS session, trial, samp, v, count(*) OVER (PARTITION BY trial) AS n FROM fy WHERE obj = 0), s AS (SELECT *, floor(n / greatest(floor(n / 10.0 / 1.5), 1))::INT AS size FROM r)
+@query(with_views("fy") + """, r AS (SELECT trial % 7 AS session, trial * 8 + obj AS trial, samp, v, count(*) OVER (PARTITION BY trial, obj) AS n FROM fy), s AS (SELECT *, floor(n / greatest(floor(n / 10.0 / 1.5), 1))::INT AS size FROM r)
 SELECT session, trial, (samp % size)::INT AS samp, v, (samp // size)::INT AS sub FROM s WHERE (samp // size + 1) * size <= n""")
 def q_subtrials(spark, sf):
     return segments.subtrials(ragged(spark, sf), ["session"], 10.0, 1.5)
@@ -428,13 +429,13 @@ def q_zero_outliers(spark, sf):
     return clean.zero_outliers(views.long_signal(spark, sf), ["session"], thresh=0.6)
 
 
-ROBUST = ", g0 AS (SELECT session, x[2] AS v, true AS ok FROM samples)" + "".join(f", g{k + 1} AS (SELECT session, v, v <= m + 1.5 * s AND v >= m - 1.2 * s AS ok FROM (SELECT *, avg(v) FILTER (ok) OVER w AS m, stddev_pop(v) FILTER (ok) OVER w AS s FROM g{k} WINDOW w AS (PARTITION BY session)))" for k in range(4))
+ROBUST = ", g0 AS (SELECT session, unnest(range(4)) AS ch, unnest(x)::DOUBLE AS v, true AS ok FROM samples)" + "".join(f", g{k + 1} AS (SELECT session, ch, v, v <= m + 1.5 * s AND v >= m - 1.2 * s AS ok FROM (SELECT *, avg(v) FILTER (ok) OVER w AS m, stddev_pop(v) FILTER (ok) OVER w AS s FROM g{k} WINDOW w AS (PARTITION BY session, ch)))" for k in range(4))
 
 
-@query(with_views("samples") + ROBUST + " SELECT session, ROUND(avg(v), 6) AS mean, count(*) AS n FROM g4 WHERE ok GROUP BY session")
+@query(with_views("samples") + ROBUST + " SELECT session, ch, ROUND(avg(v), 6) AS mean, count(*) AS n FROM g4 WHERE ok GROUP BY session, ch")
 def q_robust_mean(spark, sf):
-    s = views.samples(spark, sf).select("session", F.element_at("x", 2).alias("v"))
-    return r6(clean.robust_mean(s, ["session"], high=1.5, low=1.2), "mean")
+    s = views.samples(spark, sf).select("session", F.posexplode("x").alias("ch", "v"))
+    return r6(clean.robust_mean(s, ["session", "ch"], high=1.5, low=1.2), "mean")
 
 
 @query(with_views("signal") + """, a AS (SELECT session, trial, samp, x[1] AS v, lead(x[1]) OVER (PARTITION BY session, trial ORDER BY samp) AS nx FROM signal), b AS (SELECT session, trial, 2 * samp + k AS here, k, v, nx FROM a, (SELECT unnest([0, 1]) AS k))
@@ -455,10 +456,10 @@ def q_fir_embed(spark, sf):
     return e.select(*KEYS, "samp", F.size("x").cast("bigint").alias("n"), *[F.element_at("x", i).alias(c) for i, c in ((1, "a"), (9, "b"), (24, "c"))])
 
 
-@query(with_views("samples") + " SELECT session, samp, ROUND((x[1] - avg(x[1]) OVER w) / stddev_pop(x[1]) OVER w, 6) + 0.0 AS v FROM samples WINDOW w AS (PARTITION BY session)")
+@query(with_views("samples") + ", c AS (SELECT session, samp, unnest(range(4)) AS ch, unnest(x)::DOUBLE AS v FROM samples) SELECT session, samp, ch, ROUND((v - avg(v) OVER w) / stddev_pop(v) OVER w, 6) + 0.0 AS v FROM c WINDOW w AS (PARTITION BY session, ch)")
 def q_zscore_targets(spark, sf):
-    s = views.samples(spark, sf).select("session", "samp", F.element_at("x", 1).alias("v"))
-    return r6(clean.zscore_targets(s, ["session"]), "v")
+    s = views.samples(spark, sf).select("session", "samp", F.posexplode("x").alias("ch", "v"))
+    return r6(clean.zscore_targets(s, ["session", "ch"]), "v")
 
 
 @query(with_views("signal", "long_signal") + """, p AS (SELECT session, ch, avg(v * v) AS raw, var_pop(v) AS pre FROM long_signal GROUP BY ALL)
