@@ -9,10 +9,10 @@ The pairing is a reduction tree. Documents are dealt out to small groups by a se
 documents but one by a walk over an array, and the unsettled ones of FAN groups meet in one group of the next level. Only
 unsettled rows go on, so the levels shuffle n, n / FAN, n / FAN^2 ... short rows, and no task holds more than a group.
 
-Long documents (over one `share`-th of their source, and over twice its mean) go first, in a tree of their own; what their
-rounding gives too much or too little is taken from the fractions of all others, which on average leaves them as they are. So the
-last unsettled document of a source, whose rounding nothing can balance, is a short one wherever the short ones can balance the
-long ones.
+Long documents go first (over one `share`-th of their source and over twice its mean; then over half the mean), each class in a
+tree of its own; what their rounding gives too much or too little is taken from the fractions of all shorter ones, which on
+average leaves them as they are. So the last unsettled document of a source, whose rounding nothing can balance, is a short one
+wherever the short ones can balance the long ones.
 
 Rows that agree in source, doc_id and size are alike in the result, so they are counted first and dealt out as one entry with a
 multiplicity; a group of copies of any size is one short row until the last step.
@@ -140,20 +140,27 @@ def mix_plan(docs: DataFrame, source_col: str = "source", weights: tuple[float,
     s = sources.select(F.col("source").alias("_s"), "sid", "source_size", "source_rows", "target", F.floor(r).alias("base"), (r - F.floor(r)).alias("f"))
     d = cut(kinds.join(s, kinds.source.eqNullSafe(s._s)).drop("_s"), "kinds")
 
-    long_ = (F.col("size") * share > F.col("source_size")) & (F.col("size") * F.col("source_rows") > 2 * F.col("source_size"))
-    first = _rounded(d.where(long_), seed)
-    moved = first.groupBy("sid").agg(F.sum(F.col("size") * (F.col("extra") - F.col("rows") * F.col("f"))).alias("_off"))
-    room = d.where(~long_).groupBy("sid").agg(F.sum(F.col("size") * F.col("rows")).alias("_room"))
-    fix = cut(room.join(moved, "sid").where("_room > 0").select("sid", (F.col("_off") / F.col("_room")).alias("_by")), "moved")
-    rest = d.where(~long_).join(fix, "sid", "left").withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - F.coalesce("_by", F.lit(0.0))))).drop("_by")
-    second = _rounded(rest, seed + 1)
-    cols = ["source", "doc_id", "size", "source_size", "target", "rows", "base", "extra"]
-    return first.select(*cols).unionByName(second.select(*cols))
+    mean = F.col("source_size") / F.col("source_rows")
+    bounds = [F.greatest(F.col("source_size") / share, 2 * mean), mean / 2]
+    left, cols, out = d, ["source", "sid", "doc_id", "size", "source_size", "target", "rows", "base", "f", "extra"], None
+    for k, bound in enumerate([*bounds, None]):
+        now, left = (left, None) if bound is None else (left.where(F.col("size") > bound), left.where(F.col("size") <= bound))
+        if out is not None:  # what the longer ones took too much or too little
+            room = now.unionByName(left) if left is not None else now
+            room = room.groupBy("sid").agg(F.sum(F.col("size") * F.col("rows")).alias("_room"))
+            off = out.groupBy("sid").agg(F.sum(F.col("size") * (F.col("extra") - F.col("rows") * F.col("f"))).alias("_off"))
+            fix = cut(room.join(off, "sid").where("_room > 0").select("sid", (F.col("_off") / F.col("_room")).alias("_by")), "moved")
+            now = now.join(fix, "sid", "left").withColumn("_f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - F.coalesce("_by", F.lit(0.0))))).drop("_by")
+        else:
+            now = now.withColumn("_f", F.col("f"))
+        got = cut(_rounded(now, seed + k).select(*cols), "rounded")
+        out = got if out is None else out.unionByName(got)
+    return out.drop("sid", "f")
 
 
 def _rounded(d: DataFrame, seed: int) -> DataFrame:
-    """d + extra: of `rows` rows, each with fraction f, the whole part of rows * f, and one more for those that the tree lifts."""
-    d = d.withColumn("_k", F.floor(F.col("rows") * F.col("f"))).withColumn("_q", F.col("rows") * F.col("f") - F.col("_k"))
+    """d + extra: of `rows` rows, each with fraction _f, the whole part of rows * _f, and one more for those that the tree lifts."""
+    d = d.withColumn("_k", F.floor(F.col("rows") * F.col("_f"))).withColumn("_q", F.col("rows") * F.col("_f") - F.col("_k"))
     d = cut(d, "fractions")
     some = (F.col("size") > 0) & (F.col("_q") > 1e-12) & (F.col("_q") < 1 - 1e-12)
     ups = pivotal_rounding(d.where(some).select("sid", "doc_id", "size", (F.col("_q") * F.col("size")).alias("mass")), seed)
