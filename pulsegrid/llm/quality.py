@@ -58,9 +58,9 @@ def _stats():
 def host_quality(docs: DataFrame, host_col: str = "source", max_host_rate: float = 0.5, min_prior: float = 1.0, max_prior: float = 1000.0) -> DataFrame:
     """One row per document: its counts, th (xxhash64 of the text), base_failed, host_rate (shrunk failure rate) and kept.
 
-    Rules summed by host: base_failed, symbols (over one symbol in three words), duplicate lines are counted for the
-    report, the verdict uses the share of documents that fail the base or the symbol rule. A host is rejected when
-    that share, shrunk, is above max_host_rate. The prior's weight stays within min_prior..max_prior documents.
+    A document fails by the base rule, or by the symbol rule (over one symbol in three words); failing documents are summed by
+    host. A host is rejected when that share, shrunk, is above max_host_rate. The prior's weight stays within
+    min_prior..max_prior documents (hosts that are all alike would make it endless).
     """
     s = cut(map_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), F.col(host_col).cast("string").alias("host"), "text"), _stats, STATS), "quality")
     failed = F.col("base_failed") | (3 * F.col("n_symbols") > F.col("n_words"))
