@@ -87,6 +87,15 @@ def q_electrode_positions(spark, sf):
     return r6(segments.electrode_positions(ch, logs.cap_positions(c)).select("ch", F.col("real").alias("name"), "x2", "iseeg"), "x2")
 
 
+@query("""WITH n AS (SELECT c_custkey AS ch, replace(c_name, 'Customer', 'Supplier') || '_' || c_nationkey AS name FROM customer), b AS (SELECT ch, name, max({'l': len(s_name), 'k': s_suppkey}) AS s FROM n LEFT JOIN supplier ON starts_with(lower(name), lower(s_name)) GROUP BY ch, name)
+SELECT ch, name, CASE WHEN s.k IS NULL THEN -1.0 ELSE ROUND((s.k % 90) * pi() / 180 * cos((s.k * 7 % 360) * pi() / 180), 6) + 0.0 END AS x2, s.k IS NOT NULL AS iseeg FROM b""")
+def q_electrode_positions_by_prefix(spark, sf):
+    """A channel's name begins like its electrode's."""
+    c = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 90).cast("double").alias("lat"), (F.col("s_suppkey") * 7 % 360).cast("double").alias("lng"))
+    ch = table(spark, sf, "customer").select(F.col("c_custkey").alias("ch"), F.concat(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit("_"), F.col("c_nationkey")).alias("name"))
+    return r6(segments.electrode_positions(ch, logs.cap_positions(c), prefix=True).select("ch", "name", "x2", "iseeg"), "x2")
+
+
 @query(STIM + """, lab AS (SELECT session, trial, samp, CAST(x[1] > 0 AS INT) + CAST(x[2] > 0 AS INT) AS label FROM signal), u AS (SELECT session, trial, samp, label, lag(label) OVER w AS p, lead(label) OVER w AS n FROM lab WINDOW w AS (PARTITION BY session, trial ORDER BY samp)),
 t AS (SELECT session, trial, samp AS bgn, n AS label, lead(samp) OVER (PARTITION BY session, trial ORDER BY samp) - samp AS gap FROM u WHERE label > p) SELECT session, trial, bgn, label, max(gap) OVER (PARTITION BY session, trial) AS length FROM t""")
 def q_trials_from_label_change(spark, sf):

@@ -25,10 +25,10 @@ def score_stimulus(signal: DataFrame, model: DataFrame, keys: list[str], on: lis
     w = model.where("lag is not null")
     tau = tau or w.agg(F.max("lag")).first()[0] + 1
     last = signal.groupBy(*keys).agg(F.max("samp").alias("_last"))
-    j = signal.join(w if on else F.broadcast(w), [*on, "ch"]).withColumn("_at", F.col("samp") - F.col("lag")).where("_at >= 0")
+    j = signal.join(w, [*on, "ch"]).withColumn("_at", F.col("samp") - F.col("lag")).where("_at >= 0")
     s = j.groupBy(*keys, "evt", "_at").agg(F.sum(F.col("v") * F.col("w")).alias("v")).join(last, keys).where(F.col("_at") <= F.col("_last") + 1 - tau)
     b = model.where("lag is null").select(*on, "evt", F.col("w").alias("_b"))
-    s = s.join(b if on else F.broadcast(b), [*on, "evt"], "left")
+    s = s.join(b, [*on, "evt"], "left")
     return s.select(*keys, (F.col("_at") - offset).alias("samp"), "evt", (F.col("v") + F.coalesce("_b", F.lit(0.0))).alias("v")).where("samp >= 0")
 
 
@@ -59,7 +59,7 @@ def score_output_offsets(fe: DataFrame, y: DataFrame, keys: list[str], offsets:
 
 def conv_yr(y: DataFrame, response: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
     """keys, samp, obj, k, v: sum over events and lags of y[samp - lag] * r[k, evt, lag]."""
-    j = y.where("v <> 0").join(response if on else F.broadcast(response), [*(on or []), "evt"]).withColumn("samp", F.col("samp") + F.col("lag"))
+    j = y.where("v <> 0").join(response, [*(on or []), "evt"]).withColumn("samp", F.col("samp") + F.col("lag"))
     return j.groupBy(*keys, "samp", "obj", "k").agg(F.sum(F.col("v") * F.col("r")).alias("v"))
 
 
@@ -72,7 +72,7 @@ def score_output_sse(fe: DataFrame, y: DataFrame, response: DataFrame, keys: lis
 
 def spatial_filter(signal: DataFrame, filters: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
     """keys, samp, k, v: the signal on each component. filters: (on), k, ch, w."""
-    return signal.join(filters if on else F.broadcast(filters), [*(on or []), "ch"]).groupBy(*keys, "samp", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return signal.join(filters, [*(on or []), "ch"]).groupBy(*keys, "samp", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def conv_xyr(wx: DataFrame, yr: DataFrame, keys: list[str]) -> DataFrame:

@@ -235,13 +235,12 @@ def electrode_positions(channels: DataFrame, cap: DataFrame, prefix: bool = Fals
     """channels (ch, name) + x2 y2 x3 y3 z3 iseeg; names without an electrode get (-1, 1), (-1, 1, 0), false."""
     c = cap.select(F.lower("name").alias("_n"), "x2", "y2", "x3", "y3", "z3")
     name = F.lower(F.col("name"))
-    if prefix:  # no equality to join by: a cap has about a hundred electrodes
-        j = channels.join(F.broadcast(c), name.startswith(F.col("_n")), "left")
+    if prefix:  # the longest electrode that a name begins with: every beginning of a name is looked up
+        heads = channels.select("ch", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda k: F.substring(name, 1, k))).alias("_h")).distinct()
+        best = heads.join(c, F.col("_h") == F.col("_n")).groupBy("ch").agg(F.max_by(F.struct(*c.columns), F.length("_n")).alias("_c"))
+        j = channels.join(best, "ch", "left").select(*channels.columns, "_c.*")
     else:
         j = channels.join(c, name == F.col("_n"), "left")
-    if prefix:
-        w = Window.partitionBy("ch").orderBy(F.length("_n").desc_nulls_last(), "_n")
-        j = j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     fill = {"x2": -1.0, "y2": 1.0, "x3": -1.0, "y3": 1.0, "z3": 0.0}
     return j.select(*channels.columns, *[F.coalesce(k, F.lit(v)).alias(k) for k, v in fill.items()], F.col("_n").isNotNull().alias("iseeg"))
 
