@@ -427,6 +427,17 @@ def q_fit_backward_one_lag(spark, sf):
     return r6(models.fit_backward(two_means(spark, sf), target, KEYS, ["session"], 1).select("session", "ch", "w"), "w")
 
 
+@query(STIM + """, wt AS (SELECT *, CASE WHEN trial % 2 = 0 THEN 0.5 ELSE 1.0 END AS wt FROM long_signal)
+SELECT a.session, 'xx' AS stat, NULL::VARCHAR AS e1, a.ch AS a, b.ch AS b, ROUND(sum(a.wt * a.v * b.v), 5) + 0.0 AS v FROM wt a JOIN long_signal b ON b.session = a.session AND b.trial = a.trial AND b.samp = a.samp GROUP BY a.session, a.ch, b.ch
+UNION ALL SELECT e.session, 'xy', evt, lag, ch, ROUND(sum(e.v * s.wt * s.v), 5) + 0.0 FROM (SELECT ev.*, last, unnest(range(4)) AS lag FROM ev JOIN last USING (session, trial) WHERE obj = 0 AND v <> 0) e JOIN wt s ON s.session = e.session AND s.trial = e.trial AND s.samp = e.samp + lag WHERE e.samp <= last + 1 - 4 GROUP BY e.session, evt, lag, ch""")
+def q_updated_stats(spark, sf):
+    """Statistics of the odd trials on top of half those of the even ones (a limit on outliers that nothing reaches)."""
+    s, e = views.long_signal(spark, sf), events_re_fe(spark, sf)
+    old = models.updated_stats(s.where("trial % 2 = 0"), e.where("trial % 2 = 0"), ["session"], 4, thresh=1e9)
+    new = models.updated_stats(s.where("trial % 2 = 1"), e.where("trial % 2 = 1"), ["session"], 4, old, 0.5, thresh=1e9)
+    return new.where("stat <> 'yy'").select("session", "stat", "e1", "a", "b", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
 def labelled_windows(spark, sf):
     """Two samples of all channels, and the next value of channel 0."""
     w = stats.window_arrays(views.signal(spark, sf), KEYS, 2).withColumnRenamed("x", "win")
