@@ -62,33 +62,6 @@ def _sections(z: np.ndarray, p: np.ndarray, gain: float) -> np.ndarray:
     return sos
 
 
-def run_sections(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Filter x (samples, channels); the state (sections, 2, channels) carries over to the next block."""
-    if state is None:
-        state = warm_state(sos, x[:1])
-    y, state = np.array(x, float), state.copy()
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        z1, z2 = state[k]
-        for t in range(len(y)):
-            v = y[t].copy()
-            o = b0 * v + z1
-            z1 = b1 * v - a1 * o + z2
-            z2 = b2 * v - a2 * o
-            y[t] = o
-        state[k] = z1, z2
-    return y, state
-
-
-def warm_state(sos: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The state after the first sample stood for ever."""
-    state, v = np.zeros((len(sos), 2, first.shape[1])), first[0].astype(float) if len(first) else np.zeros(first.shape[1])
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        o = v * (b0 + b1 + b2) / (1 + a1 + a2)
-        state[k] = o - b0 * v, b2 * v - a2 * o
-        v = o
-    return state
-
-
 # --- by session, in order of time
 
 

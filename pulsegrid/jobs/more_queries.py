@@ -651,6 +651,19 @@ def q_score_stimulus(spark, sf):
     return r6(scores.score_stimulus(s, m.unionByName(bias), KEYS, offset=1, tau=TAU), "v")
 
 
+EVERY = ["re", "fe", "short", "1", "raw", "grad", "diff", "onset", "rest", "ntre", "anyre"]
+
+
+@query(STIM + """, l AS (SELECT *, lag(level) OVER w AS p, lag(level, 2) OVER w AS q, sum(CAST(level > 0 AS INT)) OVER (w ROWS UNBOUNDED PRECEDING) AS c, max(level) OVER (PARTITION BY session, trial, samp) AS top FROM stim WINDOW w AS (PARTITION BY session, trial, obj ORDER BY samp)),
+b AS (SELECT *, coalesce(level > 0 AND p = 0, false) AS re, coalesce(level = 0 AND p > 0, false) AS fe, coalesce(level = 0 AND p > 0 AND q = 0, false) AS sh FROM l), a AS (SELECT *, bool_or(re) OVER (PARTITION BY session, trial, samp) AS other FROM b),
+r AS (SELECT session, trial, samp, obj, unnest(['re', 'fe', 'short', '1', 'raw', 'grad', 'diff', 'onset', 'rest', 'ntre', 'anyre']) AS evt, unnest([CAST(re AS INT), CAST(fe AS INT), CAST(sh AS INT), CAST(level = 1 AS INT), level, coalesce(level - p, 0), CAST(coalesce(level <> p, false) AS INT), CAST(c = 1 AS INT), CAST(top = 0 AS INT), CAST(NOT re AND other AS INT), CAST(other AS INT)]) AS v FROM a)
+SELECT session, trial, samp, obj, evt, v::DOUBLE AS v FROM r""")
+def q_stream_code_events(spark, sf):
+    """Every event type, five samples of each trial a batch."""
+    d = replayed(coded_stim(spark, sf), F.floor(F.col("samp") / 5), 5)
+    return streams.run_to_table(streams.stream_code_events(d, EVERY))
+
+
 def coded_samples(spark, sf):
     """session, trial, samp, x, stim: each sample with its events."""
     e = events_re_fe(spark, sf).where("v <> 0").groupBy(*KEYS, "samp").agg(F.array_sort(F.collect_list(F.struct(F.col("obj").cast("bigint").alias("obj"), "evt", F.col("v").cast("double").alias("v")))).alias("stim"))  # of one sample

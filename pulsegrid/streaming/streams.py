@@ -82,6 +82,71 @@ def stream_code(levels: DataFrame, evt: str = "re", keep: int = 20) -> DataFrame
     return _stateful(levels, ["session", "obj"], "session long, obj long, samp long, v int", "past array<int>", fn)
 
 
+def stream_code_events(levels: DataFrame, evts: list[str], keys: tuple[str, ...] = ("session", "trial"), idle_ms: int | None = None) -> DataFrame:
+    """keys, samp, obj, evt, v of levels(keys, samp, obj, level): operators.events.code_events on-line, for every event type it knows. All objects of a
+    sample come in one batch. State of a key: the objects, how often each was active, and of each the last levels that the longest pattern looks at."""
+    from pulsegrid.operators.events import PATTERNS
+
+    base = {e: e[2:] if e.startswith("nt") else e[3:] if e.startswith("any") else e for e in evts}
+    plain = list(dict.fromkeys(base.values()))
+    bits = {e: PATTERNS.get(e, e) for e in plain if e not in ("1", "0", "flash", "raw", "grad", "diff", "onset", "rest")}
+    if bad := [e for e, b in bits.items() if not b or set(b) - {"0", "1"}]:
+        raise ValueError(f"unknown event types {bad}")
+    keep = max([2, *(len(b) for b in bits.values())]) - 1
+
+    def codes(past: np.ndarray, new: np.ndarray, active: int) -> dict[str, np.ndarray]:
+        whole, n = np.concatenate([past, new]), len(new)
+        before = lambda k: whole[max(0, len(past) - k) : len(whole) - k]  # noqa: E731  levels k samples ago, fewer at the begin
+        late = lambda x: np.concatenate([np.zeros(n - len(x), x.dtype), x])  # noqa: E731  0 where there is none
+        out = {}
+        for e in plain:
+            if e in bits:
+                hit = np.ones(n, bool)
+                for k, bit in enumerate(reversed(bits[e])):
+                    hit &= late(before(k) > 0 if bit == "1" else before(k) == 0)
+                out[e] = hit
+            elif e in ("1", "flash", "0"):
+                out[e] = new == (e != "0")
+            elif e in ("grad", "diff"):
+                step = late(new[n - len(before(1)) :] - before(1))
+                out[e] = step if e == "grad" else step != 0
+            elif e == "onset":
+                out[e] = active + np.cumsum(new > 0) == 1
+            else:
+                out[e] = new
+        return out
+
+    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        if state.exists:
+            objs, active, flat, sizes = state.get
+            cuts = np.cumsum([0, *sizes])
+            held = {o: (n, np.array(flat[i:j], float)) for o, n, i, j in zip(objs, active, cuts, cuts[1:], strict=False)}
+        f = pd.concat(list(frames)).sort_values(["obj", "samp"])
+        parts = []
+        for o, part in f.groupby("obj", sort=True):
+            n, past = held.get(int(o), (0, np.zeros(0)))
+            new = part["level"].to_numpy(float)
+            parts.append(part[["samp", "obj"]].assign(**{f"c_{e}": np.asarray(v, float) for e, v in codes(past, new, n).items()}))
+            held[int(o)] = n + int((new > 0).sum()), np.concatenate([past, new])[-keep:]
+        d = pd.concat(parts)
+        for e in plain:
+            if e == "rest":
+                d["c_rest"] = (d["c_rest"].abs().groupby(d["samp"]).transform("max") == 0).astype(float)
+        rows = []
+        for e in evts:
+            v = d[f"c_{base[e]}"]
+            if e != base[e]:
+                some = v.groupby(d["samp"]).transform("max")
+                v = ((v == 0) & (some == 1)).astype(float) if e.startswith("nt") else some
+            rows.append(pd.DataFrame({**dict(zip(keys, key, strict=True)), "samp": d["samp"], "obj": d["obj"], "evt": e, "v": v}))
+        state.update(([*held], [n for n, _ in held.values()], [float(v) for _, p in held.values() for v in p], [len(p) for _, p in held.values()]))
+        yield pd.concat(rows)
+
+    kinds = dict(levels.dtypes)
+    return _stateful(levels.select(*keys, "samp", "obj", "level"), list(keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + f", samp {kinds['samp']}, obj {kinds['obj']}, evt string, v double", "objs array<long>, active array<long>, flat array<double>, sizes array<int>", fn, idle_ms=idle_ms)
+
+
 def stream_hold_and_code(rows: DataFrame, evt: str = "re", keep: int = 20, idle_ms: int | None = None) -> DataFrame:
     """session, samp, obj, v of rows(session, samp, obj, level, reset): each sample carries the levels that changed (obj null: none
     did), other objects hold theirs; the code of every object met so far. A row with reset (a new target) forgets all

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import filters
-from pulsegrid.operators import clock, events, models, scores, segments, stats
+from pulsegrid.operators import blocks, clock, events, models, scores, segments, stats
 from pulsegrid.sources import logs
 
 
@@ -90,10 +90,12 @@ def test_press_release(spark):
 def test_filter_blocks_meet_the_whole():
     rng = np.random.default_rng(0)
     x, sos = rng.standard_normal((200, 3)) + 5, filters.butter_sections(4, (0, 2), 100.0)
-    whole, _ = filters.run_sections(sos, x)
-    parts, state = [], None
+    system = blocks.Linear.sections(sos)
+    state = system.steady(x[0])
+    whole, _ = system.run(x, state)
+    parts = []
     for k in range(0, 200, 37):
-        y, state = filters.run_sections(sos, x[k : k + 37], state)
+        y, state = system.run(x[k : k + 37], state)
         parts.append(y)
     assert np.allclose(np.concatenate(parts), whole)
 
