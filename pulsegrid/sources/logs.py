@@ -158,7 +158,9 @@ def read_buffer_dir(spark: SparkSession, path: str, slice_bytes: int = 64 << 20)
     d = d.withColumn("width", width.cast("long")).withColumn("n", F.floor(F.col("length") / F.col("width"))).where("n > 0")
     per = F.greatest(F.floor(F.lit(slice_bytes) / F.col("width")), F.lit(1))
     d = d.withColumn("per", per).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("per"))))
-    d = d.select("session", "path", "nch", "data_type", "width", "first", F.least("per", F.col("n") - F.col("first")).alias("count")).repartition("path", "first")
+    d = d.select("session", "path", "nch", "data_type", "width", "first", F.least("per", F.col("n") - F.col("first")).alias("count"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    d = d.repartition(tasks, "path", "first")  # a number: the adaptive planner would join such short rows into one task
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
