@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pulsegrid.shared import cut
+from pulsegrid.shared import cut, deal
 
 
 def _run(keys, *order):
@@ -81,11 +81,14 @@ def conv_xyr(wx: DataFrame, yr: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def densify(fy: DataFrame, keys: list[str]) -> DataFrame:
-    """Every sample up to the last and every object of the key, absent scores as 0."""
-    g = fy.groupBy(*keys).agg(F.max("samp").alias("_m"), F.collect_set("obj").alias("_o"))  # the outputs of one trial: a fixed few
-    g = g.withColumn("obj", F.explode("_o")).withColumn("samp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m").cast("bigint"))))
-    f = fy.select(*keys, F.col("obj"), F.col("samp").cast("bigint").alias("samp"), "v")
-    return g.select(*keys, "obj", "samp").join(f, [*keys, "obj", "samp"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    """Every sample up to the last and every object of the key, absent scores as 0. The rows are dealt by key once, and each fills the gap before it
+    (an object's last one also the samples after it); what follows by key, object or sample needs no further shuffle."""
+    f = deal(fy.where("obj is not null and samp >= 0").select(*keys, "obj", F.col("samp").cast("bigint").alias("_at"), F.col("v").alias("_v")), keys)
+    w = Window.partitionBy(*keys, "obj").orderBy("_at")
+    f = f.withColumn("_low", F.least(F.coalesce(F.lag("_at").over(w) + 1, F.lit(0).cast("bigint")), "_at")).withColumn("_end", F.lead("_at").over(w).isNull())
+    f = f.withColumn("_high", F.when(F.col("_end"), F.max("_at").over(Window.partitionBy(*keys))).otherwise(F.col("_at")))
+    v = F.coalesce(F.when(F.col("samp") == F.col("_at"), F.col("_v")), F.lit(0.0)).alias("v")
+    return f.withColumn("samp", F.explode(F.sequence("_low", "_high"))).select(*keys, "obj", "samp", v)
 
 
 def dedup_true_output(fy: DataFrame, keys: list[str], zero_copy: bool = True, least: float = 0.95) -> DataFrame:
@@ -104,8 +107,8 @@ def audc_score(fy: DataFrame, keys: list[str], within: list[str] | None = None)
     """score (by `within`): the share of (trial with a true score, sample) where object 0 leads the running sums; the lowest
     object wins ties."""
     d = densify(fy, keys)
-    good = d.where("obj = 0 and v <> 0").select(*keys).distinct()
-    s = d.join(good, keys, "left_semi").withColumn("_c", F.sum("v").over(_run([*keys, "obj"], "samp")))
+    good = F.max(((F.col("obj") == 0) & (F.col("v") != 0)).cast("int")).over(Window.partitionBy(*keys))
+    s = d.withColumn("_c", F.sum("v").over(_run([*keys, "obj"], "samp"))).withColumn("_good", good).where("_good = 1")
     lead = s.groupBy(*keys, "samp").agg(F.max(F.struct(F.round("_c", 9).alias("c"), (-F.col("obj")).alias("o"))).alias("_l"))
     return lead.groupBy(*(within or [])).agg(F.avg((F.col("_l.o") == 0).cast("double")).alias("score"))
 
@@ -155,11 +158,15 @@ def decision_grid(trials: DataFrame, n: str = "n", least: int = -1) -> DataFrame
 
 
 def cumulative_scores(fy: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, samp, obj, v, s (running sum), n (running count of active samples), ny."""
-    d = densify(fy, keys)
-    act = d.groupBy(*keys, "samp").agg(F.max((F.col("v") != 0).cast("int")).alias("_a"))
-    act = act.withColumn("n", F.sum("_a").over(_run(keys, "samp"))).drop("_a")
-    return d.join(act, [*keys, "samp"]).withColumn("s", F.sum("v").over(_run([*keys, "obj"], "samp"))).join(valid_outputs(fy, keys).select(*keys, "ny"), keys)
+    """keys, samp, obj, v, s (running sum), n (running count of active samples), ny. Windows over the rows as densify dealt them, without a join."""
+    on = (F.col("v") != 0).cast("int")
+    run, end = _run([*keys, "obj"], "samp"), F.lead("samp").over(Window.partitionBy(*keys, "obj").orderBy("samp")).isNull()
+    d = densify(fy, keys).withColumn("s", F.sum("v").over(run)).withColumn("_used", F.when(end, F.max(on).over(run)))
+    at = Window.partitionBy(*keys, "samp").orderBy("obj")
+    first = F.when(F.row_number().over(at) == 1, F.max(on).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    d = d.withColumn("_first", first).withColumn("n", F.sum("_first").over(Window.partitionBy(*keys).orderBy("samp")))  # with all objects of the sample
+    d = d.withColumn("ny", F.sum("_used").over(Window.partitionBy(*keys)))
+    return d.select(*keys, "samp", "obj", "v", "s", "n", "ny")
 
 
 def noise_variance(fy: DataFrame, keys: list[str], centre: bool = True, compact: bool = False, prior: tuple[float, float] | None = None, running: DataFrame | None = None) -> DataFrame:
@@ -221,9 +228,10 @@ def normalize_blocks(fy: DataFrame, keys: list[str], block: int = 30) -> DataFra
     """keys, blk, obj, z: sums at the end of each whole block over sqrt(n sigma2); sigma2 is the variance of what is left of
     each block after samples and outputs are centred, half old and half new from block to block."""
     d = densify(fy, keys)
-    used = d.groupBy(*keys, "obj").agg(F.max((F.col("v") != 0).cast("int")).alias("_u")).where("_u = 1").drop("_u")
+    used = F.max((F.col("v") != 0).cast("int")).over(Window.partitionBy(*keys, "obj"))
     length = Window.partitionBy(*keys)
-    d = d.withColumn("_len", F.max("samp").over(length) + 1).withColumn("blk", F.floor(F.col("samp") / block)).where(F.col("blk") < F.floor(F.col("_len") / block)).join(used, [*keys, "obj"], "left_semi")
+    d = d.withColumn("_u", used).withColumn("_len", F.max("samp").over(length) + 1).withColumn("blk", F.floor(F.col("samp") / block))
+    d = d.where((F.col("_u") == 1) & (F.col("blk") < F.floor(F.col("_len") / block)))
     by = [*keys, "blk"]
     r = F.col("v") - F.avg("v").over(Window.partitionBy(*by, "samp")) - F.avg("v").over(Window.partitionBy(*by, "obj")) + F.avg("v").over(Window.partitionBy(*by))
     b = d.withColumn("_r", r).groupBy(*by).agg((F.sum(F.col("_r") * F.col("_r")) / F.greatest(F.lit(1), F.count("*") - F.countDistinct("obj"))).alias("_v"))
@@ -249,6 +257,8 @@ def target_probs(z: DataFrame, keys: list[str], scale: float = 1.0, value: str =
     base = [k for k in part if k != "samp"]
     w = Window.partitionBy(*part)
     f = F.col(value) * scale + (F.log(F.greatest(F.col(prior), F.lit(1e-8))) if prior else F.lit(0.0))
+    if base:  # dealt by trial once: outputs and samples of a trial are then at hand
+        z = deal(z, base)
     d = z.withColumn("_f", f).withColumn("_ok", F.max((F.col(value) != 0).cast("int")).over(Window.partitionBy(*[k for k in base if k not in over], "obj")))
     bad = F.max((F.isnan(value) | F.col(value).isNull()).cast("int")).over(w)
     d = d.withColumn("_e", F.exp(F.col("_f") - F.max("_f").over(w)) * F.col("_ok")).withColumn("_bad", bad)
@@ -274,13 +284,29 @@ SCALES = [0.01, 0.02, 0.04, 0.06, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1
 
 
 def calibrate_softmax(z: DataFrame, keys: list[str], scales: list[float] = SCALES) -> DataFrame:
-    """scale, loss: the scale of least -sum ln max(p of object 0, 1e-5) over trials with a true score (one row)."""
+    """scale, loss: the scale of least -sum ln max(p of object 0, 1e-5) over trials with a true score (one row). All scales are tried on the outputs of
+    a sample where they stand: a sum a scale, no row a scale."""
     base = [k for k in keys if k != "samp"]
-    good = z.where("obj = 0 and z <> 0").select(*base).distinct()
-    s = z.join(good, base, "left_semi").withColumn("scale", F.explode(F.array(*[F.lit(x) for x in scales]))).withColumn("_z", F.col("z") * F.col("scale"))
-    p = target_probs(s, ["scale", *keys], value="_z").where("obj = 0")
-    loss = p.groupBy("scale").agg((-F.sum(F.log(F.greatest(F.col("p"), F.lit(1e-5))))).alias("loss"))
-    return loss.agg(F.min(F.struct(F.round("loss", 6).alias("loss"), "scale")).alias("_m")).select("_m.scale", "_m.loss")
+    d = deal(z, base) if base else z
+    d = d.withColumn("_on", F.max((F.col("z") != 0).cast("int")).over(Window.partitionBy(*base, "obj")))
+    good = F.max(F.when(F.col("obj") == 0, F.col("_on"))).over(Window.partitionBy(*base)) == 1
+    d = d.withColumn("_good", good).where("_good")
+    all_z = F.collect_list(F.struct(F.coalesce("z", F.lit(float("nan"))).alias("z"), "obj", "_on"))  # the outputs of one sample
+    rows = d.groupBy(*keys).agg(all_z.alias("_o")).withColumn("_zs", F.transform("_o", lambda o: o["z"]))
+    bad, high, low = F.exists("_zs", F.isnan), F.array_max("_zs"), F.array_min("_zs")
+
+    def loss(scale):
+        top = (high if scale >= 0 else low) * scale
+        e = lambda o: F.exp(o["z"] * scale - top) * o["_on"]
+        add = lambda a, b: a + b
+        total = F.greatest(F.aggregate(F.transform("_o", e), F.lit(0.0), add), F.lit(1e-6))
+        true = F.filter("_o", lambda o: o["obj"] == 0)
+        one = lambda o: F.log(F.greatest(F.when(bad, 0.0).otherwise(e(o) / total), F.lit(1e-5)))
+        return F.aggregate(F.transform(true, one), F.lit(0.0), add)
+
+    sums = rows.agg(*[(-F.sum(loss(x))).alias(f"l{i}") for i, x in enumerate(scales)])
+    tried = F.array(*[F.struct(F.round(f"l{i}", 6).alias("loss"), F.lit(x).alias("scale")) for i, x in enumerate(scales)])
+    return sums.select(F.array_min(F.filter(tried, lambda t: t["loss"].isNotNull())).alias("_m")).select("_m.scale", "_m.loss")
 
 
 def combine_probs(p: DataFrame, keys: list[str]) -> DataFrame:
