@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.window import Window
 
 from pulsegrid.operators import blocks
-from pulsegrid.shared import ship
+from pulsegrid.shared import cut, ship
 
 
 # --- design
@@ -67,15 +67,8 @@ def _sections(z: np.ndarray, p: np.ndarray, gain: float) -> np.ndarray:
 
 def _by(df: DataFrame, keys: list[str], order: str, fn, x: str = "x") -> DataFrame:
     """fn: (samples, channels) array -> array of the same length, for each key: for what needs a whole trial (spectra)."""
-    ship(df.sparkSession)
-    cols = df.columns
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        f[x] = list(fn(np.array(f[x].tolist(), float)))
-        return f[cols]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    b = blocks.to_blocks(df, keys, None, order=order, x=x)
+    return blocks._rows(blocks._map(b, keys, blocks.ROW, lambda rows, _: {"_r": blocks._packed(rows[0], rows[1], fn(rows[2]))}), df, keys, None)
 
 
 def iir_filter(df: DataFrame, keys: list[str], fs: float, bands: list, order: int = 4, size: int = blocks.SIZE) -> DataFrame:
@@ -134,13 +127,15 @@ class Predictor:
             self.trial, self.power, self.past = trial, np.ones(x.shape[1]), x[:0]
         held = len(self.past)
         whole, guess = np.concatenate([self.past, x]), np.zeros_like(x)
-        smooth, first = self.power, max(held, self.taps)
-        for t in range(first, len(whole)):
+        first, weights = max(held, self.taps), self.weights.copy()
+        smooth, _ = blocks.Linear.average(eta).run(np.square(whole[first:]), self.power[None])
+        pace = eta / smooth
+        for k, t in enumerate(range(first, len(whole))):
             seen = whole[t - self.taps : t]
-            guess[t - held] = np.einsum("kc,kc->c", self.weights, seen)
-            smooth = smooth + eta * (np.square(whole[t]) - smooth)
-            self.weights = self.weights + seen * (eta * (whole[t] - guess[t - held]) / smooth)
-        self.power, self.past = smooth, whole[-self.taps :]
+            g = guess[t - held] = np.add.reduce(weights * seen, 0)
+            weights += seen * (pace[k] * (whole[t] - g))
+        self.weights = weights
+        self.power, self.past = smooth[-1] if len(smooth) else self.power, whole[-self.taps :]
         return guess
 
 
@@ -179,6 +174,8 @@ class PowerTracker:
         out = np.empty_like(x)
         if self.sums is None:
             self.sums = np.zeros((2, x.shape[1]))
+        if not self.car or x.shape[1] <= 4:
+            return self._plain(x)
         keep = np.array([self.keep_mean, self.keep])
         for t in range(len(x)):
             v = x[t]
@@ -192,6 +189,20 @@ class PowerTracker:
         return out
 
 
+    def _plain(self, x: np.ndarray) -> np.ndarray:
+        """The same without re-referencing: sums and counts are linear recursions, a stride of samples at a time."""
+        if not len(x):
+            return np.empty_like(x)
+        mean, power = (blocks.Linear([[k]], [1.0], [k], 1.0) for k in (self.keep_mean, self.keep))
+        ones = np.ones((len(x), 1))
+        n, _ = mean.run(ones, self.counts[:1, None])
+        m, _ = power.run(ones, self.counts[1:, None])
+        sums, _ = mean.run(x, self.sums[:1])
+        powers, _ = power.run(np.square(x - sums / n), self.sums[1:])
+        self.counts, self.sums = np.array([n[-1, 0], m[-1, 0]]), np.stack([sums[-1], powers[-1]])
+        return powers / m
+
+
 def channel_power(df: DataFrame, keys: list[str], halflife: float, car: bool = True, mean_halflife: float | None = None, size: int = blocks.SIZE) -> DataFrame:
     """x becomes each channel's power by a PowerTracker that goes from block file to block file of a key."""
 
@@ -233,36 +244,30 @@ def spatial_whiten(df: DataFrame, groups: list[str], reg: float = 0.0) -> DataFr
 
     w = c.groupBy(*groups).applyInPandas(fit, ", ".join(f"{g} {kinds[g]}" for g in groups) + ", _w array<array<double>>")
     dot = F.transform("_w", lambda row: F.aggregate(F.zip_with(row, "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
-    return df.join(w, groups).withColumn("x", dot).select(*df.columns)
+    return df.join(cut(w, "whiteners"), groups).withColumn("x", dot).select(*df.columns)
 
 
 def spectral_whiten(df: DataFrame, groups: list[str], trial: str = "trial", reg: float = 0.01) -> DataFrame:
-    """Each trial's spectrum times 1 / (H + max(H) reg), H the group's mean amplitude by frequency and channel."""
+    """Each trial's spectrum times 1 / (H + max(H) reg), H the group's mean amplitude by frequency and channel. A trial is one row; H is one row a
+    group and length of trials, which joins the trials, not their samples."""
     from pyspark.sql import functions as F
 
-    kinds, cols = dict(df.dtypes), df.columns
-    keys = ", ".join(f"{g} {kinds[g]}" for g in groups)
-    ship(df.sparkSession)
+    keys = [*groups, trial]
+    t = cut(blocks.to_blocks(df, keys, None).withColumn("n", F.size("rows").cast("bigint")), "trials")
+
+    def amplitude(rows, _):
+        a = np.abs(np.fft.fft(rows[2], axis=0))
+        return {"n": len(a), "a": a.T.ravel().tolist()}
+
+    h = blocks._map(t, keys, "n bigint, a array<double>", amplitude).select(*groups, "n", F.posexplode("a").alias("k", "a")).groupBy(*groups, "n", "k").agg(F.avg("a").alias("a"))
+    h = h.groupBy(*groups, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "a"))), lambda r: r["a"]).alias("state"))  # channels times frequencies of one trial length
+
+    def whiten(rows, state):
+        x = rows[2]
+        w = state[: x.size].reshape(x.shape[1], -1).T
+        return {"_r": blocks._packed(rows[0], rows[1], np.real(np.fft.ifft(np.fft.fft(x, axis=0) / (w + w.max() * reg), axis=0)))}
 
-    def amplitude(f: pd.DataFrame) -> pd.DataFrame:
-        a = np.abs(np.fft.fft(np.array(f.sort_values("samp")["x"].tolist(), float), axis=0))
-        k, c = np.indices(a.shape)
-        return pd.DataFrame({**{g: f[g].iloc[0] for g in groups}, "n": len(a), "k": k.ravel(), "ch": c.ravel(), "a": a.ravel()})
-
-    h = df.groupBy(*groups, trial).applyInPandas(amplitude, f"{keys}, n int, k int, ch int, a double").groupBy(*groups, "n", "k", "ch").agg(F.avg("a").alias("a"))
-    h = h.groupBy(*groups, "n").agg(F.collect_list(F.struct("k", "ch", "a")).alias("_h"))  # frequencies times channels of one trial length
-    sized = df.join(df.groupBy(*groups, trial).agg(F.count("*").cast("int").alias("n")), [*groups, trial]).join(h, [*groups, "n"])
-
-    def whiten(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("samp")
-        x = np.array(f["x"].tolist(), float)
-        w = np.zeros(x.shape)
-        for r in f["_h"].iloc[0]:
-            w[r["k"], r["ch"]] = r["a"]
-        f["x"] = list(np.real(np.fft.ifft(np.fft.fft(x, axis=0) / (w + w.max() * reg), axis=0)))
-        return f[cols]
-
-    return sized.groupBy(*groups, trial).applyInPandas(whiten, df.schema)
+    return blocks._rows(blocks._map(t.join(cut(h, "amplitudes"), [*groups, "n"]), keys, blocks.ROW, whiten), df, keys, None)
 
 
 def envelope(df: DataFrame, keys: list[str], fs: float, stop: list | None = None, whiten: list[str] | None = None, bands: list[tuple[float, float]] | None = None, log: bool = True, env_stop=(10, -1)) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from pulsegrid.shared import cut, shared_dir, ship
 
 SIZE, FAN, STRIDE = 1 << 15, 1024, 64
+#: What a step gives for each sample.
+ROW = "_r struct<trial:bigint,samp:bigint,x:array<double>>"
 
 
 class Linear:
@@ -83,8 +85,8 @@ class Linear:
 # --- blocks
 
 
-def to_blocks(df: DataFrame, keys: list[str], size: int = SIZE, trial: str | None = None, order: str = "samp", x: str = "x") -> DataFrame:
-    """keys, block, rows (trial, samp, x in order): at most `size` samples of a key a row."""
+def to_blocks(df: DataFrame, keys: list[str], size: int | None = SIZE, trial: str | None = None, order: str = "samp", x: str = "x") -> DataFrame:
+    """keys, block, rows (trial, samp, x in order): at most `size` samples of a key a row (None: all of them)."""
     t = F.col(trial) if trial else F.lit(0)
     if trial:
         trials = df.groupBy(*keys, trial).agg(F.min(order).alias("_first"), (F.max(order) - F.min(order) + 1).alias("_n"))
@@ -93,7 +95,7 @@ def to_blocks(df: DataFrame, keys: list[str], size: int = SIZE, trial: str | Non
         df = df.join(trials, [*keys, trial])
     at = F.col(order) + (F.col("_off") if trial else 0)
     row = F.struct(t.cast("bigint").alias("trial"), F.col(order).cast("bigint").alias("samp"), F.col(x).cast("array<double>").alias("x"))
-    return df.select(*keys, F.floor(at / size).cast("bigint").alias("block"), row.alias("_r")).groupBy(*keys, "block").agg(F.sort_array(F.collect_list("_r")).alias("rows"))
+    return df.select(*keys, (F.floor(at / size) if size else F.lit(0)).cast("bigint").alias("block"), row.alias("_r")).groupBy(*keys, "block").agg(F.sort_array(F.collect_list("_r")).alias("rows"))
 
 
 def _opened(rows: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,8 +191,13 @@ def linear_blocks(df: DataFrame, keys: list[str], systems: list[Linear], feed: C
         ys = [x.run(u, s[i:j])[0] for x, i, j in zip(systems, edges, edges[1:], strict=False)]
         return {"_r": _packed(rows[0], rows[1], out(rows[2], ys))}
 
+    def alone(rows, _):
+        return answer(rows, np.concatenate([first(x, feed(rows[2][:1])[0]) for x in systems]))
+
+    if not b.where("block <> 0").head(1):  # every key is one block: nothing goes from block to block
+        return _rows(_map(b, keys, ROW, alone), df, keys, trial)
     states = _scan(cut(_map(b, keys, "n bigint, left array<double>, first array<double>", ends), "ends"), keys, after, (int(edges[-1]),))
-    return _rows(_map(b.join(states, [*keys, "block"]), keys, "_r struct<trial:bigint,samp:bigint,x:array<double>>", answer), df, keys, trial)
+    return _rows(_map(b.join(cut(states, "states"), [*keys, "block"]), keys, ROW, answer), df, keys, trial)
 
 
 def _rows(d: DataFrame, like: DataFrame, keys: list[str], trial: str | None) -> DataFrame:

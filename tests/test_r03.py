@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import filters
 from pulsegrid.operators import scores
 
 
@@ -62,3 +64,60 @@ def test_absent_scores_before_between_and_after_count_as_zero(spark):
     assert len(got) == 3 * 8 + 1
     assert got[0, 0, 1] == (0.0, 0.0, 0, 2) and got[0, 0, 7] == (0.0, 3.0, 3, 2) and got[0, 2, 6] == (0.0, 0.0, 2, 2)
     assert got[0, 1, 7] == (3.0, 3.0, 3, 2) and got[1, 4, 0] == (5.0, 5.0, 1, 1)
+
+
+def recording(spark, trials=5, n=40):
+    rng = np.random.default_rng(3)
+    rows = [(g, t, s, rng.normal(size=3).tolist()) for g in range(2) for t in range(trials) for s in range(-2, n - 2 - (t == 1) * 7)]
+    return rows, spark.createDataFrame(rows, "session long, trial int, samp long, x array<double>")
+
+
+def test_spectra_join_trials_not_samples(spark):
+    rows, d = recording(spark)
+    got = {(r["session"], r["trial"], r["samp"]): r["x"] for r in filters.spectral_whiten(d, ["session"]).collect()}
+    assert len(got) == len(rows)
+    for g in range(2):
+        spectra = {t: np.fft.fft([x for gg, tt, _, x in rows if (gg, tt) == (g, t)], axis=0) for t in range(5)}
+        for t, f in spectra.items():
+            h = np.mean([np.abs(o) for o in spectra.values() if len(o) == len(f)], axis=0)
+            want = np.real(np.fft.ifft(f / (h + h.max() * 0.01), axis=0))
+            assert np.allclose([got[g, t, s - 2] for s in range(len(f))], want)
+    joined = filters.spectral_whiten(d, ["session"])._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Join") == 1 and "rows#" in joined.split("Join")[1]
+
+
+def test_powers_and_predictors_in_strides(spark):
+    x = np.random.default_rng(1).normal(size=(200, 3))
+    a, b = filters.PowerTracker(20.0, 50.0, car=False), filters.PowerTracker(20.0, 50.0, car=False)
+    got = np.concatenate([a.run(x[:70]), a.run(x[70:71]), a.run(x[71:])])
+    b.sums = np.zeros((2, 3))
+    want = []
+    for v in x:
+        keep = np.array([b.keep_mean, b.keep])
+        b.counts, b.sums = keep * b.counts + 1, keep[:, None] * b.sums
+        b.sums[0] += v
+        b.sums[1] += np.square(v - b.sums[0] / b.counts[0])
+        want.append(b.power())
+    assert np.allclose(got, want, rtol=1e-12) and np.allclose(a.flat(), b.flat(), rtol=1e-12)
+    p = filters.Predictor(4, 3)
+    parts = np.concatenate([p.learn(0, x[:3], 0.01), p.learn(0, x[3:90], 0.01), p.learn(0, x[90:], 0.01)])
+    weights, power = np.eye(4, 1, -3) * np.ones(3), np.ones(3)
+    for t in range(200):
+        guess = np.zeros(3)
+        if t >= 4:
+            guess = (weights * x[t - 4 : t]).sum(0)
+            power = power + 0.01 * (x[t] ** 2 - power)
+            weights = weights + x[t - 4 : t] * (0.01 * (x[t] - guess) / power)
+        assert np.allclose(parts[t], guess, rtol=1e-10)
+    assert np.allclose(p.weights, weights) and np.allclose(p.power, power)
+
+
+def test_keys_of_one_block_are_not_joined(spark):
+    _, d = recording(spark)
+    d = d.where("samp >= 0")
+    y = filters.iir_filter(d, ["session", "trial"], 100.0, [(0, 2)])
+    assert "Join" not in plan(y)
+    cut_up = filters.iir_filter(d, ["session", "trial"], 100.0, [(0, 2)], size=8)
+    key = lambda r: (r["session"], r["trial"], r["samp"])
+    for a, b in zip(sorted(y.collect(), key=key), sorted(cut_up.collect(), key=key), strict=True):
+        assert key(a) == key(b) and np.allclose(a["x"], b["x"])
