@@ -70,12 +70,24 @@ def clock_from_channel(packets: DataFrame, keys: list[str], channel: int, rts: s
 
 
 def windowed_offset(df: DataFrame, keys: list[str], x: str, y: str, sync, tie: str, window: int = 60_000, how: str = "min") -> DataFrame:
-    """offset: least (or largest) y - x of sync messages in the trailing window (x - window, x], carried to all messages."""
-    diff = F.when(sync, F.col(y) - F.col(x))
-    w = Window.partitionBy(*keys).orderBy(x).rangeBetween(-(window - 1), 0)
-    d = df.withColumn("_sync", sync).withColumn("_best", F.when(F.col("_sync"), (F.min if how == "min" else F.max)(diff).over(w)))
+    """offset: least (or largest) y - x of sync messages in the trailing window (x - window, x], carried to all messages.
+
+    Time is cut into stretches one window long, so a trailing window is the rest of one stretch and the beginning of the next: one running value
+    backwards over each stretch and one forwards, and no frame is looked through row by row."""
+    best, pick = (F.min, F.least) if how == "min" else (F.max, F.greatest)
+    d = df.withColumn("_sync", sync).withColumn("_diff", F.when(F.col("_sync"), F.col(y) - F.col(x))).withColumn("_at", F.col(x))
+    d = d.withColumn("_part", F.col("_at") - F.pmod(F.col("_at"), F.lit(window)))
+    stretch = Window.partitionBy(*keys, "_part")
+    d = d.withColumn("_fore", best("_diff").over(stretch.orderBy("_at"))).withColumn("_back", best("_diff").over(stretch.orderBy(F.col("_at").desc())))
+    # what the stretch before holds after x - window: its backward values stand among the rows of the next stretch as marks one window later
+    row, mark = d.withColumn("_mark", F.lit(1)), d.where("_diff is not null").select(*keys, (F.col("_at") + window).alias("_at"), (F.col("_part") + window).alias("_part"), F.col("_back"), F.lit(0).alias("_mark"))
+    both = row.drop("_back").unionByName(mark, allowMissingColumns=True)
+    # the first mark later than x: what stands there is the best of all after x - window
+    after = stretch.orderBy(F.col("_at").desc(), F.col("_mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_rest", F.last("_back", ignorenulls=True).over(after)).where("_mark = 1")
+    d = both.withColumn("_best", F.when(F.col("_sync"), pick("_fore", "_rest")))
     carry = _w(keys, [x, tie]).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("offset", F.last("_best", ignorenulls=True).over(carry)).drop("_best", "_sync")
+    return d.withColumn("offset", F.last("_best", ignorenulls=True).over(carry)).select(*df.columns, "offset")
 
 
 def running_min_offset(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, freeze: int = 100) -> DataFrame:

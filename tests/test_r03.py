@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import filters
-from pulsegrid.operators import scores
+from pulsegrid.operators import clock, scores, segments
+from pulsegrid.sources import logs
 
 
 def plan(df) -> str:
@@ -121,3 +122,40 @@ def test_keys_of_one_block_are_not_joined(spark):
     key = lambda r: (r["session"], r["trial"], r["samp"])
     for a, b in zip(sorted(y.collect(), key=key), sorted(cut_up.collect(), key=key), strict=True):
         assert key(a) == key(b) and np.allclose(a["x"], b["x"])
+
+
+@pytest.mark.parametrize("how", ["min", "max"])
+def test_trailing_offsets_without_frames_of_rows(spark, how):
+    rng = np.random.default_rng(5)
+    rows = [(c, k, int(x), int(x + rng.integers(-30, 30)), int(rng.integers(0, 4))) for c in range(3) for k, x in enumerate(rng.integers(-200, 400, 150))]
+    d = spark.createDataFrame(rows, "client long, seq long, cts long, sts long, obj long")
+    y = clock.windowed_offset(d, ["client"], "cts", "sts", F.col("obj") <= 1, "seq", window=50, how=how)
+    assert "RangeFrame, -49" not in plan(y)
+    got = {(r["client"], r["seq"]): r["offset"] for r in y.collect()}
+    best = min if how == "min" else max
+    for c in range(3):
+        held = None
+        for _, k, x, _, obj in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1])):
+            if obj <= 1:
+                held = best(q[3] - q[2] for q in rows if q[0] == c and q[4] <= 1 and x - 50 < q[2] <= x)
+            assert got[c, k] == held
+
+
+def test_electrodes_of_one_name_and_no_broadcast(spark):
+    cap = spark.createDataFrame([(1, "Fp", 1.0, 2.0), (9, "fp", 3.0, 4.0), (5, "Fp", 5.0, 6.0), (2, "Fp1", 7.0, 8.0), (3, "", 1.0, 1.0)], "k long, name string, lat double, lng double")
+    ch = spark.createDataFrame([(0, "FP_x"), (1, "Fp12"), (2, "Oz"), (3, None), (4, "F")], "ch long, name string")
+    got = segments.electrode_positions(ch, logs.cap_positions(cap), prefix=True, tie="k")
+    rows = {r["ch"]: r for r in got.collect()}
+    deg = math.pi / 180
+    assert rows[0]["x2"] == pytest.approx(3 * deg * math.cos(4 * deg)) and rows[1]["x2"] == pytest.approx(7 * deg * math.cos(8 * deg))
+    assert len(rows) == 5 and [k for k, r in rows.items() if r["iseeg"]] == [0, 1] and rows[4]["x2"] == -1.0
+
+
+def test_stream_windows_take_the_nearest_second(spark, tmp_path):
+    import __spark_entry__ as e
+
+    at = ["2024-01-01 05:59:59.4", "2024-01-01 05:59:59.6", "2024-01-01 07:00:00"]
+    d = spark.createDataFrame([(i, t, 1, "view", 1.0) for i, t in enumerate(at)], "event_id long, ts string, user_id long, event_type string, value double")
+    d.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["start"]: r["n"] for r in e.queries()["stream_windows"](spark, str(tmp_path)).collect()}
+    assert got == {"2023-12-31 18:00:00": 1, "2024-01-01 00:00:00": 3, "2024-01-01 06:00:00": 2}
