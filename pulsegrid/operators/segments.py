@@ -231,14 +231,19 @@ def reference_signals(n: int, fs: float, freqs: DataFrame, binary: bool = False)
     return s.select("samp", "obj", ((v > 0).cast("double") if binary else v).alias("v"))
 
 
-def electrode_positions(channels: DataFrame, cap: DataFrame, prefix: bool = False) -> DataFrame:
-    """channels (ch, name) + x2 y2 x3 y3 z3 iseeg; names without an electrode get (-1, 1), (-1, 1, 0), false."""
-    c = cap.select(F.lower("name").alias("_n"), "x2", "y2", "x3", "y3", "z3")
+def electrode_positions(channels: DataFrame, cap: DataFrame, prefix: bool = False, tie: str | None = None) -> DataFrame:
+    """channels (ch, name) + x2 y2 x3 y3 z3 iseeg; names without an electrode get (-1, 1), (-1, 1, 0), false. prefix: the longest electrode that a
+    name begins with; of electrodes of one name the one of the largest `tie`."""
+    c = cap.select(F.lower("name").alias("_n"), "x2", "y2", "x3", "y3", "z3", *([F.col(tie).alias("_t")] if tie else []))
     name = F.lower(F.col("name"))
-    if prefix:  # the longest electrode that a name begins with: every beginning of a name is looked up
-        heads = channels.select("ch", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda k: F.substring(name, 1, k))).alias("_h")).distinct()
-        best = heads.join(c, F.col("_h") == F.col("_n")).groupBy("ch").agg(F.max_by(F.struct(*c.columns), F.length("_n")).alias("_c"))
-        j = channels.join(best, "ch", "left").select(*channels.columns, "_c.*")
+    if prefix:  # beginnings as long as some electrode's name are looked up; positions join the one electrode found
+        order = F.struct(*(["_t"] if tie else []), "x2", "y2", "x3", "y3", "z3")
+        c = c.groupBy("_n").agg(F.max(order).alias("_c")).select("_n", "_c.x2", "_c.y2", "_c.x3", "_c.y3", "_c.z3")
+        lengths = c.select(F.length("_n").alias("_k")).where("_k > 0").distinct().agg(F.array_sort(F.collect_set("_k")).alias("_ks"))  # as many as names have lengths
+        heads = channels.select("ch", name.alias("_name")).crossJoin(lengths).select("ch", F.explode(F.transform(F.filter("_ks", lambda k: k <= F.length("_name")), lambda k: F.substring(F.col("_name"), F.lit(1), k))).alias("_h"))
+        found = heads.join(c.select("_n").hint("shuffle_hash"), F.col("_h") == F.col("_n")).groupBy("ch").agg(F.max(F.length("_n")).alias("_long"))
+        own = channels.join(found.hint("merge"), "ch", "left").withColumn("_h", F.substring(name, F.lit(1), F.col("_long")))
+        j = own.join(c.hint("merge"), F.col("_h") == F.col("_n"), "left")
     else:
         j = channels.join(c, name == F.col("_n"), "left")
     fill = {"x2": -1.0, "y2": 1.0, "x3": -1.0, "y3": 1.0, "z3": 0.0}

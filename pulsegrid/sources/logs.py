@@ -99,13 +99,13 @@ def read_codebook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cap_positions(cap: DataFrame) -> DataFrame:
-    """cap(name, lat, lng) + xyz and xy; angles over two pi are degrees (for the whole table)."""
+    """cap(name, lat, lng, and more) + xyz and xy; angles over two pi are degrees (for the whole table)."""
     import math
 
     most = cap.agg(F.greatest(F.max(F.abs("lat")), F.max(F.abs("lng"))).alias("_most"))  # one row
     turn = F.when(F.col("_most") > 2 * math.pi, math.pi / 180).otherwise(1.0)
     d = cap.join(F.broadcast(most)).withColumns({"_a": F.col("lat") * turn, "_b": F.col("lng") * turn})
-    return d.select("name", "lat", "lng", (F.sin("_a") * F.cos("_b")).alias("x3"), (F.sin("_a") * F.sin("_b")).alias("y3"), F.cos("_a").alias("z3"), (F.col("_a") * F.cos("_b")).alias("x2"), (F.col("_a") * F.sin("_b")).alias("y2"))
+    return d.select(*cap.columns, (F.sin("_a") * F.cos("_b")).alias("x3"), (F.sin("_a") * F.sin("_b")).alias("y3"), F.cos("_a").alias("z3"), (F.col("_a") * F.cos("_b")).alias("x2"), (F.col("_a") * F.sin("_b")).alias("y2"))
 
 
 def read_cap(spark: SparkSession, path: str) -> DataFrame:
