@@ -141,7 +141,7 @@ def test_trailing_offsets_without_frames_of_rows(spark, how):
             assert got[c, k] == held
 
 
-def test_electrodes_of_one_name_and_no_broadcast(spark):
+def test_electrodes_of_one_name_take_the_largest_key(spark):
     cap = spark.createDataFrame([(1, "Fp", 1.0, 2.0), (9, "fp", 3.0, 4.0), (5, "Fp", 5.0, 6.0), (2, "Fp1", 7.0, 8.0), (3, "", 1.0, 1.0)], "k long, name string, lat double, lng double")
     ch = spark.createDataFrame([(0, "FP_x"), (1, "Fp12"), (2, "Oz"), (3, None), (4, "F")], "ch long, name string")
     got = segments.electrode_positions(ch, logs.cap_positions(cap), prefix=True, tie="k")
