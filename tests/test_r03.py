@@ -159,3 +159,19 @@ def test_stream_windows_take_the_nearest_second(spark, tmp_path):
     d.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = {r["start"]: r["n"] for r in e.queries()["stream_windows"](spark, str(tmp_path)).collect()}
     assert got == {"2023-12-31 18:00:00": 1, "2024-01-01 00:00:00": 3, "2024-01-01 06:00:00": 2}
+
+
+def test_streams_meet_by_stretches_of_time(spark):
+    """Rows of a session meet by time, not all with all; both ends of the overlap count, and so do times before 1970."""
+    from pulsegrid.streaming import streams
+
+    ms = [-9, -1, 0, 1, 6, 7, 8, 14, 15, 30]
+    rows = [(s, t, i) for s in range(2) for i, t in enumerate(ms)]
+    d = spark.createDataFrame(rows, "session long, ts long, samp long").withColumn("time", F.timestamp_millis("ts"))
+    stim = d.where("samp % 2 = 0").select("session", "ts", "time", F.col("samp").cast("int").alias("obj"))
+    for overlap in (0, 1, 7):
+        got = streams.stream_align(stim, d, overlap)
+        keys = [line for line in plan(got).splitlines() if "Join" in line][0]
+        assert "_to" in keys.split("Inner")[0]
+        want = sorted((s, t, o, i) for s, t, o in rows if o % 2 == 0 for s2, u, i in rows if s == s2 and t <= u <= t + overlap)
+        assert sorted(map(tuple, got.collect())) == want
