@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,52 +217,84 @@ class LowerBoundLine:
         self.window, self.soft, self.hard, self.last, self.jump, self.warm, self.rounds = window, soft, hard, last, jump, warm, rounds
         self.begun, self.slope, self.offset = (0.0, slope, 0.0) if state is None else state[:3].tolist()
         self.points = np.zeros((0, 2)) if state is None else state[3:].reshape(-1, 2)
+        self.room, self.end = np.zeros((0, 2)), 0
 
     def flat(self) -> np.ndarray:
         return np.concatenate([[self.begun, self.slope, self.offset], self.points.ravel()])
 
+    def push(self, x: float, y: float) -> np.ndarray:
+        """The points of the window with a new one: a view that moves along a table, which begins anew when it is full."""
+        kept = self.points[len(self.points) + 1 - self.window if len(self.points) >= self.window else 0 :]
+        if self.end >= len(self.room):
+            self.room, self.end = np.zeros((8 * (len(kept) + 8), 2)), len(kept)
+            self.room[: self.end] = kept
+        self.room[self.end] = x, y
+        self.end += 1
+        self.points = self.room[self.end - len(kept) - 1 : self.end]
+        return self.points
+
     def weights(self, err: np.ndarray) -> np.ndarray:
-        w, off = np.ones(len(err)), err - err.mean()
-        spread = np.abs(off).mean()
+        w, off = np.ones(len(err)), err - _mean(err)
+        spread = _mean(np.abs(off))
         for side, soft, hard in zip((1, -1), self.soft, self.hard, strict=True):
             if soft is not None:
-                w = np.where(side * err > soft, soft / np.maximum(side * err, soft), w)
+                e = err if side > 0 else -err
+                if soft > 0 and side > 0:
+                    w = soft / np.fmax(e, soft)
+                else:
+                    np.putmask(w, e > soft, soft / np.maximum(e, soft))
             if hard is not None:
-                w = np.where(side * off > hard * spread, 0.0, w)
+                np.putmask(w, (off if side > 0 else -off) > hard * spread, 0.0)
         return w
 
     def step(self, x: float, y: float) -> float:
-        self.points = np.concatenate([self.points[len(self.points) + 1 - self.window if len(self.points) >= self.window else 0 :], [[x, y]]])
-        n = len(self.points)
+        points = self.push(x, y)
+        n = len(points)
         if not self.begun:
             self.begun, self.offset = 1.0, y - self.slope * x
             return y
         if n < self.warm:
-            dx, dy = np.diff(self.points, axis=0).T
+            dx, dy = np.diff(points, axis=0).T
             if n > 2 and dx.any():
                 self.slope = float(np.median(dy[dx != 0] / dx[dx != 0]))
             self.offset = y - self.slope * x
             return y
-        mid = np.median(self.points, axis=0)
-        px, py = (self.points - mid).T
+        mid = np.array([_median(points[:, 0]), _median(points[:, 1])])
+        px, py = (points - mid).T
+        mid = mid.tolist()
         slope, off = self.slope, self.offset + self.slope * mid[0] - mid[1]
         for _ in range(self.rounds):
             err = py - slope * px - off
             w = self.weights(err)
-            total = w.sum()
-            mx, my = w @ px / total, w @ py / total
-            var = w @ np.square(px - mx)
+            total = float(np.add.reduce(w))
+            mx, my = float(w.dot(px)) / total, float(w.dot(py)) / total
+            dx = px - mx
+            var = float(w.dot(dx * dx))
             if var > 1e-12:
-                slope = float(w @ ((px - mx) * (py - my)) / var)
-            off = float(my - slope * mx)
+                slope = float(w.dot(dx * (py - my))) / var
+            off = my - slope * mx
         self.slope, self.offset = slope, off - slope * mid[0] + mid[1]
         if n > 2 * self.last:
-            old, new = err[: -self.last], np.median(err[-self.last :])
-            if abs(new - np.median(old)) > self.jump * old.std():
+            old, new = err[: -self.last], _median(err[-self.last :])
+            far = old - _mean(old)
+            if abs(new - _median(old)) > self.jump * _mean(far * far) ** 0.5:
                 self.points = self.points[:0]
         return self.slope * x + self.offset
 
 
+def _mean(v: np.ndarray) -> float:
+    """v.mean(), without its care for other kinds: most of the time of a step would go there."""
+    return float(np.add.reduce(v)) / len(v)
+
+
+def _median(v: np.ndarray) -> float:
+    """np.median(v), likewise."""
+    v, n = np.sort(v), len(v)
+    if v[-1] != v[-1]:
+        return math.nan
+    return v.item(n // 2) if n % 2 else (v.item(n // 2 - 1) + v.item(n // 2)) / 2
+
+
 def exp_weighted_clock(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, halflife: float = 100.0, size: int = SIZE) -> DataFrame:
     return _tracked(df, keys, order, x, y, lambda state: ExpWeightedLine(halflife, state=state), size)
 

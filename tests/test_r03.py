@@ -175,3 +175,40 @@ def test_streams_meet_by_stretches_of_time(spark):
         assert "_to" in keys.split("Inner")[0]
         want = sorted((s, t, o, i) for s, t, o in rows if o % 2 == 0 for s2, u, i in rows if s == s2 and t <= u <= t + overlap)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_lower_bound_step_is_light(monkeypatch):
+    """A step asks for no median of numpy and no new window, and tells what the plain definition tells."""
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.exponential(100, 300))
+    y = 1.0005 * x + rng.exponential(3, 300) + 400 * (np.arange(300) > 180)
+    t = clock.LowerBoundLine(50)
+    for a, b in zip(x[:40].tolist(), y[:40].tolist(), strict=True):
+        t.step(a, b)
+    slope, offset, points, want = t.slope, t.offset, t.points.copy(), []
+    for a, b in zip(x[40:100], y[40:100], strict=True):  # no step of the clock here
+        points = np.concatenate([points, [[a, b]]])[-50:]
+        mid = np.median(points, axis=0)
+        px, py = (points - mid).T
+        s, o = slope, offset + slope * mid[0] - mid[1]
+        for _ in range(3):
+            err = py - s * px - o
+            off = err - err.mean()
+            w = np.where(off > np.abs(off).mean(), 0.0, np.where(err > 0.1, 0.1 / np.maximum(err, 0.1), 1.0))
+            mx, my = w @ px / w.sum(), w @ py / w.sum()
+            s = w @ ((px - mx) * (py - my)) / (w @ np.square(px - mx))
+            o = my - s * mx
+        slope, offset = s, o - s * mid[0] + mid[1]
+        want.append(slope * a + offset)
+    no = lambda *a, **k: pytest.fail("too slow a call for a step")
+    monkeypatch.setattr(np, "median", no)
+    monkeypatch.setattr(np, "concatenate", no)
+    assert np.allclose([t.step(a, b) for a, b in zip(x[40:100].tolist(), y[40:100].tolist(), strict=True)], want, rtol=1e-12)
+
+
+def test_lower_bound_step_with_nan():
+    got = [clock.LowerBoundLine(20, warm=3) for _ in range(2)]
+    for i in range(12):
+        for t in got:
+            t.step(float(i), float(i))
+    assert math.isnan(got[0].step(12.0, math.nan)) and got[1].step(12.0, 12.0) == pytest.approx(12.0)
