@@ -162,19 +162,34 @@ def stream_hold_and_code(rows: DataFrame, evt: str = "re", keep: int = 20, idle_
             at = 0
             for o, n in zip(objs, sizes, strict=True):
                 held[o], at = list(flat[at : at + n]), at + n
-        out = []
-        for samp, part in pd.concat(list(frames)).groupby("samp", sort=True):
-            if part["reset"].any():
-                held.clear()
-            new = {int(o): int(v) for o, v in zip(part["obj"], part["level"], strict=True) if pd.notna(o)}
-            for o in sorted(held.keys() | new.keys()):
-                past = held.setdefault(o, [])
-                past.append(new.get(o, past[-1] if past else 0))
-                del past[:-keep]
-                tail = past[-len(bits) :]
-                out.append((key[0], int(samp), o, int(len(tail) == len(bits) and all((v > 0) == (b == "1") for v, b in zip(tail, bits, strict=True)))))
+        f = pd.concat(list(frames))
+        f = f[f["samp"].notna()].sort_values("samp", kind="stable")
+        samps, at = np.unique(f["samp"].to_numpy(np.int64), return_inverse=True)
+        resets, told = np.zeros(len(samps), int), f["obj"].notna().to_numpy()
+        resets[at[f["reset"].eq(True).to_numpy(bool)]] = 1
+        obj, level, place = f["obj"].to_numpy()[told].astype(np.int64), f["level"].to_numpy()[told].astype(np.int64), at[told]
+        parts = []
+        for o in sorted(held.keys() | set(np.unique(obj).tolist())):  # its held levels, then a level a sample from its first change after a reset
+            past, mine = held.pop(o, []), obj == o
+            p, m = len(past), len(past) + len(samps)
+            changed, value = np.concatenate([np.arange(p), p + place[mine]]), np.concatenate([np.array(past, np.int64), level[mine]])
+            newest = np.append(changed[1:] != changed[:-1], True)  # of changes in one sample the last counts
+            changed, value = changed[newest], value[newest]
+            era, i = np.concatenate([np.zeros(p, int), np.cumsum(resets)]), np.arange(m)
+            last = np.searchsorted(changed, i, "right") - 1
+            alive = (last >= 0) & (era[changed[last]] == era)
+            whole = value[last]
+            begin = changed[np.minimum(np.searchsorted(era[changed], era), len(changed) - 1)]
+            hit = alive & (i - begin + 1 >= len(bits)) & (len(bits) <= keep)
+            for k, bit in enumerate(reversed(bits)):
+                hit[k:] &= (whole[: m - k] > 0) == (bit == "1")
+            new = alive[p:]
+            parts.append(pd.DataFrame({"session": key[0], "samp": samps[new], "obj": o, "v": hit[p:][new].astype(np.int32)}))
+            if alive[-1]:
+                held[o] = whole[max(begin[-1], m - keep) :].tolist()
         state.update(([*held], [v for x in held.values() for v in x], [len(x) for x in held.values()]))
-        yield pd.DataFrame(out, columns=["session", "samp", "obj", "v"])
+        if parts:
+            yield pd.concat(parts).sort_values(["samp", "obj"])
 
     return _stateful(rows, ["session"], "session long, samp long, obj long, v int", "objs array<long>, flat array<int>, sizes array<int>", fn, idle_ms=idle_ms)
 

@@ -212,3 +212,39 @@ def test_lower_bound_step_with_nan():
         for t in got:
             t.step(float(i), float(i))
     assert math.isnan(got[0].step(12.0, math.nan)) and got[1].step(12.0, 12.0) == pytest.approx(12.0)
+
+
+def test_hold_and_code_takes_a_batch_at_once(monkeypatch):
+    """No group a sample: one pass an object, with levels, resets and state as a walk over the samples has them."""
+    import pandas as pd
+
+    from pulsegrid.streaming import streams
+
+    monkeypatch.setattr(streams, "_stateful", lambda df, keys, out, state, fn, **k: fn)
+    monkeypatch.setattr(pd.DataFrame, "groupby", lambda *a, **k: pytest.fail("a group a sample"))
+    fn = streams.stream_hold_and_code(None, "re", keep=3)
+
+    class State:
+        exists, get = False, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+    state, rng, held, at = State(), np.random.default_rng(4), {}, 0
+    for _ in range(6):
+        n = int(rng.integers(3, 30))
+        samp, obj, level, reset = at + np.sort(rng.integers(0, n, n)), rng.integers(-1, 3, n), rng.integers(0, 2, n), rng.random(n) < 0.1
+        f = pd.DataFrame({"session": 5, "samp": samp, "obj": np.where(obj < 0, np.nan, obj), "level": level, "reset": reset})
+        want = []
+        for s in np.unique(samp):
+            here = samp == s
+            if reset[here].any():
+                held.clear()
+            new = {int(o): int(v) for o, v in zip(obj[here], level[here], strict=True) if o >= 0}
+            for o in sorted(held.keys() | new.keys()):
+                past = held.setdefault(o, [])
+                past.append(new.get(o, past[-1] if past else 0))
+                want.append((5, int(s), o, int(len(past) > 1 and past[-2] == 0 and past[-1] > 0)))
+        got = [tuple(r) for part in fn((5,), iter([f[: n // 2], f[n // 2 :]]), state) for r in part.to_numpy().tolist()]
+        assert got == want and {o: k for o, k in zip(state.get[0], state.get[2], strict=True)} == {o: min(3, len(p)) for o, p in held.items()}
+        at += n
