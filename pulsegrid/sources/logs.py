@@ -21,6 +21,12 @@ from pyspark.sql import functions as F
 TYPES = ["STIMULUSEVENT", "DATAPACKET", "MODECHANGE", "NEWTARGET", "SELECTION", "DATAHEADER", "PREDICTEDTARGETPROB"]
 
 
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """df + columns, each worked out once a row: a filter on them, or on what is made of them, does not repeat their expressions."""
+    d = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once"))
+    return d.select(*[c for c in df.columns if c not in columns], *[f"_once.{n}" for n in columns])
+
+
 def parse_log(lines: DataFrame, server_time: bool = True) -> DataFrame:
     """lines(session, value) -> session, rts, sts, ts, raw_ts, msg_type, client, payload."""
     kind = F.lit(None).cast("string")
@@ -28,7 +34,7 @@ def parse_log(lines: DataFrame, server_time: bool = True) -> DataFrame:
         kind = F.when(F.col("value").contains(t), t).otherwise(kind)
     num = lambda name: F.regexp_extract("value", rf"\b{name}:(-?\d+)", 1).try_cast("long")
     raw = F.regexp_extract("value", r"\st:\w+\s+ts:(-?\d+)", 1).try_cast("long")
-    d = lines.withColumn("msg_type", kind).where("msg_type is not null")
+    d = _once(lines, value=F.col("value")).withColumn("msg_type", kind).where("msg_type is not null")
     return d.select(
         "session", num("rts").alias("rts"), num("sts").alias("sts"), (num("sts") if server_time else raw).alias("ts"), raw.alias("raw_ts"), "msg_type",
         F.regexp_extract("value", r"<-(\S*)\s*$", 1).alias("client"), F.trim(F.regexp_extract("value", r"\st:\w+\s+ts:-?\d+(.*?)(?:<-\S*\s*)?$", 1)).alias("payload"),
@@ -54,7 +60,7 @@ def parse_packets(messages: DataFrame) -> DataFrame:
     read in order and cut to the shape told, samples first."""
     a, b = (F.regexp_extract("payload", r"v\[(\d+)x(\d+)\]", k).try_cast("int") for k in (1, 2))
     numbers = F.transform(F.regexp_extract_all(F.regexp_extract("payload", r"\]:(.*)$", 1), F.lit(r"([-+0-9.eE]+)"), F.lit(1)), lambda x: x.try_cast("double"))
-    d = messages.where("msg_type = 'DATAPACKET'").withColumns({"_n": b, "_m": a, "_v": numbers}).where("_n > 0 and _m > 0 and size(_v) >= _n * _m")
+    d = _once(messages.where("msg_type = 'DATAPACKET'"), _n=b, _m=a, _v=numbers).where("_n > 0 and _m > 0 and size(_v) >= _n * _m")
     rows = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.slice("_v", (i * F.col("_m") + 1).try_cast("int"), F.col("_m")))
     return d.select("session", "ts", "rts", F.col("_n").alias("nsamp"), rows.alias("samples"))
 

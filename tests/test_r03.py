@@ -248,3 +248,11 @@ def test_hold_and_code_takes_a_batch_at_once(monkeypatch):
         got = [tuple(r) for part in fn((5,), iter([f[: n // 2], f[n // 2 :]]), state) for r in part.to_numpy().tolist()]
         assert got == want and {o: k for o, k in zip(state.get[0], state.get[2], strict=True)} == {o: min(3, len(p)) for o, p in held.items()}
         at += n
+
+
+def test_a_line_of_a_log_is_rendered_and_parsed_once(spark):
+    made = spark.range(3).select(F.lit("s").alias("session"), F.concat(F.lit("rts:3 sts:2  t:DATAPACKET ts:1 v[2x3]:[1,1.5,][2,-2.0,][7.0,"), "id", F.lit(",] <-/a")).alias("value"))
+    p = logs.parse_packets(logs.parse_log(made))
+    text = p._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("concat(") == 1 and text.count("regexp_extract_all(") == 1
+    assert sorted(r.samples for r in p.collect()) == [[[1.0, 1.5], [2.0, -2.0], [7.0, float(k)]] for k in range(3)]
