@@ -39,12 +39,21 @@ def long_signal(spark: SparkSession, sf: str) -> DataFrame:
     return signal(spark, sf).select("session", "trial", "samp", F.posexplode("x").alias("ch", "v"))
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """session, samp, x: a long recording of four channels."""
-    li = table(spark, sf, "lineitem")
-    w = Window.partitionBy(F.col("l_suppkey") % 16).orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+def samples(spark: SparkSession, sf: str, rows: int = 1_000_000) -> DataFrame:
+    """session, samp, x: a long recording of four channels. Rows are numbered within their day and moved by the rows of the days before, so no task sorts a
+    whole session, and none takes much more than `rows` rows."""
+    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 16).alias("session"), *[f"l_{c}" for c in ("shipdate", "orderkey", "linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "tax")])
+    days = li.groupBy("session", "l_shipdate").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("session").orderBy("l_shipdate")) - F.col("_n")
+    days = days.select(F.col("session").alias("_s"), F.col("l_shipdate").alias("_day"), before.alias("_before"))  # a row a session and day
+    parts = -(-li.count() // rows)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        li = li.repartition(parts, "session", "l_shipdate")
+    w = Window.partitionBy("session", "l_shipdate").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     x = F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1e4, F.col("l_discount"), F.col("l_tax"))
-    return li.select((F.col("l_suppkey") % 16).alias("session"), (F.row_number().over(w) - 1).alias("samp"), x.alias("x"))
+    li = li.select("session", "l_shipdate", (F.row_number().over(w) - 1).alias("_no"), x.alias("x"))
+    j = li.join(F.broadcast(days), F.col("session").eqNullSafe(F.col("_s")) & F.col("l_shipdate").eqNullSafe(F.col("_day")))
+    return j.select("session", (F.col("_no") + F.col("_before")).cast("int").alias("samp"), "x")
 
 
 def markers(spark: SparkSession, sf: str) -> DataFrame:

@@ -256,3 +256,19 @@ def test_a_line_of_a_log_is_rendered_and_parsed_once(spark):
     text = p._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("concat(") == 1 and text.count("regexp_extract_all(") == 1
     assert sorted(r.samples for r in p.collect()) == [[[1.0, 1.5], [2.0, -2.0], [7.0, float(k)]] for k in range(3)]
+
+
+def test_samples_are_numbered_by_day(spark, small):
+    from pyspark.sql.window import Window
+
+    from pulsegrid.sources import views
+
+    li = spark.read.parquet(f"{small}/lineitem.parquet")
+    w = Window.partitionBy(F.col("l_suppkey") % 16).orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    want = sorted((r.session, r.samp, r.q) for r in li.select((F.col("l_suppkey") % 16).alias("session"), (F.row_number().over(w) - 1).alias("samp"), F.col("l_quantity").alias("q")).collect())
+    for rows in (1_000_000, 300):
+        d = views.samples(spark, small, rows)
+        assert dict(d.dtypes) == {"session": "bigint", "samp": "int", "x": "array<double>"}
+        assert sorted((r.session, r.samp, r.x[0]) for r in d.collect()) == want
+        windows = [line for line in plan(d).splitlines() if "row_number()" in line and "Window" in line]
+        assert windows and all("windowspecdefinition(session" in line and "l_shipdate" in line.split("l_orderkey")[0] for line in windows)
