@@ -233,7 +233,8 @@ def learning_curve(signal: DataFrame, events: DataFrame, by: list[str], tau: int
     at = order.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes])))
     train, test = (at.where(c).select(*keys, "size") for c in ("_n <= size", "_n > size"))
     g = [*by, "size"]
-    own = cut(summary_stats(signal, events, keys, keys, tau), "stats")
+    first = order.where(F.col("_n") <= max(sizes, default=0)).select(*keys)  # no training set holds a later trial
+    own = cut(summary_stats(*(d.join(first, keys, "left_semi") for d in (signal, events)), keys, keys, tau), "stats")
     table = own.join(train, keys).groupBy(*g, "stat", "e1", "e2", "a", "b").agg(F.sum("v").alias("v"))
     full = cut(factored_to_full(fit_cca(table, g, tau, rank, reg, reg), g), "model")
     fy = predict(signal.join(test, keys), events.join(test, keys), full, [*keys, "size"], g, tau=tau)

@@ -272,3 +272,21 @@ def test_samples_are_numbered_by_day(spark, small):
         assert sorted((r.session, r.samp, r.x[0]) for r in d.collect()) == want
         windows = [line for line in plan(d).splitlines() if "row_number()" in line and "Window" in line]
         assert windows and all("windowspecdefinition(session" in line and "l_shipdate" in line.split("l_orderkey")[0] for line in windows)
+
+
+def test_learning_curve_sums_training_trials_alone(spark, monkeypatch):
+    from pulsegrid.operators import models
+
+    rng = np.random.default_rng(6)
+    sig = spark.createDataFrame([(s, t, i, c, float(v)) for s in range(2) for t in range(6) for i in range(20) for c, v in enumerate(rng.normal(size=2))], "session long, trial int, samp int, ch int, v double")
+    ev = spark.createDataFrame([(s, t, int(i), o, e, 1.0) for s in range(2) for t in range(6) for o in range(2) for e in ("re", "fe") for i in rng.choice(18, 4, replace=False)], "session long, trial int, samp int, obj long, evt string, v double")
+    seen, plain = [], models.summary_stats
+
+    def stats(signal, events, *rest):
+        seen.append({(r.session, r.trial) for d in (signal, events) for r in d.select("session", "trial").distinct().collect()})
+        return plain(signal, events, *rest)
+
+    monkeypatch.setattr(models, "summary_stats", stats)
+    got = models.learning_curve(sig, ev, ["session"], 3, [1, 2], reg=1e-3)
+    assert seen == [{(s, t) for s in range(2) for t in range(2)}]
+    assert {(r.session, r["size"]) for r in got.collect()} == {(s, n) for s in range(2) for n in (1, 2)}
