@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.operators import scores
+from pulsegrid.shared import cut
 
 
 def even_lengths(n: int, most: int = 30) -> list[int]:
@@ -25,6 +26,7 @@ def decoding_curve(fy: DataFrame, keys: list[str], lengths: list[int] | None = N
     if dedup:
         f = scores.dedup_true_output(f, keys)
     if lengths is None:
+        f = cut(f, "scores")  # read for the longest trial, and for the sums
         lengths = even_lengths((f.agg(F.max("samp")).first()[0] or 0) + 1)
     z = scores.normalize_scores(f, keys, at=[n - 1 for n in lengths])
     p = scores.target_probs(z.withColumn("len", (F.col("samp") + 1).cast("int")), [*keys, "len"], scale=scale)

@@ -290,3 +290,13 @@ def test_learning_curve_sums_training_trials_alone(spark, monkeypatch):
     got = models.learning_curve(sig, ev, ["session"], 3, [1, 2], reg=1e-3)
     assert seen == [{(s, t) for s in range(2) for t in range(2)}]
     assert {(r.session, r["size"]) for r in got.collect()} == {(s, n) for s in range(2) for n in (1, 2)}
+
+
+def test_own_lengths_read_the_scores_once(spark, monkeypatch):
+    from pulsegrid.jobs import evaluate
+
+    seen, plain = [], scores.normalize_scores
+    monkeypatch.setattr(scores, "normalize_scores", lambda f, *a, **k: seen.append(plan(f)) or plain(f, *a, **k))
+    got = evaluate.decoding_curve(fy(spark), ["trial"])[1]
+    assert "Scan parquet" in seen[0] and "Join" not in seen[0]
+    assert sorted(r.len for r in got.collect()) == [1, 2, 3, 4, 5, 6]
