@@ -152,6 +152,42 @@ def _contexts(bits, length: int):
     return run
 
 
+def named(keys: np.ndarray, limit: int) -> tuple[int, np.ndarray]:
+    """The number of distinct keys (under limit) and the rank of each from 0: by a table where it is small, else by sorting."""
+    if limit > max(4 * len(keys), 1 << 16):
+        names, rank = np.unique(keys, return_inverse=True)
+        return len(names), rank
+    there = np.zeros(limit, bool)
+    there[keys] = True
+    rank = np.cumsum(there, dtype=np.int32)
+    return int(rank[-1]), rank[keys].astype(np.int64) - 1
+
+
+def extended(contexts: list[bytes], anchors: list[int], length: int) -> np.ndarray:
+    """Which contexts may hold a window of another one of their anchor. Such a window has (length - GRAM) / 2 bytes or more before
+    or behind the anchor, so the other one agrees on so many bytes there; all others cannot repeat and need no sorting."""
+    side = -(-(length - GRAM) // 2)
+    keep = np.zeros(len(contexts), bool)
+    data = b"".join(contexts)
+    h = gram_hashes(np.frombuffer(data, np.uint8))
+    begin = 0
+    seen: dict[tuple, int] = {}
+    for k, (ctx, anchor) in enumerate(zip(contexts, anchors, strict=True)):
+        m = len(ctx)
+        lo, hi = max(0, m - length), min(length, m) - GRAM  # every window covers the anchor
+        places = lo + np.flatnonzero(h[begin + lo : begin + hi + 1].view(np.int64) == anchor)
+        begin += m
+        if not len(places):
+            keep[k] = True
+        for p in places.tolist():
+            for key in ((anchor, 0, ctx[p - side : p]) if p >= side else None, (anchor, 1, ctx[p + GRAM : p + GRAM + side]) if m - p - GRAM >= side else None):
+                if key is not None:
+                    other = seen.setdefault(key, k)
+                    if other != k:
+                        keep[other] = keep[k] = True
+    return keep
+
+
 def ranked(s: np.ndarray, cover: int) -> np.ndarray:
     """Rank of each suffix of s by the difference cover {1, 2} modulo 3. Suffixes that agree on `cover` symbols stand
     together, in any order or with one rank; all others are in order. s holds positive integers."""
@@ -169,9 +205,9 @@ def ranked(s: np.ndarray, cover: int) -> np.ndarray:
     if size >= 1 << 20:  # a triple of large symbols does not fit 63 bits: pairs are named first, here and below
         pairs = np.unique(by_pair(np.arange(n + 1)))
         by_pair = lambda i: np.searchsorted(pairs, x[i] * size + x[i + 1])
-    names, inverse = np.unique(by_pair(sample) * size + x[sample + 2], return_inverse=True)
+    names, inverse = named(by_pair(sample) * size + x[sample + 2], size**3)
     inverse = inverse + 1
-    if len(names) < len(sample) and cover > 3:
+    if names < len(sample) and cover > 3:
         inverse = ranked(np.concatenate([inverse[: len(one)], [0], inverse[len(one) :]]) + 1, -(-cover // 3))
         inverse = np.concatenate([inverse[: len(one)], inverse[len(one) + 1 :]])
     rank = np.zeros(n + 4, np.int64)
@@ -202,7 +238,7 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     a = np.frombuffer(data, np.uint8)
     begin = np.cumsum(n + 1) - (n + 1)
     total = int((n + 1).sum()) - 1
-    s = a[:total].astype(np.int64) + 2
+    s = 1 + named(a[:total].astype(np.int64), 256)[1] + 1  # few symbols: triples of bytes are named by a table
     s[begin[1:] - 1] = 1
     rank = ranked(s, length)
     own = n - length + 1
@@ -234,14 +270,21 @@ def _sorted_runs(length: int):
             nonlocal size
             out = []
             whole = lambda rows: out.extend((d, t, lo, hi) for d, t, lo, hi, _ in rows)
-            unlike = []
-            for by_text in held.values():
+            unlike, owners = [], []
+            for a, by_text in held.items():
                 if len(by_text) > 1:
-                    unlike.extend(by_text.items())
+                    unlike.extend((c, rows) for c, rows in by_text.items())
+                    owners.extend([a] * len(by_text))
                 else:
                     for rows in by_text.values():
                         if len(rows) > 1 or rows[0][4]:
                             whole(rows)
+            if unlike:
+                able = extended([c for c, _ in unlike], owners, length)
+                for (_, rows), some in zip(unlike, able.tolist(), strict=True):
+                    if not some and (len(rows) > 1 or rows[0][4]):
+                        whole(rows)
+                unlike = [x for x, some in zip(unlike, able.tolist(), strict=True) if some]
             if unlike:
                 for (_, rows), flags in zip(unlike, repeated_starts([c for c, _ in unlike], length), strict=True):
                     if len(rows) > 1 or rows[0][4] or flags.all():

@@ -91,3 +91,18 @@ def test_real_documents_meet_brute_force(spark, small):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.drop_repeats(docs).collect())
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 200)
     assert suffixes.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_only_contexts_that_agree_beside_their_anchor_are_sorted():
+    rng = np.random.default_rng(5)
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    gram, before, behind = some(32), some(120), some(120)
+    anchor = int(suffixes.gram_hashes(np.frombuffer(gram, np.uint8)).view(np.int64)[0])
+    contexts = [before + gram + behind, before[-100:] + gram + some(120), some(100) + gram + behind[:120], some(70) + before[-50:] + gram + behind[:50] + some(70)]
+    assert suffixes.extended(contexts, [anchor] * 4, 200).tolist() == [True, True, True, False]
+    flags = suffixes.repeated_starts(contexts, 200)
+    assert not flags[3].any()
+    keys = rng.integers(0, 1000, 5000)
+    for limit in (1000, 1 << 40):
+        n, rank = suffixes.named(keys, limit)
+        assert n == len(np.unique(keys)) and (rank == np.unique(keys, return_inverse=True)[1]).all()
