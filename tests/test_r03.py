@@ -300,3 +300,21 @@ def test_own_lengths_read_the_scores_once(spark, monkeypatch):
     got = evaluate.decoding_curve(fy(spark), ["trial"])[1]
     assert "Scan parquet" in seen[0] and "Join" not in seen[0]
     assert sorted(r.len for r in got.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_segments_meet_chunks_of_samples(spark, monkeypatch):
+    """Repeated times: a segment is joined with chunks, no session is sorted in one task, and of one time before a segment the greatest sample counts."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, int(t), 1000 - i) for i, t in enumerate([*np.repeat([5, 40, 41, 300], 30), *rng.integers(0, 300, 80), -2])] + [(None, 7, 1), (0, None, 2), (0, 5, None)]
+    segs = [(i % 3, i, int(b), int(b + d)) for i, (b, d) in enumerate(zip(rng.integers(-9, 320, 60), rng.integers(-3, 90, 60), strict=True))] + [(0, 60, 200, 240), (1, 61, 299, 300), (None, 62, 0, 50)]
+    samples = spark.createDataFrame(rows, "session int, ts long, event_id long")
+    df = spark.createDataFrame(segs, "session int, seg int, bgn long, end long")
+    monkeypatch.setattr(segments, "CHUNK", 4, raising=False)
+    got = segments.slice_segments(samples, df, ["session"], width=50)
+    want = []
+    for s, seg, bgn, end in segs:
+        own = sorted(((t, -1 if e is None else e) for k, t, e in rows if k is not None and k == s and t is not None))
+        want += [(s, t, e, seg) for t, e in own if bgn <= t < end] + [(s, t, e, seg) for t, e in [x for x in own if x[0] < bgn][-1:] if t < end]
+    assert sorted((r.session, r.ts, -1 if r.event_id is None else r.event_id, r.seg) for r in got.collect()) == sorted(want)
+    assert "Generate inline" in plan(got)  # chunks are joined, not samples
+    assert all("_bucket#" in x.split(")")[0] for x in plan(got).split("windowspecdefinition(")[1:])
