@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_rows, ship
+from pulsegrid.llm.common import kept, map_rows, ship
 
 #: Pieces kept by a worker; the words kept and the rows worked on at once are in proportion.
 CACHE, LONG, LONG_BYTES = 300_000, 100, 400_000
@@ -233,16 +233,10 @@ class Pieces:
         return cuts
 
 
-#: The encoder of this Python worker: the tasks that it runs one after the other share database and words.
-_HELD: dict[tuple, Pieces] = {}
-
-
 def held_pieces(ranks: dict[bytes, int], pattern: str, at_spaces: bool, cache: int = CACHE) -> Pieces:
+    """The encoder of this Python worker: the tasks of a stage that it runs one after the other share database and words."""
     key = (len(ranks), hash(tuple(ranks.items())), pattern, at_spaces, cache)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Pieces(Bpe(ranks, pattern, cache), at_spaces)
-    return _HELD[key]
+    return kept(key, lambda: Pieces(Bpe(ranks, pattern, cache), at_spaces))
 
 
 def _round_trip(ranks, pattern: str, with_ids: bool, at_spaces: bool, cache: int) -> Callable:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import connected_components, cut, forget, hashed_words, maybe_among, mix, ship, text_bytes
+from pulsegrid.llm.common import connected_components, cut, forget, hashed_words, map_batches, maybe_among, mix, ship, text_bytes
 
 SLICE, SMALL, LIMIT, FINE = 512, 200, 31, 16
 SIGNATURES = "doc_id bigint, th bigint, n_shingles bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, fine array<bigint>, bands array<bigint>"
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
     similarity * union."""
     ship(docs.sparkSession)
     given = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sig = given.mapInArrow(_signatures(width, bands, rows), SIGNATURES)
+    sig = map_batches(given, _signatures(width, bands, rows), SIGNATURES)
     sig = cut(sig.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     whole = sig.where("n_shingles > 0 and doc_id is not null")
     same = ["s1", "s2", "n_shingles"]
@@ -181,8 +181,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
 
     flat = heads.select("cid", "n", "k1", "k2", F.explode("bands").alias("key"))
     many = cut(flat.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = maybe_among(flat, many.select("key"), F.col("key")).join(many, "key")
-    members = cut(members, "buckets")
+    some = maybe_among(flat, many.select("key"), F.col("key"))
+    members = cut(some.join(many, "key"), "buckets")
+    some.bits.destroy()
     fame = members.groupBy("cid").agg(F.sum("size").alias("fame"))
     centres = members.select("key", "cid").join(fame, "cid").groupBy("key").agg(F.min(F.struct(-F.col("fame"), "cid"))["cid"].alias("centre"))
     about = members.dropDuplicates(["cid"]).select(F.col("cid").alias("centre"), F.struct("n", "k1", "k2").alias("c"))
@@ -222,9 +223,10 @@ def _confirmed(pairs: DataFrame, heads: DataFrame, given: DataFrame, width: int,
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     needed = heads.join(wanted, "cid", "left_semi").select("cid", F.col("doc_id").alias("d"), F.col("th").alias("t"))
     needed = cut(needed, "wanted")
-    texts = maybe_among(given, needed.select("t"), F.col("th"))
-    texts = texts.join(needed, (F.col("th") == F.col("t")) & (F.col("doc_id") == F.col("d"))).select("cid", "text")
-    sets = cut(texts.mapInArrow(_sets(width), "cid bigint, hashes array<bigint>").dropDuplicates(["cid"]), "sets")
+    few = maybe_among(given, needed.select("t"), F.col("th"))
+    texts = few.join(needed, (F.col("th") == F.col("t")) & (F.col("doc_id") == F.col("d"))).select("cid", "text")
+    sets = cut(map_batches(texts, _sets(width), "cid bigint, hashes array<bigint>").dropDuplicates(["cid"]), "sets")
+    few.bits.destroy()
     x = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
     y = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
