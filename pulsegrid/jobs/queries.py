@@ -557,10 +557,10 @@ def q_calibrate_softmax(spark, sf):
     return scores.calibrate_softmax(scores.normalize_scores(views.fy(spark, sf), T), ["trial", "samp"]).withColumn("loss", F.round("loss", 2))
 
 
-@query(P + " SELECT trial, samp, obj, ROUND(p, 6) + 0.0 AS p FROM ps WHERE p > 0.25 OR obj = 0")
+@query(P + " SELECT trial, samp, obj, ROUND(p, 6) + 0.0 AS p FROM ps WHERE p > 0 OR obj = 0")
 def q_sparse_distribution(spark, sf):
     z = scores.normalize_scores(views.fy(spark, sf), T)
-    return r6(scores.sparse_distribution(scores.target_probs(z, ["trial", "samp"]), ["trial", "samp"], 0.25).select("trial", "samp", "obj", "p"), "p")
+    return r6(scores.sparse_distribution(scores.target_probs(z, ["trial", "samp"]), ["trial", "samp"]).select("trial", "samp", "obj", "p"), "p")
 
 
 BLOCKS = FY + """, u AS (SELECT DISTINCT trial, obj FROM dense WHERE v <> 0), d AS (SELECT *, samp // 10 AS blk FROM dense SEMI JOIN u USING (trial, obj) JOIN (SELECT trial, (max(samp) + 1) // 10 AS nb FROM dense GROUP BY trial) USING (trial) WHERE samp // 10 < nb),
