@@ -212,8 +212,10 @@ def stream_filter(signal: DataFrame, sos: np.ndarray, every: int = 1) -> DataFra
 def stream_quality(signal: DataFrame, halflife: float = 100.0, interval_ms: int = 1000, system: Linear | None = None, mean_halflife: float | None = None, car: bool = True) -> DataFrame:
     """session, ts, raw, pre, noise (arrays by channel) of signal(session, samp, ts, x and, without a system, pre): decayed powers before and
     after cleaning, and the share that cleaning removed, at a session's first sample and then at the first one more than interval_ms of event time
-    after the last report. system: a filter that cleans x here, channel by channel. State: both powers (each referenced to its active
+    after the last report. A stream whose samples do not come in order of time has a column `due` that marks the samples to report at (quality_due tells
+    them). system: a filter that cleans x here, channel by channel. State: both powers (each referenced to its active
     channels), the filter, and the time of the last report; so reports do not hang on where batches end."""
+    marked = "due" in signal.columns
 
     def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flat, last = (None, None) if not state.exists else (np.array(state.get[0]), state.get[1])
@@ -231,18 +233,42 @@ def stream_quality(signal: DataFrame, halflife: float = 100.0, interval_ms: int
         trackers = [PowerTracker(halflife, mean_halflife, car, None if flat is None else flat[k * half : (k + 1) * half]) for k in range(2)]
         powers = [t.run(v) for t, v in zip(trackers, (x, y), strict=True)]
         out = []
+        due = f["due"].tolist() if marked else None
         for i, ts in enumerate(f["ts"].tolist()):
-            if last is None or ts > last + interval_ms:
+            if due[i] if marked else last is None or ts > last + interval_ms:
                 last = int(ts)
                 raw, pre = powers[0][i], powers[1][i]
                 out.append((key[0], last, raw.tolist(), pre.tolist(), noise_to_signal(raw, pre).tolist()))
         state.update((np.concatenate([rest, *(t.flat() for t in trackers)]).tolist(), last))
         yield pd.DataFrame(out, columns=["session", "ts", "raw", "pre", "noise"])
 
-    cols = ["session", "samp", "ts", "x", *([] if system else ["pre"])]
+    cols = ["session", "samp", "ts", "x", *([] if system else ["pre"]), *(["due"] if marked else [])]
     return _stateful(signal.select(*cols), ["session"], "session long, ts long, raw array<double>, pre array<double>, noise array<double>", "flat array<double>, last long", fn)
 
 
+def quality_due(times: DataFrame, interval_ms: int) -> DataFrame:
+    """session, samp: where reports are due when all of times(session, samp, ts) is known, in order of time: a session's least time, then again and again the
+    least one more than interval_ms later; of samples of one time the first. A task walks over sorted rows and holds a batch of them."""
+    ship(times.sparkSession)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[int, int] = {}
+        for f in frames:
+            for s, part in f.groupby("session", sort=False):
+                ts, samp, at, found = part["ts"].to_numpy(), part["samp"].to_numpy(), 0, []
+                if s in last:
+                    at = int(np.searchsorted(ts, last[s] + interval_ms, "right"))
+                while at < len(ts):
+                    found.append(samp[at])
+                    last[s] = int(ts[at])
+                    at = int(np.searchsorted(ts, last[s] + interval_ms, "right"))
+                yield pd.DataFrame({"session": s, "samp": found})
+
+    t = times.where("session is not null and ts is not null").groupBy("session", "ts").agg(F.min("samp").alias("samp"))
+    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(n, "session").sortWithinPartitions("session", "ts").select("session", "ts", "samp").mapInPandas(walk, "session long, samp long")
+
+
 def noise_to_signal(raw: np.ndarray, pre: np.ndarray) -> np.ndarray:
     """clean.noise_to_signal of powers that a task holds."""
     a, b = np.sqrt(np.maximum(raw, 1e-8)), np.sqrt(np.maximum(pre, 1e-8))
